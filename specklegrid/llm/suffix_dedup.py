@@ -101,7 +101,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     def pick(block, rows, _, buckets):
         s = Suffixes(rows, length, gram)
         by, first = _first(s.c)
-        one = by[first]
+        one = np.sort(by[first])  # in the order of the text, in which numbers compress well
         did, pos = s.order(s.lo[one])
         return list(bucketed((s.g[one] % U64(buckets)).astype(np.int64), [s.g[one], s.c[one], did, pos]))
 
@@ -137,31 +137,36 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         at = np.repeat(lo - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(each.sum()) if len(lo) else lo
         h = span(s.p, at, at + length, BYTE_BASE) if len(at) else at.view(U64)
         by, first = _first(h)
-        one = by[first]
+        one = np.sort(by[first])
         again = np.setdiff1d(np.arange(len(at)), one, assume_unique=True)
         did, pos = s.order(at[one])
-        out = [(b, _HEAD["windows"] + x) for b, x in bucketed((h[one] % U64(buckets)).astype(np.int64), [h[one], did, pos, at[one]])]
+        out = [(b, _HEAD["windows"] + x) for b, x in bucketed((h[one] % U64(buckets)).astype(np.int64), [h[one], did, pos])]
         runs = np.concatenate([s.lo[whole], at[again]]), np.concatenate([s.hi[whole], at[again]])
         return out + [(block % buckets, _HEAD["runs"] + x) for _, x in bucketed(np.zeros(len(runs[0]), np.int64), list(runs))]
 
     def settle(owners, blobs):
-        out = [(o, b[8:]) for o, b in zip(owners, blobs, strict=True) if b[:8] == _HEAD["runs"]]
-        parts = [(o, unblob(b[8:], 4)) for o, b in zip(owners, blobs, strict=True) if b[:8] == _HEAD["windows"]]
+        out = [(o, b) for o, b in zip(owners, blobs, strict=True) if b[:8] == _HEAD["runs"]]
+        parts = [(o, unblob(b[8:], 3)) for o, b in zip(owners, blobs, strict=True) if b[:8] == _HEAD["windows"]]
         if parts:
             owner = np.repeat(np.array([o for o, _ in parts]), [x.shape[1] for _, x in parts])
-            h, did, pos, at = np.concatenate([x for _, x in parts], axis=1)
+            h, did, pos = np.concatenate([x for _, x in parts], axis=1)
             by = np.lexsort((pos, did, h))
             later = np.ones(len(h), bool)
             later[equal_runs(h[by])] = False
             by = by[later]
-            out += list(bucketed(owner[by], [at[by], at[by]]))
+            out += [(o, _HEAD["windows"] + x) for o, x in bucketed(owner[by], [did[by], pos[by]])]
         return out
 
     def cut(block, rows, got):
         rows = in_order(rows)
         data, offsets = utf8(rows["text"])
         cover = np.zeros(len(data) + 1, np.int32)
-        for lo, hi in (unblob(b, 2).view(np.int64) for b in got):
+        ids, begin = ordinals(rows, offsets)
+        for b in got:
+            lo, hi = unblob(b[8:], 2)
+            if b[:8] == _HEAD["windows"]:
+                lo = hi = begin[np.searchsorted(ids, lo)] + hi.view(np.int64)
+            lo, hi = lo.view(np.int64), hi.view(np.int64)
             np.add.at(cover, lo, 1)
             np.add.at(cover, hi + length, -1)
         gone = np.cumsum(cover[:-1]) > 0
