@@ -35,25 +35,26 @@ from .exchange import BLOCK_BYTES, LEAST_BLOCKS, text_bytes, written
 from .kernels import U64, WORD_BASE, Words, bucketed, equal_runs, mix, pieces, prefix, span, unblob, utf8
 
 _K = U64(0x9E3779B97F4A7C15)
-FULL = 3.5  # shingles a segment should hold on average
+FULL = 2.5  # shingles a segment should hold on average
 
 
 def _allocation(h: int, low: int) -> tuple[int, int, int]:
     """m, d and spare of the fewest signatures for a set of `low` shingles, such that segments hold FULL of them and few sets lose more than `spare` to empty ones."""
     best = None
-    for spare in range(h // 2 + 3):
-        for d in range(min((h + 1 + spare) // 2, 8 + h // 8) + 1):
+    step = max(1, h // 32)  # wide bands are searched in steps
+    for spare in range(0, h // 2 + 3, step):
+        for d in range(0, min((h + 1 + spare) // 2, 8 + h // 8) + 1, step):
             m = h + 1 + spare - d
             load = low / m
             empty = exp(-load)
             risk = (m - d) * empty + 2 * d * empty * (1 + load)
-            if m == 1 or h <= 2 and spare == 1 or spare >= risk + 3 * risk**0.5:
-                cost = m + d * load + m * 4 * max(0.0, FULL - load)
-                if best is None or cost < best[0]:
-                    best = cost, m, d, spare
-        if best and spare > best[3] + 8:
+            short = 0.0 if m == 1 else max(0.0, risk + 2.5 * risk**0.5 - spare)
+            cost = m + d * load + m * 4 * max(0.0, FULL - load) + 10 * short
+            if best is None or cost < best[0]:
+                best = cost, m, d, spare
+        if spare > best[3] + 8 * step:
             break
-    return best[1:] if best else (h + 1, 0, 0)
+    return best[1:]
 
 
 @cache
@@ -148,7 +149,7 @@ _ROWS = "sig long, set long, doc_id long, n long"
 
 def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Rows of classes (set, doc_id, n; sig null) and of signatures that more than one class has (sig, set), from one scan."""
-    buckets = max(LEAST_BLOCKS, -(-text_bytes(docs) // BLOCK_BYTES))
+    buckets = max(LEAST_BLOCKS, -(-text_bytes(docs) // (4 * BLOCK_BYTES)))
 
     def emit(batches):
         seen: set[int] = set()  # classes that this task has indexed: a copy costs its own row only
@@ -179,7 +180,8 @@ def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                         new[i] = True
                 keep = np.repeat(new, sizes)
                 sig, of = signatures(h[keep], np.where(new, sizes, 0), num, den)
-                held.append((sig, ids[of]))
+                by = np.argsort(of, kind="stable")  # a class's signatures stay together, so that their ids compress
+                held.append((sig[by], ids[of[by]]))
                 size += len(sig)
                 if size > 1 << 20:
                     rows += flush()

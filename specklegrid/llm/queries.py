@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .ngram_join import op1_ngram_jaccard_join
 from .substring_dedup import op5_substring_dedup
 from .suffix_dedup import op8_suffix_array_dedup
 
-QUERIES = {f.__name__: f for f in (op5_substring_dedup, op8_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_substring_dedup, op8_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {}
