@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from .chat_format import OP2_SQL, op2_chat_format
+from .language_id import op3_language_id
 from .ngram_join import op1_ngram_jaccard_join
+from .sentence_pieces import op6_sentencepiece
+from .source_mixing import OP4_SQL, op4_source_mixing
 from .substring_dedup import op5_substring_dedup
 from .suffix_dedup import op8_suffix_array_dedup
+from .token_counts import op9_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_substring_dedup, op8_suffix_array_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_ngram_jaccard_join, op2_chat_format, op3_language_id, op4_source_mixing, op5_substring_dedup, op6_sentencepiece, op8_suffix_array_dedup, op9_token_counts)
+}
+ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op4_source_mixing": OP4_SQL}
