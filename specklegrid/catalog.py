@@ -10,7 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    return []
+    from .plans import pixel_queries
+
+    return [pixel_queries]
 
 
 def queries() -> dict[str, Query]:
