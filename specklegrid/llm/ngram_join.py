@@ -12,7 +12,8 @@ could be missed by each other alone, index those as well. So no pair is lost.
 
 Verification is exact. Equal sets are one class from the start. For each signature the least class is tried with
 every other (linear), links are joined to components, and classes that still share a signature across components
-are compared through their prefixes, rarest shingle first, which no linked pair can differ in.
+are compared through their prefixes, rarest shingle first, in which linked pairs must meet, if the place where they
+meet and the parity bits of their shingles leave room for a link.
 
 Cases: a null or empty text, or one without words, has an empty set and links with nothing; one with fewer words
 than `width` has its whole sequence as its only shingle; rows of equal doc_id are one node; a row without doc_id
@@ -35,6 +36,7 @@ from .exchange import BLOCK_BYTES, LEAST_BLOCKS, text_bytes, written
 from .kernels import U64, WORD_BASE, Words, bucketed, equal_runs, mix, pieces, prefix, span, unblob, utf8
 
 _K = U64(0x9E3779B97F4A7C15)
+PARITY = 8  # longs of a set's parity bits
 FULL = 2.5  # shingles a segment should hold on average
 
 
@@ -227,11 +229,17 @@ def _tokens(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, "text"):
                 h, sizes = shingle_sets(part.column(1), width)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.record_batch([pa.array(set_ids(h, sizes).view(np.int64)), lists], ["set", "tokens"])
+                ends = np.r_[0, np.cumsum(sizes)]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))
+                # every shingle flips one of 64 * PARITY bits, so two sets differ in as many shingles as bits at least
+                bits = (h >> U64(17)) % U64(64 * PARITY)
+                flips = np.stack([np.bincount(bits[a:b].astype(np.int64), minlength=64 * PARITY) & 1 for a, b in zip(ends[:-1], ends[1:], strict=True)])
+                parity = np.packbits(flips.astype(np.uint8), axis=1).view(np.int64)
+                parity = pa.ListArray.from_arrays(pa.array((np.arange(len(sizes) + 1) * PARITY).astype(np.int32)), pa.array(parity.ravel()))
+                yield pa.record_batch([pa.array(set_ids(h, sizes).view(np.int64)), lists, parity], ["set", "tokens", "parity"])
 
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    return written(some.mapInArrow(read, "set long, tokens array<long>").join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"]), "tokens")
+    return written(some.mapInArrow(read, "set long, tokens array<long>, parity array<long>").join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"]), "tokens")
 
 
 def _linked(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
@@ -264,10 +272,14 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
     each = rest.join(tokens, "set").select("set", "n", "c", F.explode("tokens").alias("t"))
     often = each.groupBy("t").agg(F.count("*").alias("f"))
     some = each.join(often, "t").groupBy("set", "n", "c").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ts"))
-    heads = some.select("set", "n", "c", F.explode(F.slice("ts", 1, (F.col("n") - F.ceil(num * F.col("n") / den) + 1).cast("int"))).alias("x")).where("x.f > 1").select("x.t", "set", "n", "c")
-    heads = written(heads, "heads")
-    other = heads.select("t", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    near = (F.col("set") < F.col("b")) & (F.col("c") != F.col("cb")) & (num * F.greatest("n", "nb") <= den * F.least("n", "nb"))
+    heads = some.select("set", "n", "c", F.posexplode(F.slice("ts", 1, (F.col("n") - F.ceil(num * F.col("n") / den) + 1).cast("int"))).alias("i", "x")).where("x.f > 1").select("x.t", "set", "n", "c", "i")
+    heads = written(heads.join(tokens.select("set", "parity"), "set"), "heads")
+    other = heads.select("t", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("i").alias("ib"), F.col("parity").alias("pb"))
+    # at its first common shingle, a linked pair still has enough shingles ahead
+    ahead = (num + den) * F.least(F.col("n") - F.col("i"), F.col("nb") - F.col("ib")) >= num * (F.col("n") + F.col("nb"))
+    near = (F.col("set") < F.col("b")) & (F.col("c") != F.col("cb")) & (num * F.greatest("n", "nb") <= den * F.least("n", "nb")) & ahead
+    flipped = sum((F.bit_count(F.col("parity")[k].bitwiseXOR(F.col("pb")[k])) for k in range(PARITY)), F.lit(0))
+    near = near & ((num + den) * flipped <= (den - num) * (F.col("n") + F.col("nb")))
     pairs = heads.join(other, "t").where(near).select(F.col("set").alias("a"), "b").distinct()
     more = written(_linked(pairs, tokens, num, den), "links")
     if more.take(1):
