@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP2_SQL, op2_chat_format
 from .curve_search import op7_curve_search
+from .fingerprints import op10_fingerprints
 from .language_id import op3_language_id
 from .ngram_join import op1_ngram_jaccard_join
 from .sentence_pieces import op6_sentencepiece
@@ -14,6 +15,6 @@ from .token_counts import op9_token_counts
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_chat_format, op3_language_id, op4_source_mixing, op5_substring_dedup, op6_sentencepiece, op7_curve_search, op8_suffix_array_dedup, op9_token_counts)
+    for f in (op1_ngram_jaccard_join, op2_chat_format, op3_language_id, op4_source_mixing, op5_substring_dedup, op6_sentencepiece, op7_curve_search, op8_suffix_array_dedup, op9_token_counts, op10_fingerprints)
 }
 ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op4_source_mixing": OP4_SQL}
