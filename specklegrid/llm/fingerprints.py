@@ -45,7 +45,7 @@ def _folded(cells: str) -> str:
     entry = "named_struct('cell', a.k, 'n', a.n, 'x', a.x, 'c', a.c)"
     out = f"if(a.n = 0 and a.x = 0L and a.c = 0L, a.out, concat(a.out, array({entry})))"
     return (
-        f"aggregate(array_sort({cells}), named_struct('k', -1L, 'n', 0, 'x', 0L, 'c', 0L, 'out', {_EMPTY}), "
+        f"aggregate(sort_array({cells}), named_struct('k', -1L, 'n', 0, 'x', 0L, 'c', 0L, 'out', {_EMPTY}), "
         f"(a, e) -> if(e.cell = a.k, named_struct('k', a.k, 'n', a.n + e.n, 'x', a.x ^ e.x, 'c', a.c ^ e.c, 'out', a.out), named_struct('k', e.cell, 'n', e.n, 'x', e.x, 'c', e.c, 'out', {out})), a -> {out})"
     )
 
@@ -64,25 +64,27 @@ def _peeled(cells: str, size: str) -> str:
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', {found}), (s, r) -> if(size(s.cells) = 0, s, {step}))"
 
 
-def differences(a: str, b: str) -> Column:
-    """found: digests (x) with n of 1 where only array column a has them, -1 where only b has; solved: by peeling, at size."""
-    diff = _folded(f"concat({table(a, 'z', 1)}, {table(b, 'z', -1)})")
-    sizes = ", ".join(f"{s}L" for s in SIZES)
-    start = "named_struct('solved', false, 'size', 0L, 'found', cast(array() as array<struct<x: bigint, n: int>>))"
-    solve = f"transform(array({_peeled(diff, 'z')}), s -> named_struct('solved', size(s.cells) = 0, 'size', z, 'found', s.found))[0]"
-    by_peeling = f"aggregate(array({sizes}), {start}, (t, z) -> if(t.solved, t, {solve}))"
+def differences(a: str, b: str, cells_a: str, cells_b: str) -> Column:
+    """found: digests (x) with n of 1 where only array column a has them, -1 where only b has; solved: by peeling, at size. cells_a and cells_b are their tables of the least size."""
+    less = f"concat({cells_a}, transform({cells_b}, e -> named_struct('cell', e.cell, 'n', -e.n, 'x', e.x, 'c', e.c)))"
+    solved = lambda cells, z: f"transform(array({_peeled(_folded(cells), z)}), s -> named_struct('solved', size(s.cells) = 0, 'size', {z}, 'found', s.found))[0]"
+    # a larger table of a difference is that of the signed digests, as tables add up
+    signed = f"concat(transform({a}, d -> named_struct('x', d, 'n', 1)), transform({b}, d -> named_struct('x', d, 'n', -1)))"
+    sizes = ", ".join(f"{s}L" for s in SIZES[1:])
+    by_peeling = f"aggregate(array({sizes}), {solved(less, f'{SIZES[0]}L')}, (t, z) -> if(t.solved, t, {solved(_spread(signed, 'z'), 'z')}))"
     plain = f"named_struct('solved', false, 'size', 0L, 'found', concat(transform(array_except({a}, {b}), d -> named_struct('x', d, 'n', 1)), transform(array_except({b}, {a}), d -> named_struct('x', d, 'n', -1))))"
     return F.expr(f"transform(array({by_peeling}), t -> if(t.solved, t, {plain}))[0]")
 
 
-def fingerprint(ds: str) -> Column:
+def fingerprint(cells: str) -> Column:
     """The cells of the least size as text: cell, count, digest and check in hexadecimal."""
-    return F.expr(f"concat_ws('.', transform({table(ds, SIZES[0])}, e -> concat(hex(e.cell), '-', hex(e.n), '-', hex(e.x), '-', hex(e.c))))")
+    return F.expr(f"concat_ws('.', transform({cells}, e -> concat(hex(e.cell), '-', hex(e.n), '-', hex(e.x), '-', hex(e.c))))")
 
 
 def likeness(a: str, b: str, found: Column) -> Column:
+    """Share of all digests that both have; found is used once, so it is peeled once."""
     both = F.size(a) + F.size(b)
-    return F.when(both == 0, 1.0).otherwise((both - F.size(found)) / (both + F.size(found)))
+    return F.when(both == 0, 1.0).otherwise(F.transform(F.array(F.size(found)), lambda k: (both - k) / (both + k))[0])
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -119,11 +121,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     x = with_next(docs).withColumn("edited", edit(n))
     x = x.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), digests(F.col("next_text")).alias("c"))
-    x = x.withColumns({"to_edited": differences("a", "b"), "to_next": differences("a", "c"), "fingerprint": fingerprint("a"), "edited_fingerprint": fingerprint("b")})
-    return x.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("a", "b", F.col("to_edited.found")).alias("near_edited"), likeness("a", "c", F.col("to_next.found")).alias("near_next"),
-        F.col("to_edited.size").alias("peeled_at"),
-    )
+    x = x.withColumns({f"c{k}": F.expr(table(k, SIZES[0])) for k in "abc"})
+    near = lambda k: likeness("a", k, differences("a", k, "ca", f"c{k}")["found"])
+    return x.select("doc_id", "n_chars", "edited_sha256", fingerprint("ca").alias("fingerprint"), fingerprint("cb").alias("edited_fingerprint"), near("b").alias("near_edited"), near("c").alias("near_next"))
 
 
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
