@@ -10,6 +10,7 @@ at any size. The text is shuffled once: all steps read the same exchange.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -43,6 +44,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: lineage ends there, and lost executors cost nothing."""
     path = shared(df.sparkSession, name)
     df.write.parquet(path)
+    # Spark drops the shuffle files of finished steps when the driver's unused objects are collected
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -242,6 +242,50 @@ def _tokens(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return written(some.mapInArrow(read, "set long, tokens array<long>, parity array<long>").join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"]), "tokens")
 
 
+OFTEN_BITS = 22
+
+
+def _often(tokens: DataFrame) -> np.ndarray:
+    """How often shingles occur, by 2**OFTEN_BITS values of their hash: a table of fixed size (8 MB), whatever the input. It only orders shingles; any order is right, a good one is fast."""
+    parts, size = 16, (1 << OFTEN_BITS) // 16
+
+    def count(batches):
+        total = np.zeros(1 << OFTEN_BITS, np.uint32)
+        for batch in batches:
+            h = batch.column(0).flatten().to_numpy().view(U64) >> U64(64 - OFTEN_BITS)
+            total += np.bincount(h.astype(np.int64), minlength=1 << OFTEN_BITS).astype(np.uint32)
+        yield pa.record_batch([pa.array(range(parts), pa.int32()), pa.array([total[k * size : (k + 1) * size].tobytes() for k in range(parts)], pa.binary())], ["part", "data"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in rows["data"].to_pylist())
+        return pa.table({"part": rows["part"][:1], "data": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+
+    # no more than 256 counts meet in one group
+    rows = tokens.select("tokens").coalesce(256).mapInArrow(count, "part int, data binary").groupBy("part").applyInArrow(add, "part int, data binary").collect()
+    return np.concatenate([np.frombuffer(r["data"], np.uint16) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(1 << OFTEN_BITS, np.uint16)
+
+
+def _heads(sets: DataFrame, often: np.ndarray, num: int, den: int) -> DataFrame:
+    """t, set, n, c, i: the shingles of each set's prefix in the order of how often they occur, and their places; those that occur once only can't meet and go."""
+    table = sets.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                t = part.column(3).flatten().to_numpy()
+                n = part.column(1).to_numpy()
+                row = np.repeat(np.arange(len(n)), n)
+                f = table.value[(t.view(U64) >> U64(64 - OFTEN_BITS)).astype(np.int64)]
+                by = np.lexsort((t, f, row))
+                place = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
+                use = (place < (n - (num * n + den - 1) // den + 1)[row]) & (f[by] > 1)
+                r = pa.array(row[use])
+                yield pa.record_batch([pa.array(t[by][use]), part.column(0).take(r), part.column(1).take(r), part.column(2).take(r), pa.array(place[use].astype(np.int32))], ["t", "set", "n", "c", "i"])
+
+    return sets.select("set", "n", "c", "tokens").mapInArrow(run, "t long, set long, n long, c long, i int")
+
+
 def _linked(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link, of sets."""
     t = [tokens.select(F.col("set").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab"]
@@ -269,11 +313,9 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
     placed = members.join(found, F.col("rep") == F.col("node"), "left").select("set", "n", F.coalesce("component", "rep").alias("c"))
     apart = shared.join(placed, "set").groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
     rest = written(placed.join(shared.join(apart, "sig", "left_semi").select("set").distinct(), "set", "left_semi"), "apart")
-    each = rest.join(tokens, "set").select("set", "n", "c", F.explode("tokens").alias("t"))
-    often = each.groupBy("t").agg(F.count("*").alias("f"))
-    some = each.join(often, "t").groupBy("set", "n", "c").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ts"))
-    heads = some.select("set", "n", "c", F.posexplode(F.slice("ts", 1, (F.col("n") - F.ceil(num * F.col("n") / den) + 1).cast("int"))).alias("i", "x")).where("x.f > 1").select("x.t", "set", "n", "c", "i")
-    heads = written(heads.join(tokens.select("set", "parity"), "set"), "heads")
+    found_heads = written(_heads(tokens.join(rest, "set"), _often(tokens), num, den), "heads")
+    twice = found_heads.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
+    heads = written(found_heads.join(twice, "t", "left_semi").join(tokens.select("set", "parity"), "set"), "heads")
     other = heads.select("t", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("i").alias("ib"), F.col("parity").alias("pb"))
     # at its first common shingle, a linked pair still has enough shingles ahead
     ahead = (num + den) * F.least(F.col("n") - F.col("i"), F.col("nb") - F.col("ib")) >= num * (F.col("n") + F.col("nb"))
