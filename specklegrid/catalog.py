@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from .plans import pixel_queries
+    from .plans import engine_queries, pixel_queries, series_queries
 
-    return [pixel_queries]
+    return [pixel_queries, series_queries, engine_queries]
 
 
 def queries() -> dict[str, Query]:

@@ -25,7 +25,7 @@ class ExpressionError(ValueError):
 
 FUNCTIONS = {"abs": 1, "arg": 1, "re": 1, "im": 1, "conj": 1, "exp": 1, "log": 1, "sqrt": 1, "min": 2, "max": 2, "if": 3, "sum": 1, "mask": 1, "set_mask": 2, "posx": 1, "posy": 1, "posz": 1, "fft": 1, "ifft": 1}
 LEVELS = [["&&", "||"], ["=="], ["<", ">"], ["+", "-"], ["*", "/"]]
-_TOKEN = re.compile(r"\s*(?:(?P<number>\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?)|(?P<image>[A-Z]+)|(?P<name>[a-z_]+)|(?P<op>&&|\|\||==|[-+*/^<>(),]))")
+_TOKEN = re.compile(r"\s*(?:(?P<number>\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?)|(?P<image>[A-Z]+)|(?P<name>set_mask|pos[xyz]|[a-z]+)|(?P<op>&&|\|\||==|[-+*/^<>(),]))")
 
 
 @dataclass(frozen=True)
@@ -117,6 +117,8 @@ def parse(text: str) -> Node:
             take(")")
             return x
         if kind == "name":
+            if word.startswith("pos") and peek() != "(":  # of the first image
+                return Node(word, (Node("image", value=0),))
             take("(")
             args = [level(0)]
             while peek() == ",":

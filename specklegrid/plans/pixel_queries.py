@@ -207,13 +207,13 @@ _K = "(SELECT unnest(range(64)) AS k)"
 _A = f"({-2 * math.pi!r} * ((k % 8) * x / 8.0 + (k // 8) * y / 8.0))"
 
 
-@query("dft_power", f"WITH {PX} SELECT image_id, k::BIGINT AS i, round(pow(sum(re * cos({_A})), 2) + pow(sum(re * sin({_A})), 2), 2) AS power FROM px, {_K} GROUP BY image_id, k")
+@query("dft_power", f"WITH {PX} SELECT image_id, k::BIGINT AS i, round((pow(sum(re * cos({_A})), 2) + pow(sum(re * sin({_A})), 2)) / 1000, 2) AS power FROM px, {_K} GROUP BY image_id, k")
 def dft_power(spark, sf_dir):
     """By FFT on packed rows; the SQL sums directly."""
     from ..model import images
 
     p = unpack(FT.fft(images(spark, sf_dir)))
-    return p.select("image_id", F.col("i").cast("long").alias("i"), F.round(F.col("re") * F.col("re") + F.col("im") * F.col("im"), 2).alias("power"))
+    return p.select("image_id", F.col("i").cast("long").alias("i"), F.round((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / 1000, 2).alias("power"))
 
 
 @query("direct_dft", f"WITH {PX} SELECT image_id, k::BIGINT AS i, round(sum(re * cos({_A})), 4) + 0.0 AS re, round(sum(re * sin({_A})), 4) + 0.0 AS im FROM px, {_K} GROUP BY image_id, k")
@@ -254,7 +254,7 @@ def best_rotation(spark, sf_dir):
     return L.best_rotation(G.correlation(z, "image_id", "rot")).select("image_id", F.col("rot").cast("long").alias("rot"), r6(F.col("r")).alias("r"))
 
 
-@query("emc_step", f"WITH {PX}, s AS (SELECT image_id AS sample_id, x, y, (abs(re) // 100)::INT AS n FROM px WHERE abs(re) >= 100), m AS (SELECT x, y, ln((avg(abs(re)) + 1) / 1000) AS logp FROM px GROUP BY x, y), ref AS (SELECT 0 AS rot, x, y, logp FROM m UNION ALL SELECT 1, 7 - y, x, logp FROM m UNION ALL SELECT 2, 7 - x, 7 - y, logp FROM m UNION ALL SELECT 3, y, 7 - x, logp FROM m), c AS (SELECT sample_id, rot, sum(n * greatest(logp, -50)) AS s FROM s JOIN ref USING (x, y) GROUP BY ALL), e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY sample_id)) AS e FROM c) SELECT sample_id, rot::BIGINT AS rot, {sql6('e / sum(e) OVER (PARTITION BY sample_id)')} AS p FROM e")
+@query("emc_step", f"WITH {PX}, s AS (SELECT image_id AS sample_id, x, y, floor(abs(re) / 100)::INT AS n FROM px WHERE abs(re) >= 100), m AS (SELECT x, y, ln((avg(abs(re)) + 1) / 1000) AS logp FROM px GROUP BY x, y), ref AS (SELECT 0 AS rot, x, y, logp FROM m UNION ALL SELECT 1, 7 - y, x, logp FROM m UNION ALL SELECT 2, 7 - x, 7 - y, logp FROM m UNION ALL SELECT 3, y, 7 - x, logp FROM m), c AS (SELECT sample_id, rot, sum(n * greatest(logp, -50)) AS s FROM s JOIN ref USING (x, y) GROUP BY ALL), e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY sample_id)) AS e FROM c) SELECT sample_id, rot::BIGINT AS rot, {sql6('e / sum(e) OVER (PARTITION BY sample_id)')} AS p FROM e")
 def emc_step(spark, sf_dir):
     px = pixels(spark, sf_dir)
     samples = px.where(F.abs("re") >= 100).select(F.col("image_id").alias("sample_id"), F.col("i").alias("idx"), F.floor(F.abs("re") / 100).cast("int").alias("n"))
