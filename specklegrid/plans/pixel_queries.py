@@ -16,7 +16,10 @@ from ..operators import spatial as N
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-D = center_distance(8, 8)
+def D():
+    return center_distance(8, 8)
+
+
 SQL_D = "sqrt((x - 3.5) * (x - 3.5) + (y - 3.5) * (y - 3.5))"
 MOST = math.hypot(8, 8) / 2
 
@@ -57,12 +60,12 @@ simple("to_amplitudes", P.to_amplitudes, "sqrt(greatest(re, 0))")
 simple("to_intensities", P.to_intensities, "re * re")
 simple("background_constant", lambda p: P.background_constant(p, 50.0), "greatest(re - 50, 0)")
 simple("normalise", lambda p: P.normalise(P.to_intensities(p)), f"re * re / nullif(sum(re * re) {W}, 0)")
-simple("fermi_high_pass", lambda p: P.fermi_high_pass(P.draw_mask(p, F.lit(True), 0), 3.0, 0.25, D), f"re * (1 - 1 / (1 + exp(({SQL_D} - 3.0) / 0.25)))", sql_mask=f"CASE WHEN 1 - 1 / (1 + exp(({SQL_D} - 3.0) / 0.25)) < 1e-4 THEN 1 ELSE 0 END")
-simple("radial_minimum_subtract", lambda p: P.radial_minimum_subtract(p, D, 4, MOST), f"re - min(abs(re)) OVER (PARTITION BY image_id, {BIN})")
+simple("fermi_high_pass", lambda p: P.fermi_high_pass(P.draw_mask(p, F.lit(True), 0), 3.0, 0.25, D()), f"re * (1 - 1 / (1 + exp(({SQL_D} - 3.0) / 0.25)))", sql_mask=f"CASE WHEN 1 - 1 / (1 + exp(({SQL_D} - 3.0) / 0.25)) < 1e-4 THEN 1 ELSE 0 END")
+simple("radial_minimum_subtract", lambda p: P.radial_minimum_subtract(p, D(), 4, MOST), f"re - min(abs(re)) OVER (PARTITION BY image_id, {BIN})")
 simple("cap_display", lambda p: P.cap(p, 0.15), f"least(re, 0.15 * max(re) {W})")
 simple("bayer_green", lambda p: P.bayer_channel(p, "green"), "re", source="(SELECT image_id, x // 2 AS x, y // 2 AS y, re FROM px WHERE x % 2 = 0 AND y % 2 = 1)")
-simple("solid_angle_stretch", lambda p: P.solid_angle_stretch(p, D, 0.01, 0.1), f"re / pow(cos(atan({SQL_D} * 0.01 / 0.1)), 3)")
-simple("resolution_map", lambda p: p.withColumn("re", P.resolution(D, 0.01, 0.1, 0.5)), f"2 * sin(atan({SQL_D} * 0.01 / 0.1) / 2) / 0.5")
+simple("solid_angle_stretch", lambda p: P.solid_angle_stretch(p, D(), 0.01, 0.1), f"re / pow(cos(atan({SQL_D} * 0.01 / 0.1)), 3)")
+simple("resolution_map", lambda p: p.withColumn("re", P.resolution(D(), 0.01, 0.1, 0.5)), f"2 * sin(atan({SQL_D} * 0.01 / 0.1) / 2) / 0.5")
 simple("reciprocal_planar", lambda p: P.reciprocal_planar(p, 8, 8, 0.01, 0.1, 0.5).withColumns({"re": F.col("kx"), "im": F.col("ky")}), "(x - 3.5) * (0.01 / (0.1 * 0.5))", sql_im="(y - 3.5) * (0.01 / (0.1 * 0.5))")
 simple("reciprocal_ewald", lambda p: P.reciprocal_ewald(p, 8, 8, 0.01, 0.1, 0.5).withColumns({"re": F.col("kx"), "im": F.col("kz")}),
        "(x - 3.5) * 0.01 / sqrt(pow((x - 3.5) * 0.01, 2) + pow((y - 3.5) * 0.01, 2) + 0.01) / 0.5", sql_im="(0.1 / sqrt(pow((x - 3.5) * 0.01, 2) + pow((y - 3.5) * 0.01, 2) + 0.01) - 1) / 0.5")
@@ -73,7 +76,7 @@ simple("fresnel_phase", lambda p: P.fresnel_phase(p, 2.0, 0.5, F.col("x") - 3.5,
 simple("mask_overexposed", lambda p: P.mask_overexposed(p, 100.0), "CASE WHEN re >= 100 THEN 0 ELSE re END", sql_mask="CASE WHEN re >= 100 THEN 0 ELSE 1 END")
 simple("mask_saturated", lambda p: P.mask_overexposed(p, 100.0, clear=False), "re", sql_mask="CASE WHEN abs(re) > 100 THEN 0 ELSE 1 END")
 simple("invert_mask", lambda p: P.invert_mask(P.mask_overexposed(p, 100.0, clear=False)), "re", sql_mask="CASE WHEN abs(re) > 100 THEN 1 ELSE 0 END")
-simple("beamstop_cross", lambda p: P.beamstop(p, D, 2.0, 1.0, 8, 8), f"CASE WHEN {SQL_D} < 2 OR abs(x - 3.5) < 1 OR abs(y - 3.5) < 1 THEN 0 ELSE re END", sql_mask=f"CASE WHEN {SQL_D} < 2 OR abs(x - 3.5) < 1 OR abs(y - 3.5) < 1 THEN 0 ELSE 1 END")
+simple("beamstop_cross", lambda p: P.beamstop(p, D(), 2.0, 1.0, 8, 8), f"CASE WHEN {SQL_D} < 2 OR abs(x - 3.5) < 1 OR abs(y - 3.5) < 1 THEN 0 ELSE re END", sql_mask=f"CASE WHEN {SQL_D} < 2 OR abs(x - 3.5) < 1 OR abs(y - 3.5) < 1 THEN 0 ELSE 1 END")
 simple("mask_at_maximum", P.mask_at_maximum, "re", sql_mask="CASE WHEN a >= m THEN 0 ELSE 1 END", source=f"(SELECT *, abs(re) AS a, max(abs(re)) {W} AS m FROM px)")
 simple("mask_lines", lambda p: P.draw_mask(P.draw_mask(p, F.col("x") == 2), (F.abs(F.col("x") - 5) <= 1) & (F.abs(F.col("y") - 5) <= 1)), "re", sql_mask="CASE WHEN x = 2 OR (abs(x - 5) <= 1 AND abs(y - 5) <= 1) THEN 0 ELSE 1 END")
 simple("crop_rectangle", lambda p: P.crop(p, 2, 1, 5, 6), "re", source="(SELECT image_id, x - 2 AS x, y - 1 AS y, re FROM px WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 6)")
@@ -136,7 +139,7 @@ ZIP = "z AS (SELECT a.image_id, a.i, a.x, a.y, a.re AS a, b.re AS b FROM px a JO
 
 @query("radial_profile", f"WITH {PX} SELECT image_id, {BIN}::BIGINT AS shell, {sql6('avg(abs(re))')} AS mean, {sql6('stddev_samp(abs(re)) / nullif(avg(abs(re)), 0)')} AS rel_sigma, count(*) AS n FROM px GROUP BY image_id, {BIN}")
 def radial_profile(spark, sf_dir):
-    return G.radial_profile(pixels(spark, sf_dir), D, 4, MOST).select("image_id", F.col("shell").cast("long").alias("shell"), r6(F.col("mean")).alias("mean"), r6(F.col("rel_sigma")).alias("rel_sigma"), "n")
+    return G.radial_profile(pixels(spark, sf_dir), D(), 4, MOST).select("image_id", F.col("shell").cast("long").alias("shell"), r6(F.col("mean")).alias("mean"), r6(F.col("rel_sigma")).alias("rel_sigma"), "n")
 
 
 @query("image_integrals", f"WITH {PX} SELECT image_id, {sql6('sum(re)')} AS sum_re, {sql6('sum(im)')} AS sum_im, {sql6('sum(abs(re))')} AS sum_abs, {sql6('avg(abs(re))')} AS mean_abs, {sql6('stddev_pop(abs(re))')} AS sigma_abs FROM px GROUP BY image_id")
@@ -162,7 +165,7 @@ def total_r_factor(spark, sf_dir):
 
 @query("shell_r_factor", f"WITH {PX}, {ZIP} SELECT image_id, {BIN}::BIGINT AS shell, {sql6('sum(abs(abs(a) - abs(b))) / nullif(sum(abs(a) + abs(b)), 0)')} AS r FROM z GROUP BY image_id, {BIN}")
 def shell_r_factor(spark, sf_dir):
-    return G.r_factor(_next(pixels(spark, sf_dir)), "image_id", G.shell(D, 4, MOST).cast("long").alias("shell")).select("image_id", "shell", r6(F.col("r")).alias("r"))
+    return G.r_factor(_next(pixels(spark, sf_dir)), "image_id", G.shell(D(), 4, MOST).cast("long").alias("shell")).select("image_id", "shell", r6(F.col("r")).alias("r"))
 
 
 @query("regression_scale", f"WITH {PX}, {ZIP}, f AS (SELECT image_id, regr_slope(b, a) AS slope, regr_intercept(b, a) AS inter FROM z GROUP BY image_id) SELECT image_id, i::BIGINT AS i, round(CASE WHEN abs(b) < inter THEN 0 ELSE (b - inter) / nullif(slope, 0) END, 3) + 0.0 AS scaled FROM z JOIN f USING (image_id)")
@@ -224,7 +227,7 @@ def direct_dft(spark, sf_dir):
 
 @query("spherical_transform", f"WITH {PX}, f AS (SELECT image_id, {BIN}::INT AS r, avg(abs(re)) AS f FROM px GROUP BY image_id, {BIN}) SELECT image_id, k::BIGINT AS k, round(CASE WHEN k = 0 THEN 0 ELSE sum(2 * r * f * sin({2 * math.pi!r} * r * (k / 80.0::DOUBLE))) / (k / 80.0::DOUBLE) END, 4) + 0.0 AS value FROM f, (SELECT unnest(range(80)) AS k) GROUP BY image_id, k".replace("CASE WHEN k = 0 THEN 0 ELSE sum", "CASE WHEN k = 0 THEN 0 ELSE sum").replace(") / (k / 80.0::DOUBLE) END", ") / nullif(k / 80.0::DOUBLE, 0) END"))
 def spherical_transform(spark, sf_dir):
-    prof = G.radial_profile(pixels(spark, sf_dir), D, 4, MOST).select("image_id", F.col("shell").alias("r"), F.col("mean").alias("f"))
+    prof = G.radial_profile(pixels(spark, sf_dir), D(), 4, MOST).select("image_id", F.col("shell").alias("r"), F.col("mean").alias("f"))
     return FT.spherical_transform(prof, 4).select("image_id", F.col("k").cast("long").alias("k"), (F.round("value", 4) + 0.0).alias("value"))
 
 
@@ -278,4 +281,4 @@ def rotate_bilinear(spark, sf_dir):
 
 @query("interpolate_empty")
 def interpolate_empty(spark, sf_dir):
-    return N.interpolate_empty(P.draw_mask(pixels(spark, sf_dir), D < 1.5), 8, 8, 3).select("image_id", "i", r6(F.col("re")).alias("re"))
+    return N.interpolate_empty(P.draw_mask(pixels(spark, sf_dir), D() < 1.5), 8, 8, 3).select("image_id", "i", r6(F.col("re")).alias("re"))

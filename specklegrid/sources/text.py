@@ -25,14 +25,14 @@ def parse_legends(lines: DataFrame) -> DataFrame:
 
 def read_matrices(spark, path: str) -> DataFrame:
     """Whitespace-separated matrices, one file each, as a pixel table: line and place give y and x; mask is 1."""
-    t = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("name"), F.posexplode(F.split(F.trim("value"), r"\n")).alias("y", "line"))
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.posexplode(F.split(F.trim("value"), r"\n")).alias("y", "line"))
     p = t.select("name", "y", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("x", "v"))
     return p.select("name", "x", "y", F.lit(0).alias("z"), F.col("v").try_cast("double").alias("re"), F.lit(0.0).alias("im"), F.lit(1).alias("mask"))
 
 
 def read_geometry(spark, path: str) -> DataFrame:
     """Positioned images, from `key: value` lines; each Identifier begins a block. A file is one small text."""
-    t = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\n")).alias("n", "line"))
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\n")).alias("n", "line"))
     kv = t.select("file", "n", F.lower(F.regexp_extract("line", r"^\s*([A-Za-z]+)\s*[:=]", 1)).alias("k"), F.trim(F.regexp_extract("line", r"[:=]\s*(.*)$", 1)).alias("v"))
     block = F.sum(F.when(F.col("k") == "identifier", 1).otherwise(0)).over(Window.partitionBy("file").orderBy("n"))
     rows = kv.withColumn("block", block).where("block > 0").groupBy("file", "block").agg(*[F.max(F.when(F.col("k") == c, F.col("v"))).alias(c) for c in ("identifier", "dx", "dy", "dz", "theta")])
