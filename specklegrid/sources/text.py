@@ -26,7 +26,7 @@ def parse_legends(lines: DataFrame) -> DataFrame:
 def read_matrices(spark, path: str) -> DataFrame:
     """Whitespace-separated matrices, one file each, as a pixel table: line and place give y and x; mask is 1."""
     t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.posexplode(F.split(F.trim("value"), r"\n")).alias("y", "line"))
-    p = t.select("name", "y", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("x", "v"))
+    p = t.select("name", "y", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("x", "v")).where("v <> ''")
     return p.select("name", "x", "y", F.lit(0).alias("z"), F.col("v").try_cast("double").alias("re"), F.lit(0.0).alias("im"), F.lit(1).alias("mask"))
 
 
