@@ -60,8 +60,8 @@ def _peeled(cells: str, size: str) -> str:
     found = "cast(array() as array<struct<x: bigint, n: int>>)"
     pure = "array_distinct(transform(filter(s.cells, e -> (e.n = 1 or e.n = -1) and e.c = xxhash64(e.x, 77)), e -> named_struct('x', e.x, 'n', e.n)))"
     out = _spread("transform(p, q -> named_struct('x', q.x, 'n', -q.n))", size)
-    step = f"transform(array({pure}), p -> if(size(p) = 0, s, named_struct('cells', {_folded(f'concat(s.cells, {out})')}, 'found', concat(s.found, p))))[0]"
-    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', {found}), (s, r) -> if(size(s.cells) = 0, s, {step}))"
+    step = f"transform(array({pure}), p -> if(size(p) = 0, named_struct('cells', s.cells, 'found', s.found, 'go', false), named_struct('cells', {_folded(f'concat(s.cells, {out})')}, 'found', concat(s.found, p), 'go', true)))[0]"
+    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', {found}, 'go', true), (s, r) -> if(size(s.cells) = 0 or not s.go, s, {step}))"
 
 
 def differences(a: str, b: str, cells_a: str, cells_b: str) -> Column:
