@@ -36,18 +36,18 @@ def digests(text: Column) -> Column:
 
 def _spread(items: str, size: str) -> str:
     """Cells of an array of (x, n): three for each."""
-    cell = lambda j: f"named_struct('cell', {j}L * {size} + (shiftrightunsigned(i.x, {20 * j}) & ({size} - 1L)), 'n', i.n, 'x', i.x, 'c', xxhash64(i.x, 77))"
-    return f"flatten(transform({items}, i -> array({cell(0)}, {cell(1)}, {cell(2)})))"
+    cell = lambda j: f"named_struct('cell', {j}L * {size} + (shiftrightunsigned(i.x, {20 * j}) & ({size} - 1L)), 'n', i.n, 'x', i.x, 'c', c)"
+    return f"flatten(transform({items}, i -> transform(array(xxhash64(i.x, 77)), c -> array({cell(0)}, {cell(1)}, {cell(2)}))[0]))"
 
 
 def _folded(cells: str) -> str:
-    """One entry for each cell that isn't empty, by cell."""
-    entry = "named_struct('cell', a.k, 'n', a.n, 'x', a.x, 'c', a.c)"
-    out = f"if(a.n = 0 and a.x = 0L and a.c = 0L, a.out, concat(a.out, array({entry})))"
-    return (
-        f"aggregate(sort_array({cells}), named_struct('k', -1L, 'n', 0, 'x', 0L, 'c', 0L, 'out', {_EMPTY}), "
-        f"(a, e) -> if(e.cell = a.k, named_struct('k', a.k, 'n', a.n + e.n, 'x', a.x ^ e.x, 'c', a.c ^ e.c, 'out', a.out), named_struct('k', e.cell, 'n', e.n, 'x', e.x, 'c', e.c, 'out', {out})), a -> {out})"
-    )
+    """One entry for each cell that isn't empty, by cell; the runs of equal cells are cut by their starts, so the work is linear after the sort."""
+    run = "slice(s, b, coalesce(get(starts, k + 1), size(s) + 1) - b)"
+    added = f"aggregate({run}, named_struct('cell', s[b - 1].cell, 'n', 0, 'x', 0L, 'c', 0L), (a, e) -> named_struct('cell', a.cell, 'n', a.n + e.n, 'x', a.x ^ e.x, 'c', a.c ^ e.c))"
+    one = f"if(coalesce(get(starts, k + 1), size(s) + 1) = b + 1, s[b - 1], {added})"
+    starts = "filter(sequence(1, size(s)), i -> i = 1 or s[i - 1].cell <> s[i - 2].cell)"
+    folded = f"filter(transform(starts, (b, k) -> {one}), e -> e.n <> 0 or e.x <> 0L or e.c <> 0L)"
+    return f"transform(array(sort_array({cells})), s -> if(size(s) = 0, {_EMPTY}, transform(array({starts}), starts -> {folded})[0]))[0]"
 
 
 def table(ds: str, size: int | str, sign: int = 1) -> str:
