@@ -4,7 +4,7 @@ A text's paragraphs (lines, and sentences within them) are hashed to distinct 64
 one cell in each of three subtables: its count, the XOR of digests and the XOR of their checks. The cells of the least
 size are the fingerprint. Two versions' cells subtract; peeling then takes out digests that stand alone in a cell,
 again and again, and what it takes out is how the versions differ. Where cells are left over, it is retried with
-tables eight times as large, and beyond the largest the digests are compared themselves. Likeness is the shared part
+tables sixty-four times as large, and beyond the largest the digests are compared themselves. Likeness is the shared part
 of all digests of both. All of it is DataFrame functions on one row: no digest ever leaves its document's row.
 
 The next document is found without a global sort: rows go to bins of doc_id (quantiles, then equal steps), a window
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .exchange import text_bytes
 
-SIZES = (8, 64, 512, 4096, 32768)
+SIZES = (8, 512, 32768)  # cells are kept sparse: a wide table costs no more than a narrow one and peels in fewer rounds
 ROUNDS, KNOTS, BIN_BYTES = 24, 32, 4 << 20
 _CELLS = "array<struct<cell: bigint, n: int, x: bigint, c: bigint>>"
 _EMPTY = f"cast(array() as {_CELLS})"
@@ -58,7 +58,9 @@ def table(ds: str, size: int | str, sign: int = 1) -> str:
 def _peeled(cells: str, size: str) -> str:
     """(cells left, found (x, n)) after peeling."""
     found = "cast(array() as array<struct<x: bigint, n: int>>)"
-    pure = "array_distinct(transform(filter(s.cells, e -> (e.n = 1 or e.n = -1) and e.c = xxhash64(e.x, 77)), e -> named_struct('x', e.x, 'n', e.n)))"
+    # distinct numbers are found by hashing, distinct structs would be compared pair by pair
+    side = lambda n: f"transform(array_distinct(transform(filter(s.cells, e -> e.n = {n} and e.c = xxhash64(e.x, 77)), e -> e.x)), x -> named_struct('x', x, 'n', {n}))"
+    pure = f"concat({side(1)}, {side(-1)})"
     out = _spread("transform(p, q -> named_struct('x', q.x, 'n', -q.n))", size)
     step = f"transform(array({pure}), p -> if(size(p) = 0, named_struct('cells', s.cells, 'found', s.found, 'go', false), named_struct('cells', {_folded(f'concat(s.cells, {out})')}, 'found', concat(s.found, p), 'go', true)))[0]"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', {found}, 'go', true), (s, r) -> if(size(s.cells) = 0 or not s.go, s, {step}))"
