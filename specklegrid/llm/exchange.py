@@ -59,6 +59,14 @@ class Blocks:
             F.pmod(F.xxhash64("doc_id"), F.lit(self.count)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
         ).repartition(self.count, "block")
 
+    @classmethod
+    def of(cls, rows: DataFrame, key: str, count: int) -> Blocks:
+        """Any rows, dealt into count blocks by a hash of key; answers come back to the block they were asked from."""
+        self = cls.__new__(cls)
+        self.count = count
+        self.docs = rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(count)).cast("int")).repartition(count, "block")
+        return self
+
     def ask(self, emit: Callable[[int, pa.Table, list[bytes], int], list[tuple[int, bytes]]], answers: DataFrame | None = None) -> DataFrame:
         """What emit(block, rows, answers, buckets) sends: (bucket, blob)s."""
         buckets = self.count

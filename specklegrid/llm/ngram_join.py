@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .exchange import BLOCK_BYTES, LEAST_BLOCKS, text_bytes, written
+from .exchange import BLOCK_BYTES, LEAST_BLOCKS, Blocks, text_bytes, written
 from .kernels import U64, WORD_BASE, Words, bucketed, equal_runs, mix, pieces, prefix, span, unblob, utf8
 
 _K = U64(0x9E3779B97F4A7C15)
@@ -242,48 +242,61 @@ def _tokens(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return written(some.mapInArrow(read, "set long, tokens array<long>, parity array<long>").join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"]), "tokens")
 
 
-OFTEN_BITS = 22
-
-
-def _often(tokens: DataFrame) -> np.ndarray:
-    """How often shingles occur, by 2**OFTEN_BITS values of their hash: a table of fixed size (8 MB), whatever the input. It only orders shingles; any order is right, a good one is fast."""
-    parts, size = 16, (1 << OFTEN_BITS) // 16
-
-    def count(batches):
-        total = np.zeros(1 << OFTEN_BITS, np.uint32)
-        for batch in batches:
-            h = batch.column(0).flatten().to_numpy().view(U64) >> U64(64 - OFTEN_BITS)
-            total += np.bincount(h.astype(np.int64), minlength=1 << OFTEN_BITS).astype(np.uint32)
-        yield pa.record_batch([pa.array(range(parts), pa.int32()), pa.array([total[k * size : (k + 1) * size].tobytes() for k in range(parts)], pa.binary())], ["part", "data"])
-
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in rows["data"].to_pylist())
-        return pa.table({"part": rows["part"][:1], "data": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
-
-    # no more than 256 counts meet in one group
-    rows = tokens.select("tokens").coalesce(256).mapInArrow(count, "part int, data binary").groupBy("part").applyInArrow(add, "part int, data binary").collect()
-    return np.concatenate([np.frombuffer(r["data"], np.uint16) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(1 << OFTEN_BITS, np.uint16)
-
-
-def _heads(sets: DataFrame, often: np.ndarray, num: int, den: int) -> DataFrame:
-    """t, set, n, c, i: the shingles of each set's prefix in the order of how often they occur, and their places; those that occur once only can't meet and go."""
-    table = sets.sparkSession.sparkContext.broadcast(often)
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                t = part.column(3).flatten().to_numpy()
-                n = part.column(1).to_numpy()
-                row = np.repeat(np.arange(len(n)), n)
-                f = table.value[(t.view(U64) >> U64(64 - OFTEN_BITS)).astype(np.int64)]
-                by = np.lexsort((t, f, row))
-                place = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
-                use = (place < (n - (num * n + den - 1) // den + 1)[row]) & (f[by] > 1)
-                r = pa.array(row[use])
-                yield pa.record_batch([pa.array(t[by][use]), part.column(0).take(r), part.column(1).take(r), part.column(2).take(r), pa.array(place[use].astype(np.int32))], ["t", "set", "n", "c", "i"])
-
-    return sets.select("set", "n", "c", "tokens").mapInArrow(run, "t long, set long, n long, c long, i int")
+def _level(f: np.ndarray) -> np.ndarray:
+    """How often a shingle occurs as one byte: 0 for once only, then eight steps for each doubling."""
+    return np.minimum(np.floor(8 * np.log2(f)), 255).astype(np.uint8)
+
+
+def _heads(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """t, set, n, c, i: the shingles of each set's prefix in the order of how often they occur in all sets, and their places; those that occur once only can't meet and go.
+
+    Blocks of sets send each distinct shingle with its count to a bucket, and buckets answer with levels of the
+    totals, one byte each, in the order of the question; so counts are whole at any size and nothing is broadcast.
+    """
+    weight = int(sets.agg(F.sum(F.size("tokens"))).first()[0] or 0) * 8
+    blocks = Blocks.of(sets.select("set", "n", "c", "tokens"), "set", max(LEAST_BLOCKS, -(-weight // BLOCK_BYTES)))
+    buckets = blocks.count
+
+    def asked(rows: pa.Table):
+        """All shingles of a block, its distinct ones by bucket and value, how often each occurs here, and where each bucket's begin."""
+        t = np.concatenate([np.zeros(0, U64), *[c.flatten().to_numpy().view(U64) for c in rows["tokens"].chunks]])
+        one, inverse, count = np.unique(t, return_inverse=True, return_counts=True)
+        to = (one % U64(buckets)).astype(np.int64)
+        by = np.argsort(to, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        return t, one[by], place[inverse], count[by], np.searchsorted(to[by], np.arange(buckets + 1))
+
+    def emit(block, rows, got, buckets):
+        _, one, _, count, cut = asked(rows)
+        small = np.minimum(count, 2**32 - 1).astype(np.uint32)
+        return [(b, np.uint32(b).tobytes() + one[x:y].tobytes() + small[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
+
+    def decide(from_blocks, blobs):
+        sizes = [(len(x) - 4) // 12 for x in blobs]
+        t = np.concatenate([np.frombuffer(x, U64, k, 4) for x, k in zip(blobs, sizes, strict=True)])
+        f = np.concatenate([np.frombuffer(x, np.uint32, k, 4 + 8 * k) for x, k in zip(blobs, sizes, strict=True)])
+        _, inverse = np.unique(t, return_inverse=True)
+        level = _level(np.bincount(inverse, f))[inverse].tobytes()
+        ends = np.cumsum(sizes)
+        return [(to, x[:4] + level[e - k : e]) for to, x, k, e in zip(from_blocks, blobs, sizes, ends.tolist(), strict=True)]
+
+    def finish(block, rows, got):
+        t, one, place, _, cut = asked(rows)
+        level = np.zeros(len(one), np.uint8)
+        for x in got:
+            b = int(np.frombuffer(x, np.uint32, 1)[0])
+            level[cut[b] : cut[b + 1]] = np.frombuffer(x, np.uint8, -1, 4)
+        f = level[place]
+        n = rows["n"].to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        by = np.lexsort((t, f, row))
+        at = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
+        use = (at < (n - (num * n + den - 1) // den + 1)[row]) & (f[by] > 0)
+        r = pa.array(row[use])
+        return pa.table({"t": t[by][use].view(np.int64), "set": rows["set"].take(r), "n": rows["n"].take(r), "c": rows["c"].take(r), "i": at[use].astype(np.int32)})
+
+    return blocks.finish(finish, blocks.judge(blocks.ask(emit), decide), "t long, set long, n long, c long, i int")
 
 
 def _linked(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
@@ -313,7 +326,7 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
     placed = members.join(found, F.col("rep") == F.col("node"), "left").select("set", "n", F.coalesce("component", "rep").alias("c"))
     apart = shared.join(placed, "set").groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
     rest = written(placed.join(shared.join(apart, "sig", "left_semi").select("set").distinct(), "set", "left_semi"), "apart")
-    found_heads = written(_heads(tokens.join(rest, "set"), _often(tokens), num, den), "heads")
+    found_heads = written(_heads(tokens.join(rest, "set"), num, den), "heads")
     twice = found_heads.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
     heads = written(found_heads.join(twice, "t", "left_semi").join(tokens.select("set", "parity"), "set"), "heads")
     other = heads.select("t", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("i").alias("ib"), F.col("parity").alias("pb"))
