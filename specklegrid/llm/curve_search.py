@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by largest inner product, over shifted space-filling curves.
 
 Each of `curves` orderings projects the vectors by a random rotation and shift of its own and sorts them along a
-Hilbert curve. The table is range-partitioned by (curve, key, hash of vec_id) in Spark, so frequent equal vectors spread over
-partitions too. In a partition the queries of each run of `block` rows meet the rows of that run and `reach` rows on
-either side; the best of each ordering are merged and ranked by their exact inner products. For vectors of unequal
-length, candidates get one more coordinate that makes all lengths equal, and queries are stretched to that length, so
-nearness on the curve follows the inner product. Work and memory are a constant times rows, whatever the groups.
+Hilbert curve, cut into blocks of about `block` rows (quantiles of a sample; a hash of vec_id parts rows of one key).
+A row goes to its block of each curve, a query to its own and `reach` blocks on either side, across all edges, and meets
+every row there; the best of each block are merged and ranked by their exact inner products. reach is measured on
+the table itself: SAMPLE queries are answered exactly in one scan, and reach is the least that holds the share `target` of
+their neighbours. So it grows with the rows where recall would fall. For vectors of unequal length, candidates get one
+more coordinate that makes all lengths equal, and queries are stretched to that length, so nearness on the curve follows
+the inner product.
 
 Cases: vectors that are null, empty or zero, that hold null or non-finite components, or whose length isn't the
 table's most common one take no part, nor do rows without vec_id; rows of equal vec_id are all candidates and the best
@@ -16,12 +18,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import U64, mix
 
-CURVES, DIMS, BITS, BLOCK, REACH, PART_ROWS = 32, 8, 6, 1024, 512, 16384
+CURVES, DIMS, BITS, BLOCK, PART_ROWS = 32, 8, 6, 1024, 16384
+SAMPLE, TARGET, MOST_BLOCKS = 128, 0.96, 4096
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -65,74 +69,181 @@ def keys_of(v: np.ndarray, scale: float, projection: np.ndarray, shift: np.ndarr
     return hilbert(np.clip(cells, 0, (1 << BITS) - 1), BITS)
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, block: int = BLOCK, reach: int = REACH) -> DataFrame:
+class Curves:
+    """Where vectors stand on each curve, and how each is cut into blocks."""
+
+    def __init__(self, dims: int, curves: int, most: float):
+        self.frames, self.most, self.scale, self.edges = frames(dims + 1, curves), most, most / np.sqrt(dims + 1), np.zeros((curves, 0), np.int64)
+
+    def positions(self, v: np.ndarray, ids: np.ndarray, ask: bool) -> np.ndarray:
+        """Key and 15 bits of hash, a row for each curve; a query stands at its own place, which for vectors of equal length is the row's."""
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        x = np.hstack([v * (self.most / size), np.zeros_like(size)] if ask else [v, np.sqrt(np.maximum(self.most**2 - size**2, 0))])
+        tie = mix(ids.view(U64)) & U64(0x7FFF)
+        return np.stack([(keys_of(x, self.scale, p, s) << U64(15) | tie).view(np.int64) for p, s in zip(*self.frames, strict=True)])
+
+    def cut(self, v: np.ndarray, ids: np.ndarray, blocks: int) -> None:
+        """Edges of about equal blocks, from a sample of rows."""
+        at = np.sort(self.positions(v, ids, False), axis=1)
+        self.edges = at[:, np.arange(1, blocks) * at.shape[1] // blocks]
+
+    def blocks(self, v: np.ndarray, ids: np.ndarray, ask: bool) -> np.ndarray:
+        return np.stack([np.searchsorted(e, p, "right") for e, p in zip(self.edges, self.positions(v, ids, ask), strict=True)])
+
+
+def groups(batches, *names: str):
+    """Tables of the rows that are equal in the columns `names`, which follow each other."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch[n].to_numpy() for n in names], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(keys[a].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def ranked(at: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the k best of each `at`, by falling score, then by id."""
+    order = np.lexsort((ids, -score, at))
+    at = at[order]
+    return order[np.arange(len(at)) - np.searchsorted(at, at) < k]
+
+
+def best_of(s: np.ndarray, m: int) -> np.ndarray:
+    """Columns of the m largest of each row."""
+    return np.argpartition(-s, m - 1, axis=1)[:, :m] if m < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+
+
+def matrix(column, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, dims)
+
+
+def reach_of(rows: DataFrame, places: Curves, dims: int, k: int, target: float) -> int:
+    """Blocks to either side within which a sample of queries meets, on some curve, the share `target` of its k true neighbours."""
+    asked = rows.where("q").orderBy(F.xxhash64(F.lit("reach"), "vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "v").collect()
+    if not asked:
+        return 1
+    qid, q = np.array([r["vec_id"] for r in asked]), np.array([r["v"] for r in asked]).reshape(-1, dims)
+    home = places.blocks(q, qid, True)
+
+    def nearest(batches):
+        at, ids, score, v = np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, dims))
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                i, x = part.column(0).to_numpy(), matrix(part.column(1), dims)
+                s = q @ x.T
+                s[qid[:, None] == i[None]] = -np.inf
+                top = best_of(s, min(k, len(i)))
+                at, ids, v = np.r_[at, np.repeat(np.arange(len(q)), top.shape[1])], np.r_[ids, i[top.ravel()]], np.r_[v, x[top.ravel()]]
+                score = np.r_[score, np.take_along_axis(s, top, 1).ravel()]
+                keep = ranked(at, ids, score, k)
+                keep = keep[np.isfinite(score[keep])]
+                at, ids, score, v = at[keep], ids[keep], score[keep], v[keep]
+        if len(at):
+            far = np.abs(places.blocks(v, ids, False) - home[:, at]).min(0)
+            yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(ids), pa.array(score), pa.array(far.astype(np.int32))], ["at", "id", "score", "far"])
+
+    rank = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("score"), "id"))
+    found = rows.select("vec_id", "v").mapInArrow(nearest, "at int, id long, score double, far int").withColumn("rank", rank).where(F.col("rank") <= k)
+    count = {r["far"]: r["count"] for r in found.groupBy("far").count().collect()}
+    need, met = target * sum(count.values()), 0
+    for far in sorted(count):
+        met += count[far]
+        if met >= need:
+            return max(1, far)
+    return 1
+
+
+def packed(query: np.ndarray, ends: np.ndarray, ids: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    """One row a query, with its ids and scores as bytes; ends are where each query's begin and, last, their number."""
+    cut = lambda x: pa.Array.from_buffers(pa.binary(), len(query), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+    return pa.record_batch([pa.array(query), cut(ids), cut(score)], ["query_id", "ids", "scores"])
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, block: int = BLOCK, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score of the k best found for each row of vectors(vec_id, embedding) where the Column is_query holds, among all others."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
-    rows = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
+    rows = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)).withColumn("q", F.coalesce("q", F.lit(False)))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("m")).orderBy(F.desc("n"), "d").first()
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("m"), F.sum(F.col("q").cast("long")).alias("asked")).orderBy(F.desc("n"), "d").first()
     if not sizes:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    dims, n, most = sizes["d"], sizes["n"], sizes["m"]
-    scale = most / np.sqrt(dims + 1)
+    dims, n = sizes["d"], sizes["n"]
+    rows = rows.where(F.size("v") == dims)
     kind = np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+    places = Curves(dims, curves, sizes["m"])
+    count = -(-n // max(block, -(-n // MOST_BLOCKS)))
+    if count > 1:
+        draw = F.pmod(F.xxhash64(F.lit("edges"), "vec_id"), F.lit(1 << 30)) < int(min(1.0, 16 * count / n) * (1 << 30))
+        some = rows.where(draw).select("vec_id", "v").collect() or rows.limit(1).select("vec_id", "v").collect()
+        places.cut(np.array([r["v"] for r in some]).reshape(-1, dims), np.array([r["vec_id"] for r in some]), count)
+    reach = reach_of(rows, places, dims, k, target) if count > 2 else 1
 
     def place(batches):
-        p, s = frames(dims + 1, curves)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                ids = part.column(0).to_numpy()
-                v = part.column(1).flatten().to_numpy().reshape(-1, dims)
-                q = part.column(2).to_numpy(zero_copy_only=False)
-                size = np.linalg.norm(v, axis=1, keepdims=True)
-                as_row = np.hstack([v, np.sqrt(np.maximum(most**2 - size**2, 0))])
-                as_query = np.hstack([v * (most / size), np.zeros_like(size)])[q]
+                ids, v, q = part.column(0).to_numpy(), matrix(part.column(1), dims), part.column(2).to_numpy(zero_copy_only=False)
                 raw = pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())
-                tie = (mix(ids.view(U64)) >> U64(1)).view(np.int64)
+                row, ask = places.blocks(v, ids, False), places.blocks(v[q], ids[q], True)
+                wide = np.arange(-reach, reach + 1)
                 for c in range(curves):
-                    # a query stands at its own place, which for vectors of equal length is the row's
-                    key = np.r_[keys_of(as_row, scale, p[c], s[c]), keys_of(as_query, scale, p[c], s[c])].view(np.int64)
-                    both = np.r_[np.arange(len(ids)), np.flatnonzero(q)]
-                    ask = np.r_[np.zeros(len(ids), bool), np.ones(q.sum(), bool)]
-                    yield pa.record_batch([pa.array(np.full(len(both), c, np.int32)), pa.array(key), pa.array(tie[both]), pa.array(ids[both]), pa.array(ask), raw.take(pa.array(both))], ["curve", "key", "tie", "vec_id", "ask", "v"])
+                    to = (ask[c][:, None] + wide).ravel()
+                    who = np.repeat(np.flatnonzero(q), len(wide))
+                    use = (to >= 0) & (to < count)
+                    to, who = np.r_[row[c], to[use]], np.r_[np.arange(len(ids)), who[use]]
+                    asks = np.arange(len(to)) >= len(ids)
+                    for b in range(0, len(to), 8192):
+                        w = who[b : b + 8192]
+                        yield pa.record_batch([pa.array(np.full(len(w), c, np.int32)), pa.array(to[b : b + 8192].astype(np.int32)), pa.array(ids[w]), pa.array(asks[b : b + 8192]), raw.take(pa.array(w))], ["curve", "block", "vec_id", "ask", "v"])
 
     def meet(batches):
-        parts = list(batches)
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts).combine_chunks()
-        curve, ids, ask = (t[x].to_numpy() for x in ("curve", "vec_id", "ask"))
-        v = np.frombuffer(b"".join(t["v"].to_pylist()), kind).reshape(-1, dims).astype(np.float64)
-        out = []
-        for c in np.unique(curve):
-            of = np.flatnonzero(curve == c)
-            for a in range(0, len(of), block):
-                qs = of[a : a + block]
-                qs = qs[ask[qs]]
-                cand = of[max(a - reach, 0) : a + block + reach]
-                cand = cand[~ask[cand]]
-                if not len(qs) or not len(cand):
-                    continue
+        for t in groups(batches, "curve", "block"):
+            ids, ask = t["vec_id"].to_numpy(), t["ask"].to_numpy()
+            v = np.frombuffer(b"".join(t["v"].to_pylist()), kind).reshape(-1, dims).astype(np.float64)
+            asked, cand = np.flatnonzero(ask), np.flatnonzero(~ask)
+            if not len(cand):
+                continue
+            step = max(1, (1 << 21) // len(cand))
+            for a in range(0, len(asked), step):
+                qs = asked[a : a + step]
                 s = v[qs] @ v[cand].T
                 s[ids[qs][:, None] == ids[cand][None]] = -np.inf
-                m = min(k + 4, len(cand))
-                top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                qi = np.repeat(np.arange(len(qs)), m)
+                top = best_of(s, min(k + 4, len(cand)))
+                qi = np.repeat(np.arange(len(qs)), top.shape[1])
                 ci = top.ravel()
                 use = np.isfinite(s[qi, ci])
-                qi, ci = qs[qi[use]], cand[ci[use]]
-                out.append((ids[qi], ids[ci], np.einsum("ij,ij->i", v[qi], v[ci])))
-        if out:
-            q, i, s = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.record_batch([pa.array(q), pa.array(i), pa.array(s)], ["query_id", "vec_id", "score"])
-
-    placed = rows.where(F.size("v") == dims).mapInArrow(place, "curve int, key long, tie long, vec_id long, ask boolean, v binary")
-    parts = max(1, -(-n * curves // PART_ROWS))
-    found = placed.repartitionByRange(parts, "curve", "key", "tie").sortWithinPartitions("curve", "key", "tie").mapInArrow(meet, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                qi, ci = qi[use], cand[ci[use]]
+                score = np.einsum("ij,ij->i", v[qs[qi]], v[ci])
+                ends = np.searchsorted(qi, np.arange(len(qs) + 1))
+                yield packed(ids[qs], ends, ids[ci], score)
+
+    def merge(batches):
+        t = pa.Table.from_batches(list(batches), pa.schema([("query_id", pa.int64()), ("ids", pa.binary()), ("scores", pa.binary())]))
+        ids, score = (np.frombuffer(b"".join(t[c].to_pylist()), x) for c, x in (("ids", np.int64), ("scores", np.float64)))
+        q = np.repeat(t["query_id"].to_numpy(), pc.binary_length(t["ids"]).to_numpy() // 8)
+        order = np.lexsort((-score, ids, q))
+        q, ids, score = q[order], ids[order], score[order]
+        first = np.r_[True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])] if len(q) else np.zeros(0, bool)
+        q, ids, score = q[first], ids[first], score[first]
+        keep = ranked(q, ids, score, k)
+        q, ids, score = q[keep], ids[keep], score[keep]
+        yield pa.record_batch([pa.array(q), pa.array((np.arange(len(q)) - np.searchsorted(q, q) + 1).astype(np.int32)), pa.array(ids), pa.array(score)], ["query_id", "rank", "vec_id", "score"])
+
+    sent = curves * (n + sizes["asked"] * min(count, 2 * reach + 1))
+    placed = rows.mapInArrow(place, "curve int, block int, vec_id long, ask boolean, v binary").repartition(max(1, -(-sent // PART_ROWS)), "curve", "block")
+    found = placed.sortWithinPartitions("curve", "block").mapInArrow(meet, "query_id long, ids binary, scores binary")
+    parts = max(1, -(-sizes["asked"] * curves * min(count, 2 * reach + 1) // PART_ROWS))
+    return found.repartition(parts, "query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
 
 
 def op7_curve_search(spark, sf_dir: str) -> DataFrame:

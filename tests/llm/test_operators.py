@@ -203,6 +203,29 @@ def test_curve_search(spark):
     assert hit / 900 >= 0.9 and {r.query_id for r in got} == set(range(0, 900, 20))
 
 
+def _true_best(v, q, k=20):
+    s = v @ v[q]
+    s[q] = -np.inf
+    return set(np.lexsort((np.arange(len(v)), -s))[:k].tolist())
+
+
+def _found(spark, v, step, **how):
+    from pyspark.sql import functions as F
+
+    out = {}
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    for r in curve_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % step == 0, **how).collect():
+        out.setdefault(r.query_id, set()).add(r.vec_id)
+    return out
+
+
+def test_curve_search_reaches_as_far_as_the_table_needs(spark):
+    """Few curves over many blocks: windows of a constant number of rows would miss a third of the neighbours."""
+    v = np.random.default_rng(6).normal(size=(6000, 24))
+    got = _found(spark, v, 100, curves=4, block=64)
+    assert sum(len(_true_best(v, q) & got[q]) for q in range(0, 6000, 100)) / (60 * 20) >= 0.9
+
+
 def test_hilbert_is_a_curve():
     g = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     k = curve_search.hilbert(g, 3)
