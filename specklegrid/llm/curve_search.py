@@ -11,7 +11,8 @@ the inner product.
 
 Cases: vectors that are null, empty or zero, that hold null or non-finite components, or whose length isn't the
 table's most common one take no part, nor do rows without vec_id; rows of equal vec_id are all candidates and the best
-counts; ties go to the smaller vec_id; with fewer candidates than k all are returned; an empty table gives no rows.
+counts; equal vectors stand on the curves as one row that carries its k + 1 smallest vec_ids, so ties go to the smaller
+vec_id however many copies there are; with fewer candidates than k all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import exchange
 from .kernels import U64, mix
 
 CURVES, DIMS, BITS, BLOCK, PART_ROWS = 32, 8, 6, 1024, 16384
-SAMPLE, TARGET, MOST_BLOCKS = 128, 0.96, 4096
+SAMPLE, TARGET, MOST_BLOCKS, SALTS = 128, 0.96, 4096, 64
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -117,9 +119,36 @@ def ranked(at: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.nda
     return order[np.arange(len(at)) - np.searchsorted(at, at) < k]
 
 
-def best_of(s: np.ndarray, m: int) -> np.ndarray:
-    """Columns of the m largest of each row."""
-    return np.argpartition(-s, m - 1, axis=1)[:, :m] if m < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+def best_of(s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the m largest of each row, and of all that equal the m-th but for rounding."""
+    if m < s.shape[1]:
+        least = -np.partition(-s, m - 1, axis=1)[:, m - 1]
+        return np.nonzero(s >= (least - 1e-9 * np.abs(least))[:, None])
+    return np.nonzero(s > -np.inf)
+
+
+def chosen(at: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best ids of each `at`; an id counts once, with its best score."""
+    order = np.lexsort((-score, ids, at))
+    at, ids, score = at[order], ids[order], score[order]
+    first = np.r_[True, (at[1:] != at[:-1]) | (ids[1:] != ids[:-1])][: len(at)]
+    at, ids, score = at[first], ids[first], score[first]
+    keep = ranked(at, ids, score, k)
+    return at[keep], ids[keep], score[keep]
+
+
+def spread(of: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the rows `at` of a binary column, and the number of each row's."""
+    n = pc.binary_length(of).to_numpy()
+    every, begin, many = np.frombuffer(b"".join(of.to_pylist()), np.int64), np.cumsum(n) // 8 - n // 8, n[at] // 8
+    return every[np.repeat(begin[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())], many
+
+
+def collapsed(rows: DataFrame, k: int) -> DataFrame:
+    """One row for each distinct v: least vec_id, v, whether any row asks, and the k + 1 smallest vec_ids as bytes. Frequent vectors are first joined within SALTS shares."""
+    least = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
+    part = rows.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt")).agg(least(F.collect_set("vec_id")).alias("ids"), F.max("q").alias("q"))
+    return part.groupBy("v").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"), F.max("q").alias("q")).select(F.col("ids")[0].alias("vec_id"), "v", "q", "ids")
 
 
 def matrix(column, dims: int) -> np.ndarray:
@@ -142,9 +171,8 @@ def reach_of(rows: DataFrame, places: Curves, dims: int, k: int, target: float)
                 i, x = part.column(0).to_numpy(), matrix(part.column(1), dims)
                 s = q @ x.T
                 s[qid[:, None] == i[None]] = -np.inf
-                top = best_of(s, min(k, len(i)))
-                at, ids, v = np.r_[at, np.repeat(np.arange(len(q)), top.shape[1])], np.r_[ids, i[top.ravel()]], np.r_[v, x[top.ravel()]]
-                score = np.r_[score, np.take_along_axis(s, top, 1).ravel()]
+                qi, ci = best_of(s, min(k, len(i)))
+                at, ids, v, score = np.r_[at, qi], np.r_[ids, i[ci]], np.r_[v, x[ci]], np.r_[score, s[qi, ci]]
                 keep = ranked(at, ids, score, k)
                 keep = keep[np.isfinite(score[keep])]
                 at, ids, score, v = at[keep], ids[keep], score[keep], v[keep]
@@ -163,22 +191,24 @@ def reach_of(rows: DataFrame, places: Curves, dims: int, k: int, target: float)
     return 1
 
 
-def packed(query: np.ndarray, ends: np.ndarray, ids: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+def packed(query: list[bytes], ends: np.ndarray, ids: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
     """One row a query, with its ids and scores as bytes; ends are where each query's begin and, last, their number."""
     cut = lambda x: pa.Array.from_buffers(pa.binary(), len(query), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
-    return pa.record_batch([pa.array(query), cut(ids), cut(score)], ["query_id", "ids", "scores"])
+    return pa.record_batch([pa.array(query, pa.binary()), cut(ids), cut(score)], ["query", "ids", "scores"])
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, block: int = BLOCK, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score of the k best found for each row of vectors(vec_id, embedding) where the Column is_query holds, among all others."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     rows = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)).withColumn("q", F.coalesce("q", F.lit(False)))
+    if not rows.take(1):
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
+    everyone = rows.where(F.size("v") == common).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    rows = exchange.written(collapsed(everyone, k), "vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("m"), F.sum(F.col("q").cast("long")).alias("asked")).orderBy(F.desc("n"), "d").first()
-    if not sizes:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     dims, n = sizes["d"], sizes["n"]
-    rows = rows.where(F.size("v") == dims)
     kind = np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
     places = Curves(dims, curves, sizes["m"])
     count = -(-n // max(block, -(-n // MOST_BLOCKS)))
@@ -193,6 +223,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, bloc
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 ids, v, q = part.column(0).to_numpy(), matrix(part.column(1), dims), part.column(2).to_numpy(zero_copy_only=False)
+                same = pa.array([np.array(x, np.int64).tobytes() for x in part.column(3).to_pylist()], pa.binary())
                 raw = pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())
                 row, ask = places.blocks(v, ids, False), places.blocks(v[q], ids[q], True)
                 wide = np.arange(-reach, reach + 1)
@@ -204,46 +235,64 @@ def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, bloc
                     asks = np.arange(len(to)) >= len(ids)
                     for b in range(0, len(to), 8192):
                         w = who[b : b + 8192]
-                        yield pa.record_batch([pa.array(np.full(len(w), c, np.int32)), pa.array(to[b : b + 8192].astype(np.int32)), pa.array(ids[w]), pa.array(asks[b : b + 8192]), raw.take(pa.array(w))], ["curve", "block", "vec_id", "ask", "v"])
+                        yield pa.record_batch([pa.array(np.full(len(w), c, np.int32)), pa.array(to[b : b + 8192].astype(np.int32)), same.take(pa.array(w)), pa.array(asks[b : b + 8192]), raw.take(pa.array(w))], ["curve", "block", "ids", "ask", "v"])
 
     def meet(batches):
         for t in groups(batches, "curve", "block"):
-            ids, ask = t["vec_id"].to_numpy(), t["ask"].to_numpy()
-            v = np.frombuffer(b"".join(t["v"].to_pylist()), kind).reshape(-1, dims).astype(np.float64)
+            ask = t["ask"].to_numpy()
+            raw = t["v"].to_pylist()
+            v = np.frombuffer(b"".join(raw), kind).reshape(-1, dims).astype(np.float64)
             asked, cand = np.flatnonzero(ask), np.flatnonzero(~ask)
             if not len(cand):
                 continue
+            held = t["ids"].combine_chunks().take(pa.array(cand))
             step = max(1, (1 << 21) // len(cand))
             for a in range(0, len(asked), step):
                 qs = asked[a : a + step]
-                s = v[qs] @ v[cand].T
-                s[ids[qs][:, None] == ids[cand][None]] = -np.inf
-                top = best_of(s, min(k + 4, len(cand)))
-                qi = np.repeat(np.arange(len(qs)), top.shape[1])
-                ci = top.ravel()
-                use = np.isfinite(s[qi, ci])
-                qi, ci = qi[use], cand[ci[use]]
-                score = np.einsum("ij,ij->i", v[qs[qi]], v[ci])
-                ends = np.searchsorted(qi, np.arange(len(qs) + 1))
-                yield packed(ids[qs], ends, ids[ci], score)
+                s, m = v[qs] @ v[cand].T, k + 1
+                while True:  # further groups as long as ids that stand in several leave too few
+                    qi, ci = best_of(s, min(m, len(cand)))
+                    score = np.einsum("ij,ij->i", v[qs[qi]], v[cand[ci]])
+                    ids, many = spread(held, ci)
+                    at, ids, score = chosen(np.repeat(qi, many), ids, np.repeat(score, many), k + 1)
+                    if m >= len(cand) or len(at) == len(qs) * (k + 1):
+                        break
+                    m *= 2
+                yield packed([raw[i] for i in qs], np.searchsorted(at, np.arange(len(qs) + 1)), ids, score)
 
     def merge(batches):
-        t = pa.Table.from_batches(list(batches), pa.schema([("query_id", pa.int64()), ("ids", pa.binary()), ("scores", pa.binary())]))
+        t = pa.Table.from_batches(list(batches), pa.schema([("query", pa.binary()), ("ids", pa.binary()), ("scores", pa.binary())]))
         ids, score = (np.frombuffer(b"".join(t[c].to_pylist()), x) for c, x in (("ids", np.int64), ("scores", np.float64)))
-        q = np.repeat(t["query_id"].to_numpy(), pc.binary_length(t["ids"]).to_numpy() // 8)
-        order = np.lexsort((-score, ids, q))
-        q, ids, score = q[order], ids[order], score[order]
-        first = np.r_[True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])] if len(q) else np.zeros(0, bool)
-        q, ids, score = q[first], ids[first], score[first]
-        keep = ranked(q, ids, score, k)
-        q, ids, score = q[keep], ids[keep], score[keep]
-        yield pa.record_batch([pa.array(q), pa.array((np.arange(len(q)) - np.searchsorted(q, q) + 1).astype(np.int32)), pa.array(ids), pa.array(score)], ["query_id", "rank", "vec_id", "score"])
+        query = t["query"].combine_chunks().dictionary_encode() if t.num_rows else pa.array([], pa.binary()).dictionary_encode()
+        at = np.repeat(query.indices.to_numpy(), pc.binary_length(t["ids"]).to_numpy() // 8)
+        at, ids, score = chosen(at, ids, score, k + 1)
+        yield packed(query.dictionary.to_pylist(), np.searchsorted(at, np.arange(len(query.dictionary) + 1)), ids, score)
 
     sent = curves * (n + sizes["asked"] * min(count, 2 * reach + 1))
-    placed = rows.mapInArrow(place, "curve int, block int, vec_id long, ask boolean, v binary").repartition(max(1, -(-sent // PART_ROWS)), "curve", "block")
-    found = placed.sortWithinPartitions("curve", "block").mapInArrow(meet, "query_id long, ids binary, scores binary")
+    placed = rows.mapInArrow(place, "curve int, block int, ids binary, ask boolean, v binary").repartition(max(1, -(-sent // PART_ROWS)), "curve", "block")
+    shape = "query binary, ids binary, scores binary"
+    found = placed.sortWithinPartitions("curve", "block").mapInArrow(meet, shape)
     parts = max(1, -(-sizes["asked"] * curves * min(count, 2 * reach + 1) // PART_ROWS))
-    return found.repartition(parts, "query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+    best = found.repartition(parts, "query").mapInArrow(merge, shape)
+
+    def raws(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in matrix(batch.column(1), dims).astype(kind)], pa.binary())], ["query_id", "query"])
+
+    # every asking row gets its vector's answer, without itself
+    asking = everyone.where("q").select("vec_id", "v").mapInArrow(raws, "query_id long, query binary").distinct()
+
+    def apart(batches):
+        for batch in batches:
+            n = pc.binary_length(batch["ids"]).to_numpy() // 8
+            ids, score = (np.frombuffer(b"".join(batch[c].to_pylist()), x) for c, x in (("ids", np.int64), ("scores", np.float64)))
+            q = np.repeat(batch["query_id"].to_numpy(), n)
+            other = q != ids
+            yield pa.record_batch([pa.array(q[other]), pa.array(ids[other]), pa.array(score[other])], ["query_id", "vec_id", "score"])
+
+    pairs = asking.join(best, "query").select("query_id", "ids", "scores").mapInArrow(apart, "query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_curve_search(spark, sf_dir: str) -> DataFrame:

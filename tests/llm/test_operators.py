@@ -226,6 +226,23 @@ def test_curve_search_reaches_as_far_as_the_table_needs(spark):
     assert sum(len(_true_best(v, q) & got[q]) for q in range(0, 6000, 100)) / (60 * 20) >= 0.9
 
 
+def test_curve_search_copies_and_ties(spark):
+    """Thousands of copies: the smallest vec_ids are the neighbours, and what stands behind the copies is found too."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(5000, 12))
+    v[rng.permutation(5000)[:3500]] = v[0]
+    got = _found(spark, v, 50)
+    copies = [q for q in range(0, 5000, 50) if (v[q] == v[0]).all()]
+    others = sorted(set(range(0, 5000, 50)) - set(copies))
+    assert len(copies) > 40 and all(got[q] == _true_best(v, q) for q in copies)
+    assert sum(len(_true_best(v, q) & got[q]) for q in others) / (len(others) * 20) >= 0.9
+    tied = np.zeros((300, 8))
+    tied[:, 0], tied[np.arange(300), 1 + np.arange(300) % 7] = 1, np.arange(300)
+    tied[::20, 1:] = 0  # these see all rows at the same score
+    got = _found(spark, tied, 20)
+    assert all(got[q] == _true_best(tied, q) for q in range(0, 300, 20))
+
+
 def test_hilbert_is_a_curve():
     g = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     k = curve_search.hilbert(g, 3)
