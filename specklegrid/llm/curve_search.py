@@ -5,9 +5,10 @@ Hilbert curve, cut into blocks of about `block` rows (quantiles of a sample; a h
 A row goes to its block of each curve, a query to its own and `reach` blocks on either side, across all edges, and meets
 every row there; the best of each block are merged and ranked by their exact inner products. reach is measured on
 the table itself: SAMPLE queries are answered exactly in one scan, and reach is the least that holds the share `target` of
-their neighbours. So it grows with the rows where recall would fall. For vectors of unequal length, candidates get one
-more coordinate that makes all lengths equal, and queries are stretched to that length, so nearness on the curve follows
-the inner product.
+their neighbours. So it grows with the rows where recall would fall. Rows are banded by length, in powers of two below
+the longest. A band has curves, blocks and a reach of its own, and every query is searched in every band; in bands of
+three blocks at most it meets all rows. Within a band, candidates get one more coordinate that makes all lengths equal,
+and queries are stretched to that length, so nearness on the curve follows the inner product.
 
 Cases: vectors that are null, empty or zero, that hold null or non-finite components, or whose length isn't the
 table's most common one take no part, nor do rows without vec_id; rows of equal vec_id are all candidates and the best
@@ -27,7 +28,7 @@ from . import exchange
 from .kernels import U64, mix
 
 CURVES, DIMS, BITS, BLOCK, PART_ROWS = 32, 8, 6, 1024, 16384
-SAMPLE, TARGET, MOST_BLOCKS, SALTS = 128, 0.96, 4096, 64
+SAMPLE, TARGET, MOST_BLOCKS, SALTS, SHARE_ROWS = 128, 0.96, 4096, 64, 8192
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -71,18 +72,34 @@ def keys_of(v: np.ndarray, scale: float, projection: np.ndarray, shift: np.ndarr
     return hilbert(np.clip(cells, 0, (1 << BITS) - 1), BITS)
 
 
+def lengths(v: np.ndarray) -> np.ndarray:
+    """Lengths of the rows of v, as a column; squares neither overflow nor vanish."""
+    top = np.abs(v).max(1, keepdims=True)
+    return top * np.linalg.norm(v / top, axis=1, keepdims=True)
+
+
 class Curves:
-    """Where vectors stand on each curve, and how each is cut into blocks."""
+    """Where the vectors of one band of lengths stand on each curve, how each is cut into `count` blocks, and how far a query reaches."""
 
-    def __init__(self, dims: int, curves: int, most: float):
-        self.frames, self.most, self.scale, self.edges = frames(dims + 1, curves), most, most / np.sqrt(dims + 1), np.zeros((curves, 0), np.int64)
+    def __init__(self, dims: int, curves: int, n: int, most: float, block: int):
+        self.count = -(-n // max(block, -(-n // MOST_BLOCKS)))
+        self.exact = self.count <= 3  # then every query meets every row, on one curve
+        self.curves, self.reach, self.shares = 1 if self.exact else curves, self.count - 1 if self.exact else 1, 1
+        self.n, self.most, self.frames, self.edges = n, most, frames(dims + 1, self.curves), np.zeros((self.curves, 0), np.int64)
 
     def positions(self, v: np.ndarray, ids: np.ndarray, ask: bool) -> np.ndarray:
         """Key and 15 bits of hash, a row for each curve; a query stands at its own place, which for vectors of equal length is the row's."""
-        size = np.linalg.norm(v, axis=1, keepdims=True)
-        x = np.hstack([v * (self.most / size), np.zeros_like(size)] if ask else [v, np.sqrt(np.maximum(self.most**2 - size**2, 0))])
+        size = lengths(v) if len(v) else np.ones((0, 1))
+        u = v / (size if ask else self.most)
+        x = np.hstack([u, np.zeros_like(size) if ask else np.sqrt(np.maximum(1 - (size / self.most) ** 2, 0))])
         tie = mix(ids.view(U64)) & U64(0x7FFF)
-        return np.stack([(keys_of(x, self.scale, p, s) << U64(15) | tie).view(np.int64) for p, s in zip(*self.frames, strict=True)])
+        return np.stack([(keys_of(x, x.shape[1] ** -0.5, p, s) << U64(15) | tie).view(np.int64) for p, s in zip(*self.frames, strict=True)])
+
+    def share(self, asked: int) -> int:
+        """Deals the queries of a block into shares, so that a band of few rows doesn't gather all; returns the rows that go to blocks."""
+        wide = min(self.count, 2 * self.reach + 1)
+        self.shares = max(1, -(-asked * wide // (self.count * SHARE_ROWS)))
+        return self.curves * (self.n * self.shares + asked * wide)
 
     def cut(self, v: np.ndarray, ids: np.ndarray, blocks: int) -> None:
         """Edges of about equal blocks, from a sample of rows."""
@@ -155,16 +172,16 @@ def matrix(column, dims: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, dims)
 
 
-def reach_of(rows: DataFrame, places: Curves, dims: int, k: int, target: float) -> int:
-    """Blocks to either side within which a sample of queries meets, on some curve, the share `target` of its k true neighbours."""
+def reach_of(rows: DataFrame, places: dict[int, Curves], dims: int, k: int, target: float) -> dict[int, int]:
+    """For each band, blocks to either side within which a sample of queries meets, on some curve, the share `target` of those of its k true neighbours that are in the band."""
     asked = rows.where("q").orderBy(F.xxhash64(F.lit("reach"), "vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "v").collect()
     if not asked:
-        return 1
+        return {}
     qid, q = np.array([r["vec_id"] for r in asked]), np.array([r["v"] for r in asked]).reshape(-1, dims)
-    home = places.blocks(q, qid, True)
+    home = {b: p.blocks(q, qid, True) for b, p in places.items() if not p.exact}
 
     def nearest(batches):
-        at, ids, score, v = np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, dims))
+        at, ids, score, v, band = np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, dims)), np.zeros(0, int)
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
@@ -172,23 +189,26 @@ def reach_of(rows: DataFrame, places: Curves, dims: int, k: int, target: float)
                 s = q @ x.T
                 s[qid[:, None] == i[None]] = -np.inf
                 qi, ci = best_of(s, min(k, len(i)))
-                at, ids, v, score = np.r_[at, qi], np.r_[ids, i[ci]], np.r_[v, x[ci]], np.r_[score, s[qi, ci]]
+                at, ids, v, score, band = np.r_[at, qi], np.r_[ids, i[ci]], np.r_[v, x[ci]], np.r_[score, s[qi, ci]], np.r_[band, part.column(2).to_numpy()[ci]]
                 keep = ranked(at, ids, score, k)
                 keep = keep[np.isfinite(score[keep])]
-                at, ids, score, v = at[keep], ids[keep], score[keep], v[keep]
+                at, ids, score, v, band = at[keep], ids[keep], score[keep], v[keep], band[keep]
         if len(at):
-            far = np.abs(places.blocks(v, ids, False) - home[:, at]).min(0)
-            yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(ids), pa.array(score), pa.array(far.astype(np.int32))], ["at", "id", "score", "far"])
+            far = np.zeros(len(at), np.int32)
+            for b in home:
+                of = band == b
+                far[of] = np.abs(places[b].blocks(v[of], ids[of], False) - home[b][:, at[of]]).min(0) if of.any() else 0
+            yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(ids), pa.array(score), pa.array(band.astype(np.int32)), pa.array(far)], ["at", "id", "score", "band", "far"])
 
     rank = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("score"), "id"))
-    found = rows.select("vec_id", "v").mapInArrow(nearest, "at int, id long, score double, far int").withColumn("rank", rank).where(F.col("rank") <= k)
-    count = {r["far"]: r["count"] for r in found.groupBy("far").count().collect()}
-    need, met = target * sum(count.values()), 0
-    for far in sorted(count):
-        met += count[far]
-        if met >= need:
-            return max(1, far)
-    return 1
+    found = rows.select("vec_id", "v", "band").mapInArrow(nearest, "at int, id long, score double, band int, far int").withColumn("rank", rank).where(F.col("rank") <= k)
+    count = [(r["band"], r["far"], r["count"]) for r in found.groupBy("band", "far").count().orderBy("band", "far").collect()]
+    reach = {}
+    for b in home:
+        far, many = np.array([(f, n) for x, f, n in count if x == b], int).reshape(-1, 2).T
+        if len(far):
+            reach[b] = max(1, int(far[np.searchsorted(np.cumsum(many), target * many.sum())]))
+    return reach
 
 
 def packed(query: list[bytes], ends: np.ndarray, ids: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
@@ -205,18 +225,29 @@ def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, bloc
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
     everyone = rows.where(F.size("v") == common).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    rows = exchange.written(collapsed(everyone, k), "vectors")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("m"), F.sum(F.col("q").cast("long")).alias("asked")).orderBy(F.desc("n"), "d").first()
-    dims, n = sizes["d"], sizes["n"]
+    top = F.array_max(F.transform("v", F.abs))
+    norm = top * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("top")) * (x / F.col("top"))))
+    rows = collapsed(everyone, k).withColumn("top", top).withColumn("size", norm.cast("double")).drop("top")
+    rows = exchange.written(rows, "vectors")
+    most = rows.agg(F.max("size")).first()[0]
+    # lengths in a band differ by a factor of two at most; equal ones but for rounding are in the first
+    rows = rows.withColumn("band", F.floor(F.log2(F.lit(most)) - F.log2("size") + F.lit(1e-5)).cast("int"))
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.max("size").alias("m"), F.sum(F.col("q").cast("long")).alias("asked")).collect()
+    dims, asked = common, sum(r["asked"] for r in sizes)
     kind = np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
-    places = Curves(dims, curves, sizes["m"])
-    count = -(-n // max(block, -(-n // MOST_BLOCKS)))
-    if count > 1:
-        draw = F.pmod(F.xxhash64(F.lit("edges"), "vec_id"), F.lit(1 << 30)) < int(min(1.0, 16 * count / n) * (1 << 30))
-        some = rows.where(draw).select("vec_id", "v").collect() or rows.limit(1).select("vec_id", "v").collect()
-        places.cut(np.array([r["v"] for r in some]).reshape(-1, dims), np.array([r["vec_id"] for r in some]), count)
-    reach = reach_of(rows, places, dims, k, target) if count > 2 else 1
+    places = {r["band"]: Curves(dims, curves, r["n"], r["m"], block) for r in sizes}
+    cut = {b: p for b, p in places.items() if p.count > 1}
+    if cut:
+        draw = F.pmod(F.xxhash64(F.lit("edges"), "vec_id"), F.lit(1 << 30))
+        least = F.coalesce(*[F.when(F.col("band") == b, F.lit(int(min(1.0, 16 * p.count / p.n) * (1 << 30)))) for b, p in sorted(cut.items())])
+        some = rows.where(draw < least).select("band", "vec_id", "v").collect()
+        for b, p in cut.items():
+            of = [r for r in some if r["band"] == b] or rows.where(F.col("band") == b).limit(1).collect()
+            p.cut(np.array([r["v"] for r in of]).reshape(-1, dims), np.array([r["vec_id"] for r in of]), p.count)
+    if not all(p.exact for p in places.values()):
+        for b, r in reach_of(rows, places, dims, k, target).items():
+            places[b].reach = r
+    sent = sum(p.share(asked) for p in places.values())
 
     def place(batches):
         for batch in batches:
@@ -225,20 +256,28 @@ def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, bloc
                 ids, v, q = part.column(0).to_numpy(), matrix(part.column(1), dims), part.column(2).to_numpy(zero_copy_only=False)
                 same = pa.array([np.array(x, np.int64).tobytes() for x in part.column(3).to_pylist()], pa.binary())
                 raw = pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())
-                row, ask = places.blocks(v, ids, False), places.blocks(v[q], ids[q], True)
-                wide = np.arange(-reach, reach + 1)
-                for c in range(curves):
-                    to = (ask[c][:, None] + wide).ravel()
-                    who = np.repeat(np.flatnonzero(q), len(wide))
-                    use = (to >= 0) & (to < count)
-                    to, who = np.r_[row[c], to[use]], np.r_[np.arange(len(ids)), who[use]]
-                    asks = np.arange(len(to)) >= len(ids)
-                    for b in range(0, len(to), 8192):
-                        w = who[b : b + 8192]
-                        yield pa.record_batch([pa.array(np.full(len(w), c, np.int32)), pa.array(to[b : b + 8192].astype(np.int32)), same.take(pa.array(w)), pa.array(asks[b : b + 8192]), raw.take(pa.array(w))], ["curve", "block", "ids", "ask", "v"])
+                lie, own = part.column(4).to_numpy(), np.flatnonzero(q)
+                for band, p in places.items():
+                    mine = np.flatnonzero(lie == band)
+                    if not len(mine) and not len(own):
+                        continue
+                    row, ask = p.blocks(v[mine], ids[mine], False), p.blocks(v[own], ids[own], True)
+                    wide = np.arange(-p.reach, p.reach + 1)
+                    share = (mix(ids[own].view(U64)) % U64(p.shares)).astype(np.int64)
+                    for c in range(p.curves):
+                        to = (ask[c][:, None] + wide).ravel()
+                        use = (to >= 0) & (to < p.count)
+                        here = (row[c][:, None] * p.shares + np.arange(p.shares)).ravel()
+                        to = np.r_[here, (to * p.shares + np.repeat(share, len(wide)))[use]]
+                        who = np.r_[np.repeat(mine, p.shares), np.repeat(own, len(wide))[use]]
+                        asks = np.arange(len(to)) >= len(here)
+                        for b in range(0, len(to), 8192):
+                            w = pa.array(who[b : b + 8192])
+                            at_block = [pa.array(np.full(len(w), x, np.int32)) for x in (band, c)] + [pa.array(to[b : b + 8192].astype(np.int32))]
+                            yield pa.record_batch([*at_block, same.take(w), pa.array(asks[b : b + 8192]), raw.take(w)], ["band", "curve", "block", "ids", "ask", "v"])
 
     def meet(batches):
-        for t in groups(batches, "curve", "block"):
+        for t in groups(batches, "band", "curve", "block"):
             ask = t["ask"].to_numpy()
             raw = t["v"].to_pylist()
             v = np.frombuffer(b"".join(raw), kind).reshape(-1, dims).astype(np.float64)
@@ -268,11 +307,11 @@ def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, bloc
         at, ids, score = chosen(at, ids, score, k + 1)
         yield packed(query.dictionary.to_pylist(), np.searchsorted(at, np.arange(len(query.dictionary) + 1)), ids, score)
 
-    sent = curves * (n + sizes["asked"] * min(count, 2 * reach + 1))
-    placed = rows.mapInArrow(place, "curve int, block int, ids binary, ask boolean, v binary").repartition(max(1, -(-sent // PART_ROWS)), "curve", "block")
+    keys = ("band", "curve", "block")
+    placed = rows.select("vec_id", "v", "q", "ids", "band").mapInArrow(place, "band int, curve int, block int, ids binary, ask boolean, v binary").repartition(max(1, -(-sent // PART_ROWS)), *keys)
     shape = "query binary, ids binary, scores binary"
-    found = placed.sortWithinPartitions("curve", "block").mapInArrow(meet, shape)
-    parts = max(1, -(-sizes["asked"] * curves * min(count, 2 * reach + 1) // PART_ROWS))
+    found = placed.sortWithinPartitions(*keys).mapInArrow(meet, shape)
+    parts = max(1, -(-sum(asked * p.curves * min(p.count, 2 * p.reach + 1) for p in places.values()) // PART_ROWS))
     best = found.repartition(parts, "query").mapInArrow(merge, shape)
 
     def raws(batches):

@@ -243,6 +243,18 @@ def test_curve_search_copies_and_ties(spark):
     assert all(got[q] == _true_best(tied, q) for q in range(0, 300, 20))
 
 
+@pytest.mark.parametrize("lengths", ["one long", "six orders"])
+def test_curve_search_unequal_lengths(spark, lengths):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(6000, 24))
+    if lengths == "one long":
+        v[7] *= 100
+    else:
+        v *= 10 ** rng.uniform(-3, 3, (6000, 1))
+    got = _found(spark, v, 100, curves=16, block=64)
+    assert sum(len(_true_best(v, q) & got[q]) for q in range(0, 6000, 100)) / (60 * 20) >= 0.9
+
+
 def test_hilbert_is_a_curve():
     g = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     k = curve_search.hilbert(g, 3)
