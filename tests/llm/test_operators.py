@@ -160,6 +160,25 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_stage_rejects_junk(spark):
+    import corpus_pipeline as C
+
+    rng = np.random.default_rng(1)
+    stems = {"en": "the of and thing wh", "de": "der und sch keit ein", "fr": "les eau que ment oi", "es": "los que cion ado ez"}
+    say = lambda g: " ".join("".join(rng.choice(stems[g].split(), 2)) for _ in range(30))
+    rows = [(i, say(g), g) for i in range(800) for g in [list(stems)[i % 4]]]
+    junk = ["".join(chr(c) for c in rng.integers(0x430, 0x450, 200)) for _ in range(20)] + ["xkq zzv jj0x " * 20, "0x7f; q[j] = k >> 3; " * 10, "漢字仮名" * 30]
+    rows += [(2000 + i, t, None) for i, t in enumerate(junk)] + [(3000, "12 !?", "en")]
+    docs = spark.createDataFrame([(i, t, g, "a", len(t)) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id: r.lang for r in C.identify_language(spark, docs, "").collect()}
+    assert not [i for i in left if i >= 2000]
+    assert sum(left.get(i) == g for i, _, g in rows[:800]) >= 0.98 * 800
+    from pyspark.sql import functions as F
+
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in C.identify_language(spark, bare, "").collect()} == {i for i, _, _ in rows} - {3000}
+
+
 def test_sentence_pieces(docs, texts):
     c = sentence_pieces.codec(sentence_pieces.MODEL)
     for r in sentence_pieces.encode(docs, carry=("block", "rest")).collect():
