@@ -10,7 +10,7 @@ at any size. The text is shuffled once: all steps read the same exchange.
 
 from __future__ import annotations
 
-import gc
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -28,26 +28,49 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 
 
 def shared(spark, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; where that is unset (tests), one is set in the local temp folder."""
+    """A new path in the shared folder of spark.checkpoint.dir. Where that is unset, a session of one machine (tests) gets a folder of its own; a cluster must set it."""
     import tempfile
     import uuid
 
     sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         top = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATH = "_written_path"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: lineage ends there, and lost executors cost nothing."""
-    path = shared(df.sparkSession, name)
-    df.write.parquet(path)
-    # Spark drops the shuffle files of finished steps when the driver's unused objects are collected
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written as Parquet in the shared folder and read again: lineage ends there, and lost executors cost nothing. The step's shuffle files go when it ends."""
+    spark, path = df.sparkSession, shared(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _PATH, path)
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes what written() wrote for tables that nothing reads any more."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(getattr(t, _PATH))
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def block_of(count: int):
+    """The block of a row of documents; rows of one doc_id, or of none, spread over the blocks by their texts."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int").alias("block")
 
 
 class Blocks:
@@ -56,7 +79,7 @@ class Blocks:
     def __init__(self, docs: DataFrame, block_bytes: int = BLOCK_BYTES):
         self.count = max(LEAST_BLOCKS, -(-text_bytes(docs) // block_bytes))
         self.docs = docs.select(
-            F.pmod(F.xxhash64("doc_id"), F.lit(self.count)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+            block_of(self.count), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
         ).repartition(self.count, "block")
 
     @classmethod
