@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
-#: Odd bases of the polynomial hashes; each has an inverse modulo 2**64.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,44 +23,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Every byte value gets a 64-bit number of its own before it enters a polynomial.
+#: Every byte value gets a 64-bit number of its own before it is joined with others.
 BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * U64(0x9FB21C651E98DF25))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+LONG_WORD, SEEDS = 256, (U64(0x9FB21C651E98DF25), U64(0x5851F42D4C957F2D))
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**0..n and its inverses modulo 2**64, grown by doubling and kept for later calls."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) <= n:
-        size = 1 << max(12, int(n + 1).bit_length())
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.empty(size, U64)
-            p[0], k = 1, 1
-            while k < size:
-                p[k : 2 * k] = p[:k] * U64(pow(b, k, 1 << 64))
-                k *= 2
-            out.append(p)
-        have = _POWERS[base] = (out[0], out[1])
-    return have
 
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The identifier of what a stands for, followed by what b stands for; not linear, so repeated patterns don't cancel."""
+    x = b * U64(0x9E3779B97F4A7C15) + U64(0x2545F4914F6CDD1D)
+    x ^= x >> U64(32)
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(29)
+    x += a
+    x *= U64(0xFF51AFD7ED558CCD)
+    x ^= x >> U64(32)
+    x *= U64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> U64(31)
+    return x
 
-def prefix(values: np.ndarray, base: int) -> np.ndarray:
-    """Prefix sums of values[i] * base**i; span() reads the hash of any run from them."""
-    p = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * powers(base, len(values))[0][: len(values)], out=p[1:])
-    return p
 
+def windows(ids: np.ndarray, width: int) -> np.ndarray:
+    """Identifiers of the `width` items from each place; the last width - 1 places, which have fewer, get 0.
 
-def span(p: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """The mixed hash of values[start:end]; equal runs have equal hashes wherever they start."""
-    h = (p[end] - p[start]) * powers(base, len(p))[1][start]
-    return mix(h + (end - start).astype(U64) * U64(0x2545F4914F6CDD1D))
+    An identifier of 2 h items is that of h items joined with the identifier found h items later, and so on; the two
+    last ones may overlap.
+    """
+    n, h, level = len(ids), 1, ids
+    out = np.zeros(n, U64)
+    if n < width:
+        return out
+    while 2 * h <= width:
+        level = join(level[:-h], level[h:])
+        h *= 2
+    out[: n - width + 1] = join(level[: n - width + 1], level[width - h :][: n - width + 1]) if h < width else level
+    return out
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +86,7 @@ def pieces(batch: pa.RecordBatch | pa.Table, text: str, limit: int = 2 << 20) ->
 
 
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of each text of a column: byte starts and ends, text number and hash of each."""
+    """Words `[^\\x20\\x09-\\x0D]+` of each text of a column: byte starts and ends of each."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
         self.data, self.offsets = data, offsets
@@ -99,24 +99,46 @@ class Words:
         start = np.flatnonzero((change | edge) & inside[1:])
         end = np.flatnonzero((change | edge) & inside[:-1])
         self.start, self.end = start, end
-        p = prefix(BYTE_CODE[LOWER[data] if lower else data], BYTE_BASE)
-        self.hash = span(p, start, end, BYTE_BASE)
+        letters = data[inside[1:-1]]
+        self.letters = LOWER[letters] if lower else letters
+        self.ends = np.r_[0, np.cumsum(end - start)].astype(np.int64)
         #: the first word of each text; one more at the end
         self.first = np.searchsorted(start, offsets)
 
+    @cached_property
+    def coded(self) -> tuple[np.ndarray, int]:
+        """A number for each word, equal for equal words only, and how many words there are."""
+        words = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(self.ends), pa.py_buffer(self.letters)]).dictionary_encode()
+        return words.indices.to_numpy(), len(words.dictionary)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        """Two independent 64-bit hashes of each word, by row: of its length and its letters, eight at a time."""
+        begin, size = self.ends[:-1], np.diff(self.ends)
+        padded = np.r_[self.letters, np.zeros(8, np.uint8)]
+        eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+        out = np.stack([mix(size.astype(U64) + s) for s in SEEDS])
+        use, at = np.flatnonzero(size <= LONG_WORD), 0
+        while len(use):
+            rest = size[use] - at
+            part = eight[begin[use] + at] & np.where(rest >= 8, U64(2**64 - 1), (U64(1) << (U64(8) * np.minimum(rest, 7).astype(U64))) - U64(1))
+            for i, s in enumerate(SEEDS):
+                out[i, use] = join(out[i, use], part ^ s)
+            use, at = use[rest > 8], at + 8
+        for i in np.flatnonzero(size > LONG_WORD):
+            word = self.letters[begin[i] : begin[i] + size[i]].tobytes()
+            out[:, i] = np.frombuffer(xxhash.xxh3_128_digest(word, 20), U64)
+        return out
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
 
-def runs(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every word: the hash of the `width` words from it, and whether they stay in one text (the hash means nothing otherwise)."""
-    n = len(words.hash)
-    p = prefix(words.hash, WORD_BASE)
-    start = np.arange(n)
-    end = np.minimum(start + width, n)
-    last = np.repeat(words.first[1:], words.counts)
-    return span(p, start, end, WORD_BASE), start + width <= last
+def runs(words: Words, width: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For every word: the hash of the `width` words from it, and whether they stay in one text (the hash means nothing otherwise). Each lane has hashes independent of the other's."""
+    start = np.arange(len(words.start))
+    return windows(words.hashes[lane], width), start + width <= np.repeat(words.first[1:], words.counts)
 
 
 def bucketed(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:

@@ -10,15 +10,19 @@ Empty segments would match everywhere; a set in which no more than `spare` of th
 that are empty (or of one shingle, where that may be deleted) doesn't need them, and only the few others, which
 could be missed by each other alone, index those as well. So no pair is lost.
 
-Verification is exact. Equal sets are one class from the start. For each signature the least class is tried with
-every other (linear), links are joined to components, and classes that still share a signature across components
-are compared through their prefixes, rarest shingle first, in which linked pairs must meet, if the place where they
-meet and the parity bits of their shingles leave room for a link.
+Verification is exact: candidates are compared on their words. Equal sets are one class from the start. For each
+signature the least class is tried with every other (linear), and links are joined to components. Where a signature
+still has classes of several components and MEET classes at most, those of different components are tried with each
+other. Signatures of more classes (a passage that very many texts share fills whole segments) are too common to tell
+anything; their classes are compared where they meet in the prefixes of their sets, rarest shingle first, in which
+linked pairs must meet. So nothing is capped.
+A candidate's text goes to a block of texts once, and a pair's other text to the blocks that ask for it.
 
 Cases: a null or empty text, or one without words, has an empty set and links with nothing; one with fewer words
-than `width` has its whole sequence as its only shingle; rows of equal doc_id are one node; a row without doc_id
-gets the component of the class of its text and connects nothing; an empty table gives no rows; other columns of
-the input are ignored.
+than `width` has its whole sequence as its only shingle; a very long text is one set like others; repeated rows are one
+class and each keeps its row; rows of equal doc_id but different texts each get the component of their own text; a row
+without doc_id gets the component of the class of its text and connects nothing; an empty table gives no rows;
+other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -32,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .exchange import BLOCK_BYTES, LEAST_BLOCKS, Blocks, text_bytes, written
-from .kernels import U64, WORD_BASE, Words, bucketed, equal_runs, mix, pieces, prefix, span, unblob, utf8
+from .exchange import BLOCK_BYTES, LEAST_BLOCKS, Blocks, released, text_bytes, written
+from .kernels import U64, Words, bucketed, equal_runs, join, mix, pieces, unblob, utf8, windows
 
 _K = U64(0x9E3779B97F4A7C15)
-PARITY = 8  # longs of a set's parity bits
 FULL = 2.5  # shingles a segment should hold on average
+MEET = 64  # classes of a signature up to which those of different components are tried with each other
+PIECE, HELD = 256 << 10, 1 << 17  # bytes of text and signatures that a task holds at once
 
 
 def _allocation(h: int, low: int) -> tuple[int, int, int]:
@@ -77,23 +82,31 @@ def schemes(num: int, den: int) -> dict[str, np.ndarray]:
 def shingle_sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, sorted within each, and their numbers."""
     w = Words(*utf8(text), lower=True)
-    p = prefix(w.hash, WORD_BASE)
-    at = np.arange(len(w.hash))
-    doc = np.repeat(np.arange(len(w.counts)), w.counts)
-    last = w.first[1:][doc]
-    use = (at + width <= last) | (at == w.first[:-1][doc])
-    at, doc, last = at[use], doc[use], last[use]
-    h = span(p, at, np.minimum(at + width, last), WORD_BASE)
-    by = np.lexsort((h, doc))
+    word, counts = w.hashes[0], w.counts
+    whole = np.arange(len(word)) + width <= np.repeat(w.first[1:], counts)
+    h, doc = [windows(word, width)[whole]], [np.repeat(np.arange(len(counts)), counts)[whole]]
+    for n in range(1, width):  # texts of n words are one shingle
+        few = np.flatnonzero(counts == n)
+        if len(few):
+            x = np.full(len(few), n, U64)
+            for k in range(n):
+                x = join(x, word[w.first[few] + k])
+            h.append(x), doc.append(few)
+    h, doc = np.concatenate(h), np.concatenate(doc)
+    by = np.argsort(doc, kind="stable")
     h, doc = h[by], doc[by]
+    edges = np.searchsorted(doc, np.arange(len(counts) + 1))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        h[a:b].sort()
     one = equal_runs(doc, h)
-    return h[one], np.bincount(doc[one], minlength=len(w.counts))
+    return h[one], np.bincount(doc[one], minlength=len(counts))
 
 
-def set_ids(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    total = np.r_[U64(0), np.cumsum(mix(h), dtype=U64)]
+def set_ids(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent numbers of each set: of all its shingles, whatever their order."""
     ends = np.cumsum(sizes)
-    return mix(total[ends] - total[ends - sizes] + sizes.astype(U64) * _K)
+    sums = (np.r_[U64(0), np.cumsum(x, dtype=U64)] for x in (mix(h), join(h, h ^ _K)))
+    return tuple(mix(x[ends] - x[ends - sizes] + sizes.astype(U64) * _K) for x in sums)
 
 
 def signatures(h: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,15 +159,15 @@ def signatures(h: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np
     return np.concatenate(out_sig), np.concatenate(out_set)
 
 
-_ROWS = "sig long, set long, doc_id long, n long"
+_ROWS = "sig long, set long, set2 long, doc_id long, key long, n long"
 
 
 def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Rows of classes (set, doc_id, n; sig null) and of signatures that more than one class has (sig, set), from one scan."""
+    """Rows of classes (set and set2, doc_id, key, n; sig null) and of signatures that more than one class has (sig, set), from one scan. key is a hash of the text."""
     buckets = max(LEAST_BLOCKS, -(-text_bytes(docs) // (4 * BLOCK_BYTES)))
 
     def emit(batches):
-        seen: set[int] = set()  # classes that this task has indexed: a copy costs its own row only
+        seen: set[int] = set()  # classes that this task has indexed lately: a copy costs its own row only
         held, size = [], 0
 
         def flush():
@@ -167,27 +180,28 @@ def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 h, sizes = shingle_sets(part.column(1), width)
-                ids = set_ids(h, sizes)
-                doc = part.column(0)
-                null = np.asarray(doc.is_null())
-                did = doc.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                to = (mix(did.view(U64) ^ ids) % U64(buckets)).astype(np.int64)
-                rows += [(b, 0, x) for b, x in bucketed(to, [ids, did, sizes, null.astype(np.int64)])]
+                ids, ids2 = set_ids(h, sizes)
+                null = np.asarray(part.column(0).is_null())
+                did, key = (part.column(i).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
+                to = (mix(key.view(U64) ^ ids ^ mix(did.view(U64))) % U64(buckets)).astype(np.int64)
+                rows += [(b, 0, x) for b, x in bucketed(to, [ids, ids2, did, key, sizes, null.astype(np.int64)])]
                 new = np.zeros(len(ids), bool)
                 for i, x in enumerate(ids.tolist()):
                     if x not in seen:
                         seen.add(x)
                         new[i] = True
+                if len(seen) > HELD:
+                    seen.clear()
                 keep = np.repeat(new, sizes)
                 sig, of = signatures(h[keep], np.where(new, sizes, 0), num, den)
                 by = np.argsort(of, kind="stable")  # a class's signatures stay together, so that their ids compress
                 held.append((sig[by], ids[of[by]]))
                 size += len(sig)
-                if size > 1 << 20:
-                    rows += flush()
-                    size = 0
+                if size > HELD:
+                    yield _sent(rows + flush())
+                    rows, size = [], 0
             if rows:
                 yield _sent(rows)
         if rows := flush():
@@ -198,10 +212,10 @@ def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     def judge(rows: pa.Table) -> pa.Table:
         kinds, blobs = rows["kind"].to_pylist(), rows["data"].to_pylist()
-        none = np.zeros((4, 0), np.int64)
-        d = np.concatenate([none, *[unblob(b, 4).view(np.int64) for k, b in zip(kinds, blobs, strict=True) if k == 0]], axis=1)
+        d = np.concatenate([np.zeros((6, 0), np.int64), *[unblob(b, 6).view(np.int64) for k, b in zip(kinds, blobs, strict=True) if k == 0]], axis=1)
         parts = [unblob(b, 2) for k, b in zip(kinds, blobs, strict=True) if k == 1]
         sig, ids = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), U64)
+        del blobs, parts
         by = np.lexsort((ids, sig))
         sig, ids = sig[by], ids[by]
         one = equal_runs(sig, ids)
@@ -211,35 +225,86 @@ def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         more = np.repeat(size > 1, size)
         sig, ids = sig[more].view(np.int64), ids[more].view(np.int64)
         a, b = d.shape[1], len(sig)
+        none = pa.nulls(b, pa.int64())
         return pa.table({
-            "sig": pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(sig)]),
-            "set": pa.concat_arrays([pa.array(d[0]), pa.array(ids)]),
-            "doc_id": pa.concat_arrays([pa.array(d[1], mask=d[3] > 0), pa.nulls(b, pa.int64())]),
-            "n": pa.concat_arrays([pa.array(d[2]), pa.nulls(b, pa.int64())]),
+            "sig": pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(sig)]), "set": pa.concat_arrays([pa.array(d[0]), pa.array(ids)]), "set2": pa.concat_arrays([pa.array(d[1]), none]),
+            "doc_id": pa.concat_arrays([pa.array(d[2], mask=d[5] > 0), none]), "key": pa.concat_arrays([pa.array(d[3]), none]), "n": pa.concat_arrays([pa.array(d[4]), none]),
         })
 
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(emit, "bucket int, kind int, data binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key"))
+    sent = rows.mapInArrow(emit, "bucket int, kind int, data binary")
     return written(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(judge, _ROWS), "shingles")
 
 
-def _tokens(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """set, tokens of the classes in wanted(doc_id, set), each read from one of its documents."""
+def text_key():
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """set, text of the classes in wanted(set, doc_id, key), each from one of its rows."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key"))
+    return written(rows.join(wanted, ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.first("set").alias("set"), F.first("text").alias("text")).select("set", "text"), "texts")
+
+
+def exact_sets(text: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Numbers of the distinct shingles of all texts, sorted within each, how many each has, and how many there are. Equal numbers are equal words, no hashes."""
+    w = Words(*utf8(text), lower=True)
+    code, none = w.coded  # none stands for a word that a short text doesn't have
+    counts, n = w.counts, len(code)
+    at, doc, last = np.arange(n), np.repeat(np.arange(len(counts)), counts), np.repeat(w.first[1:], counts)
+    use = (at + width <= last) | (at == w.first[:-1][doc])
+    at, doc, last = at[use], doc[use], last[use]
+    number, many = np.zeros(len(at), np.int64), 1
+    for k in range(width):
+        word = np.where(at + k < last, code[np.minimum(at + k, n - 1)], none) if n else number
+        coded = pa.array(number * (none + 1) + word).dictionary_encode()
+        number, many = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    pair = np.sort(doc * many + number)
+    pair = pair[equal_runs(pair)]
+    return pair % many, np.bincount(pair // many, minlength=len(counts)), many
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of sets that link. Texts of b lie in blocks; each text a goes once to every block that has a partner of it."""
+    blocks = max(LEAST_BLOCKS, -(-4 * text_bytes(texts) // BLOCK_BYTES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias("block")
+    asked = pairs.groupBy("a", block("b")).agg(F.collect_list("b").alias("bs")).join(texts.select(F.col("set").alias("a"), F.col("text").alias("ta")), "a").select("block", "a", "bs", "ta")
+    here = texts.join(pairs.select(F.col("b").alias("set")).distinct(), "set", "left_semi").select(block("set"), "set", "text")
+
+    def check(here: pa.Table, asked: pa.Table) -> pa.Table:
+        out = [np.zeros((2, 0), np.int64)]
+        if here.num_rows and asked.num_rows:
+            codes, sizes, many = exact_sets(pa.chunked_array([*here["text"].chunks, *asked["ta"].chunks]), width)
+            begin = np.cumsum(sizes) - sizes
+            sets = here["set"].to_numpy()
+            by = np.argsort(sets)
+            mark = np.zeros(many, bool)
+            for i, (a, bs) in enumerate(zip(asked["a"].to_pylist(), asked["bs"], strict=True), here.num_rows):
+                own = codes[begin[i] : begin[i] + sizes[i]]
+                mark[own] = True
+                bs = bs.values.to_numpy()
+                rows = by[np.searchsorted(sets, bs, sorter=by)]
+                both = np.array([np.count_nonzero(mark[codes[begin[r] : begin[r] + sizes[r]]]) for r in rows])
+                mark[own] = False
+                link = den * both >= num * (sizes[i] + sizes[rows] - both)
+                out.append(np.stack([np.full(link.sum(), a), bs[link]]))
+        out = np.concatenate(out, axis=1)
+        return pa.table({"a": out[0], "b": out[1]})
+
+    return written(here.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(check, "a long, b long"), "links")
+
+
+def _tokens(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """set, n, c, tokens (shingle hashes) of the classes in wanted(set, n, c)."""
 
     def read(batches):
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 h, sizes = shingle_sets(part.column(1), width)
-                ends = np.r_[0, np.cumsum(sizes)]
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))
-                # every shingle flips one of 64 * PARITY bits, so two sets differ in as many shingles as bits at least
-                bits = (h >> U64(17)) % U64(64 * PARITY)
-                flips = np.stack([np.bincount(bits[a:b].astype(np.int64), minlength=64 * PARITY) & 1 for a, b in zip(ends[:-1], ends[1:], strict=True)])
-                parity = np.packbits(flips.astype(np.uint8), axis=1).view(np.int64)
-                parity = pa.ListArray.from_arrays(pa.array((np.arange(len(sizes) + 1) * PARITY).astype(np.int32)), pa.array(parity.ravel()))
-                yield pa.record_batch([pa.array(set_ids(h, sizes).view(np.int64)), lists, parity], ["set", "tokens", "parity"])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.record_batch([part.column(0), lists, part.column(2), part.column(3)], ["set", "tokens", "n", "c"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    return written(some.mapInArrow(read, "set long, tokens array<long>, parity array<long>").join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"]), "tokens")
+    return written(texts.join(wanted, "set").select("set", "text", "n", "c").mapInArrow(read, "set long, tokens array<long>, n long, c long"), "tokens")
 
 
 def _level(f: np.ndarray) -> np.ndarray:
@@ -299,49 +364,59 @@ def _heads(sets: DataFrame, num: int, den: int) -> DataFrame:
     return blocks.finish(finish, blocks.judge(blocks.ask(emit), decide), "t long, set long, n long, c long, i int")
 
 
-def _linked(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, of sets."""
-    t = [tokens.select(F.col("set").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab"]
-    both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(t[0], "a").join(t[1], "b").withColumn("both", both).where(den * F.col("both") >= num * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b")
+def _common(texts: DataFrame, rest: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of the classes in rest(set, n, c), of different components, that meet in their prefixes."""
+    heads = written(_heads(_tokens(texts, rest, width), num, den), "heads")
+    twice = heads.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
+    heads = heads.join(twice, "t", "left_semi")
+    other = heads.select("t", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("i").alias("ib"))
+    # at its first common shingle, a linked pair still has enough shingles ahead
+    ahead = (num + den) * F.least(F.col("n") - F.col("i"), F.col("nb") - F.col("ib")) >= num * (F.col("n") + F.col("nb"))
+    near = (F.col("set") < F.col("b")) & (F.col("c") != F.col("cb")) & _alike("n", "nb", num, den) & ahead
+    return heads.join(other, "t").where(near).select(F.col("set").alias("a"), "b").distinct()
+
+
+def _alike(n: str, m: str, num: int, den: int):
+    """Sets of these sizes can link."""
+    return num * F.greatest(n, m) <= den * F.least(n, m)
 
 
 def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs(doc_id, text); two documents link at Jaccard similarity num / den or more."""
+    """doc_id, key (a hash of the text), n_shingles, component_id and component_key (of the component's least row) of each row of docs(doc_id, text); two texts link at Jaccard similarity num / den or more."""
     index = _index(docs, width, num, den)
-    classes = index.where("sig is null").select("doc_id", "set", "n")
+    classes = index.where("sig is null").select("doc_id", "key", "set", "set2", "n")
     shared = index.where("sig is not null").select("sig", "set")
-    first = written(classes.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
-    members = first.join(shared.select("set").distinct(), "set", "left_semi")
-    tokens = _tokens(docs, members.select(F.col("rep").alias("doc_id"), "set"), width)
+    least = F.min(F.struct("doc_id", "key"))
+    first = written(classes.where("n > 0 and doc_id is not null").groupBy("set", "set2").agg(least.alias("rep"), F.max("n").alias("n")).select("set", "set2", "rep.doc_id", "rep.key", "n"), "classes")
+    members = written(first.join(shared.select("set").distinct(), "set", "left_semi"), "members")
+    texts = _texts(docs, members.select("set", "doc_id", "key"))
+    own = members.select("set", "n").distinct()
     lead = shared.groupBy("sig").agg(F.min("set").alias("a"))
-    tried = shared.join(lead, "sig").where("set <> a").select("a", F.col("set").alias("b")).distinct()
-    links = written(_linked(tried, tokens, num, den), "links")
-
-    def components(pairs):
-        r = [first.select(F.col("set").alias(x), F.col("rep").alias(f"r{x}")) for x in "ab"]
-        return connected_components(pairs.join(r[0], "a").join(r[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-
-    found = components(links)
-    placed = members.join(found, F.col("rep") == F.col("node"), "left").select("set", "n", F.coalesce("component", "rep").alias("c"))
-    apart = shared.join(placed, "set").groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    rest = written(placed.join(shared.join(apart, "sig", "left_semi").select("set").distinct(), "set", "left_semi"), "apart")
-    found_heads = written(_heads(tokens.join(rest, "set"), num, den), "heads")
-    twice = found_heads.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
-    heads = written(found_heads.join(twice, "t", "left_semi").join(tokens.select("set", "parity"), "set"), "heads")
-    other = heads.select("t", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("i").alias("ib"), F.col("parity").alias("pb"))
-    # at its first common shingle, a linked pair still has enough shingles ahead
-    ahead = (num + den) * F.least(F.col("n") - F.col("i"), F.col("nb") - F.col("ib")) >= num * (F.col("n") + F.col("nb"))
-    near = (F.col("set") < F.col("b")) & (F.col("c") != F.col("cb")) & (num * F.greatest("n", "nb") <= den * F.least("n", "nb")) & ahead
-    flipped = sum((F.bit_count(F.col("parity")[k].bitwiseXOR(F.col("pb")[k])) for k in range(PARITY)), F.lit(0))
-    near = near & ((num + den) * flipped <= (den - num) * (F.col("n") + F.col("nb")))
-    pairs = heads.join(other, "t").where(near).select(F.col("set").alias("a"), "b").distinct()
-    more = written(_linked(pairs, tokens, num, den), "links")
-    if more.take(1):
-        found = components(links.unionByName(more))
-    of = first.join(found, F.col("rep") == F.col("node"), "left").select("set", F.coalesce("component", "rep").alias("c"))
-    return classes.join(of, "set", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
+    tried = written(shared.join(lead, "sig").where("set <> a").select("a", F.col("set").alias("b")).distinct(), "tried")
+    links = _linked(tried, texts, width, num, den)
+    found = connected_components(links)
+    placed = own.join(found, F.col("set") == F.col("node"), "left").select("set", "n", F.coalesce("component", "set").alias("c"))
+    apart = shared.join(placed, "set").groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("sig", "k")
+    apart = written(shared.join(apart, "sig").join(placed, "set").select("sig", "k", "set", "n", "c"), "apart")
+    few = apart.where(F.col("k") <= MEET)
+    other = few.select("sig", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    pairs = few.join(other, "sig").where((F.col("set") < F.col("b")) & (F.col("c") != F.col("cb")) & _alike("n", "nb", num, den)).select(F.col("set").alias("a"), "b").distinct()
+    rest = apart.where(F.col("k") > MEET).select("set", "n", "c").distinct()
+    if rest.take(1):
+        pairs = pairs.unionByName(_common(texts, written(rest, "rest"), width, num, den)).distinct()
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    pairs = written(pairs.select(*ends).join(tried.select(*ends), ["a", "b"], "left_anti"), "pairs")
+    if pairs.take(1):
+        more = _linked(pairs, texts, width, num, den)
+        if more.take(1):
+            found = connected_components(links.unionByName(more))
+    root = first.join(found, F.col("set") == F.col("node"), "left").select("set", "set2", "doc_id", "key", F.coalesce("component", "set").alias("root"))
+    root = root.select("set", "set2", "root").join(root.groupBy("root").agg(least.alias("c")), "root").select("set", "set2", "c")
+    of = written(root, "components")
+    released(texts, apart, tried, members)
+    of_own = lambda c: F.when(F.col("n") > 0, F.col("c")[c]).otherwise(F.col(c))
+    return classes.join(of, ["set", "set2"], "left").select("doc_id", "key", F.col("n").alias("n_shingles"), of_own("doc_id").alias("component_id"), of_own("key").alias("component_key"))
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, num=85, den=100)
+    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")

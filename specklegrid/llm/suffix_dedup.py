@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import Blocks
-from .kernels import BYTE_BASE, BYTE_CODE, U64, bucketed, equal_runs, mix, prefix, span, unblob, utf8
+from .kernels import BYTE_CODE, U64, bucketed, equal_runs, join, mix, unblob, utf8, windows
 
 LENGTH, GRAM = 100, 32
 _HEAD = {"runs": np.array([1], U64).tobytes(), "windows": np.array([2], U64).tobytes()}
@@ -57,10 +57,10 @@ class Suffixes:
         self.g = self.c = none.view(U64)
         if n < length:
             return
-        self.p = prefix(BYTE_CODE[self.data], BYTE_BASE)
-        at = np.arange(n - gram + 1)
-        least = (span(self.p, at, at + gram, BYTE_BASE) & U64(0xFFFFFFFF00000000)) | at.astype(U64)
-        del at
+        code = BYTE_CODE[self.data]
+        grams, self.whole = windows(code, gram), windows(code, length)
+        del code
+        least = (grams[: n - gram + 1] & U64(0xFFFFFFFF00000000)) | np.arange(n - gram + 1, dtype=U64)
         wide, size = length - gram + 1, 1
         while 2 * size <= wide:
             least = np.minimum(least[:-size], least[size:])
@@ -79,8 +79,8 @@ class Suffixes:
         self.lo = np.flatnonzero(valid & (new | ~np.r_[False, valid[:-1]]))
         self.hi = np.flatnonzero(valid & np.r_[(new[1:] | ~valid[1:]), True])
         pick = pick[self.lo]
-        self.g = span(self.p, pick, pick + gram, BYTE_BASE)
-        self.c = mix(span(self.p, self.lo, self.hi + length, BYTE_BASE) + (pick - self.lo).astype(U64) * U64(0x9E3779B97F4A7C15) ^ self.g)
+        self.g = grams[pick]
+        self.c = join(join(self.whole[self.lo], self.whole[self.hi]), mix((self.hi - self.lo).astype(U64) << U64(32) | (pick - self.lo).astype(U64)))
 
     def order(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, begin = ordinals(self.rows, self.offsets)
@@ -118,7 +118,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         say = ~first | split
         return list(bucketed(owner[say], [c[say], np.where(first, 2, 1)[say]]))
 
-    def windows(block, rows, got, buckets):
+    def again(block, rows, got, buckets):
         s = Suffixes(rows, length, gram)
         said = np.concatenate([unblob(b, 2) for b in got], axis=1) if got else np.zeros((2, 0), U64)
         said = said[:, np.argsort(said[0])]
@@ -135,13 +135,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         lo, hi = s.lo[fine], s.hi[fine]
         each = hi - lo + 1
         at = np.repeat(lo - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(each.sum()) if len(lo) else lo
-        h = span(s.p, at, at + length, BYTE_BASE) if len(at) else at.view(U64)
+        h = s.whole[at] if len(at) else at.view(U64)
         by, first = _first(h)
         one = np.sort(by[first])
-        again = np.setdiff1d(np.arange(len(at)), one, assume_unique=True)
+        later = np.setdiff1d(np.arange(len(at)), one, assume_unique=True)
         did, pos = s.order(at[one])
         out = [(b, _HEAD["windows"] + x) for b, x in bucketed((h[one] % U64(buckets)).astype(np.int64), [h[one], did, pos])]
-        runs = np.concatenate([s.lo[whole], at[again]]), np.concatenate([s.hi[whole], at[again]])
+        runs = np.concatenate([s.lo[whole], at[later]]), np.concatenate([s.hi[whole], at[later]])
         return out + [(block % buckets, _HEAD["runs"] + x) for _, x in bucketed(np.zeros(len(runs[0]), np.int64), list(runs))]
 
     def settle(owners, blobs):
@@ -183,7 +183,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         return pa.table({"doc_id": rows["doc_id"], "n_bytes": n, "n_removed": n - np.diff(left[offsets]), "kept": kept.cast(pa.binary()), "spans": spans})
 
     refined = blocks.judge(blocks.ask(pick), refine)
-    settled = blocks.judge(blocks.ask(windows, refined), settle)
+    settled = blocks.judge(blocks.ask(again, refined), settle)
     return blocks.finish(cut, settled, "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start: long, end: long>>")
 
 

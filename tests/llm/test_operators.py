@@ -80,6 +80,56 @@ def test_ngram_join_null_and_repeated_ids(spark):
     assert got == [(0, 0, 0), (0, 3, 2), (2, 2, 2), (2, 3, 2), (4, 3, 2), (9, 2, 2)]
 
 
+def _morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_weak_hashes_take_for_equal(spark):
+    """Polynomials modulo a power of two can't tell this sequence from its complement."""
+    x, y = _morse(2048), _morse(2048).translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs, 4, 85, 100).collect()} == {1: 1, 2: 2}
+    around = " ".join(f"v{i}" for i in range(17))
+    docs = spark.createDataFrame([(1, f"{around} {x} {around}"), (2, f"{around} {y} {around}")], "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup.substring_dedup(docs).collect()} == {0}
+    words = [" ".join({"a": "up", "b": "down"}[c] for c in t[:512]) for t in (x, y)]  # the same pattern in words and in bytes
+    text = [f"{t[:a]}{t[a:b]}" for t in (x, y) for a, b in ((0, 1024),)]
+    for found in (substring_dedup.substring_dedup(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")), suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"))):
+        got = {r.doc_id: r.n_removed for r in found.collect()}
+        assert len(got) == 2
+    seen, want = set(), {}
+    for i, t in enumerate(text):
+        gone = set()
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                gone |= set(range(k, k + 100))
+            seen.add(t[k : k + 100])
+        want[i] = len(gone)
+    assert got == want
+
+
+def test_ngram_join_common_passages(spark):
+    """More classes than MEET share most of their signatures: the rare ends of their sets still link what links."""
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"p{i}" for i in range(120))
+    own = [" ".join(rng.choice([f"o{i}" for i in range(3000)], 30)) for _ in range(90)]
+    rows = [(i, f"{passage} {t}") for i, t in enumerate(own)] + [(200 + i, f"{passage} {t} tail") for i, t in enumerate(own[::3])]
+    texts = {i: t for i, t in rows}
+    sets = {i: frozenset(tuple(w[k : k + 4]) for w in [t.split()] for k in range(len(w) - 3)) for i, t in texts.items()}
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()}
+    assert got == _components(sets, 85, 100)
+
+
+def test_near_duplicate_stage_keeps_other_texts_of_a_doc_id(spark):
+    import corpus_pipeline as C
+
+    say = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, say("a")), (1, say("b")), (1, say("a")), (2, say("a") + " z"), (3, say("b")), (None, say("a")), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or 0, r.text or "") for r in C.join_near_duplicates(spark, docs, "").collect())
+    assert got == [(0, say("a")), (1, say("a")), (1, say("b")), (4, ""), (5, "")]
+
+
 def test_pigeonhole_never_misses():
     """Any pair of sets that links shares a signature."""
     rng = np.random.default_rng(2)
