@@ -16,7 +16,9 @@ still has classes of several components and MEET classes at most, those of diffe
 other. Signatures of more classes (a passage that very many texts share fills whole segments) are too common to tell
 anything; their classes are compared where they meet in the prefixes of their sets, rarest shingle first, in which
 linked pairs must meet. So nothing is capped.
-A candidate's text goes to a block of texts once, and a pair's other text to the blocks that ask for it.
+Before texts move, a pair must have sizes that can link and parity bits (each shingle flips one of 64 * PARITY) that
+differ in no more places than linked sets do; sets differ in as many shingles as bits at least, so no link is lost. A
+candidate's text goes to a block of texts once, and a pair's other text to the blocks that ask for it.
 
 Cases: a null or empty text, or one without words, has an empty set and links with nothing; one with fewer words
 than `width` has its whole sequence as its only shingle; a very long text is one set like others; repeated rows are one
@@ -40,6 +42,7 @@ from .exchange import BLOCK_BYTES, LEAST_BLOCKS, Blocks, released, text_bytes, w
 from .kernels import U64, Words, bucketed, equal_runs, join, mix, pieces, unblob, utf8, windows
 
 _K = U64(0x9E3779B97F4A7C15)
+PARITY = 8  # longs of a set's parity bits
 FULL = 2.5  # shingles a segment should hold on average
 MEET = 64  # classes of a signature up to which those of different components are tried with each other
 PIECE, HELD = 256 << 10, 1 << 17  # bytes of text and signatures that a task holds at once
@@ -109,6 +112,14 @@ def set_ids(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(mix(x[ends] - x[ends - sizes] + sizes.astype(U64) * _K) for x in sums)
 
 
+def parities(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """PARITY longs for each set: every shingle flips one bit."""
+    out = np.zeros(len(sizes) * PARITY * 8, np.uint8)
+    bit = np.repeat(np.arange(len(sizes)), sizes) * (64 * PARITY) + ((h >> U64(17)) % U64(64 * PARITY)).astype(np.int64)
+    np.bitwise_xor.at(out, bit >> 3, np.uint8(1) << (bit & 7).astype(np.uint8))
+    return out.view(np.int64).reshape(-1, PARITY)
+
+
 def signatures(h: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of all sets and the number of the set of each."""
     s = schemes(num, den)
@@ -159,11 +170,11 @@ def signatures(h: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np
     return np.concatenate(out_sig), np.concatenate(out_set)
 
 
-_ROWS = "sig long, set long, set2 long, doc_id long, key long, n long"
+_ROWS = "sig long, set long, set2 long, doc_id long, key long, n long, parity array<long>"
 
 
 def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Rows of classes (set and set2, doc_id, key, n; sig null) and of signatures that more than one class has (sig, set), from one scan. key is a hash of the text."""
+    """Rows of classes (set and set2, doc_id, key, n, parity; sig null) and of signatures that more than one class has (sig, set), from one scan. key is a hash of the text."""
     buckets = max(LEAST_BLOCKS, -(-text_bytes(docs) // (4 * BLOCK_BYTES)))
 
     def emit(batches):
@@ -186,7 +197,7 @@ def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 null = np.asarray(part.column(0).is_null())
                 did, key = (part.column(i).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
                 to = (mix(key.view(U64) ^ ids ^ mix(did.view(U64))) % U64(buckets)).astype(np.int64)
-                rows += [(b, 0, x) for b, x in bucketed(to, [ids, ids2, did, key, sizes, null.astype(np.int64)])]
+                rows += [(b, 0, x) for b, x in bucketed(to, [ids, ids2, did, key, sizes, null.astype(np.int64), *parities(h, sizes).T])]
                 new = np.zeros(len(ids), bool)
                 for i, x in enumerate(ids.tolist()):
                     if x not in seen:
@@ -212,7 +223,7 @@ def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     def judge(rows: pa.Table) -> pa.Table:
         kinds, blobs = rows["kind"].to_pylist(), rows["data"].to_pylist()
-        d = np.concatenate([np.zeros((6, 0), np.int64), *[unblob(b, 6).view(np.int64) for k, b in zip(kinds, blobs, strict=True) if k == 0]], axis=1)
+        d = np.concatenate([np.zeros((6 + PARITY, 0), np.int64), *[unblob(b, 6 + PARITY).view(np.int64) for k, b in zip(kinds, blobs, strict=True) if k == 0]], axis=1)
         parts = [unblob(b, 2) for k, b in zip(kinds, blobs, strict=True) if k == 1]
         sig, ids = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), U64)
         del blobs, parts
@@ -226,9 +237,11 @@ def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         sig, ids = sig[more].view(np.int64), ids[more].view(np.int64)
         a, b = d.shape[1], len(sig)
         none = pa.nulls(b, pa.int64())
+        parity = pa.ListArray.from_arrays(pa.array(np.arange(a + 1, dtype=np.int32) * PARITY), pa.array(np.ascontiguousarray(d[6:].T).ravel()))
         return pa.table({
             "sig": pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(sig)]), "set": pa.concat_arrays([pa.array(d[0]), pa.array(ids)]), "set2": pa.concat_arrays([pa.array(d[1]), none]),
             "doc_id": pa.concat_arrays([pa.array(d[2], mask=d[5] > 0), none]), "key": pa.concat_arrays([pa.array(d[3]), none]), "n": pa.concat_arrays([pa.array(d[4]), none]),
+            "parity": pa.concat_arrays([parity, pa.nulls(b, parity.type)]),
         })
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key"))
@@ -365,43 +378,47 @@ def _heads(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _common(texts: DataFrame, rest: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of the classes in rest(set, n, c), of different components, that meet in their prefixes."""
+    """Pairs (a, b) of the classes in rest(set, n, c, parity), of different components, that meet in their prefixes."""
     heads = written(_heads(_tokens(texts, rest, width), num, den), "heads")
     twice = heads.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
     heads = heads.join(twice, "t", "left_semi")
-    other = heads.select("t", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("i").alias("ib"))
+    heads = heads.join(rest.select("set", "parity"), "set")
+    other = heads.select("t", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("i").alias("ib"), F.col("parity").alias("pb"))
     # at its first common shingle, a linked pair still has enough shingles ahead
     ahead = (num + den) * F.least(F.col("n") - F.col("i"), F.col("nb") - F.col("ib")) >= num * (F.col("n") + F.col("nb"))
-    near = (F.col("set") < F.col("b")) & (F.col("c") != F.col("cb")) & _alike("n", "nb", num, den) & ahead
+    near = (F.col("set") < F.col("b")) & (F.col("c") != F.col("cb")) & _alike("n", "nb", "parity", "pb", num, den) & ahead
     return heads.join(other, "t").where(near).select(F.col("set").alias("a"), "b").distinct()
 
 
-def _alike(n: str, m: str, num: int, den: int):
-    """Sets of these sizes can link."""
-    return num * F.greatest(n, m) <= den * F.least(n, m)
+def _alike(n: str, m: str, p: str, q: str, num: int, den: int):
+    """Sets of these sizes and parities can link."""
+    flipped = sum((F.bit_count(F.get(p, F.lit(k)).bitwiseXOR(F.get(q, F.lit(k)))) for k in range(PARITY)), F.lit(0))
+    return (num * F.greatest(n, m) <= den * F.least(n, m)) & ((num + den) * flipped <= (den - num) * (F.col(n) + F.col(m)))
 
 
 def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, key (a hash of the text), n_shingles, component_id and component_key (of the component's least row) of each row of docs(doc_id, text); two texts link at Jaccard similarity num / den or more."""
     index = _index(docs, width, num, den)
-    classes = index.where("sig is null").select("doc_id", "key", "set", "set2", "n")
+    classes = index.where("sig is null").select("doc_id", "key", "set", "set2", "n", "parity")
     shared = index.where("sig is not null").select("sig", "set")
     least = F.min(F.struct("doc_id", "key"))
-    first = written(classes.where("n > 0 and doc_id is not null").groupBy("set", "set2").agg(least.alias("rep"), F.max("n").alias("n")).select("set", "set2", "rep.doc_id", "rep.key", "n"), "classes")
+    first = written(classes.where("n > 0 and doc_id is not null").groupBy("set", "set2").agg(least.alias("rep"), F.max("n").alias("n"), F.any_value("parity").alias("parity")).select("set", "set2", "rep.doc_id", "rep.key", "n", "parity"), "classes")
     members = written(first.join(shared.select("set").distinct(), "set", "left_semi"), "members")
     texts = _texts(docs, members.select("set", "doc_id", "key"))
-    own = members.select("set", "n").distinct()
+    own = members.select("set", "n", "parity").distinct()
     lead = shared.groupBy("sig").agg(F.min("set").alias("a"))
-    tried = written(shared.join(lead, "sig").where("set <> a").select("a", F.col("set").alias("b")).distinct(), "tried")
+    first_pairs = shared.join(lead, "sig").where("set <> a").select("a", F.col("set").alias("b")).distinct()
+    side = lambda x: own.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    tried = written(first_pairs.join(side("a"), "a").join(side("b"), "b").where(_alike("na", "nb", "pa", "pb", num, den)).select("a", "b"), "tried")
     links = _linked(tried, texts, width, num, den)
     found = connected_components(links)
-    placed = own.join(found, F.col("set") == F.col("node"), "left").select("set", "n", F.coalesce("component", "set").alias("c"))
+    placed = own.join(found, F.col("set") == F.col("node"), "left").select("set", "n", "parity", F.coalesce("component", "set").alias("c"))
     apart = shared.join(placed, "set").groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("sig", "k")
-    apart = written(shared.join(apart, "sig").join(placed, "set").select("sig", "k", "set", "n", "c"), "apart")
+    apart = written(shared.join(apart, "sig").join(placed, "set").select("sig", "k", "set", "n", "c", "parity"), "apart")
     few = apart.where(F.col("k") <= MEET)
-    other = few.select("sig", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    pairs = few.join(other, "sig").where((F.col("set") < F.col("b")) & (F.col("c") != F.col("cb")) & _alike("n", "nb", num, den)).select(F.col("set").alias("a"), "b").distinct()
-    rest = apart.where(F.col("k") > MEET).select("set", "n", "c").distinct()
+    other = few.select("sig", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("parity").alias("pb"))
+    pairs = few.join(other, "sig").where((F.col("set") < F.col("b")) & (F.col("c") != F.col("cb")) & _alike("n", "nb", "parity", "pb", num, den)).select(F.col("set").alias("a"), "b").distinct()
+    rest = apart.where(F.col("k") > MEET).select("set", "n", "c", "parity").distinct()
     if rest.take(1):
         pairs = pairs.unionByName(_common(texts, written(rest, "rest"), width, num, den)).distinct()
     ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
