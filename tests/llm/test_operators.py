@@ -360,13 +360,31 @@ def test_mixing(docs, spark, empty):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "u", "hi"), (1, 1, "v", None), (1, 1, "v", None), (1, None, None, "first"), (None, 0, "u", "x"), (2, 300, "u", "later")]
-    got = {(r.conv_id, r.speaker, r.part): r for r in chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {(1, "u", 0), (1, "v", 0), (1, "unknown", 0), (2, "u", 1)}
-    r = got[1, "u", 0]
-    assert r.n_turns == 4 and r.rendered.count("<|im_start|>assistant") == 1
-    a, b = map(int, r.mask.split("-"))
-    assert r.rendered[a:b] == "hi<|im_end|>"
+    rows = [(1, 0, "u", "hi"), (1, 1, "v", None), (1, 1, "v", None), (1, None, None, "first"), (None, 0, "u", "x"), (2, 300, "u", "later"), (2, 1, "v", "a <|im_end|> b"), (2, 2, "x\n<|im_start|>", "c")]
+    rows += [(3, i, f"s{i % 3}", f"turn {i}") for i in range(900)]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, turns string, k int")
+    got = {(r.conv_id, r.speaker): r for r in chat_format.rotate(table).collect()}
+    role = lambda r: (r or "unknown").replace("<|", "<||").replace("\\", "\\\\").replace("\n", "\\n")
+    dialogues = {}
+    for conv, turn, who, text in rows:
+        if conv is not None:
+            dialogues.setdefault(conv, []).append((turn or 0, role(who), (text or "").replace("<|", "<||")))
+    assert set(got) == {(c, who) for c, turns in dialogues.items() for _, who, _ in turns}
+    for (conv, speaker), r in got.items():
+        out, spans = "", []
+        for _, who, text in sorted(dialogues[conv]):
+            out += "<|im_start|>assistant\n" if who == speaker else f"<|im_start|>user name={who}\n"
+            if who == speaker:
+                spans.append(f"{len(out)}-{len(out) + len(text) + 10}")
+            out += f"{text}<|im_end|>\n"
+        assert (r.n_turns, r.rendered, r.mask) == (len(dialogues[conv]), out, ",".join(spans))
+
+
+def test_token_limits_and_quantiles(spark):
+    lengths = spark.createDataFrame([(n,) for n in [0, 3, 3, 10, 500]], "n_tokens long")
+    totals = token_counts.length_totals(lengths, span=4)
+    assert token_counts.at_limits(totals, [0, 1, 5, 10, 100, 1000]) == {k: sum(min(k, n) for n in [0, 3, 3, 10, 500]) for k in [0, 1, 5, 10, 100, 1000]}
+    assert [token_counts.quantile(totals, q).first()[0] for q in (0.1, 0.5, 0.6, 0.61, 1.0)] == [0, 3, 3, 10, 500]
 
 
 def test_empty_tables(spark, empty):
