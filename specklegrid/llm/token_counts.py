@@ -5,8 +5,8 @@ each length as a context limit, how many documents reach it, how many tokens rem
 and which quantile it is. The histogram is far smaller than the corpus, and its sums run in two levels (spans of
 lengths, then lengths within a span), so no task sees all of it.
 
-Cases: a null or empty text has no tokens (a row for length 0); repeated rows count each; other columns are ignored;
-an empty table gives no rows.
+Cases: a null or empty text has no tokens (a row for length 0); a very long text is encoded whole; documents of equal
+length are one row; repeated rows count each; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .exchange import written
 from .kernels import pieces
 
 RANKS, SPAN = "byte_bpe_50k.tiktoken", 512
@@ -48,7 +49,8 @@ def encoded_lengths(docs: DataFrame, ranks: str = RANKS, pattern: str | None = N
 
 def length_totals(lengths: DataFrame, span: int = SPAN) -> DataFrame:
     """For each length n_tokens that occurs: n_docs of it, docs_at_least, tokens_up_to (of documents no longer), truncated_total (with all cut to it), cum_share (of documents no longer)."""
-    hist = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("span", F.floor(F.col("n_tokens") / span))
+    # written, as two branches read it and the texts are to be encoded once
+    hist = written(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "histogram").withColumn("span", F.floor(F.col("n_tokens") / span))
     spans = hist.groupBy("span").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -66,5 +68,12 @@ def quantile(totals: DataFrame, q: float) -> DataFrame:
     return totals.where(F.col("cum_share") >= q).agg(F.min("n_tokens").alias("n_tokens"))
 
 
+def at_limits(totals: DataFrame, limits: list[int]) -> dict[int, int]:
+    """The tokens that remain with all documents cut to each limit, whether or not a document has that length; one aggregate over the totals."""
+    reach = lambda k: F.max(F.when(F.col("n_tokens") <= k, F.struct("n_tokens", "tokens_up_to", (F.col("docs_at_least") - F.col("n_docs")).alias("over"))))
+    row = totals.agg(F.max("docs_at_least").alias("docs"), *[reach(k).alias(f"l{i}") for i, k in enumerate(limits)]).first()
+    return {k: (row[f"l{i}"]["tokens_up_to"] + row[f"l{i}"]["over"] * k) if row[f"l{i}"] else (row["docs"] or 0) * k for i, k in enumerate(limits)}
+
+
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
     return length_totals(encoded_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet")))
