@@ -11,7 +11,7 @@ Running token sums are taken in two levels (spans of hash order, then within a s
 third of all rows is one task's work nowhere. Only ids and lengths move. DataFrame functions only.
 
 Cases: a null source is a source of its own; a null or empty text has no tokens, counts as one word for its place
-and is kept like others; rows of equal doc_id are each placed (ties by tokens); a null doc_id comes first; an empty
+and is kept like others; a very long text is one copy like others; rows of equal doc_id are each placed (ties by tokens); a null doc_id comes first; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -22,8 +22,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .exchange import written
+
 SECTIONS, PASSES = 32, 6
-ENTROPY, BLOCKS, SPAN_ROWS = 0.98, 64, 2000
+ENTROPY, BLOCKS, BLOCK_TOKENS, SPAN_ROWS = 0.98, 64, 1 << 32, 2000
 MOST_BROADCAST = 100_000
 
 
@@ -60,23 +62,22 @@ def exponent(sources: DataFrame, entropy: float | None = ENTROPY, repeats: float
     return round(hi if rising else lo, 6)
 
 
-def mix_sources(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | None = None, budget: float | None = 1.0, blocks: int = BLOCKS) -> DataFrame:
+def mix_sources(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | None = None, budget: float | None = 1.0, blocks: int | None = None) -> DataFrame:
     """A row for each copy that the mixture takes: doc_id, source, n_tokens, weight (the source's target), epoch (from 0), block, place (hash order in the block).
 
-    budget: times the corpus's tokens; None: as many as let every document in once at least.
+    budget: times the corpus's tokens; None: as many as let every document in once at least. blocks: by default BLOCKS,
+    or more where a block would pass BLOCK_TOKENS.
     """
-    rows = docs.select("doc_id", "source", words().alias("n_tokens"))
+    # the words are counted once; all later steps read these three small columns
+    rows = written(docs.select("doc_id", "source", words().alias("n_tokens")), "lengths")
     sources = rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
-    sources = sources.persist()
-    try:
-        totals = sources.agg(F.count("*").alias("k"), F.sum("t").alias("t"), F.sum("n").alias("n")).first()
-        if not totals["k"]:
-            return rows.limit(0).select("doc_id", "source", "n_tokens", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("block"), F.lit("").alias("place"))
-        a = exponent(sources, entropy, repeats)
-        z, least = sources.agg(F.sum(F.pow("t", F.lit(a))), F.min(F.pow("t", F.lit(a)) / F.col("t"))).first()
-    finally:
-        sources.unpersist()
+    totals = sources.agg(F.count("*").alias("k"), F.sum("t").alias("t"), F.sum("n").alias("n")).first()
+    if not totals["k"]:
+        return rows.select("doc_id", "source", "n_tokens", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("block"), F.lit("").alias("place"))
+    a = exponent(sources, entropy, repeats)
+    z, least = sources.agg(F.sum(F.pow("t", F.lit(a))), F.min(F.pow("t", F.lit(a)) / F.col("t"))).first()
     tokens = budget * totals["t"] if budget is not None else z / least
+    blocks = blocks or max(BLOCKS, math.ceil(tokens / BLOCK_TOKENS))
     spans = max(1, totals["n"] // SPAN_ROWS)
     weight = F.pow("t", F.lit(a)) / F.lit(z)
     plan = sources.select(F.col("source").alias("s"), "t", weight.alias("weight"), F.floor(weight * F.lit(float(tokens)) + 1e-3).cast("long").alias("b"))
