@@ -13,10 +13,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import U64, bucketed, equal_runs, unblob
+
 BLOCK_BYTES, LEAST_BLOCKS = 4 << 20, 64
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
 _ANSWER = pa.schema([("block", pa.int32()), ("data", pa.binary())])
@@ -117,3 +120,54 @@ class Blocks:
         if answers is None:
             return self.docs.groupBy("block").applyInArrow(lambda key, rows: run(key, rows, []), schema)
         return self.docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda key, rows, got: run(key, rows, got["data"].to_pylist()), schema)
+
+
+# ---- which hashes occur more than once
+
+
+def _order(lanes: list[np.ndarray]) -> np.ndarray:
+    return np.lexsort(lanes[::-1]) if len(lanes) > 1 else np.argsort(lanes[0], kind="stable")
+
+
+def distinct(*lanes: np.ndarray) -> list[np.ndarray]:
+    """Distinct hashes, as columns; the lowest bit of the first then says whether there was more than one."""
+    lanes = [lanes[0] & ~U64(1), *lanes[1:]]
+    by = _order(lanes)
+    lanes = [x[by] for x in lanes]
+    first = equal_runs(*lanes)
+    out = [x[first] for x in lanes]
+    out[0] |= (np.diff(np.r_[first, len(by)]) > 1).astype(U64)
+    return out
+
+
+def again(k: int):
+    """A judge of hashes of k columns: to each block, those of its hashes that occur again anywhere."""
+
+    def judge(owners: list[int], blobs: list[bytes]) -> list[tuple[int, bytes]]:
+        parts = [unblob(b, k) for b in blobs]
+        owner, h = np.repeat(np.array(owners), [x.shape[1] for x in parts]), np.concatenate(parts, axis=1)
+        many, lanes = h[0] & U64(1), [h[0] & ~U64(1), *h[1:]]
+        by = _order(lanes)
+        owner, many, lanes = owner[by], many[by], [x[by] for x in lanes]
+        first = equal_runs(*lanes)
+        size = np.diff(np.r_[first, len(by)])
+        more = np.repeat((size > 1) | (many[first] > 0), size)
+        return list(bucketed(owner[more], [x[more] for x in lanes]))
+
+    return judge
+
+
+def among(lanes: list[np.ndarray], got: list[bytes]) -> np.ndarray:
+    """Whether each hash is one of those that came back."""
+    known = np.concatenate([unblob(b, len(lanes)) for b in got], axis=1) if got else np.zeros((len(lanes), 0), U64)
+    hit = np.zeros(len(lanes[0]), bool)
+    if not known.shape[1]:
+        return hit
+    known = known[:, _order(list(known))]
+    known = known[:, equal_runs(*known)]
+    h = lanes[0] & ~U64(1)
+    at = np.searchsorted(known[0], h)
+    for more in range(int(np.diff(np.r_[equal_runs(known[0]), known.shape[1]]).max())):
+        i = np.minimum(at + more, known.shape[1] - 1)
+        hit |= np.logical_and.reduce([known[0][i] == h, *(k[i] == x for k, x in zip(known[1:], lanes[1:], strict=True))])
+    return hit

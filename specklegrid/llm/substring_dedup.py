@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import Blocks, block_of
-from .kernels import U64, Words, bucketed, equal_runs, runs, unblob, utf8
+from .exchange import Blocks, again, among, block_of, distinct
+from .kernels import U64, Words, bucketed, runs, utf8
 
 WIDTH, PERIOD, COVER = 35, 21, (0, 1, 4, 14, 16)
 
@@ -28,54 +28,6 @@ def is_cover(cover: tuple[int, ...], period: int) -> bool:
     return {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-def _order(lanes: list[np.ndarray]) -> np.ndarray:
-    return np.lexsort(lanes[::-1]) if len(lanes) > 1 else np.argsort(lanes[0], kind="stable")
-
-
-def _distinct(*lanes: np.ndarray) -> list[np.ndarray]:
-    """Distinct hashes, as columns; the lowest bit of the first then says whether there was more than one."""
-    lanes = [lanes[0] & ~U64(1), *lanes[1:]]
-    by = _order(lanes)
-    lanes = [x[by] for x in lanes]
-    first = equal_runs(*lanes)
-    out = [x[first] for x in lanes]
-    out[0] |= (np.diff(np.r_[first, len(by)]) > 1).astype(U64)
-    return out
-
-
-def _again(k: int):
-    """A judge of hashes of k columns: to each block, those of its hashes that occur again anywhere."""
-
-    def judge(owners: list[int], blobs: list[bytes]) -> list[tuple[int, bytes]]:
-        parts = [unblob(b, k) for b in blobs]
-        owner, h = np.repeat(np.array(owners), [x.shape[1] for x in parts]), np.concatenate(parts, axis=1)
-        many, lanes = h[0] & U64(1), [h[0] & ~U64(1), *h[1:]]
-        by = _order(lanes)
-        owner, many, lanes = owner[by], many[by], [x[by] for x in lanes]
-        first = equal_runs(*lanes)
-        size = np.diff(np.r_[first, len(by)])
-        more = np.repeat((size > 1) | (many[first] > 0), size)
-        return list(bucketed(owner[more], [x[more] for x in lanes]))
-
-    return judge
-
-
-def _among(lanes: list[np.ndarray], got: list[bytes]) -> np.ndarray:
-    """Whether each hash is one of those that came back."""
-    known = np.concatenate([unblob(b, len(lanes)) for b in got], axis=1) if got else np.zeros((len(lanes), 0), U64)
-    hit = np.zeros(len(lanes[0]), bool)
-    if not known.shape[1]:
-        return hit
-    known = known[:, _order(list(known))]
-    known = known[:, equal_runs(*known)]
-    h = lanes[0] & ~U64(1)
-    at = np.searchsorted(known[0], h)
-    for more in range(int(np.diff(np.r_[equal_runs(known[0]), known.shape[1]]).max())):
-        i = np.minimum(at + more, known.shape[1] - 1)
-        hit |= np.logical_and.reduce([known[0][i] == h, *(k[i] == x for k, x in zip(known[1:], lanes[1:], strict=True))])
-    return hit
-
-
 def substring_dedup(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, cover: tuple[int, ...] = COVER, carry: tuple[str, ...] = (), joined: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the text left), spans (first and last + 1 word of each removed run) of each row of docs(doc_id, text), and the columns of `carry`.
 
@@ -100,7 +52,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, c
         return h, fits & covered[at % period] & np.repeat(w.counts >= width, w.counts)
 
     def send(buckets, *lanes):
-        lanes = _distinct(*lanes)
+        lanes = distinct(*lanes)
         return list(bucketed(((lanes[0] >> U64(1)) % U64(buckets)).astype(np.int64), lanes))
 
     def anchors(block, rows, _, buckets):
@@ -115,7 +67,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, c
         w = words_of(rows)
         h, use = anchors_of(w)
         at = np.flatnonzero(use)
-        at = at[_among([h[at]], got)]
+        at = at[among([h[at]], got)]
         near = np.zeros(len(h) + 1, np.int32)
         np.add.at(near, np.maximum(at - period + 1, 0), 1)
         np.add.at(near, at + 1, -1)
@@ -127,7 +79,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, c
         data, offsets = utf8(rows["text"])
         w = Words(data, offsets)
         h, more, fits = windows_of(w)
-        at = np.flatnonzero(fits & _among([h, more], got)) if got else np.zeros(0, np.int64)
+        at = np.flatnonzero(fits & among([h, more], got)) if got else np.zeros(0, np.int64)
         gone = np.zeros(len(h) + 1, np.int32)
         np.add.at(gone, at, 1)
         np.add.at(gone, at + width, -1)
@@ -172,8 +124,8 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, c
     schema = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: long, end: long>>"
     if carry:
         schema += f", rest {docs.select(rest.alias('r')).schema['r'].dataType.simpleString()}"
-    again = blocks.judge(blocks.ask(anchors), _again(1))
-    found = blocks.finish(cut, blocks.judge(blocks.ask(extend, again), _again(2)), schema)
+    known = blocks.judge(blocks.ask(anchors), again(1))
+    found = blocks.finish(cut, blocks.judge(blocks.ask(extend, known), again(2)), schema)
     return found.select("doc_id", "n_words", "n_removed", "kept", "spans", *[F.col("rest")[c].alias(c) for c in carry]) if carry else found
 
 

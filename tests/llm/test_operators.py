@@ -193,6 +193,52 @@ def test_suffix_dedup(docs, texts):
         assert (r.n_bytes, r.n_removed) == (len(b), sum(gone))
 
 
+def test_identifiers_of_later_offsets_decide():
+    """An identifier of depth 2 h is made of those of depth h at 0 and h; a change anywhere in the depth changes it, one behind it doesn't."""
+    rng = np.random.default_rng(7)
+    data = rng.integers(97, 101, 400).astype(np.uint8)
+    eight, at = suffix_dedup.eights(data), np.arange(250)
+    for half in (8, 16, 32):
+        a, b = (suffix_dedup.identifiers(eight, at + k, half) for k in (0, half))
+        assert (suffix_dedup.identifiers(eight, at, 2 * half) == suffix_dedup.join(a, b)).all()
+    whole = suffix_dedup.identifiers(eight, at, 100)
+    for place in (0, 31, 32, 63, 64, 67, 68, 99, 100):
+        changed = data.copy()
+        changed[120 + place] = 120
+        differs = suffix_dedup.identifiers(suffix_dedup.eights(changed), at, 100) != whole
+        assert differs[120] == (place < 100) and differs.sum() == 100
+    same = {}
+    for i in at.tolist():
+        same.setdefault(data[i : i + 100].tobytes(), set()).add(int(whole[i]))
+    assert all(len(v) == 1 for v in same.values()) and len(same) == len(set(whole.tolist()))
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_suffix_dedup_null_and_repeated_ids(spark, copies):
+    """Of equal windows exactly one stays, whatever the doc_ids; overlapping repeats within a text too."""
+    rng = np.random.default_rng(11)
+    say = lambda n: "".join(rng.choice(list("abcd"), n))
+    part = say(150)
+    rows = [(None, say(50) + part), (None, part + say(80)), (3, part), (3, part + "x"), (3, say(300)), (1, None), (9, "ab" * 200), (9, part[20:] + say(10))] * copies
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, key int").repartition(3)
+    got = suffix_dedup.suffix_dedup(docs).collect()
+    assert len(got) == len(rows)
+    distinct = {t[k : k + 100] for _, t in rows if t for k in range(len(t) - 99)}
+    kept = sum(r.n_bytes - r.n_removed for r in got)
+    order = sorted({(i is not None, i or 0, suffix_dedup.xxhash.xxh3_64_intdigest((t or "").encode()) >> suffix_dedup.PLACE_BITS, t or "") for i, t in rows})
+    times = Counter((i is not None, i or 0, t or "") for i, t in rows)
+    seen, want = set(), 0
+    for some, i, _, t in order:
+        for _ in range(times[some, i, t]):
+            gone = bytearray(len(t))
+            for k in range(len(t) - 99):
+                if t[k : k + 100] in seen:
+                    gone[k : k + 100] = b"\1" * 100
+                seen.add(t[k : k + 100])
+            want += gone.count(0)
+    assert seen == distinct and kept == want
+
+
 def test_language_id(spark):
     rng = np.random.default_rng(1)
     stems = {"en": "the of and thing wh", "de": "der und sch keit ein", "fr": "les eau que ment oi", "es": "los que cion ado ez"}
