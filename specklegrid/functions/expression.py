@@ -154,7 +154,7 @@ def compile_node(n: Node, image: str = "image_id") -> tuple[Column, Column, Colu
     if n.kind == "image":
         return F.col(f"re{n.value}"), F.col(f"im{n.value}"), F.col(f"mask{n.value}")
     if n.kind in ("fft", "ifft"):
-        raise ExpressionError("fft and ifft need whole images")
+        raise ExpressionError(f"{n.kind} is taken of whole images, by evaluate()")
     if n.kind in ("posx", "posy", "posz", "mask", "set_mask") and is_scalar(n.args[0]):
         raise ExpressionError(f"{n.kind} takes an image")
     a, b, m = go(0)
@@ -207,7 +207,7 @@ def compile_node(n: Node, image: str = "image_id") -> tuple[Column, Column, Colu
         return (a * c + b * d) * by, (b * c - a * d) * by, m
     if n.kind == "^":
         if not is_scalar(n.args[1]):
-            raise ExpressionError("Can only exponentiate to a scalar power!")
+            raise ExpressionError("the exponent must be a number, not an image")
         ln = F.when(size > 0, F.log(size))
         grow, turn = F.exp(c * ln - d * angle), d * ln + c * angle
         at_zero = F.when((c == 0) & (d == 0), 1.0).otherwise(0.0)
@@ -223,6 +223,35 @@ def compile_node(n: Node, image: str = "image_id") -> tuple[Column, Column, Colu
     return bit(both[0] & both[1] if n.kind == "&&" else both[0] | both[1]), zero, m
 
 
+def _transformed(rows: DataFrame, n: Node, number: int) -> DataFrame:
+    """rows with the transform of a tree over them as variable `number`; all its pixels are measured. Each image is packed, transformed and unpacked."""
+    from ..model import unpack
+    from ..operators import fourier
+
+    if is_scalar(n.args[0]):
+        raise ExpressionError(f"{n.kind} takes an image")
+    a, b, _ = compile_node(n.args[0])
+    cells = rows.select("image_id", "i", "x", "y", "z", a.alias("re"), b.alias("im"))
+    side = lambda c: (F.max(c) + 1).cast("int")
+    c = F.array_sort(F.collect_list(F.struct("i", "re", "im"))).alias("c")
+    packed = cells.groupBy("image_id").agg(c, side("x").alias("nx"), side("y").alias("ny"), side("z").alias("nz"))
+    packed = packed.select("image_id", "nx", "ny", "nz", F.col("c.re").alias("re"), F.col("c.im").alias("im"), F.transform("c", lambda _: F.lit(1)).alias("mask"))
+    got = unpack(fourier.fft(packed) if n.kind == "fft" else fourier.ifft(packed))
+    return rows.join(got.select("image_id", "i", F.col("re").alias(f"re{number}"), F.col("im").alias(f"im{number}"), F.col("mask").alias(f"mask{number}")), ["image_id", "i"])
+
+
+def _without_transforms(rows: DataFrame, n: Node, number: int) -> tuple[DataFrame, Node, int]:
+    """The innermost transforms first become variables from `number` on."""
+    args = []
+    for x in n.args:
+        rows, x, number = _without_transforms(rows, x, number)
+        args.append(x)
+    n = Node(n.kind, tuple(args), n.value)
+    if n.kind not in ("fft", "ifft"):
+        return rows, n, number
+    return _transformed(rows, n, number), Node("image", value=number), number + 1
+
+
 def evaluate(text: str, *images: DataFrame) -> DataFrame:
     """The pixel table of an expression; images are pixel tables of equal image_id and index, zipped by an equi-join."""
     tree = parse(text)
@@ -233,6 +262,7 @@ def evaluate(text: str, *images: DataFrame) -> DataFrame:
     for k, px in enumerate(images):
         part = px.select("image_id", "i", *([] if k else ["x", "y", "z"]), F.col("re").alias(f"re{k}"), F.col("im").alias(f"im{k}"), F.col("mask").alias(f"mask{k}"))
         out = part if out is None else out.join(part, ["image_id", "i"])
+    out, tree, _ = _without_transforms(out, tree, len(images))
     a, b, m = compile_node(tree)
     return out.select("image_id", "i", "x", "y", "z", a.alias("re"), b.alias("im"), m.alias("mask"))
 

@@ -51,9 +51,9 @@ def linear_area(x: Column, first: float, last: float, over: float) -> Column:
 
 
 def gammas(beta: float, sigma: float = 0.1) -> tuple[float, float]:
-    """The difference map's two parameters for an expected noise sigma."""
-    s = sigma * sigma
-    return -(4 + (2 + beta) * s + beta * s * s) / (beta * (4 - s + s * s)), (6 - 2 * s + s * s) / (2 + s - s * s) if beta == 1 else (4 + (2 - beta) * s - beta * s * s) / (beta * (4 - s + s * s))
+    """The difference map's two parameters that are best for noise of sigma."""
+    s = min(sigma, 0.5)
+    return -(4 + (2 + beta) * s + beta * s * s) / (beta * (4 - s + s * s)), (3 - beta) / (2 * beta)
 
 
 def sphere_form_factor(q: Column, radius: float) -> Column:

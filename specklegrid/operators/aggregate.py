@@ -43,21 +43,27 @@ def r_factor(z: DataFrame, *by: Column | str) -> DataFrame:
 
 
 def regression(z: DataFrame, *by: str) -> DataFrame:
-    """b = slope * a + inter."""
-    return z.groupBy(*by).agg(F.regr_slope("b", "a").alias("slope"), F.regr_intercept("b", "a").alias("inter"))
+    """|b| = slope * |a| + inter."""
+    a, b = F.abs("a"), F.abs("b")
+    return z.groupBy(*by).agg(F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("inter"))
 
 
 def regression_scale(z: DataFrame, *by: str) -> DataFrame:
-    """b on the scale of a: moduli under the intercept become 0."""
-    fit = regression(z, *by)
-    x = z.join(fit, list(by))
-    return x.withColumn("scaled", F.when(F.abs("b") < F.col("inter"), 0.0).otherwise((F.col("b") - F.col("inter")) / F.nullif(F.col("slope"), F.lit(0.0))))
+    """b on the scale of a, by its modulus: what is under the intercept becomes 0, signs stay."""
+    x = z.join(regression(z, *by), list(by))
+    m = F.abs("b")
+    return x.withColumn("scaled", F.when((m < F.col("inter")) | (m == 0), 0.0).otherwise(F.col("b") * (m - F.col("inter")) / m / F.nullif(F.col("slope"), F.lit(0.0))))
 
 
 def correlation(z: DataFrame, *by: str) -> DataFrame:
     return z.groupBy(*by).agg(F.corr("a", "b").alias("r"))
 
 
+def inner_product(z: DataFrame, *by: str) -> DataFrame:
+    """Sum of a conj(b) over pixels of z(by..., re, im, re2, im2)."""
+    return z.groupBy(*by).agg(F.sum(F.col("re") * F.col("re2") + F.col("im") * F.col("im2")).alias("re"), F.sum(F.col("im") * F.col("re2") - F.col("re") * F.col("im2")).alias("im"))
+
+
 def histogram(df: DataFrame, value: str, width: float = 1.0) -> DataFrame:
     return df.groupBy(F.floor(F.col(value) / width).alias("bin")).agg(F.count("*").alias("n"))
 
@@ -90,9 +96,10 @@ def strip_background(px: DataFrame, top: Column, side: Column) -> DataFrame:
     return line_mean_subtract(line_mean_subtract(px, "x", top), "y", side)
 
 
-def box_signal(px: DataFrame, x: Column, y: Column, reach: int) -> DataFrame:
+def box_signal(px: DataFrame, x: Column, y: Column, reach: int, *keep: str) -> DataFrame:
+    """The sum in a box of each image; columns of `keep` are the same in all of an image's rows."""
     at = (F.abs(F.col("x") - x) <= reach) & (F.abs(F.col("y") - y) <= reach)
-    return px.groupBy("image_id").agg(F.sum(F.when(at, F.col("re")).otherwise(0.0)).alias("signal"))
+    return px.groupBy("image_id", *keep).agg(F.sum(F.when(at, F.col("re")).otherwise(0.0)).alias("signal"))
 
 
 def prtf(px: DataFrame, *by: str) -> DataFrame:
@@ -135,11 +142,13 @@ def sliding_correlation(z: DataFrame, by: str, order: str, width: int = 20) -> D
 
 
 def interpolate_missing(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
-    """A null becomes the mean of the nearest values before and after it; at an end the one there is."""
+    """A null becomes the mean of its left and right neighbour, left to right: a filled one counts as a left neighbour, a null on the right takes the left one; at the start the next value, where there is one.
+
+    In a gap that k nulls after value a end with b, the j-th one is a for j < k and (a + b) / 2 for the last.
+    """
     w = Window.partitionBy(by).orderBy(*order)
     before = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(value, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return df.withColumn("filled", F.coalesce(value, (before + after) / 2, before, after))
+    return df.withColumn("filled", F.coalesce(value, F.when(before.isNull(), F.lead(value).over(w)), (before + F.lead(value).over(w)) / 2, before))
 
 
 def decimate(df: DataFrame, by: str, order: list[str], samples: int = 20) -> DataFrame:

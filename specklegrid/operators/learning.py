@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLOOR = -50.0
@@ -25,10 +25,44 @@ def maximise(samples: DataFrame, p: DataFrame, back: DataFrame) -> DataFrame:
     return weighed.crossJoin(F.broadcast(n)).select("pixel", (F.col("w") / F.col("n_samples")).alias("mean"))  # one row
 
 
-def compress(samples: DataFrame) -> DataFrame:
-    """Samples with equal counts become one class: a key (pixels in order, with counts) and the number of samples. A sample's pixels are few, so the key is bounded."""
-    key = samples.groupBy("sample_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("idx", "n"))).cast("array<string>"), ";").alias("key"))
-    return key.groupBy("key").agg(F.count("*").alias("weight"), F.min("sample_id").alias("first"))
+def quarter_turns(idx: Column, side: int) -> list[Column]:
+    """The place of a pixel of a square image after 0 to 3 quarter turns."""
+    out = [idx]
+    for _ in range(3):
+        i = out[-1]
+        out.append(((side - 1 - F.floor(i / side)) + side * (i % side)).cast("int"))
+    return out
+
+
+def compress(samples: DataFrame, side: int | None = None) -> DataFrame:
+    """Samples with equal counts become one class: a key (pixels in order, with counts) and the number of samples. A sample's pixels are few, so the key is bounded. side: samples that are quarter turns of each other are equal; the key is the least of the four."""
+    turns = quarter_turns(F.col("idx"), side) if side else [F.col("idx")]
+    rows = samples.select("sample_id", "n", F.posexplode(F.array(*turns)).alias("turn", "at"))
+    key = rows.groupBy("sample_id", "turn").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", "n"))).cast("array<string>"), ";").alias("key"))
+    least = key.groupBy("sample_id").agg(F.min("key").alias("key"))
+    return least.groupBy("key").agg(F.count("*").alias("weight"), F.min("sample_id").alias("first"))
+
+
+def turned_references(model: DataFrame, side: int) -> tuple[DataFrame, DataFrame]:
+    """Of model(pixel, mean): reference(rot, idx, logp) in the four quarter turns, and back(rot, idx, pixel) from each to the model's pixel."""
+    total = model.agg(F.sum("mean").alias("total"))
+    p = model.crossJoin(F.broadcast(total)).withColumn("logp", F.when(F.col("mean") > 0, F.log(F.col("mean") / F.col("total"))).otherwise(FLOOR))  # one row
+    both = p.select("pixel", "logp", F.posexplode(F.array(*quarter_turns(F.col("pixel"), side))).alias("rot", "idx"))
+    return both.select("rot", "idx", "logp"), both.select("rot", "idx", "pixel")
+
+
+def emc(samples: DataFrame, model: DataFrame, side: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(model, responsibilities) after rounds of expectation and maximisation over the four quarter turns. Each round's model, a row a pixel, is kept by checkpoint where a folder is set."""
+    spark = samples.sparkSession
+    everywhere = model.select("pixel")
+    for _ in range(rounds):
+        reference, back = turned_references(model, side)
+        p = responsibilities(samples, reference)
+        mean = maximise(samples, p, back)
+        model = everywhere.join(mean, "pixel", "left").select("pixel", F.coalesce("mean", F.lit(0.0)).alias("mean"))
+        if spark.sparkContext.getCheckpointDir() is not None:
+            model = model.checkpoint()
+    return model, responsibilities(samples, turned_references(model, side)[0])
 
 
 def best_rotation(z: DataFrame) -> DataFrame:

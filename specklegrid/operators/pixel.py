@@ -16,9 +16,17 @@ def dephase(px: DataFrame) -> DataFrame:
     return px.withColumns({"re": modulus(), "im": F.lit(0.0)})
 
 
+# Products of numbers under PRIME stay within 63 bits.
+PRIME, MIX_A, MIX_B, MIX_C = 2147483647, 1103515245, 1597334677, 12345
+
+
 def uniform(seed: int, *columns: str) -> Column:
-    """A number in [0, 1) that depends on the seed and the columns alone, so partitioning doesn't matter."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    """A number in [0, 1) that depends on the seed and the columns alone, so partitioning doesn't matter: the columns are mixed modulo a prime, and the fifth power of that, which permutes it, spreads them."""
+    h = F.lit(seed).cast("long")
+    for c in columns:
+        h = (h * MIX_A + F.col(c).cast("long") % PRIME * MIX_B + MIX_C) % PRIME
+    square = h * h % PRIME
+    return ((square * square % PRIME) * h % PRIME) / F.lit(float(PRIME))
 
 
 def rephase(px: DataFrame, seed: int | None = None) -> DataFrame:
@@ -85,9 +93,9 @@ def radial_minimum_subtract(px: DataFrame, distance: Column, bins: int, most: fl
 
 
 def cap(px: DataFrame, share: float) -> DataFrame:
-    """Values over a share of the image's maximum become that share of it."""
-    most = F.max("re").over(Window.partitionBy("image_id"))
-    return px.withColumn("re", F.least("re", share * most))
+    """Moduli; those over a share of the image's largest become that share of it."""
+    most = F.max(modulus()).over(Window.partitionBy("image_id"))
+    return px.withColumns({"re": F.least(modulus(), share * most), "im": F.lit(0.0)})
 
 
 def bayer_channel(px: DataFrame, channel: str) -> DataFrame:
@@ -119,6 +127,13 @@ def reciprocal_ewald(px: DataFrame, nx: int, ny: int, pixel: float, length: floa
     return px.withColumns({"kx": rx / path / wavelength, "ky": ry / path / wavelength, "kz": (length / path - 1) / wavelength})
 
 
+def reciprocal_grid(px: DataFrame, center: tuple[float, float, float], pixel: float, length: float, wavelength: float) -> DataFrame:
+    """Coordinates of a three-dimensional grid around the centre, rounded to a whole pixel; y and z point the other way."""
+    k = pixel / (length * wavelength)
+    cx, cy, cz = (float(math.floor(c + 0.5)) for c in center)
+    return px.withColumns({"kx": (F.col("x") - cx) * k, "ky": (cy - F.col("y")) * k, "kz": (cz - F.col("z")) * k})
+
+
 def miller(px: DataFrame, stride_x: float, stride_y: float) -> DataFrame:
     return px.withColumns({"h": F.col("kx") / abs(stride_x), "k": F.col("ky") / abs(stride_y)})
 

@@ -122,14 +122,6 @@ def centrosymmetric(px: DataFrame, nx: int, ny: int) -> DataFrame:
     return x.withColumns({"re": F.coalesce(mean, F.lit(0.0)), "mask": F.greatest(ok1, ok2)}).drop("re2", "mask2")
 
 
-def interpolate_empty(px: DataFrame, nx: int, ny: int, rounds: int, sigma: float = 1.0, reach: int = 2) -> DataFrame:
-    """Not measured pixels become the Gaussian mean of their surroundings, `rounds` times; the rest stays."""
-    for _ in range(rounds):
-        blurred = gaussian_blur_direct(px, nx, ny, sigma, reach).withColumnRenamed("re", "b")
-        px = px.join(blurred, AT).withColumn("re", F.when(F.col("mask") == 0, F.col("b")).otherwise(F.col("re"))).drop("b")
-    return px
-
-
 def mesh_background(px: DataFrame, cell: int) -> DataFrame:
     """Adaptive-mesh background: the median of each cell is subtracted from its pixels."""
     w = Window.partitionBy("image_id", F.floor(F.col("x") / cell), F.floor(F.col("y") / cell))
@@ -146,16 +138,6 @@ def affine(x: Column, y: Column, dx: Column, dy: Column, zoom: Column, alpha: Co
     return u / w / zoom + dx, v / w / zoom + dy
 
 
-def stitch(px: DataFrame, frames: DataFrame, nx: int, ny: int, overlap: str = "first") -> DataFrame:
-    """frames(image_id, seq, dx, dy): whole-pixel placed images on one grid (x, y, re, n).
-
-    first: the image of least seq wins; sum: overlaps add up, n counts them.
-    """
-    at = px.join(frames, "image_id").select((F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "seq", "re")
-    value = F.min_by("re", "seq") if overlap == "first" else F.sum("re")
-    return at.groupBy("x", "y").agg(value.alias("re"), F.count("*").alias("n"))
-
-
 def line_distance(x: Column, y: Column, theta: Column) -> tuple[Column, Column]:
     """The nearest point of the line through the origin at angle theta."""
     t = x * F.cos(theta) + y * F.sin(theta)

@@ -1,11 +1,14 @@
-"""Queries that run the Fourier, phasing, geometry, learning and stream operators; SQL can't express their iterations or transforms."""
+"""Queries that run the Fourier, phasing, geometry, learning and stream operators. Transforms of the 8 x 8 images and single phasing steps carry SQL that sums directly; iterations are held against other checks in tests."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..model import images, pixels, unpack
+from ..functions import expression
+from ..model import PX, images, pixels, unpack
 from ..operators import fourier as FT
 from ..operators import geometry, learning, phasing
 from ..operators import pixel as P
@@ -20,25 +23,179 @@ def query(f):
     return f
 
 
-def _values(packed):
-    return unpack(packed).select("image_id", "i", F.round("re", 4).alias("re"), F.round("im", 4).alias("im"))
+def with_sql(name: str, sql: str, f) -> None:
+    QUERIES[name], ORACLE_SQL[name] = f, sql
+
+
+#: Values that are multiples of a power of two of 0.001 are divided by pi before they are rounded, so that none stands half-way.
+OFF = 1 / math.pi
+
+
+def _values(packed, digits: int = 4, by: float = 1.0):
+    return unpack(packed).select("image_id", F.col("i").cast("long").alias("i"), *[(F.round(F.col(c) * by, digits) + 0.0).alias(c) for c in ("re", "im")])
+
+
+def shown(re: str, im: str, digits: int = 4) -> str:
+    return f"image_id, i::BIGINT AS i, round({re}, {digits}) + 0.0 AS re, round({im}, {digits}) + 0.0 AS im"
+
+
+# ---- direct sums: K counts frequencies (or places), TURN is the angle between place i and frequency k
+
+K = "(SELECT unnest(range(64)) AS k)"
+TURN = f"({2 * math.pi!r} * ((i % 8) * (k % 8) + (i // 8) * (k // 8)) / 8.0)"
+KX, KY = "(CASE WHEN k % 8 < 4 THEN k % 8 ELSE k % 8 - 8 END)", "(CASE WHEN k // 8 < 4 THEN k // 8 ELSE k // 8 - 8 END)"
+K2 = f"({KX} * {KX} + {KY} * {KY})"
+
+
+def forward(source: str = "px", name: str = "f", re: str = "re", im: str = "0.0", sign: int = -1) -> str:
+    """A CTE of the transform of (image_id, i, re, im)."""
+    turn = f"({sign} * {TURN})"
+    return f"{name} AS (SELECT image_id, k, sum(({re}) * cos{turn} - ({im}) * sin{turn}) AS fr, sum(({re}) * sin{turn} + ({im}) * cos{turn}) AS fi FROM {source}, {K} GROUP BY image_id, k)"
+
+
+def back(source: str, name: str, fr: str = "fr", fi: str = "fi") -> str:
+    """A CTE of the inverse transform (divided by the pixels) of (image_id, k, fr, fi)."""
+    return f"{name} AS (SELECT image_id, i, sum(({fr}) * cos{TURN} - ({fi}) * sin{TURN}) / 64 AS re, sum(({fr}) * sin{TURN} + ({fi}) * cos{TURN}) / 64 AS im FROM {source}, (SELECT unnest(range(64)) AS i) GROUP BY image_id, i)"
+
 
+def filtered(hr: str, hi: str = "0.0", re: str = "re", im: str = "im", digits: int = 4) -> str:
+    return f"WITH {PX}, {forward()}, {back('f', 'g', f'fr * ({hr}) - fi * ({hi})', f'fr * ({hi}) + fi * ({hr})')} SELECT {shown(re, im, digits)} FROM g"
 
-for _name, _f in {
-    "fft_forward": FT.fft, "fft_inverse": FT.ifft, "patterson": FT.patterson, "gaussian_blur": lambda p: FT.gaussian_blur(p, 1.0), "roughness": FT.roughness, "low_pass": lambda p: FT.band(p, 2.0),
-    "high_pass": lambda p: FT.band(p, 2.0, "high"), "propagate": lambda p: FT.propagate(p, 1e-3, 1e-9, 1e-6), "fourier_rescale": lambda p: FT.fourier_rescale(p, 16, 16), "tv_denoise": lambda p: FT.tv_denoise(p, rounds=20),
-}.items():
-    QUERIES[_name] = lambda spark, sf_dir, f=_f: _values(f(images(spark, sf_dir)))
+
+def _over(f, digits: int = 4, by: float = 1.0):
+    return lambda spark, sf_dir: _values(f(images(spark, sf_dir)), digits, by)
+
+
+PLACES = "(SELECT image_id, k AS i, fr, fi FROM f)"
+with_sql("fft_forward", f"WITH {PX}, {forward()} SELECT {shown('fr', 'fi')} FROM {PLACES}", _over(FT.fft))
+with_sql("fft_inverse", f"WITH {PX}, {forward(sign=1)} SELECT {shown('fr', 'fi')} FROM {PLACES}", _over(FT.ifft))
+with_sql("patterson", f"WITH {PX}, {forward(re='abs(re)')} SELECT {shown('sqrt(fr * fr + fi * fi)', '0.0::DOUBLE')} FROM {PLACES}", _over(FT.patterson))
+with_sql("gaussian_blur", filtered(f"exp({-2 * math.pi**2!r} * {K2} / 64.0)"), _over(lambda p: FT.gaussian_blur(p, 1.0)))
+with_sql("low_pass", filtered(f"CASE WHEN {K2} <= 4 THEN 1 ELSE 0 END"), _over(lambda p: FT.band(p, 2.0)))
+with_sql("high_pass", filtered(f"CASE WHEN {K2} > 4 THEN 1 ELSE 0 END"), _over(lambda p: FT.band(p, 2.0, "high")))
+_P = f"({1e-3 * 1e-9 / (4 * math.pi) * (2 * math.pi / 1e-6) ** 2!r} * {K2} / 64.0)"
+with_sql("propagate", filtered(f"cos{_P}", f"sin{_P}"), _over(lambda p: FT.propagate(p, 1e-3, 1e-9, 1e-6)))
+_ROUGH = f"WITH {PX}, {forward()}, {back('f', 'g', f'fr * exp({-8 * math.pi**2!r} * {K2} / 64.0)', f'fi * exp({-8 * math.pi**2!r} * {K2} / 64.0)')}"
+with_sql("roughness", f"{_ROUGH} SELECT image_id, g.i::BIGINT AS i, round(least(abs(g.re - px.re) / abs(g.re), 100), 3) AS re FROM g JOIN px USING (image_id, i)",
+         lambda spark, sf_dir: unpack(FT.roughness(images(spark, sf_dir))).select("image_id", F.col("i").cast("long").alias("i"), F.round(F.least("re", F.lit(100.0)), 3).alias("re")))
+_WIDE = f"({2 * math.pi!r} * ((i % 16) * {KX} + (i // 16) * {KY}) / 16.0)"
+with_sql("fourier_rescale", f"WITH {PX}, {forward()} SELECT {shown(f'sum(fr * cos{_WIDE} - fi * sin{_WIDE}) / 64 * {OFF!r}', f'sum(fr * sin{_WIDE} + fi * cos{_WIDE}) / 64 * {OFF!r}')} FROM f, (SELECT unnest(range(256)) AS i) GROUP BY image_id, i", _over(lambda p: FT.fourier_rescale(p, 16, 16), by=OFF))
+QUERIES["tv_denoise"] = _over(lambda p: FT.tv_denoise(p, rounds=20))
 
 
 def _next(p):
     return p.withColumn("image_id", F.col("image_id") - 1)
 
 
-@query
-def cross_correlation(spark, sf_dir):
-    p = images(spark, sf_dir)
-    return _values(FT.correlate(p, _next(p)))
+_SUM = "WITH {px} SELECT a.image_id, k::BIGINT AS i, round(sum(a.re * b.embedding[1 + {at}]::DOUBLE) * {off!r}, 2) + 0.0 AS re FROM px a JOIN {k} ON true JOIN (SELECT vec_id AS image_id, list_transform(embedding, lambda v: round(v::DOUBLE * 1000, 3)) AS embedding FROM embeddings WHERE len(embedding) = 64) b ON b.image_id = a.image_id + 1 GROUP BY a.image_id, k"
+_BACK, _FOLD = "((x - k % 8 + 8) % 8 + 8 * ((y - k // 8 + 8) % 8))::INT", "((k % 8 - x + 8) % 8 + 8 * ((k // 8 - y + 8) % 8))::INT"
+
+
+def _re(packed):
+    return unpack(packed).select("image_id", F.col("i").cast("long").alias("i"), (F.round(F.col("re") * OFF, 2) + 0.0).alias("re"))
+
+
+def _correlated(convolve):
+    def run(spark, sf_dir):
+        p = images(spark, sf_dir)
+        return _re(FT.correlate(p, _next(p), convolve))
+
+    return run
+
+
+with_sql("cross_correlation", _SUM.format(px=PX, k=K, at=_BACK, off=OFF), _correlated(False))
+with_sql("convolution", _SUM.format(px=PX, k=K, at=_FOLD, off=OFF), _correlated(True))
+
+_HOLE = "CASE WHEN sqrt((x - 3.5) * (x - 3.5) + (y - 3.5) * (y - 3.5)) < 1.5 THEN 0 ELSE 1 END"
+_GAUSS = f"exp({-2 * math.pi**2!r} * {K2} / 64.0)"
+
+
+def _filled(rounds: int, start: str) -> str:
+    ctes = [PX, f"h AS (SELECT image_id, i, re, {_HOLE} AS m FROM px)", f"r0 AS (SELECT image_id, i, m, re AS v, CASE WHEN m = 0 THEN {start} ELSE re END AS re FROM h)"]
+    for n in range(rounds):
+        new = f"r{n + 1} AS (SELECT image_id, i, r{n}.m, r{n}.v, CASE WHEN r{n}.m = 0 THEN g{n}.re ELSE r{n}.v END AS re FROM r{n} JOIN g{n} USING (image_id, i))"
+        ctes += [forward(f"r{n}", f"f{n}"), back(f"f{n}", f"g{n}", f"fr * {_GAUSS}", f"fi * {_GAUSS}"), new]
+    return f"WITH {', '.join(ctes)} SELECT image_id, i::BIGINT AS i, round(re, 4) + 0.0 AS re FROM r{rounds}"
+
+
+def _holes(spark, sf_dir):
+    hole = F.transform("mask", lambda m, i: F.when(F.hypot(i % 8 - 3.5, F.floor(i / 8) - 3.5) < 1.5, 0).otherwise(1))
+    return images(spark, sf_dir).withColumn("mask", hole)
+
+
+def _real(packed):
+    return unpack(packed).select("image_id", F.col("i").cast("long").alias("i"), (F.round("re", 4) + 0.0).alias("re"))
+
+
+with_sql("interpolate_empty", _filled(3, "re"), lambda spark, sf_dir: _real(FT.interpolate_blanks(_holes(spark, sf_dir), 1.0, 3)))
+with_sql("localised_blur", _filled(2, "0.0"), lambda spark, sf_dir: _real(FT.localised_blur(_holes(spark, sf_dir), 1.0, 2)))
+QUERIES["interpolate_sinc"] = lambda spark, sf_dir: _real(FT.interpolate_blanks(_holes(spark, sf_dir), 2.0, 20, "sinc"))
+_R2 = "(pow(CASE WHEN x < 4 THEN x ELSE x - 8 END, 2) + pow(CASE WHEN y < 4 THEN y ELSE y - 8 END, 2))"
+with_sql("autocorrelation_filter", f"WITH {PX} SELECT image_id, i::BIGINT AS i, round(re * CASE WHEN {_R2} < 16 THEN pow({_R2} / 16, 2) * exp(2 - {_R2} / 8) ELSE 1 END, 4) + 0.0 AS re FROM px", lambda spark, sf_dir: _real(FT.autocorrelation_filter(images(spark, sf_dir), 2.0)))
+
+
+def _expression(text: str):
+    def run(spark, sf_dir):
+        x = expression.evaluate(text, pixels(spark, sf_dir))
+        return x.select("image_id", F.col("i").cast("long").alias("i"), *[(F.round(F.col(c) * OFF, 3) + 0.0).alias(c) for c in ("re", "im")])
+
+    return run
+
+
+with_sql("expr_fft", f"WITH {PX}, {forward()} SELECT {shown(f'(sqrt(fr * fr + fi * fi) + 2) * {OFF!r}', '0.0::DOUBLE', 3)} FROM {PLACES}", _expression("abs(fft(A)) + 2"))
+with_sql("expr_fft_filter", f"WITH {PX}, {forward()}, t AS (SELECT image_id, k, CASE WHEN k % 8 < 4 THEN fr ELSE 0 END AS fr, CASE WHEN k % 8 < 4 THEN fi ELSE 0 END AS fi FROM f), {back('t', 'g')} SELECT {shown(f're * {OFF!r}', f'im * {OFF!r}', 3)} FROM g", _expression("ifft(fft(A) * (posx < 4)) / 64"))
+
+
+# ---- one step of each algorithm from x = (i % 3 + 1) re, against amplitudes |F(re)|, in the support x < 5 and y < 5
+
+_INSIDE = "(x < 5 AND y < 5)"
+_STEP = f"WITH {PX}, x0 AS (SELECT image_id, i, x, y, re * (i % 3 + 1) AS re FROM px), {forward('px', 'm')}, {forward('x0', 'f')}"
+_ONTO = "u AS (SELECT image_id, k, f.fr * sqrt(m.fr * m.fr + m.fi * m.fi) / sqrt(f.fr * f.fr + f.fi * f.fi) AS fr, f.fi * sqrt(m.fr * m.fr + m.fi * m.fi) / sqrt(f.fr * f.fr + f.fi * f.fi) AS fi FROM f JOIN m USING (image_id, k))"
+_P_AND_X = f"p AS (SELECT image_id, i, x0.x, x0.y, x0.re AS a, 0.0 AS b, g.re AS pr, g.im AS pi FROM g JOIN x0 USING (image_id, i))"
+
+
+def _step_sql(re: str, im: str) -> str:
+    return f"{_STEP}, {_ONTO}, {back('u', 'g')}, {_P_AND_X} SELECT {shown(re, im, 3)} FROM p"
+
+
+_ELSE = lambda inside, outside: f"CASE WHEN {_INSIDE} THEN {inside} ELSE {outside} END"
+_B = 0.9
+_FAR = "2 * pr - a"
+_STEPS = {
+    "er": (_ELSE("pr", "0"), _ELSE("pi", "0")),
+    "hio": (_ELSE("pr", f"a - {_B} * pr"), _ELSE("pi", f"-{_B} * pi")),
+    "raar": (_ELSE("pr", f"{1 - 2 * _B!r} * pr + {_B} * a"), _ELSE("pi", f"{1 - 2 * _B!r} * pi")),
+    "hpr": tuple(f"CASE WHEN {_INSIDE} AND sqrt(pow(2 * pr - a, 2) + pow(2 * pi, 2)) >= {1 - _B!r} * sqrt(pr * pr + pi * pi) THEN {v} ELSE {w} END" for v, w in (("pr", f"a - {_B} * pr"), ("pi", f"-{_B} * pi"))),
+}
+_MOST = "max(sqrt(pr * pr + pi * pi)) OVER (PARTITION BY image_id)"
+_STEPS["cflip"] = tuple(f"CASE WHEN sqrt(pr * pr + pi * pi) < 0.05 * {_MOST} THEN -{v} ELSE {v} END" for v in ("pr", "pi"))
+_IS_FAR = f"(sqrt(pow(pr - a, 2) + pi * pi) > 0.05 * {_MOST})"
+_STEPS["espresso"] = (f"CASE WHEN {_IS_FAR} AND pr > 0 THEN pr ELSE 0 END + CASE WHEN {_IS_FAR} THEN 0 ELSE a END - {_B} * pr", f"CASE WHEN {_IS_FAR} AND pr > 0 THEN pi ELSE 0 END - {_B} * pi")
+
+
+def _one_step(algorithm):
+    def run(spark, sf_dir):
+        p = images(spark, sf_dir)
+        runs = p.select(
+            "image_id", F.lit(0).alias("seed"), "nx", "ny", "nz", "re", "mask", F.transform("re", lambda v, i: v * (i % 3 + 1)).alias("x"),
+            F.transform("re", lambda v, i: F.when((i % 8 < 5) & (i < 40), 1).otherwise(0)).alias("support"),
+        )
+        amplitudes = FT.per_image(p, lambda v, m: (np.abs(FT.fftn(v)) + 0j, m)).select("image_id", F.col("re").alias("amplitude"))
+        runs = runs.drop("re").join(amplitudes, "image_id").select("image_id", "seed", "nx", "ny", "nz", "amplitude", "mask", F.col("x").alias("re"), F.transform("x", lambda v: F.lit(0.0)).alias("im"), "support", F.lit(0).alias("iteration"), F.lit("{}").alias("state"))
+        return _values(phasing.advance(runs, phasing.Settings(algorithm=algorithm, beta=_B), 1).select("image_id", "nx", "ny", "nz", "re", "im", "mask"), 3)
+
+    return run
+
+
+for _a, (_r, _i) in _STEPS.items():
+    with_sql(f"step_{_a}", _step_sql(_r, _i), _one_step(_a))
+_G1, _G2 = -(4 + 2.9 * 0.1 + 0.9 * 0.01) / (0.9 * (4 - 0.1 + 0.01)), 2.1 / 1.8
+_DM = _STEP.replace(forward("x0", "f"), f"{forward('x0', 'f')}, w0 AS (SELECT image_id, i, {_ELSE('re', f'{-_G1!r} * re')} AS re FROM x0), {forward('w0', 'f1')}")
+_ONTO1 = _ONTO.replace("u AS", "u1 AS").replace("FROM f JOIN", "FROM f1 AS f JOIN")
+with_sql(
+    "step_dm", f"{_DM}, {_ONTO}, {_ONTO1}, {back('u', 'g')}, {back('u1', 'g1')}, {_P_AND_X} SELECT "
+    + shown(f"a + 0.9 * ({_ELSE(f'{1 + _G2!r} * pr - {_G2!r} * a', '0')} - g1.re)", f"0.9 * ({_ELSE(f'{1 + _G2!r} * pi', '0')} - g1.im)", 3) + " FROM p JOIN g1 USING (image_id, i)", _one_step("dm"),
+)
 
 
 @query
@@ -49,7 +206,7 @@ def superimpose(spark, sf_dir):
 
 def _start(spark, sf_dir, seeds=2):
     p = images(spark, sf_dir).withColumn("re", F.transform("re", lambda v: F.abs(v)))
-    amplitudes = FT.per_image(p, lambda v, m: (np.abs(np.fft.fftn(v)) + 0j, np.ones_like(m)))
+    amplitudes = FT.per_image(p, lambda v, m: (np.abs(FT.fftn(v)) + 0j, np.ones_like(m)))
     support = p.select("image_id", F.transform("re", lambda v, i: F.when((i % 8 < 5) & (i < 40), 1).otherwise(0)).alias("support"))
     return phasing.start(amplitudes, support, seeds)
 
@@ -64,14 +221,19 @@ def phasing_shrinking_support(spark, sf_dir):
     return phasing.advance(_start(spark, sf_dir, 1), o, 20, logs=True).select("image_id", "seed", "iteration", "sup_size")
 
 
-@query
-def random_phases(spark, sf_dir):
-    return P.rephase(pixels(spark, sf_dir), seed=5).select("image_id", "i", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
+def uniform_sql(seed: int, *columns: str) -> str:
+    """pixel.uniform in SQL."""
+    h = f"{seed}::BIGINT"
+    for c in columns:
+        h = f"((({h}) * {P.MIX_A} + ({c})::BIGINT % {P.PRIME} * {P.MIX_B} + {P.MIX_C}) % {P.PRIME})"
+    return f"(SELECT (((h * h % {P.PRIME}) * (h * h % {P.PRIME}) % {P.PRIME}) * h % {P.PRIME}) / {float(P.PRIME)!r} FROM (SELECT ({h})::BIGINT AS h))"
 
 
-@query
-def added_noise(spark, sf_dir):
-    return P.add_noise(pixels(spark, sf_dir), 0.1).select("image_id", "i", F.round("re", 6).alias("re"))
+_U = uniform_sql(5, "image_id", "i")
+with_sql("random_phases", f"WITH {PX} SELECT image_id, i::BIGINT AS i, round(abs(re) * cos({2 * math.pi!r} * u), 4) + 0.0 AS re, round(abs(re) * sin({2 * math.pi!r} * u), 4) + 0.0 AS im FROM (SELECT *, {_U} AS u FROM px)",
+         lambda spark, sf_dir: P.rephase(pixels(spark, sf_dir), seed=5).select("image_id", F.col("i").cast("long").alias("i"), (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im")))
+with_sql("added_noise", f"WITH {PX} SELECT image_id, i::BIGINT AS i, round(re * (1 + 0.1 * sqrt(-2 * ln(1 - u)) * cos({2 * math.pi!r} * w)), 4) + 0.0 AS re FROM (SELECT *, {uniform_sql(0, 'image_id', 'i')} AS u, {uniform_sql(1, 'image_id', 'i')} AS w FROM px)",
+         lambda spark, sf_dir: P.add_noise(pixels(spark, sf_dir), 0.1).select("image_id", F.col("i").cast("long").alias("i"), (F.round("re", 4) + 0.0).alias("re")))
 
 
 @query
@@ -86,10 +248,12 @@ def incremental_pca(spark, sf_dir):
     return learning.incremental_pca(x, "label", "image_id", "re").select("label", "component", F.round("value", 4).alias("value"))
 
 
-@query
 def gtm_step(spark, sf_dir):
-    centres = np.random.default_rng(3).normal(size=(6, 64)) * 100
-    return learning.gtm_step(images(spark, sf_dir).select(F.col("re").alias("v")), centres, 1e-4).select("k", F.round("w", 4).alias("w"))
+    centres = 100 * np.sin(7.0 * np.arange(6)[:, None] + 3.0 * np.arange(64)[None, :])
+    return learning.gtm_step(images(spark, sf_dir).select(F.col("re").alias("v")), centres, 1e-4).select(F.col("k").cast("long").alias("k"), F.round("w", 4).alias("w"))
+
+
+with_sql("gtm_step", f"WITH {PX}, d AS (SELECT image_id, k, sum(pow(re - 100 * sin(7.0 * k + 3.0 * i), 2)) AS d FROM px, (SELECT unnest(range(6)) AS k) GROUP BY image_id, k), e AS (SELECT image_id, k, exp(-0.5e-4 * (d - min(d) OVER (PARTITION BY image_id))) AS e FROM d) SELECT k::BIGINT AS k, round(sum(r), 4) AS w FROM (SELECT k, e / sum(e) OVER (PARTITION BY image_id) AS r FROM e) GROUP BY k", gtm_step)
 
 
 @query
@@ -98,19 +262,22 @@ def sample_compression(spark, sf_dir):
     return learning.compress(px.select(F.col("image_id").alias("sample_id"), F.col("i").alias("idx"), F.floor(F.abs("re") / 250).cast("int").alias("n"))).select("key", "weight", "first")
 
 
-@query
 def geometry_solve(spark, sf_dir):
-    """Frames turned by a known angle, whose control points lie on two radial lines: the solver finds it again."""
-    import math
-
+    """A system for each user of `events`: two frames, the second turned by an angle that follows from the number; control points lie on two radial lines, and the solver finds the angle again."""
+    turn = (F.col("user_id") % 40 - 20) / 100.0
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("system"), turn.alias("turn")).distinct()
+    none = {"dx": 0.0, "dy": 0.0, "zoom": 1.0, "alpha": 0.0, "theta": 0.0}
     rows = []
-    for system, turn in enumerate((0.1, -0.2)):
-        for frame in (0, 1):
-            rows.append((system, "frame", frame, "", "", 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, ""))
-            for c, angle in (("a", 0.5), ("b", 1.4)):
-                for r in (2.0, 5.0):
-                    t = angle - (turn if frame else 0.0)
-                    rows.append((system, "point", frame, c, "line", r * math.cos(t), r * math.sin(t), 0.0, 0.0, 1.0, 0.0, 0.0, ""))
-        rows.append((system, "variable", 1, "", "", 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, "theta"))
-    df = spark.createDataFrame(rows, "system long, kind string, frame long, constraint string, shape string, x double, y double, dx double, dy double, zoom double, alpha double, theta double, name string")
-    return geometry.solve_systems(df).select("system", "frame", F.round("theta", 4).alias("theta"), F.round("rms", 6).alias("rms"))
+    for frame in (0, 1):
+        rows.append(F.struct(*[F.lit(v).alias(c) for c, v in (("kind", "frame"), ("frame", frame), ("constraint", ""), ("shape", ""))], F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit("").alias("name")))
+        for c, angle in (("a", 0.5), ("b", 1.4)):
+            for r in (2.0, 5.0):
+                t = F.lit(angle) - (F.col("turn") if frame else F.lit(0.0))
+                rows.append(F.struct(*[F.lit(v).alias(k) for k, v in (("kind", "point"), ("frame", frame), ("constraint", c), ("shape", "line"))], (r * F.cos(t)).alias("x"), (r * F.sin(t)).alias("y"), F.lit("").alias("name")))
+    rows.append(F.struct(*[F.lit(v).alias(c) for c, v in (("kind", "variable"), ("frame", 1), ("constraint", ""), ("shape", ""))], F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit("theta").alias("name")))
+    df = users.select("system", F.explode(F.array(*rows)).alias("r")).select("system", "r.kind", F.col("r.frame").cast("long").alias("frame"), "r.constraint", "r.shape", "r.x", "r.y", *[F.lit(v).alias(c) for c, v in none.items()], "r.name")
+    found = geometry.solve_systems(df)
+    return found.select("system", F.col("frame").cast("long").alias("frame"), (F.round("theta", 4) + 0.0).alias("theta"), (F.round("rms", 5) + 0.0).alias("rms"))
+
+
+with_sql("geometry_solve", "SELECT DISTINCT user_id AS system, frame::BIGINT AS frame, round(CASE WHEN frame = 1 THEN (user_id % 40 - 20) / 100.0 ELSE 0 END, 4)::DOUBLE + 0.0 AS theta, 0.0::DOUBLE AS rms FROM events, (SELECT unnest([0, 1]) AS frame)", geometry_solve)

@@ -54,6 +54,7 @@ def simple(name: str, make, sql_re: str, *, sql_im: str | None = None, sql_mask:
 
 
 W = "OVER (PARTITION BY image_id)"
+AT = "round(e.embedding[({at})::INT + 1]::DOUBLE * 1000, 3)"  # a value of the same image, read from its array
 BIN = f"least(floor({SQL_D} * 4 / {MOST!r}), 3)"
 simple("dephase", P.dephase, "abs(re)", sql_im="0.0::DOUBLE")
 simple("to_amplitudes", P.to_amplitudes, "sqrt(greatest(re, 0))")
@@ -62,7 +63,7 @@ simple("background_constant", lambda p: P.background_constant(p, 50.0), "greates
 simple("normalise", lambda p: P.normalise(P.to_intensities(p)), f"re * re / nullif(sum(re * re) {W}, 0)")
 simple("fermi_high_pass", lambda p: P.fermi_high_pass(P.draw_mask(p, F.lit(True), 0), 3.0, 0.25, D()), f"re * (1 - 1 / (1 + exp(({SQL_D} - 3.0) / 0.25)))", sql_mask=f"CASE WHEN 1 - 1 / (1 + exp(({SQL_D} - 3.0) / 0.25)) < 1e-4 THEN 1 ELSE 0 END")
 simple("radial_minimum_subtract", lambda p: P.radial_minimum_subtract(p, D(), 4, MOST), f"re - min(abs(re)) OVER (PARTITION BY image_id, {BIN})")
-simple("cap_display", lambda p: P.cap(p, 0.15), f"least(re, 0.15 * max(re) {W})")
+simple("cap_display", lambda p: P.cap(p, 0.15), f"least(abs(re), 0.15 * max(abs(re)) {W})")
 simple("bayer_green", lambda p: P.bayer_channel(p, "green"), "re", source="(SELECT image_id, x // 2 AS x, y // 2 AS y, re FROM px WHERE x % 2 = 0 AND y % 2 = 1)")
 simple("solid_angle_stretch", lambda p: P.solid_angle_stretch(p, D(), 0.01, 0.1), f"re / pow(cos(atan({SQL_D} * 0.01 / 0.1)), 3)")
 simple("resolution_map", lambda p: p.withColumn("re", P.resolution(D(), 0.01, 0.1, 0.5)), f"2 * sin(atan({SQL_D} * 0.01 / 0.1) / 2) / 0.5")
@@ -71,7 +72,7 @@ simple("reciprocal_ewald", lambda p: P.reciprocal_ewald(p, 8, 8, 0.01, 0.1, 0.5)
        "(x - 3.5) * 0.01 / sqrt(pow((x - 3.5) * 0.01, 2) + pow((y - 3.5) * 0.01, 2) + 0.01) / 0.5", sql_im="(0.1 / sqrt(pow((x - 3.5) * 0.01, 2) + pow((y - 3.5) * 0.01, 2) + 0.01) - 1) / 0.5")
 simple("charge_flip", lambda p: P.charge_flip(p, 0.2), f"CASE WHEN abs(re) < 0.2 * max(abs(re)) {W} THEN -re ELSE re END")
 simple("phase_image", P.phase, "atan2(0.0, re)")
-simple("mirror_subtract", lambda p: P.mirror_subtract(p, 8), "CASE WHEN x < 4 THEN re - o ELSE 0 END", source="(SELECT a.*, b.re AS o FROM px a JOIN px b ON a.image_id = b.image_id AND a.y = b.y AND b.x = 7 - a.x)")
+simple("mirror_subtract", lambda p: P.mirror_subtract(p, 8), "CASE WHEN x < 4 THEN re - o ELSE 0 END", source=f"(SELECT px.*, {AT.format(at='8 * y + 7 - x')} AS o FROM px JOIN embeddings e ON e.vec_id = image_id)")
 simple("fresnel_phase", lambda p: P.fresnel_phase(p, 2.0, 0.5, F.col("x") - 3.5, F.col("y") - 3.5), f"re * cos({2.0 * 0.5 / (4 * math.pi)!r} * {SQL_D} * {SQL_D})", sql_im=f"re * sin({2.0 * 0.5 / (4 * math.pi)!r} * {SQL_D} * {SQL_D})")
 simple("mask_overexposed", lambda p: P.mask_overexposed(p, 100.0), "CASE WHEN re >= 100 THEN 0 ELSE re END", sql_mask="CASE WHEN re >= 100 THEN 0 ELSE 1 END")
 simple("mask_saturated", lambda p: P.mask_overexposed(p, 100.0, clear=False), "re", sql_mask="CASE WHEN abs(re) > 100 THEN 0 ELSE 1 END")
@@ -91,8 +92,10 @@ simple("translate_in_fourier", lambda p: N.translate_in_fourier(p, 8, 8, 1.5, 0.
 NEAR = "near AS (SELECT p.image_id, (p.x + a - 1 + 8) % 8 AS x, (p.y + b - 1 + 8) % 8 AS y, a - 1 AS dx, b - 1 AS dy, p.re AS v FROM px p, (SELECT unnest(range(3)) AS a) A, (SELECT unnest(range(3)) AS b) B)"
 simple("box_blur", lambda p: N.box_blur(p, 8, 8, 1), "re", ctes=NEAR, source="(SELECT image_id, x, y, avg(v) AS re FROM near GROUP BY ALL)")
 simple("gaussian_blur_direct", lambda p: N.gaussian_blur_direct(p, 8, 8, 1.0, 1), "re", ctes=NEAR, source="(SELECT image_id, x, y, sum(exp(-(dx * dx + dy * dy) / 2.0) * v) / sum(exp(-(dx * dx + dy * dy) / 2.0)) AS re FROM near GROUP BY image_id, x, y)")
-simple("min3x3_filter", lambda p: N.zero_near_negative(p.withColumn("re", F.col("re") + 150), 8, 8), "CASE WHEN least < 0 THEN 0 ELSE re + 150 END", ctes=NEAR, source="(SELECT px.*, n.least FROM px JOIN (SELECT image_id, x, y, min(v + 150) AS least FROM near GROUP BY image_id, x, y) n USING (image_id, x, y))")
-simple("centrosym_average", lambda p: N.centrosymmetric(P.mask_overexposed(p, 100.0, clear=False), 8, 8), "CASE WHEN m1 + m2 = 0 THEN 0 ELSE (re * m1 + o * m2) / (m1 + m2) END", sql_mask="greatest(m1, m2)", source="(SELECT a.image_id, a.x, a.y, a.re, b.re AS o, CASE WHEN abs(a.re) > 100 THEN 0 ELSE 1 END AS m1, CASE WHEN abs(b.re) > 100 THEN 0 ELSE 1 END AS m2 FROM px a JOIN px b ON a.image_id = b.image_id AND b.x = 7 - a.x AND b.y = 7 - a.y)")
+NINE = ", ".join(AT.format(at=f"((x + {a}) % 8) + 8 * ((y + {b}) % 8)") for a in (7, 0, 1) for b in (7, 0, 1))
+simple("min3x3_filter", lambda p: N.zero_near_negative(p.withColumn("re", F.col("re") + 150), 8, 8), "CASE WHEN least + 150 < 0 THEN 0 ELSE re + 150 END", source=f"(SELECT px.*, least({NINE}) AS least FROM px JOIN embeddings e ON e.vec_id = image_id)")
+_PAIR = f"(SELECT image_id, x, y, re, o, CASE WHEN abs(re) > 100 THEN 0 ELSE 1 END AS m1, CASE WHEN abs(o) > 100 THEN 0 ELSE 1 END AS m2 FROM (SELECT px.*, {AT.format(at='63 - i')} AS o FROM px JOIN embeddings e ON e.vec_id = image_id))"
+simple("centrosym_average", lambda p: N.centrosymmetric(P.mask_overexposed(p, 100.0, clear=False), 8, 8), "CASE WHEN m1 + m2 = 0 THEN 0 ELSE (re * m1 + o * m2) / (m1 + m2) END", sql_mask="greatest(m1, m2)", source=_PAIR)
 simple("mesh_background", lambda p: N.mesh_background(p, 4), "re - m", source="(SELECT px.*, quantile_cont(re, 0.5) OVER (PARTITION BY image_id, x // 4, y // 4) AS m FROM px)")
 simple("row_median_removal", lambda p: G.row_median_subtract(p, F.floor(F.col("x") / 4)), "re - m", source="(SELECT px.*, quantile_cont(re, 0.5) OVER (PARTITION BY image_id, x // 4, y) AS m FROM px)")
 simple("column_line_removal", lambda p: G.line_mean_subtract(p, "x", F.col("y") < 3), "re - m", source="(SELECT px.*, avg(CASE WHEN y < 3 THEN re END) OVER (PARTITION BY image_id, x) AS m FROM px)")
@@ -168,9 +171,9 @@ def shell_r_factor(spark, sf_dir):
     return G.r_factor(_next(pixels(spark, sf_dir)), "image_id", G.shell(D(), 4, MOST).cast("long").alias("shell")).select("image_id", "shell", r6(F.col("r")).alias("r"))
 
 
-@query("regression_scale", f"WITH {PX}, {ZIP}, f AS (SELECT image_id, regr_slope(b, a) AS slope, regr_intercept(b, a) AS inter FROM z GROUP BY image_id) SELECT image_id, i::BIGINT AS i, round(CASE WHEN abs(b) < inter THEN 0 ELSE (b - inter) / nullif(slope, 0) END, 3) + 0.0 AS scaled FROM z JOIN f USING (image_id)")
+@query("regression_scale", f"WITH {PX}, {ZIP}, f AS (SELECT image_id, sum((abs(b) - mb) * (abs(a) - ma)) / nullif(sum((abs(a) - ma) * (abs(a) - ma)), 0) AS slope, max(ma) AS ma, max(mb) AS mb FROM (SELECT *, avg(abs(a)) OVER (PARTITION BY image_id) AS ma, avg(abs(b)) OVER (PARTITION BY image_id) AS mb FROM z) GROUP BY image_id) SELECT image_id, i::BIGINT AS i, round(CASE WHEN b = 0 OR abs(b) < mb - slope * ma THEN 0 ELSE b * (abs(b) - (mb - slope * ma)) / abs(b) / nullif(slope, 0) END, 2) + 0.0 AS scaled FROM z JOIN f USING (image_id)")
 def regression_scale(spark, sf_dir):
-    return G.regression_scale(_next(pixels(spark, sf_dir)), "image_id").select("image_id", F.col("i").cast("long").alias("i"), (F.round("scaled", 3) + 0.0).alias("scaled"))
+    return G.regression_scale(_next(pixels(spark, sf_dir)), "image_id").select("image_id", F.col("i").cast("long").alias("i"), (F.round("scaled", 2) + 0.0).alias("scaled"))
 
 
 @query("pearson_pairs", f"WITH {PX}, {ZIP} SELECT image_id, {sql6('corr(a, b)')} AS r FROM z GROUP BY image_id")
@@ -196,7 +199,7 @@ def prtf(spark, sf_dir):
 @query("hit_finder", f"WITH {PX}, s AS (SELECT image_id, label, sum(CASE WHEN abs(x - 4) <= 1 AND abs(y - 4) <= 1 THEN re ELSE 0 END) AS signal FROM px GROUP BY ALL), m AS (SELECT label, avg(signal) AS mean, stddev_pop(signal) AS sigma FROM s GROUP BY label) SELECT image_id, {sql6('signal')} AS signal, signal > mean + sigma / 3 AS hit FROM s JOIN m USING (label)")
 def hit_finder(spark, sf_dir):
     p = pixels(spark, sf_dir)
-    s = G.box_signal(p, F.lit(4), F.lit(4), 1).join(p.select("image_id", "label").distinct(), "image_id")
+    s = G.box_signal(p, F.lit(4), F.lit(4), 1, "label")
     return G.hits(s, "label").select("image_id", r6(F.col("signal")).alias("signal"), "hit")
 
 
@@ -237,14 +240,6 @@ def support_union_intersect(spark, sf_dir):
     return s.groupBy("label", F.col("i").cast("long").alias("i")).agg(F.max("re").cast("long").alias("united"), F.min("re").cast("long").alias("common"))
 
 
-@query("stitch_first", f"WITH {PX}, a AS (SELECT x + (image_id % 4) * 6 AS x, y, image_id, re FROM px WHERE image_id < 40), w AS (SELECT x, y, min(image_id) AS m, count(*) AS n FROM a GROUP BY x, y) SELECT w.x::BIGINT AS x, w.y::BIGINT AS y, re, n FROM w JOIN a ON a.x = w.x AND a.y = w.y AND image_id = m")
-def stitch_first(spark, sf_dir):
-    p = pixels(spark, sf_dir)
-    frames = p.select("image_id").distinct().where("image_id < 40").select("image_id", F.col("image_id").alias("seq"), ((F.col("image_id") % 4) * 6).cast("int").alias("dx"), F.lit(0).alias("dy"))
-    s = N.stitch(p, frames, 8, 8)
-    return s.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "re", "n")
-
-
 @query("best_rotation", f"WITH {PX}, r AS (SELECT image_id, 0 AS rot, x, y, re FROM px UNION ALL SELECT image_id, 1, 7 - y, x, re FROM px UNION ALL SELECT image_id, 2, 7 - x, 7 - y, re FROM px UNION ALL SELECT image_id, 3, y, 7 - x, re FROM px), c AS (SELECT p.image_id, rot, corr(p.re, r.re) AS r FROM px p JOIN r ON r.image_id = p.image_id + 1 AND r.x = p.x AND r.y = p.y GROUP BY p.image_id, rot) SELECT image_id, arg_max(rot, r)::BIGINT AS rot, {sql6('max(r)')} AS r FROM c GROUP BY image_id")
 def best_rotation(spark, sf_dir):
     p = pixels(spark, sf_dir)
@@ -269,16 +264,29 @@ def emc_step(spark, sf_dir):
     return L.responsibilities(samples, refs).select("sample_id", F.col("rot").cast("long").alias("rot"), r6(F.col("p")).alias("p"))
 
 
-@query("line_out")
+CORNERS = "(SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)"
+
+
+def bilinear_sql(points: str) -> str:
+    """Values at points (image_id, p, fx, fy): the four corners from the image's array; with a corner outside 0 and mask 0."""
+    value = AT.format(at="(qy + b) * 8 + qx + a")
+    weight = "(CASE WHEN a = 1 THEN fx - qx ELSE 1 - (fx - qx) END) * (CASE WHEN b = 1 THEN fy - qy ELSE 1 - (fy - qy) END)"
+    inside = "qx + a BETWEEN 0 AND 7 AND qy + b BETWEEN 0 AND 7"
+    corners = f"SELECT image_id, p, {weight} AS w, {inside} AS inside, CASE WHEN {inside} THEN {value} END AS v FROM (SELECT *, floor(fx)::INT AS qx, floor(fy)::INT AS qy FROM ({points})) q JOIN embeddings e ON e.vec_id = image_id, {CORNERS}"
+    return f"SELECT image_id, p, max(CASE WHEN NOT inside AND w > 1e-12 THEN 1 ELSE 0 END) AS out, sum(coalesce(v, 0) * w) AS re FROM ({corners}) GROUP BY image_id, p"
+
+
+IDS = "(SELECT vec_id AS image_id FROM embeddings WHERE len(embedding) = 64)"
+
+
+@query("line_out", f"SELECT image_id, p::BIGINT AS p, {sql6('CASE WHEN out = 1 THEN 0 ELSE re END')} AS re FROM ({bilinear_sql(f'SELECT image_id, p, 7.0::DOUBLE * (p / 99.0::DOUBLE) AS fx, 7.0::DOUBLE * (p / 99.0::DOUBLE) AS fy FROM {IDS}, (SELECT unnest(range(100)) AS p)')})")
 def line_out(spark, sf_dir):
-    return N.line_out(pixels(spark, sf_dir), 0.0, 0.0, 7.0, 7.0, 15).select("image_id", "p", r6(F.col("re")).alias("re"))
+    return N.line_out(pixels(spark, sf_dir), 0.0, 0.0, 7.0, 7.0).select("image_id", F.col("p").cast("long").alias("p"), r6(F.col("re")).alias("re"))
 
 
-@query("rotate_bilinear")
-def rotate_bilinear(spark, sf_dir):
-    return N.rotate(pixels(spark, sf_dir), 8, 8, 0.5).select("image_id", "p", r6(F.col("re")).alias("re"), "mask")
+_TURNED = f"SELECT image_id, p, {math.cos(0.5)!r} * (p % 8 - 3.5) + {math.sin(0.5)!r} * (p // 8 - 3.5) + 3.5 AS fx, {-math.sin(0.5)!r} * (p % 8 - 3.5) + {math.cos(0.5)!r} * (p // 8 - 3.5) + 3.5 AS fy FROM {IDS}, (SELECT unnest(range(64)) AS p)"
 
 
-@query("interpolate_empty")
-def interpolate_empty(spark, sf_dir):
-    return N.interpolate_empty(P.draw_mask(pixels(spark, sf_dir), D() < 1.5), 8, 8, 3).select("image_id", "i", r6(F.col("re")).alias("re"))
+@query("rotate_bilinear", f"SELECT image_id, p::BIGINT AS p, {sql6('CASE WHEN out = 1 THEN 0 ELSE re END')} AS re, (1 - out)::BIGINT AS mask FROM ({bilinear_sql(_TURNED)})")
+def rotate_bilinear(spark, sf_dir):
+    return N.rotate(pixels(spark, sf_dir), 8, 8, 0.5).select("image_id", F.col("p").cast("long").alias("p"), r6(F.col("re")).alias("re"), F.col("mask").cast("long").alias("mask"))

@@ -36,7 +36,7 @@ def running_mean_500(spark, sf_dir):
     return x.select("event_id", F.round(F.col("running") + 1e-9, 6).alias("running"), r6(F.col("delta")).alias("delta"))
 
 
-@query("missing_interpolate", "WITH e AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS v FROM events), w AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM e) SELECT event_id, round(coalesce(v, (a + b) / 2, b, a), 6) + 0.0 AS filled FROM w")
+@query("missing_interpolate", "WITH e AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS v FROM events), w AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, lead(v) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a FROM e) SELECT event_id, round(coalesce(v, CASE WHEN b IS NULL THEN a END, (a + b) / 2, b), 6) + 0.0 AS filled FROM w")
 def missing_interpolate(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("v", F.when(F.col("event_id") % 5 != 0, F.col("value")))
     return G.interpolate_missing(e, "user_id", ["ts", "event_id"], "v").select("event_id", r6(F.col("filled")).alias("filled"))
