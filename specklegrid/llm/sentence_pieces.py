@@ -70,7 +70,8 @@ class Normalizer:
         u, node, best = self.units, 0, (0, b"")
         offset = lambda unit: (unit >> 10) << ((unit & (1 << 9)) >> 6)
         node ^= offset(u[0])
-        for n, b in enumerate(data[at:], 1):
+        for end in range(at, len(data)):
+            b = data[end]
             node ^= b
             unit = u[node]
             if unit & ((1 << 31) | 0xFF) != b:
@@ -78,9 +79,17 @@ class Normalizer:
             node ^= offset(unit)
             if unit >> 8 & 1:
                 start = u[node] & ((1 << 31) - 1)
-                best = n, self.strings[start : self.strings.index(b"\0", start)]
+                best = end + 1 - at, self.strings[start : self.strings.index(b"\0", start)]
         return best
 
+    def next(self, data: bytes, at: int) -> tuple[int, bytes]:
+        """Bytes that the normalisation takes at `at`, and what they become: the longest prefix of the map, or one character as it is."""
+        n, new = self.longest(data, at) if self.units else (0, b"")
+        if n:
+            return n, new
+        n = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+        return n, data[at : at + n]
+
     def normalize(self, data: bytes) -> tuple[bytes, np.ndarray]:
         if not data:
             return b"", np.zeros(1, np.int32)
@@ -91,37 +100,38 @@ class Normalizer:
             width[np.frombuffer(data, np.uint8) == 32] = len(space)
             source = np.repeat(np.arange(len(data), dtype=np.int32), width)
             return out, np.concatenate([np.zeros(len(out) - len(source), np.int32), source, np.array([len(data)], np.int32)])
-        parts, source, i = [], [], 0
-        while i < len(data):
-            n, new = self.longest(data, i) if self.units else (0, b"")
-            if not n:
-                n = 1 if data[i] < 0x80 else 2 if data[i] < 0xE0 else 3 if data[i] < 0xF0 else 4
-                new = data[i : i + n]
-            parts.append((new, i))
-            i += n
+        at = 0
+        if self.squeeze:  # leading white space goes
+            while at < len(data):
+                n, new = self.next(data, at)
+                if new != b" ":
+                    break
+                at += n
+            if at == len(data):
+                return b"", np.full(1, len(data), np.int32)
         out, source = bytearray(), []
-        last_space = self.squeeze  # leading white space goes too
+
+        def add(new):
+            for k, part in enumerate(new.split(b" ")):
+                out.extend(space * (k > 0) + part)
+                source.extend([at] * (len(part) + len(space) * (k > 0)))
+
         if self.prefix:
-            out += space
-            source += [0] * len(space)
-        for new, at in parts:
-            for b in new.split(b" ")[0:1] + [b" " + x for x in new.split(b" ")[1:]]:
-                if b.startswith(b" "):
-                    if not (self.squeeze and last_space):
-                        out += space
-                        source += [at] * len(space)
-                    last_space, b = True, b[1:]
-                if b:
-                    out += b
-                    source += [at] * len(b)
-                    last_space = False
-        end = len(data)
-        if self.squeeze:
-            while out.endswith(space) and len(out) > (len(space) if self.prefix else 0):
-                del out[-len(space) :]
-                end = source[-len(space)]
-                del source[-len(space) :]
-        return bytes(out), np.array([*source, end], np.int32)
+            add(b" ")
+        after_space = self.squeeze
+        while at < len(data):
+            n, new = self.next(data, at)
+            if after_space:
+                new = new.lstrip(b" ")
+            if new:
+                add(new)
+                after_space = self.squeeze and new.endswith(b" ")
+            at += n
+        if self.squeeze:  # trailing white space goes
+            while out.endswith(space):
+                at = source[-len(space)]
+                del out[-len(space) :], source[-len(space) :]
+        return bytes(out), np.array([*source, at], np.int32)
 
 
 class Codec:
