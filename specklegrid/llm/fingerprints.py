@@ -7,12 +7,14 @@ again and again, and what it takes out is how the versions differ. Where cells a
 tables sixty-four times as large, and beyond the largest the digests are compared themselves. Likeness is the shared part
 of all digests of both. All of it is DataFrame functions on one row: no digest ever leaves its document's row.
 
-The next document is found without a global sort: rows go to bins of doc_id (quantiles, then equal steps), a window
-finds the next within a bin, and only the first document of each bin travels to the bin before it.
+The next document is found from ids alone: pairs of doc_id and a hash of the text are range-partitioned and written, a
+window finds the next within a partition, and only the least pair of each partition travels to the one before it. Texts
+then meet by these keys, so neither clustered nor repeated doc_ids, nor many rows without one, gather texts in a task.
 
 Cases: a null text is empty and has no paragraphs (two such texts are alike: 1); repeated paragraphs count once; rows of
-equal doc_id follow each other in the order of their texts; a null doc_id comes first; a single document is its own
-next; other columns are ignored; an empty table gives no rows.
+equal doc_id follow each other in the order of a hash of their texts (equal rows in a row); a null doc_id comes first;
+a single document is its own next; a very long text is one row like others; other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exchange import text_bytes
+from .exchange import written
 
 SIZES = (8, 512, 32768)  # cells are kept sparse: a wide table costs no more than a narrow one and peels in fewer rounds
-ROUNDS, KNOTS, BIN_BYTES = 24, 32, 4 << 20
+ROUNDS, PART_ROWS = 24, 1 << 18
+FEW = 10  # digests of both texts up to which the least table is tried
 _CELLS = "array<struct<cell: bigint, n: int, x: bigint, c: bigint>>"
 _EMPTY = f"cast(array() as {_CELLS})"
 
@@ -73,7 +76,9 @@ def differences(a: str, b: str, cells_a: str, cells_b: str) -> Column:
     # a larger table of a difference is that of the signed digests, as tables add up
     signed = f"concat(transform({a}, d -> named_struct('x', d, 'n', 1)), transform({b}, d -> named_struct('x', d, 'n', -1)))"
     sizes = ", ".join(f"{s}L" for s in SIZES[1:])
-    by_peeling = f"aggregate(array({sizes}), {solved(less, f'{SIZES[0]}L')}, (t, z) -> if(t.solved, t, {solved(_spread(signed, 'z'), 'z')}))"
+    none = f"named_struct('solved', false, 'size', {SIZES[0]}L, 'found', cast(array() as array<struct<x: bigint, n: int>>))"
+    first = f"if(size({a}) + size({b}) <= {FEW}, {solved(less, f'{SIZES[0]}L')}, {none})"
+    by_peeling = f"aggregate(array({sizes}), {first}, (t, z) -> if(t.solved, t, {solved(_spread(signed, 'z'), 'z')}))"
     plain = f"named_struct('solved', false, 'size', 0L, 'found', concat(transform(array_except({a}, {b}), d -> named_struct('x', d, 'n', 1)), transform(array_except({b}, {a}), d -> named_struct('x', d, 'n', -1))))"
     return F.expr(f"transform(array({by_peeling}), t -> if(t.solved, t, {plain}))[0]")
 
@@ -89,28 +94,42 @@ def likeness(a: str, b: str, found: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(F.transform(F.array(F.size(found)), lambda k: (both - k) / (both + k))[0])
 
 
+def next_keys(docs: DataFrame) -> DataFrame:
+    """i, h, n (rows of this key), next_i, next_h for each distinct key of docs(doc_id, text): doc_id with a null as least number, and a hash of the text."""
+    keys = docs.select(_number(), F.xxhash64("text").alias("h")).groupBy("i", "h").agg(F.count("*").alias("n"))
+    keys = written(keys, "keys")
+    parts = max(1, -(-keys.count() // PART_ROWS))
+    # the partitions of one run are kept with the rows: another run might cut them otherwise
+    x = written(keys.repartitionByRange(parts, "i", "h").withColumn("part", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("part").orderBy("i", "h")
+    x = x.withColumn("following", F.lead(F.struct("i", "h")).over(within))
+    heads = x.groupBy("part").agg(F.min(F.struct("i", "h")).alias("head"))
+    order = Window.orderBy("part")  # a row for each partition
+    heads = heads.select("part", F.coalesce(F.lead("head").over(order), F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
+    x = x.join(heads, "part").withColumn("following", F.coalesce("following", "after"))
+    return x.select("i", "h", "n", F.col("following.i").alias("next_i"), F.col("following.h").alias("next_h"))
+
+
+def _number() -> Column:
+    return F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("i")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: that of the next row by doc_id; after the last, the first's."""
+    """doc_id, text, next_text, times (equal rows): that of the next row by doc_id; after the last, the first's."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    least = -(2**63)
-    knots = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / KNOTS) for i in range(KNOTS + 1)]), 10000)).first()[0] or [0]
-    knots = sorted(set(knots))
-    steps = max(1, -(-text_bytes(docs) // (BIN_BYTES * KNOTS)))
-    which = sum((F.when(F.col("doc_id") >= k, 1).otherwise(0) for k in knots), F.lit(0))
-    ends = F.array(*[F.lit(k) for k in [least, *knots, 2**63 - 1]])
-    lo, hi = F.element_at(ends, which + 1).cast("double"), F.element_at(ends, which + 2).cast("double")
-    part = F.when(which == 0, 0).when(which == len(knots), 0).otherwise(F.least(F.floor((F.col("doc_id") - lo) / F.greatest(hi - lo, F.lit(1.0)) * steps), F.lit(steps - 1)))
-    x = docs.withColumn("bin", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(which * steps + part).cast("long"))
-    within = Window.partitionBy("bin").orderBy("doc_id", "text")
-    heads = x.groupBy("bin").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(least)).alias("i"), "text"))["text"].alias("head"))
-    order = x.select("bin").distinct().withColumn("k", F.row_number().over(Window.orderBy("bin")))  # a number for each bin
-    last = F.max("k").over(Window.partitionBy())
-    order = order.withColumn("after", F.when(F.col("k") == last, 1).otherwise(F.col("k") + 1))
-    heads = order.select("bin", "after").join(order.select(F.col("bin").alias("b2"), F.col("k").alias("k2")), F.col("after") == F.col("k2")).join(heads.withColumnRenamed("bin", "b3"), F.col("b2") == F.col("b3")).select(F.col("bin").alias("of"), "head")
-    y = x.withColumns({"following": F.lead("text").over(within)})
-    inner = y.where(F.col("following").isNotNull()).select("doc_id", "text", F.col("following").alias("next_text"))
-    outer = y.where(F.col("following").isNull()).join(heads, F.col("bin") == F.col("of")).select("doc_id", "text", F.col("head").alias("next_text"))
-    return inner.unionByName(outer)
+    after = written(next_keys(docs), "next")
+    texts = docs.select("doc_id", _number(), F.xxhash64("text").alias("h"), "text")
+    repeated = bool(after.where("n > 1").take(1))
+    if repeated:  # equal rows are one row from here on
+        texts = texts.groupBy("i", "h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    before = after.select(F.col("next_i").alias("i"), F.col("next_h").alias("h"), F.col("i").alias("of_i"), F.col("h").alias("of_h"))
+    sent = texts.select("i", "h", F.col("text").alias("next_text")).join(before, ["i", "h"]).select(F.col("of_i").alias("i"), F.col("of_h").alias("h"), "next_text")
+    out = texts.join(sent, ["i", "h"]).select("i", "h", "doc_id", "text", "next_text")
+    if not repeated:
+        return out.select("doc_id", "text", "next_text", F.lit(1).cast("long").alias("times"))
+    # of n equal rows, n - 1 are followed by their own text
+    more = texts.join(after.where("n > 1").select("i", "h", (F.col("n") - 1).alias("times")), ["i", "h"]).select("doc_id", "text", F.col("text").alias("next_text"), "times")
+    return out.select("doc_id", "text", "next_text", F.lit(1).cast("long").alias("times")).unionByName(more)
 
 
 def edit(n: Column) -> Column:
@@ -122,10 +141,11 @@ def edit(n: Column) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     x = with_next(docs).withColumn("edited", edit(n))
-    x = x.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), digests(F.col("next_text")).alias("c"))
+    x = x.select("doc_id", "times", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), digests(F.col("next_text")).alias("c"))
     x = x.withColumns({f"c{k}": F.expr(table(k, SIZES[0])) for k in "abc"})
     near = lambda k: likeness("a", k, differences("a", k, "ca", f"c{k}")["found"])
-    return x.select("doc_id", "n_chars", "edited_sha256", fingerprint("ca").alias("fingerprint"), fingerprint("cb").alias("edited_fingerprint"), near("b").alias("near_edited"), near("c").alias("near_next"))
+    x = x.select("doc_id", "times", "n_chars", "edited_sha256", fingerprint("ca").alias("fingerprint"), fingerprint("cb").alias("edited_fingerprint"), near("b").alias("near_edited"), near("c").alias("near_next"))
+    return x.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("copy", "times")
 
 
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
