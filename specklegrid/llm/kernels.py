@@ -74,13 +74,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch | pa.Table, text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch | pa.Table]:
-    """The same rows in slices of about `limit` bytes of text; a longer single text is a slice of its own."""
+def pieces(batch: pa.RecordBatch | pa.Table, text: str, limit: int = 1 << 20, most: int = 4096) -> Iterator[pa.RecordBatch | pa.Table]:
+    """The same rows in slices of about `limit` bytes of text and `most` rows; a longer single text is a slice of its own."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(), dtype=np.int64)
     ends, start = np.cumsum(sizes), 0
     while start < len(sizes):
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+        stop = min(max(start + 1, int(np.searchsorted(ends, base + limit, "right"))), start + most)
         yield batch.slice(start, stop - start)
         start = stop
 

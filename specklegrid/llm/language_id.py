@@ -5,7 +5,7 @@ one-versus-one linear support vector machines separate its languages by votes. F
 (one to three bytes, A-Z lower-cased) of the whole text, square-rooted and normalised.
 
 The machines are fitted on the driver on at most about `per_lang` labelled rows of each language, chosen by a hash
-of doc_id; only their feature vectors travel. Prediction covers every row in one scan without a shuffle.
+of doc_id, and on MOST_LANGS languages; only their feature vectors travel. Prediction covers every row in one scan without a shuffle.
 
 Cases: a null text or one without a letter is `und` with score 0; without any labelled row everything is `und`;
 a language that `families` doesn't list is a family of its own; a row without doc_id is never learned from and
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .kernels import LOWER, pieces, utf8
 
 DIMS, PER_LANG, MIN_SCORE, LOST = 4096, 400, 0.25, 0.005
+PIECE, ROWS = 512 << 10, 1024  # bytes of text and rows whose features (16 KB a row) a task holds at once
+MOST_LANGS = 200  # languages that are learned, the most frequent ones
 #: Families of common languages (ISO 639-1).
 FAMILIES = {
     **dict.fromkeys("en de nl af sv da no nb nn is fy lb yi".split(), "germanic"), **dict.fromkeys("fr es it pt ro ca gl oc la".split(), "romance"),
@@ -128,12 +130,14 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, families: dict[str, str] | No
     counts = {r["lang"]: r["n"] for r in open_rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = F.coalesce(*[F.when(F.col("lang") == g, F.lit(min(1.0, per_lang / n))) for g, n in sorted(counts.items())])
+    if len(counts) > MOST_LANGS:
+        counts = dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:MOST_LANGS])
+    share = F.coalesce(*[F.when(F.col("lang") == g, F.lit(min(1.0, per_lang / n))) for g, n in sorted(counts.items())], F.lit(0.0))
     draw = F.pmod(F.xxhash64(F.lit("language id"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def vectors(batches):
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE, ROWS):
                 yield pa.record_batch([part.column(0), pa.array([v.tobytes() for v in features(part.column(1), dims)], pa.binary())], ["lang", "x"])
 
     rows = open_rows.where(draw < share).select("lang", F.col("text").cast("string").alias("text")).mapInArrow(vectors, "lang string, x binary").collect()
@@ -153,7 +157,7 @@ def identify(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = (),
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE, ROWS):
                 data, offsets = utf8(part.column(1))
                 near = np.r_[0, np.cumsum(_IS_LETTER[data])]
                 has = near[offsets[1:]] > near[offsets[:-1]]

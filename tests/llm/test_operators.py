@@ -285,6 +285,78 @@ def test_sentence_pieces(docs, texts):
             assert b"".join(t.encode()[a:b] for a, b in zip(r.starts, r.ends, strict=True)) == t.encode()
 
 
+def _varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _field(number, value):
+    return _varint(number << 3) + _varint(value) if isinstance(value, int) else _varint(number << 3 | 2) + _varint(len(value)) + value
+
+
+def _character_map(pairs):
+    """A compiled character map: a double array of the keys, whose leaves point to zero-ended replacements."""
+    strings, starts = b"", {}
+    for new in pairs.values():
+        if new not in starts:
+            starts[new] = len(strings)
+            strings += new.encode() + b"\0"
+    units, taken = {0: 0}, {0}
+
+    def place(node, prefix):
+        labels = {}
+        for key in pairs:
+            k = key.encode()
+            if k.startswith(prefix):
+                labels.setdefault(k[len(prefix)] if len(k) > len(prefix) else 0, []).append(key)
+        offset = next(o for o in range(1, 1 << 20) if all(node ^ o ^ b not in taken for b in labels))
+        units[node] |= offset << 10 | (1 << 8 if 0 in labels else 0)
+        taken.update(node ^ offset ^ b for b in labels)
+        for b in labels:
+            child = node ^ offset ^ b
+            if b == 0:
+                units[child] = 1 << 31 | starts[pairs[prefix.decode()]]
+            else:
+                units[child] = b
+                place(child, prefix + bytes([b]))
+
+    place(0, b"")
+    size = 256 * (max(units) // 256 + 1)
+    array = b"".join(units.get(i, 0).to_bytes(4, "little") for i in range(size))
+    return len(array).to_bytes(4, "little") + array + strings
+
+
+@pytest.mark.parametrize("prefix,squeeze", [(1, 1), (0, 0), (1, 0), (0, 1)])
+def test_sentence_pieces_through_a_character_map(tmp_path, prefix, squeeze):
+    """The dealt model's pieces under a normalisation with a compiled map: ids and text as the library's, and spans by the longest prefix."""
+    import public_tokenizers
+    import sentencepiece
+
+    pairs = {"\uff21": "A", "\ufb01": "fi", "e\u0301": "\u00e9", "\u2460": "1", "\u3000": " ", "\t": " ", "\u00ad": "", "ab": "ba", "abc": "x", "\U0001f600": ":) "}
+    with open(public_tokenizers.path(sentence_pieces.MODEL), "rb") as f:
+        parts = [(k, v) for k, v in sentence_pieces.fields(f.read()) if k != 3]
+    spec = _field(1, b"own") + _field(2, _character_map(pairs)) + _field(3, prefix) + _field(4, squeeze) + _field(5, 1)
+    path = tmp_path / "own.model"
+    path.write_bytes(b"".join(_field(k, v) for k, v in parts) + _field(3, spec))
+    c = sentence_pieces.Codec(str(path))
+    assert c.normalizer.units is not None
+    assert [c.normalizer.longest(t.encode(), 0) for t in ("abc", "abd", "e\u0301", "e", "zz")] == [(3, b"x"), (2, b"ba"), (3, "\u00e9".encode()), (0, b""), (0, b"")]
+    rng = np.random.default_rng(prefix * 2 + squeeze)
+    letters = [*pairs, "e", "a", "b", "c", " ", "  ", "word", "\u00e9", "\u4e2d", ".", "z"]
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    for k in range(300):
+        text = "".join(rng.choice(letters, int(rng.integers(0, 12)))) if k else "  "
+        ids = library.encode(text)
+        normal, source = c.normalizer.normalize(text.encode())
+        assert normal.decode() == library.normalize(text), (text, normal.decode(), library.normalize(text))
+        starts, ends = c.spans(text, np.array(ids, np.int32))
+        assert c.sp.encode(text) == ids and len(starts) == len(ids)
+        assert (np.diff(source) >= 0).all() and all(a <= b for a, b in zip(starts, ends, strict=True))
+        assert not len(ids) or (ends[:-1] == starts[1:]).all()
+
+
 def test_normalizer_squeezes_white_space():
     n = sentence_pieces.Normalizer(b"")
     out, source = n.normalize(b"  a  b ")
@@ -391,6 +463,34 @@ def test_fingerprints(docs, texts):
         assert prints.setdefault(t, r.fingerprint) == r.fingerprint
 
 
+def test_next_of_repeated_and_missing_ids(spark):
+    rows = [(None, "a. b"), (None, "a. b"), (None, "a. b"), (7, "x. y"), (7, "z"), (7, "z"), (2, None), (2, "")]
+    docs = spark.createDataFrame([(*r, 1, "q") for r in rows], "doc_id long, text string, i int, h string")
+    got = fingerprints.fingerprints(docs).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    pairs = [(r.doc_id, r.text, r.next_text) for r in fingerprints.with_next(docs).collect() for _ in range(r.times)]
+    # one cycle over all rows, in the order of doc_id
+    assert Counter((i, t) for i, t, _ in pairs) == Counter((i, t or "") for i, t in rows) and Counter(n for *_, n in pairs) == Counter(t or "" for _, t in rows)
+    assert [n for i, t, n in pairs if i is None].count("a. b") == 2 and {n for i, t, n in pairs if i is None} == {"a. b", ""}
+
+
+def test_differences_are_peeled(spark):
+    """Small differences come out of the sketches, at the least size where few digests stand on both sides."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(40):
+        a = rng.integers(-(2**62), 2**62, 5 if k < 20 else 60).tolist()
+        b = a[: len(a) - 2] + rng.integers(-(2**62), 2**62, 1).tolist()
+        rows.append((k, a, b))
+    x = spark.createDataFrame(rows, "k int, a array<long>, b array<long>")
+    from pyspark.sql import functions as F
+
+    x = x.withColumns({f"c{c}": F.expr(fingerprints.table(c, fingerprints.SIZES[0])) for c in "ab"}).withColumn("d", fingerprints.differences("a", "b", "ca", "cb"))
+    got = x.collect()
+    assert all(r.d.solved for r in got) and {r.d.size for r in got if r.k >= 20} == {512} and 8 in {r.d.size for r in got if r.k < 20}
+    assert all({(f.x, f.n) for f in r.d.found} == {(v, 1) for v in set(r.a) - set(r.b)} | {(v, -1) for v in set(r.b) - set(r.a)} for r in got)
+
+
 def test_mixing(docs, spark, empty):
     copies = source_mixing.mix_sources(docs, entropy=None, repeats=2.0, budget=None).collect()
     assert {r.doc_id for r in copies} == {r.doc_id for r in docs.collect()}  # everything at least once
