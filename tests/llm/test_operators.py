@@ -545,15 +545,3 @@ def test_empty_tables(spark, empty):
     assert curve_search.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
-def test_pipeline_stages(spark, docs, tmp_path):
-    import corpus_pipeline as C
-
-    d = docs.select(*C.COLUMNS)
-    for k, (_, stage) in enumerate(C.STAGES):
-        out = stage(spark, d, "")
-        if k < len(C.STAGES) - 1:
-            assert sorted(out.columns) == sorted(C.COLUMNS)
-        out.write.parquet(str(tmp_path / str(k)))
-        d = spark.read.parquet(str(tmp_path / str(k)))
-    ids = [r.doc_id for r in d.collect()]
-    assert ids and set(ids) <= {r.doc_id for r in docs.collect()}
