@@ -346,6 +346,24 @@ def deautocorrelate(packed: DataFrame, rounds: int = 200, seed: int = 0) -> Data
     return per_image(packed, f)
 
 
+def benchmark(spark, sizes: tuple[int, ...] = (191, 256, 500, 512), repeats: int = 3) -> DataFrame:
+    """size, microseconds of one forward and inverse transform of a square image of random numbers: the least of a few, each size in a task of its own."""
+    import time
+
+    def run(batches):
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                v = np.random.default_rng(n).random((n, n)) + 0j
+                took = []
+                for _ in range(repeats):
+                    began = time.perf_counter()
+                    np.fft.ifft2(np.fft.fft2(v))
+                    took.append((time.perf_counter() - began) * 1e6)
+                yield pa.record_batch([pa.array([n]), pa.array([min(took)])], ["size", "microseconds"])
+
+    return spark.createDataFrame([(n,) for n in sizes], "size long").repartition(len(sizes)).mapInArrow(run, "size long, microseconds double")
+
+
 def direct_transform(px: DataFrame, nx: int, ny: int) -> DataFrame:
     """The transform as a sum over pixels in DataFrame operations, for small images and as a check: each pixel meets each of the nx * ny frequencies of its own image."""
     import math

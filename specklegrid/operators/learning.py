@@ -114,3 +114,57 @@ def gtm_step(vectors: DataFrame, centres: np.ndarray, beta: float) -> DataFrame:
 
     part = vectors.select("v").mapInPandas(run, "k int, w double, v array<double>")
     return part.groupBy("k").agg(F.sum("w").alias("w"), *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(dims)])
+
+
+def radial_basis(points: np.ndarray, centres: np.ndarray, width: float) -> np.ndarray:
+    """Gaussian basis functions and a constant, a row for each latent point."""
+    d = ((points[:, None] - centres[None]) ** 2).sum(2)
+    return np.hstack([np.exp(-d / (2 * width * width)), np.ones((len(points), 1))])
+
+
+def gtm_fit(vectors: DataFrame, basis: np.ndarray, rounds: int = 20, penalty: float = 1e-3, seed: int = 0) -> tuple[np.ndarray, float, list[float]]:
+    """(centres, beta, log likelihoods) of a generative topographic map of vectors(v) over the latent points whose basis (points x functions) is given.
+
+    Each round is one pass: tasks sum responsibilities and weighted vectors by latent point, and only these sums, points x
+    dims of the bounded model, meet on the driver, which solves for the weights by regularised normal equations.
+    """
+    points, functions = basis.shape
+    first = vectors.select("v").agg(F.count("*").alias("n"), F.first("v").alias("v")).first()
+    n, dims = first["n"], len(first["v"])
+    mean = np.array(vectors.agg(*[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(dims)]).first(), float)
+    spread = float(np.mean(vectors.agg(*[F.var_pop(F.col("v")[i]).alias(f"s{i}") for i in range(dims)]).first()))
+    weights = np.random.default_rng(seed).normal(size=(functions, dims)) * np.sqrt(spread) * 0.5
+    weights[-1] = mean
+    beta, history = 1.0 / max(spread, 1e-12), []
+    for _ in range(rounds):
+        centres = basis @ weights
+
+        def run(frames, centres=centres, beta=beta):
+            w, v, gap, fit = np.zeros(points), np.zeros((points, dims)), 0.0, 0.0
+            for pdf in frames:
+                if len(pdf):
+                    x = np.stack(pdf["v"].to_numpy()).astype(float)
+                    d = ((x[:, None] - centres[None]) ** 2).sum(2)
+                    least = d.min(1, keepdims=True)
+                    e = np.exp(-beta / 2 * (d - least))
+                    total = e.sum(1, keepdims=True)
+                    r = e / total
+                    w, v = w + r.sum(0), v + r.T @ x
+                    gap += float((r * d).sum())
+                    fit += float((np.log(total / points) - beta / 2 * least + dims / 2 * np.log(beta / (2 * np.pi))).sum())
+            yield pd.DataFrame({"k": range(points), "w": w, "v": list(v), "gap": gap / points, "fit": fit / points})
+
+        part = vectors.select("v").mapInPandas(run, "k int, w double, v array<double>, gap double, fit double")
+        sums = part.groupBy("k").agg(F.sum("w").alias("w"), F.sum("gap").alias("gap"), F.sum("fit").alias("fit"), *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(dims)]).orderBy("k").collect()
+        g = np.array([r["w"] for r in sums])
+        rx = np.array([[r[f"v{i}"] for i in range(dims)] for r in sums])
+        weights = np.linalg.solve(basis.T @ (basis * g[:, None]) + penalty / beta * np.eye(functions), basis.T @ rx)
+        history.append(sum(r["fit"] for r in sums))
+        beta = n * dims / max(sum(r["gap"] for r in sums), 1e-12)
+    return basis @ weights, beta, history
+
+
+def empty_points(weights: np.ndarray, least: float = 2.0, below: float = -1.0) -> np.ndarray:
+    """Latent points that hold fewer than `least` vectors, or fewer than the mean by over one deviation."""
+    spread = weights.std()
+    return (weights < least) | ((weights - weights.mean()) / (spread if spread else 1.0) < below)

@@ -295,6 +295,25 @@ def rescale(packed: DataFrame, nx: int, ny: int) -> DataFrame:
     return per_image(packed, f)
 
 
+def stretch(packed: DataFrame, max_angle: float) -> DataFrame:
+    """Pixels of a flat detector, brought to equal steps of the scattering angle's tangent over its sine: each looks up, bilinearly, a place nearer to the centre by cos(max_angle) / cos(angle); places without four neighbours are not measured."""
+
+    def f(v, m):
+        ny, nx = v.shape[-2:]
+        d = distance(v).reshape(ny, nx)
+        r = d.max() / np.sin(max_angle * np.cos(max_angle))
+        factor = np.where(d > 0, np.cos(max_angle) / np.cos(np.arcsin(d / r)), 1.0)
+        y, x = ((k - (n - 1) / 2) * factor + (n - 1) / 2 for k, n in zip(np.indices((ny, nx)), (ny, nx), strict=True))
+        qy, qx = np.floor(y).astype(int), np.floor(x).astype(int)
+        ok = (qy >= 0) & (qx >= 0) & (qy + 1 < ny) & (qx + 1 < nx)
+        cy, cx = np.where(ok, qy, 0), np.where(ok, qx, 0)
+        u, w = y - qy, x - qx
+        out = sum(v.real[..., cy + b, cx + a] * (u if b else 1 - u) * (w if a else 1 - w) for a in (0, 1) for b in (0, 1))
+        return np.where(ok, out, 0) + 0j, np.where(ok, m, 0)
+
+    return per_image(packed, f)
+
+
 # ---- pairs
 
 

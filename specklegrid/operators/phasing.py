@@ -450,6 +450,15 @@ def output(runs: DataFrame, project: bool = True) -> DataFrame:
     return _each(runs, go, "image_id long, seed int, re array<double>, im array<double>")
 
 
+def snapshots(runs: DataFrame) -> DataFrame:
+    """What a snapshot shows of each run: image, support and the modulus of the transform, as packed arrays."""
+
+    def go(r, x, s, amplitude, mask):
+        return [(r.image_id, r.seed, r.iteration, x.real.ravel().copy(), x.imag.ravel().copy(), s.astype(np.int32).ravel(), np.abs(np.fft.fftn(x)).ravel())]
+
+    return _each(runs, go, "image_id long, seed int, iteration int, re array<double>, im array<double>, support array<int>, fourier array<double>")
+
+
 def remove_modes(runs: DataFrame, level: float = 0.2, iterations: int = 500) -> DataFrame:
     """Runs whose amplitudes, where not measured, come from error reduction within the support of a share of the largest modulus: then all are measured."""
 

@@ -13,11 +13,12 @@ from ..model import PX, images, pixels, unpack
 from ..operators import aggregate as G
 from ..operators import fourier as FT
 from ..operators import merging as M
+from ..operators import packed as K
 from ..operators import pixel as P
 from ..operators import spatial as N
 from ..operators import volume as V
 from .engine_queries import OFF, PLACES, forward
-from .pixel_queries import BIN, MOST, SQL_D, ZIP, D, _next, r6, sql6
+from .pixel_queries import BIN, IDS, MOST, SQL_D, ZIP, D, _next, bilinear_sql, r6, sql6
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -442,3 +443,26 @@ def phase_overlap_of_moved(spark, sf_dir):
     p = images(spark, sf_dir)
     moved = FT.per_image(p, lambda v, m: (np.roll(v, (1, -1), (1, 2)), m))
     return unpack(FT.maximise_phase_overlap(p, moved)).select("image_id", long("i"), (F.round("re", 3) + 0.0).alias("re"))
+
+
+_FAR = "sqrt(pow(p % 8 - 3.5, 2) + pow(p // 8 - 3.5, 2))"
+_NEARER = f"(cos(0.6) / cos(asin({_FAR} * {math.sin(0.6 * math.cos(0.6))!r} / {math.hypot(3.5, 3.5)!r})))"
+_STRETCHED = f"SELECT image_id, p, (p % 8 - 3.5) * {_NEARER} + 3.5 AS fx, (p // 8 - 3.5) * {_NEARER} + 3.5 AS fy FROM {IDS}, (SELECT unnest(range(64)) AS p)"
+
+
+@query("angle_stretch", f"SELECT image_id, p::BIGINT AS i, {sql6('re')} AS re FROM ({bilinear_sql(_STRETCHED)})")
+def angle_stretch(spark, sf_dir):
+    return unpack(K.stretch(images(spark, sf_dir), 0.6)).select("image_id", long("i"), r6(F.col("re")).alias("re"))
+
+
+@query("centre_shift", f"WITH {PX} SELECT image_id, (x - image_id % 3)::BIGINT AS x, (y + image_id % 2)::BIGINT AS y, {sql6('re')} AS re FROM px")
+def centre_shift(spark, sf_dir):
+    """Pixels on a common centre, by the offsets of their images."""
+    p = pixels(spark, sf_dir)
+    shifts = images(spark, sf_dir).select("image_id", (F.col("image_id") % 3).cast("int").alias("dx"), (-(F.col("image_id") % 2)).cast("int").alias("dy"))
+    return M.recentred(p, shifts).select("image_id", long("x"), long("y"), r6(F.col("re")).alias("re"))
+
+
+@query("fft_benchmark")
+def fft_benchmark(spark, sf_dir):
+    return FT.benchmark(spark).select("size")

@@ -524,3 +524,26 @@ def test_stream_matches_batch(spark, tmp_path):
     q.stop()
     key = lambda r: (r.stream, r.seq)
     assert [tuple(r) for r in sorted(spark.table("hits").collect(), key=key)] == [tuple(r) for r in sorted(track_batch(df).collect(), key=key)]
+
+
+def test_topographic_map_follows_a_curve(spark):
+    """The likelihood rises with each round, and the centres lie along the data."""
+    rng = np.random.default_rng(6)
+    t = rng.random(400)
+    x = np.stack([t, np.sin(3 * t)], 1) + rng.normal(size=(400, 2)) * 0.02
+    v = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(3)
+    line = np.linspace(-1, 1, 12)[:, None]
+    centres, beta, history = learning.gtm_fit(v, learning.radial_basis(line, np.linspace(-1, 1, 4)[:, None], 0.7), rounds=25, seed=2)
+    assert all(b >= a - 1e-6 * abs(a) - 0.5 for a, b in zip(history, history[1:])) and history[-1] > history[0]
+    gap = np.sqrt(((x[:, None] - centres[None]) ** 2).sum(2)).min(1)
+    assert gap.mean() < 0.1 and beta > 10
+    assert learning.empty_points(np.array([0.0, 10, 10, 11])).tolist() == [True, False, False, False]
+
+
+def test_snapshots_show_support_and_transform(spark):
+    from pyspark.sql import functions as F
+
+    p = images(spark, SF).where("image_id < 2")
+    runs = p.select("image_id", F.lit(0).alias("seed"), "nx", "ny", "nz", F.col("re").alias("amplitude"), "mask", "re", "im", F.col("mask").alias("support"), F.lit(3).alias("iteration"), F.lit("{}").alias("state"))
+    for r in phasing.snapshots(runs).collect():
+        assert np.allclose(r.fourier, np.abs(np.fft.fft2(np.array(r.re).reshape(8, 8))).ravel()) and r.iteration == 3
