@@ -25,6 +25,34 @@ def bezier(x: float, keys: list[float], values: list[float]) -> float:
     return values[k - 1] + s * (values[k] - values[k - 1])
 
 
+def between(x: float, keys: list[float], values: list[float]) -> float:
+    """A checkpoint's value, or between two a smooth shift: a Fermi function of ten widths, half-way in the middle. Clamped at the ends."""
+    order = sorted(zip(keys, values, strict=True))
+    low, high = [v for v in order if v[0] <= x], [v for v in order if v[0] >= x]
+    if not low or not high:
+        return (high[0] if high else low[-1])[1]
+    (a, u), (b, v) = low[-1], high[0]
+    return u if a == b else v + (u - v) / (math.exp(10 * ((x - a) / (b - a) - 0.5)) + 1)
+
+
+def beta_at(x: float, beta: float, keys_map=None, checkpoints=None, over: float = 0.0) -> float:
+    """The feedback at an iteration: a map before checkpoints before a rise from 0.75 within about `over` iterations before the constant."""
+    if keys_map:
+        return bezier(x, *map(list, zip(*keys_map, strict=True)))
+    if checkpoints:
+        return between(x, *map(list, zip(*checkpoints, strict=True)))
+    return 0.75 + (beta - 0.75) * (1 - math.exp(-((x / over) ** 3))) if over else beta
+
+
+def area_at(x: float, first: float, last: float = 0.0, over: float = 0.0, keys_map=None, checkpoints=None) -> float:
+    """The object's area at an iteration: a map before checkpoints before a Gaussian decay over `over` iterations (three deviations) before the constant."""
+    if keys_map:
+        return bezier(x, *map(list, zip(*keys_map, strict=True)))
+    if checkpoints:
+        return between(x, *map(list, zip(*checkpoints, strict=True)))
+    return (first - last) * math.exp(-((3.0 * x / over) ** 2) / 2) + last if over else first
+
+
 def linear(x: Column, lower_key: Column, upper_key: Column, lower: Column, upper: Column) -> Column:
     return lower + (upper - lower) * (x - lower_key) / F.nullif(upper_key - lower_key, F.lit(0.0))
 

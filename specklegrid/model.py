@@ -59,3 +59,28 @@ def modulus() -> Column:
 def center_distance(nx: int, ny: int) -> Column:
     """Distance of a pixel to the image's centre ((nx - 1) / 2, (ny - 1) / 2)."""
     return F.hypot(F.col("x") - (nx - 1) / 2, F.col("y") - (ny - 1) / 2)
+
+
+def ordered_scan(df: DataFrame, by: str, order: str, columns: list[str], first, step, schema: str) -> DataFrame:
+    """Rows of step(state, key, order value, *values) -> (state, rows) along each group in its order; a group starts with first().
+
+    Groups are sorted within partitions and read batch by batch, so a group of any length holds one batch and its state.
+    A row holds `by`, `order` and what step gives.
+    """
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.field(c.split()[0], {"double": pa.float64(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]]) for c in schema.split(", ")]
+
+    def run(batches):
+        key, state = object(), None
+        for batch in batches:
+            out = []
+            for k, at, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    key, state = k, first()
+                state, rows = step(state, *values)
+                out += [(k, at, *r) for r in rows]
+            yield pa.record_batch([pa.array([r[i] for r in out], f.type) for i, f in enumerate(kinds)], names)
+
+    return df.select(by, order, *columns).repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)

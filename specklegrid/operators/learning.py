@@ -70,30 +70,50 @@ def best_rotation(z: DataFrame) -> DataFrame:
     return z.groupBy("image_id").agg(F.max_by("rot", F.struct("r", -F.col("rot"))).alias("rot"), F.max("r").alias("r"))
 
 
+class _Components:
+    """Candid covariance-free components after the vectors so far."""
+
+    def __init__(self, components: int, amnesia: float):
+        self.most, self.amnesia, self.n, self.mean, self.vs = components, amnesia, 0, None, []
+
+    def add(self, x: np.ndarray) -> None:
+        self.n += 1
+        n, vs = self.n, self.vs
+        self.mean = x.copy() if self.mean is None else self.mean + (x - self.mean) / n
+        u = x - self.mean
+        for k in range(min(self.most, n - 1)):
+            if k == len(vs):
+                vs.append(u.copy())
+                break
+            size = np.linalg.norm(vs[k]) or 1.0
+            a = min(self.amnesia, n - 2) if n > 2 else 0
+            vs[k] = (n - 1 - a) / n * vs[k] + (1 + a) / n * u * float(u @ vs[k]) / size
+            d = vs[k] / (np.linalg.norm(vs[k]) or 1.0)
+            u = u - float(u @ d) * d
+
+
 def incremental_pca(frames: DataFrame, by: str, order: str, vector: str, components: int = 2, amnesia: float = 2.0) -> DataFrame:
-    """Candid covariance-free incremental PCA of each stream in its order: by, component, value, direction."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        vs: list[np.ndarray] = []
-        mean = None
-        for n, x in enumerate(pdf[vector], 1):
-            x = np.asarray(x, float)
-            mean = x.copy() if mean is None else mean + (x - mean) / n
-            u = x - mean
-            for k in range(min(components, n - 1)):
-                if k == len(vs):
-                    vs.append(u.copy())
-                    break
-                size = np.linalg.norm(vs[k]) or 1.0
-                a = min(amnesia, n - 2) if n > 2 else 0
-                vs[k] = (n - 1 - a) / n * vs[k] + (1 + a) / n * u * float(u @ vs[k]) / size
-                d = vs[k] / (np.linalg.norm(vs[k]) or 1.0)
-                u = u - float(u @ d) * d
-        return pd.DataFrame([(pdf[by].iloc[0], k, float(np.linalg.norm(v)), (v / (np.linalg.norm(v) or 1.0)).tolist()) for k, v in enumerate(vs)], columns=[by, "component", "value", "direction"])
+    """Candid covariance-free incremental PCA of each stream in its order: by, component, value, direction. Streams are sorted within partitions and read batch by batch."""
+    import pyarrow as pa
 
     kind = frames.schema[by].dataType.simpleString()
-    return frames.select(by, order, vector).groupBy(by).applyInPandas(run, f"{by} {kind}, component int, value double, direction array<double>")
+
+    def run(batches):
+        key, state, out = object(), None, []
+        rows = lambda k, c: [(k, i, float(np.linalg.norm(v)), (v / (np.linalg.norm(v) or 1.0)).tolist()) for i, v in enumerate(c.vs)]
+        key_type = None
+        for batch in batches:
+            key_type = batch.schema.field(0).type
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != key:
+                    out += rows(key, state) if state else []
+                    key, state = k, _Components(components, amnesia)
+                state.add(np.asarray(x, float))
+        out += rows(key, state) if state else []
+        if key_type is not None:
+            yield pa.record_batch([pa.array([r[0] for r in out], key_type), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.float64()), pa.array([r[3] for r in out], pa.list_(pa.float64()))], [by, "component", "value", "direction"])
+
+    return frames.select(by, order, vector).repartition(by).sortWithinPartitions(by, order).mapInArrow(run, f"{by} {kind}, component int, value double, direction array<double>")
 
 
 def gtm_step(vectors: DataFrame, centres: np.ndarray, beta: float) -> DataFrame:

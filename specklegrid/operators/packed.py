@@ -228,6 +228,42 @@ def mesh_background(packed: DataFrame, cell: int) -> DataFrame:
     return real(f)(packed)
 
 
+def smooth_mesh_background(packed: DataFrame, cell: int) -> DataFrame:
+    """The medians of cells, bilinear between their centres (and constant beyond the outer ones), are subtracted."""
+
+    def f(v):
+        ny, nx = v.shape[-2:]
+        marks = [list(range(0, n, cell)) for n in (ny, nx)]
+        medians = np.stack([np.stack([np.median(v[..., y : y + cell, x : x + cell], axis=(-2, -1)) for x in marks[1]], -1) for y in marks[0]], -2)
+        weights = []
+        for n, begin in zip((ny, nx), marks, strict=True):
+            at = np.array([(a + min(a + cell, n) - 1) / 2 for a in begin])
+            weights.append(np.stack([np.interp(np.arange(n), at, np.eye(len(at))[k]) for k in range(len(at))], 1))
+        return v - np.einsum("ya,xb,...ab->...yx", weights[0], weights[1], medians)
+
+    return real(f)(packed)
+
+
+def smooth_mask_edges(packed: DataFrame, sigma: float) -> DataFrame:
+    """Values times their mask, blurred and kept within itself: 1 well inside, falling towards its edges."""
+    from .fourier import blur_arrays
+
+    return per_image(packed, lambda v, m: (v * np.where(m != 0, np.clip(blur_arrays((m != 0) + 0j, sigma).real, 0, 1), 0), m))
+
+
+def find_centre(packed: DataFrame) -> DataFrame:
+    """x, y of the point about which an image is most alike to itself turned by half: where its convolution with itself is largest, halved; ties go to the first."""
+    from .fourier import fftn, ifftn
+
+    def f(v, m):
+        wide = np.pad(np.abs(v), [(0, 0), (0, v.shape[1]), (0, v.shape[2])])
+        c = flat_images(np.round(ifftn(fftn(wide) ** 2).real, 6))
+        at = c.argmax(1)
+        return {"x": (at % wide.shape[2]) / 2, "y": (at // wide.shape[2]) / 2}
+
+    return rows(packed, f, "x double, y double")
+
+
 def column_mean_subtract(packed: DataFrame, rows_: int) -> DataFrame:
     """The mean of the first rows of each column is subtracted from all of it."""
     return real(lambda v: v - v[..., :rows_, :].mean(-2, keepdims=True))(packed)

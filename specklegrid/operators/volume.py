@@ -136,13 +136,15 @@ def _panel(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return gx[ok].astype(np.int64), gy[ok].astype(np.int64), v
 
 
-def stitch(packed: DataFrame, frames: DataFrame, *by: str) -> DataFrame:
+def stitch(packed: DataFrame, frames: DataFrame, *by: str, overlap: str = "first") -> DataFrame:
     """Panels placed by frames(image_id, seq, dx, dy, zoom, theta), on one grid for each group `by`: x, y, re, mask.
 
     The grid spans the transformed corners. Each panel fills the pixels of the grid that it contains, by bilinear
-    lookup through the inverse transform, from its own bounding box only; where several do, the least seq wins. Pixels
-    that no panel contains have mask 0. All zooms of a group must be equal.
+    lookup through the inverse transform, from its own bounding box only; where several do, the least seq wins, or (sum)
+    they add up and mask counts them. Pixels that no panel contains have mask 0. All zooms of a group must be equal.
     """
+    if overlap not in ("first", "sum"):
+        raise ValueError("overlap is first or sum")
     if frames.groupBy(*by).agg(F.count_distinct("zoom").alias("n")).where("n > 1").take(1):
         raise ValueError("images of different zoom can't be stitched")
     one = F.lit(1.0)
@@ -159,8 +161,8 @@ def stitch(packed: DataFrame, frames: DataFrame, *by: str) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in p.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in (*by, "seq")) + ", x array<long>, y array<long>, v array<double>"
     cells = p.select(*by, "seq", "nx", "ny", "re", "m", *ends).mapInPandas(panels, schema).select(*by, "seq", F.explode(F.arrays_zip("x", "y", "v")).alias("c"))
-    won = cells.select(*by, "seq", "c.x", "c.y", "c.v").groupBy(*by, "x", "y").agg(F.min_by("v", "seq").alias("re"))
+    won = cells.select(*by, "seq", "c.x", "c.y", "c.v").groupBy(*by, "x", "y").agg((F.min_by("v", "seq") if overlap == "first" else F.sum("v")).alias("re"), F.count("*").alias("n"))
     box = p.groupBy(*by).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     grid = box.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1"))).select(*by, "x", "y")
     out = grid.join(won, [*by, "x", "y"], "left")
-    return out.select(*by, "x", "y", F.coalesce("re", F.lit(0.0)).alias("re"), F.when(F.col("re").isNull(), 0).otherwise(1).alias("mask"))
+    return out.select(*by, "x", "y", F.coalesce("re", F.lit(0.0)).alias("re"), F.when(F.col("re").isNull(), 0).otherwise(F.lit(1) if overlap == "first" else F.col("n")).cast("int").alias("mask"))

@@ -43,13 +43,14 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def simple(name: str, make, sql_re: str, *, sql_im: str | None = None, sql_mask: str | None = None, source: str = "px", ctes: str = "", where: str = "", form=pixels):
-    """A query of pixel values: image_id, x, y, re and, where given, im and mask."""
+def simple(name: str, make, sql_re: str, *, sql_im: str | None = None, sql_mask: str | None = None, source: str = "px", ctes: str = "", where: str = "", form=pixels, off: bool = False):
+    """A query of pixel values: image_id, x, y, re and, where given, im and mask. off: values of means are divided by pi, so that none stands half-way between two roundings."""
+    sql_re, by = (f"({sql_re}) * {1 / math.pi!r}", 1 / math.pi) if off else (sql_re, 1.0)
     columns = ["re"] + ["im"] * bool(sql_im) + ["mask"] * bool(sql_mask)
 
     def run(spark, sf_dir):
         rows = make(form(spark, sf_dir))
-        return (unpack(rows) if form is images else rows).select("image_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), *[r6(F.col(c)).alias(c) if c != "mask" else F.col(c).cast("long").alias(c) for c in columns])
+        return (unpack(rows) if form is images else rows).select("image_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), *[r6(F.col(c) * by if off and c == "re" else F.col(c)).alias(c) if c != "mask" else F.col(c).cast("long").alias(c) for c in columns])
 
     fields = [f"{sql6(sql_re)} AS re"] + ([f"{sql6(sql_im)} AS im"] if sql_im else []) + ([f"({sql_mask})::BIGINT AS mask"] if sql_mask else [])
     query(name, f"WITH {PX}{', ' + ctes if ctes else ''} SELECT image_id, x::BIGINT AS x, y::BIGINT AS y, {', '.join(fields)} FROM {source}{' WHERE ' + where if where else ''}")(run)
@@ -114,8 +115,8 @@ def _dark(p):
     return p.groupBy("label", "i").agg(F.avg("re").alias("dark"))
 
 
-simple("dark_subtract", lambda p: P.dark_subtract(p, _dark(p), ["label", "i"]), "greatest(re - abs(dark), 0)", ctes=DARK, source="px JOIN d USING (label, i)")
-simple("noise_removal", lambda p: P.noise_removal(p, _dark(p).withColumn("noise", F.abs("dark")).drop("dark"), ["label", "i"]), "CASE WHEN re - abs(dark) < sqrt(abs(re)) THEN 0 ELSE re - abs(dark) END", ctes=DARK, source="px JOIN d USING (label, i)")
+simple("dark_subtract", lambda p: P.dark_subtract(p, _dark(p), ["label", "i"]), "greatest(re - abs(dark), 0)", ctes=DARK, source="px JOIN d USING (label, i)", off=True)
+simple("noise_removal", lambda p: P.noise_removal(p, _dark(p).withColumn("noise", F.abs("dark")).drop("dark"), ["label", "i"]), "CASE WHEN re - abs(dark) < sqrt(abs(re)) THEN 0 ELSE re - abs(dark) END", ctes=DARK, source="px JOIN d USING (label, i)", off=True)
 simple("mask_external", lambda p: P.mask_external(p, _dark(p).select("label", "i", F.when(F.col("dark") > 0, 1).otherwise(0).alias("m")), ["label", "i"]), "re", sql_mask="CASE WHEN dark > 0 THEN 1 ELSE 0 END", ctes=DARK, source="px JOIN d USING (label, i)")
 simple("fill_blanks", lambda p: P.fill_blanks(P.draw_mask(p, F.col("x") > 4, 0), p.groupBy("x", "y").agg(F.avg("re").alias("v")), 1, 0), "CASE WHEN x > 4 AND v IS NOT NULL THEN abs(v) ELSE re END", sql_mask="CASE WHEN x > 4 AND v IS NULL THEN 0 ELSE 1 END", ctes="f AS (SELECT x + 1 AS x, y, avg(re) AS v FROM px GROUP BY x, y)", source="px LEFT JOIN f USING (x, y)")
 simple("split_by_mask", lambda p: P.split_by_mask(P.mask_overexposed(p, 100.0, clear=False)).withColumn("mask", F.col("inside").cast("int")), "CASE WHEN (abs(re) <= 100) = inside THEN re ELSE 0 END", sql_mask="inside::INT", source="px, (SELECT unnest([true, false]) AS inside)")
@@ -199,9 +200,9 @@ def pearson_pairs(spark, sf_dir):
     return K.correlation(*_pair(spark, sf_dir)).select("image_id", r6(F.col("r")).alias("r"))
 
 
-@query("image_average_by_label", f"WITH {PX} SELECT label, i::BIGINT AS i, {sql6('avg(re)')} AS re, count(*) AS n FROM px GROUP BY label, i")
+@query("image_average_by_label", f"WITH {PX} SELECT label, i::BIGINT AS i, {sql6(f'avg(re) * {1 / math.pi!r}')} AS re, count(*) AS n FROM px GROUP BY label, i")
 def image_average_by_label(spark, sf_dir):
-    return G.average(pixels(spark, sf_dir), "label").select("label", F.col("i").cast("long").alias("i"), r6(F.col("re")).alias("re"), "n")
+    return G.average(pixels(spark, sf_dir), "label").select("label", F.col("i").cast("long").alias("i"), r6(F.col("re") / math.pi).alias("re"), "n")
 
 
 @query("photon_factor", f"WITH {PX} SELECT image_id, {sql6('avg(re) / nullif(var_pop(re), 0)')} AS factor FROM px GROUP BY image_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import schedules as S
 from ..operators import aggregate as G
+from ..sources import text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,10 +65,9 @@ def asof_checkpoint(spark, sf_dir):
 def pulse_join(spark, sf_dir):
     """Equal stamps are consumed in order on both sides."""
     e = table(spark, sf_dir, "events")
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("k")
-    m = e.where("event_type = 'click'").select("event_id", "user_id", k)
-    c = e.where("event_type = 'view'").select("user_id", "value", k)
-    return m.join(c, ["user_id", "k"], "left").select("event_id", "value")
+    master = e.where("event_type = 'click'").select("event_id", F.col("user_id").alias("ts"), F.col("event_id").alias("seq"))
+    shots = e.where("event_type = 'view'").select(F.col("user_id").alias("ts"), "value", F.col("event_id").alias("seq"))
+    return text.pulses(master, shots).select("event_id", "value")
 
 
 @query("tumbling_windows", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

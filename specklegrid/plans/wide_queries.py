@@ -232,22 +232,49 @@ _EDGE = lambda f, k: f"{f}({', '.join(c[1:-1].split(', ')[k] for c in _FORE)})"
 _VALUE = " + ".join(f"({wx}) * ({wy}) * round(embedding[least(qy + {b}, 7) * 8 + least(qx + {a}, 7) + 1]::DOUBLE * 1000, 3)" for a, wx in ((0, "1 - (fx - qx)"), (1, "fx - qx")) for b, wy in ((0, "1 - (fy - qy)"), (1, "fy - qy")))
 
 
-@query(
-    "stitch_first",
+_STITCH = (
     f"WITH {_T}, c AS (SELECT *, floor({_EDGE('least', 0)} + 1e-9)::BIGINT AS x0, floor({_EDGE('least', 1)} + 1e-9)::BIGINT AS y0, ceil({_EDGE('greatest', 0)} - 1e-9)::BIGINT AS x1, ceil({_EDGE('greatest', 1)} - 1e-9)::BIGINT AS y1 FROM theta), "
     "g AS (SELECT c.*, x, unnest(range(y0, y1 + 1)) AS y FROM (SELECT c.*, unnest(range(x0, x1 + 1)) AS x FROM c) c), "
     "f AS (SELECT *, round(cos(theta) * x + sin(theta) * y - dx + 4, 9) AS fx, round(-sin(theta) * x + cos(theta) * y - dy + 4, 9) AS fy FROM g), "
     f"v AS (SELECT label, x, y, image_id, {_VALUE} AS v FROM (SELECT *, floor(fx)::INT AS qx, floor(fy)::INT AS qy FROM f WHERE fx BETWEEN 0 AND 7 AND fy BETWEEN 0 AND 7)), "
     "w AS (SELECT label, x, y, arg_min(v, image_id) AS re FROM v GROUP BY label, x, y), b AS (SELECT label, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM c GROUP BY label), "
     "a AS (SELECT label, x, unnest(range(y0, y1 + 1)) AS y FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM b)) "
-    "SELECT a.label, a.x, a.y, round(coalesce(re, 0), 4) + 0.0 AS re, (re IS NOT NULL)::BIGINT AS mask FROM a LEFT JOIN w USING (label, x, y)",
+    "SELECT a.label, a.x, a.y, round(coalesce(re, 0), 4) + 0.0 AS re, (re IS NOT NULL)::BIGINT AS mask FROM a LEFT JOIN w USING (label, x, y)"
 )
-def stitch_first(spark, sf_dir):
+
+
+def _stitched(spark, sf_dir, overlap):
     """All images, one stitched canvas a label; panels are placed and turned by their number."""
     p = images(spark, sf_dir)
     k = F.col("image_id")
     frames = p.select("image_id", "label", k.alias("seq"), ((k % 5) * 3).cast("double").alias("dx"), ((k % 3) * 4).cast("double").alias("dy"), F.lit(1.0).alias("zoom"), ((k % 4) * 0.3).alias("theta"))
-    return V.stitch(p.drop("label"), frames, "label").select("label", long("x"), long("y"), (F.round("re", 4) + 0.0).alias("re"), long("mask"))
+    return V.stitch(p.drop("label"), frames, "label", overlap=overlap).select("label", long("x"), long("y"), (F.round("re", 4) + 0.0).alias("re"), long("mask"))
+
+
+@query("stitch_first", _STITCH)
+def stitch_first(spark, sf_dir):
+    return _stitched(spark, sf_dir, "first")
+
+
+@query("stitch_sum", _STITCH.replace("arg_min(v, image_id) AS re", "sum(v) AS re, count(*) AS n").replace("(re IS NOT NULL)::BIGINT", "coalesce(n, 0)"))
+def stitch_sum(spark, sf_dir):
+    return _stitched(spark, sf_dir, "sum")
+
+
+@query("smooth_mesh_background", f"WITH {PX}, m AS (SELECT image_id, x // 4 AS a, y // 4 AS b, quantile_cont(re, 0.5) AS m FROM px GROUP BY ALL), w AS (SELECT px.image_id, i, sum(m * (CASE a WHEN 0 THEN 1 - u ELSE u END) * (CASE b WHEN 0 THEN 1 - v ELSE v END)) AS back FROM (SELECT *, least(greatest((x - 1.5) / 4, 0), 1) AS u, least(greatest((y - 1.5) / 4, 0), 1) AS v FROM px) px JOIN m ON m.image_id = px.image_id GROUP BY px.image_id, i) SELECT image_id, i::BIGINT AS i, {sql6(f'(re - back) * {OFF!r}')} AS re FROM px JOIN w USING (image_id, i)")
+def smooth_mesh_background(spark, sf_dir):
+    return unpack(K.smooth_mesh_background(images(spark, sf_dir), 4)).select("image_id", long("i"), r6(F.col("re") * OFF).alias("re"))
+
+
+@query("centre_of_symmetry")
+def centre_of_symmetry(spark, sf_dir):
+    return K.find_centre(images(spark, sf_dir))
+
+
+@query("smooth_mask_edges")
+def smooth_mask_edges(spark, sf_dir):
+    p = images(spark, sf_dir).withColumn("mask", F.transform("mask", lambda m, i: F.when(i % 8 < 2, 0).otherwise(1)))
+    return unpack(K.smooth_mask_edges(p, 1.0)).select("image_id", long("i"), F.round("re", 4).alias("re"))
 
 
 @query("affine_round_trip", "SELECT p_partkey, round(p_size::DOUBLE, 6) + 0.0 AS x, round(p_partkey % 17, 6) + 0.0 AS y, 1.0::DOUBLE AS one FROM part")

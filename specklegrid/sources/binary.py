@@ -1,4 +1,4 @@
-"""Binary frames and images: raw frame files, npy, PNG in and out, VTK and reflection lists."""
+"""Binary frames and images: raw frame files, npy, PNG in and out, reflection lines; other formats are in formats."""
 
 from __future__ import annotations
 
@@ -44,7 +44,9 @@ def read_npy(spark, path: str) -> DataFrame:
 
 
 def split_panels(px: DataFrame, width: int = 1024, height: int = 512) -> DataFrame:
-    """Frames laid side by side, each of an upper and a lower panel: frame, panel and re-based coordinates."""
+    """Frames laid side by side, each of an upper and a lower panel: frame, panel and re-based coordinates. Pixels outside such a shape raise an error when they are met."""
+    inside = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("y") < 2 * height)
+    px = px.withColumn("y", F.when(inside, F.col("y")).otherwise(F.raise_error(F.lit("these are no frames of two panels"))))
     return px.withColumns({"frame": F.floor(F.col("x") / width).cast("int"), "panel": F.floor(F.col("y") / height).cast("int")}).withColumns({"x": F.col("x") % width, "y": F.col("y") % height})
 
 
@@ -73,18 +75,26 @@ def png_pixels(data: bytes) -> np.ndarray:
         raise ValueError("this kind of PNG isn't read")
     channels = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
     size = channels * depth // 8
-    rows, raw, last = [], zlib.decompress(body), np.zeros(w * size, np.int64)
-    for y in range(h):
-        kind, line = raw[y * (w * size + 1)], np.frombuffer(raw, np.uint8, w * size, y * (w * size + 1) + 1).astype(np.int64)
-        if kind == 2:
+    raw = np.frombuffer(zlib.decompress(body), np.uint8, h * (w * size + 1)).reshape(h, w * size + 1)
+    rows, last = [], np.zeros(w * size, np.int64)
+    for kind, line in zip(raw[:, 0].tolist(), raw[:, 1:].astype(np.int64), strict=True):
+        if kind == 1:  # each byte is a difference from the pixel before: running sums by channel
+            line = (np.cumsum(line.reshape(w, size), axis=0) % 256).ravel()
+        elif kind == 2:
             line = (line + last) % 256
         elif kind:
-            for i in range(len(line)):
-                a = line[i - size] if i >= size else 0
-                b, c = last[i], last[i - size] if i >= size else 0
-                p = a + b - c
-                near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                line[i] = (line[i] + {1: a, 3: (a + b) // 2, 4: near}[kind]) % 256
+            line, above = line.reshape(w, size), last.reshape(w, size)
+            left = corner = np.zeros(size, np.int64)
+            for i in range(w):  # a pixel at a time, all its bytes together
+                if kind == 3:
+                    near = (left + above[i]) // 2
+                else:
+                    p = left + above[i] - corner
+                    gaps = np.abs(p - np.stack([left, above[i], corner]))
+                    near = np.choose(gaps.argmin(0), [left, above[i], corner])
+                left, corner = (line[i] + near) % 256, above[i]
+                line[i] = left
+            line = line.ravel()
         rows.append(line)
         last = line
     v = np.stack(rows)

@@ -39,6 +39,20 @@ def read_geometry(spark, path: str) -> DataFrame:
     return rows.select("file", F.col("identifier").alias("id"), *[F.col(c).try_cast("double").alias(c) for c in ("dx", "dy", "dz", "theta")])
 
 
+def read_master(spark, path: str) -> DataFrame:
+    """name, ts, seq of a master log's pulses: lines that begin with FEL hold a name, a date, a time, three words and a stamp."""
+    t = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line")).where(F.col("line").startswith("FEL"))
+    shape = r"^(FEL\S*?),?\s+\S+,\s*\S+,\s*\S+\s+\S+\s+\S+\s+(\d+)"
+    return t.select(F.regexp_extract("line", shape, 1).alias("name"), F.regexp_extract("line", shape, 2).try_cast("int").alias("ts"), "seq").where("ts is not null")
+
+
+def read_shots(spark, path: str) -> DataFrame:
+    """ts, tunnel, hall, seq of a comma-separated list of shots: a stamp, a date, a time, two numbers, and then two pairs of which the second numbers are taken."""
+    t = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line"))
+    f = F.split("line", r"\s*,\s*")
+    return t.select(F.get(f, F.lit(0)).try_cast("int").alias("ts"), F.get(f, F.lit(6)).try_cast("double").alias("tunnel"), F.get(f, F.lit(8)).try_cast("double").alias("hall"), "seq").where("ts is not null")
+
+
 def pulses(master: DataFrame, shots: DataFrame) -> DataFrame:
     """master(name, ts, seq) and shots(ts, tunnel, hall, seq): equal stamps are consumed in order; pulses without a shot keep nulls."""
     k = F.row_number().over(Window.partitionBy("ts").orderBy("seq"))

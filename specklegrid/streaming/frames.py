@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..model import ordered_scan
 from ..sources.text import parse_log
 
 
@@ -47,16 +48,13 @@ _HITS = "stream long, seq long, correlation double, hit boolean"
 
 
 def track_batch(frames: DataFrame) -> DataFrame:
-    """frames(stream, seq, v array<double>): hits of each stream in the order of seq."""
+    """frames(stream, seq, v array<double>): hits of each stream in the order of seq, read batch by batch."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        back, n, out = None, 0, []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            back, n, c, hit = track(back, n, np.asarray(r.v, float))
-            out.append((r.stream, r.seq, c, hit))
-        return pd.DataFrame(out, columns=["stream", "seq", "correlation", "hit"])
+    def step(state, v):
+        back, n, c, hit = track(*state, np.asarray(v, float))
+        return (back, n), [(c, hit)]
 
-    return frames.select("stream", "seq", "v").groupBy("stream").applyInPandas(run, _HITS)
+    return ordered_scan(frames, "stream", "seq", ["v"], lambda: (None, 0), step, _HITS)
 
 
 def track_stream(frames: DataFrame) -> DataFrame:

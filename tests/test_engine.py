@@ -547,3 +547,68 @@ def test_snapshots_show_support_and_transform(spark):
     runs = p.select("image_id", F.lit(0).alias("seed"), "nx", "ny", "nz", F.col("re").alias("amplitude"), "mask", "re", "im", F.col("mask").alias("support"), F.lit(3).alias("iteration"), F.lit("{}").alias("state"))
     for r in phasing.snapshots(runs).collect():
         assert np.allclose(r.fourier, np.abs(np.fft.fft2(np.array(r.re).reshape(8, 8))).ravel()) and r.iteration == 3
+
+
+def test_schedules_by_precedence():
+    assert schedules.beta_at(5, 0.9) == 0.9 and schedules.beta_at(0, 0.9, over=10) == 0.75 and schedules.beta_at(1e6, 0.9, over=10) == 0.9
+    marks = [(0, 1.0), (10, 0.0)]
+    assert abs(schedules.beta_at(5, 0.9, checkpoints=marks) - 0.5) < 1e-12 and schedules.beta_at(-3, 0.9, checkpoints=marks) == 1.0 and schedules.beta_at(10, 0.9, checkpoints=marks) == 0.0
+    assert schedules.beta_at(5, 0.9, keys_map=marks, checkpoints=[(0, 7.0)]) == schedules.bezier(5, [0, 10], [1.0, 0.0])
+    assert schedules.area_at(0, 0.3, 0.1, 100) == 0.3 and abs(schedules.area_at(1e6, 0.3, 0.1, 100) - 0.1) < 1e-9 and schedules.area_at(7, 0.3) == 0.3
+
+
+def test_pulse_files(spark, tmp_path):
+    (tmp_path / "m.log").write_text("# start\nFEL1, 1/2/2008, 10:11:12, a b c 77\nother\nFEL2, 1/2/2008, 10:11:13, a b c 78\nFEL3, 1/2/2008, 10:11:13, a b c 78\n")
+    (tmp_path / "p.csv").write_text("78, 1/2/2008, 10:11:13, 1, 2, 0.5, 1.5, 0.25, 2.5\n78, 1/2/2008, 10:11:14, 1, 2, 0.5, 1.75, 0.25, 2.75\nbad\n")
+    got = text.pulses(text.read_master(spark, str(tmp_path / "m.log")), text.read_shots(spark, str(tmp_path / "p.csv"))).collect()
+    assert {r.name: (r.tunnel, r.hall) for r in got} == {"FEL1": (None, None), "FEL2": (1.5, 2.5), "FEL3": (1.75, 2.75)}
+
+
+def test_png_filters():
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(8)
+    v = rng.integers(0, 256, (6, 5, 3))
+    raw, last = b"", np.zeros((5, 3), int)
+    for k, row in enumerate(v):
+        left = np.vstack([np.zeros((1, 3), int), row[:-1]])
+        corner = np.vstack([np.zeros((1, 3), int), last[:-1]])
+        p = left + last - corner
+        gaps = np.abs(np.stack([p - left, p - last, p - corner]))
+        near = np.choose(gaps.argmin(0), [left, last, corner])
+        kind = k % 5
+        raw += bytes([kind]) + ((row - [0, left, last, (left + last) // 2, near][kind]) % 256).astype(np.uint8).tobytes()
+        last = row
+    part = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    data = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 5, 6, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+    assert np.allclose(binary.png_pixels(data), v.mean(-1))
+
+
+def test_centre_of_symmetry(spark):
+    rng = np.random.default_rng(9)
+    half = rng.random((5, 6))
+    v = np.zeros((8, 9))
+    v[1:6, 2:8] = half + half[::-1, ::-1]
+    from specklegrid.operators import packed
+
+    one = spark.createDataFrame([(1, 9, 8, 1, v.ravel().tolist(), [0.0] * 72, [1] * 72)], "image_id long, nx int, ny int, nz int, re array<double>, im array<double>, mask array<int>")
+    r = packed.find_centre(one).first()
+    assert (r.x, r.y) == (4.5, 3.0)
+
+
+def test_panels_of_another_shape_are_refused(spark):
+    with pytest.raises(Exception, match="two panels"):
+        binary.split_panels(spark.createDataFrame([(0, 9, 1.0)], "x int, y int, re double"), 4, 2).collect()
+
+
+def test_incremental_components(spark):
+    """The first direction of a long stream is that of its largest variance; streams don't mix."""
+    rng = np.random.default_rng(10)
+    a, b = np.array([3.0, 1.0, 0.0]), np.array([0.0, 1.0, -2.0])
+    rows = [(s, k, (rng.normal() * d + rng.normal(size=3) * 0.1).tolist()) for s, d in ((1, a), (2, b)) for k in range(400)]
+    got = learning.incremental_pca(spark.createDataFrame(rows, "stream long, seq long, v array<double>"), "stream", "seq", "v").where("component = 0").collect()
+    assert len(got) == 2
+    for r in got:
+        d = a if r.stream == 1 else b
+        assert abs(np.dot(r.direction, d / np.linalg.norm(d))) > 0.99
