@@ -150,16 +150,18 @@ def bucketed(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[in
     columns = [c[order].view(U64) if c.dtype.itemsize == 8 else c[order].astype(U64) for c in columns]
     cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     for a, b in zip(cut, np.r_[cut[1:], len(bucket)], strict=True):
-        yield int(bucket[a]), np.concatenate([c[a:b] for c in columns]).tobytes()
+        yield int(bucket[a]), blob([c[a:b] for c in columns])
 
 
 def blob(columns: list[np.ndarray]) -> bytes:
-    return np.concatenate([np.ascontiguousarray(c).view(U64) for c in columns]).tobytes()
+    """Columns of 64-bit numbers, the first bytes of all, then the second ones, and so on: the high bytes of ids and places are alike, and compress."""
+    whole = np.concatenate([np.ascontiguousarray(c).view(U64) for c in columns])
+    return whole.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes()
 
 
 def unblob(data: bytes, k: int) -> np.ndarray:
     """k columns of 64-bit numbers."""
-    return np.frombuffer(data, U64).reshape(k, -1)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(k, 8, -1).transpose(0, 2, 1)).view(U64).reshape(k, -1)
 
 
 def equal_runs(*keys: np.ndarray) -> np.ndarray:

@@ -37,7 +37,7 @@ from .kernels import U64, bucketed, equal_runs, join, mix, unblob, utf8
 
 LENGTH, GRAM = 100, 32  # GRAM is 8 times a power of two
 _HEAD = {"runs": np.array([1], U64).tobytes(), "windows": np.array([2], U64).tobytes()}
-PLACE_BITS = 38
+PLACE_BITS = 48  # of a place within the rows of one doc_id and hash of texts; the hash has the rest
 HALF = U64(0x9FB21C651E98DF25)
 
 
