@@ -118,17 +118,19 @@ def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text, times (equal rows): that of the next row by doc_id; after the last, the first's."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     after = written(next_keys(docs), "next")
-    texts = docs.select("doc_id", _number(), F.xxhash64("text").alias("h"), "text")
+    # both sides of the join read one exchange: a row is a single column, so that none is cut from either
+    row = F.struct("doc_id", "text").alias("row")
+    texts = docs.select(_number(), F.xxhash64("text").alias("h"), row).repartition("i", "h")
     repeated = bool(after.where("n > 1").take(1))
     if repeated:  # equal rows are one row from here on
-        texts = texts.groupBy("i", "h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+        texts = texts.groupBy("i", "h").agg(F.first("row").alias("row"))
     before = after.select(F.col("next_i").alias("i"), F.col("next_h").alias("h"), F.col("i").alias("of_i"), F.col("h").alias("of_h"))
-    sent = texts.select("i", "h", F.col("text").alias("next_text")).join(before, ["i", "h"]).select(F.col("of_i").alias("i"), F.col("of_h").alias("h"), "next_text")
-    out = texts.join(sent, ["i", "h"]).select("i", "h", "doc_id", "text", "next_text")
+    sent = texts.join(before, ["i", "h"]).select(F.col("of_i").alias("i"), F.col("of_h").alias("h"), F.col("row.text").alias("next_text"))
+    out = texts.join(sent, ["i", "h"]).select("row.doc_id", "row.text", "next_text")
     if not repeated:
         return out.select("doc_id", "text", "next_text", F.lit(1).cast("long").alias("times"))
     # of n equal rows, n - 1 are followed by their own text
-    more = texts.join(after.where("n > 1").select("i", "h", (F.col("n") - 1).alias("times")), ["i", "h"]).select("doc_id", "text", F.col("text").alias("next_text"), "times")
+    more = texts.join(after.where("n > 1").select("i", "h", (F.col("n") - 1).alias("times")), ["i", "h"]).select("row.doc_id", "row.text", F.col("row.text").alias("next_text"), "times")
     return out.select("doc_id", "text", "next_text", F.lit(1).cast("long").alias("times")).unionByName(more)
 
 
