@@ -26,6 +26,7 @@ from .exchange import written
 
 SIZES = (8, 512, 32768)  # cells are kept sparse: a wide table costs no more than a narrow one and peels in fewer rounds
 ROUNDS, PART_ROWS = 24, 1 << 18
+NO_ID = -(2**63)  # stands for a null doc_id, and so does a doc_id of this number
 FEW = 10  # digests of both texts up to which the least table is tried
 _CELLS = "array<struct<cell: bigint, n: int, x: bigint, c: bigint>>"
 _EMPTY = f"cast(array() as {_CELLS})"
@@ -111,27 +112,27 @@ def next_keys(docs: DataFrame) -> DataFrame:
 
 
 def _number() -> Column:
-    return F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("i")
+    return F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("i")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text, times (equal rows): that of the next row by doc_id; after the last, the first's."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     after = written(next_keys(docs), "next")
-    # both sides of the join read one exchange: a row is a single column, so that none is cut from either
-    row = F.struct("doc_id", "text").alias("row")
-    texts = docs.select(_number(), F.xxhash64("text").alias("h"), row).repartition("i", "h")
+    # both sides of the join read one exchange of these three columns, which both need whole
+    texts = docs.select(_number(), F.xxhash64("text").alias("h"), "text").repartition("i", "h")
+    own = F.nullif("i", F.lit(NO_ID)).alias("doc_id")
     repeated = bool(after.where("n > 1").take(1))
     if repeated:  # equal rows are one row from here on
-        texts = texts.groupBy("i", "h").agg(F.first("row").alias("row"))
+        texts = texts.groupBy("i", "h").agg(F.first("text").alias("text"))
     before = after.select(F.col("next_i").alias("i"), F.col("next_h").alias("h"), F.col("i").alias("of_i"), F.col("h").alias("of_h"))
-    sent = texts.join(before, ["i", "h"]).select(F.col("of_i").alias("i"), F.col("of_h").alias("h"), F.col("row.text").alias("next_text"))
-    out = texts.join(sent, ["i", "h"]).select("row.doc_id", "row.text", "next_text")
+    sent = texts.join(before, ["i", "h"]).select(F.col("of_i").alias("i"), F.col("of_h").alias("h"), F.col("text").alias("next_text"))
+    out = texts.join(sent, ["i", "h"]).select(own, "text", "next_text", F.lit(1).cast("long").alias("times"))
     if not repeated:
-        return out.select("doc_id", "text", "next_text", F.lit(1).cast("long").alias("times"))
+        return out
     # of n equal rows, n - 1 are followed by their own text
-    more = texts.join(after.where("n > 1").select("i", "h", (F.col("n") - 1).alias("times")), ["i", "h"]).select("row.doc_id", "row.text", F.col("row.text").alias("next_text"), "times")
-    return out.select("doc_id", "text", "next_text", F.lit(1).cast("long").alias("times")).unionByName(more)
+    more = texts.join(after.where("n > 1").select("i", "h", (F.col("n") - 1).alias("times")), ["i", "h"])
+    return out.unionByName(more.select(own, "text", F.col("text").alias("next_text"), "times"))
 
 
 def edit(n: Column) -> Column:
