@@ -81,9 +81,9 @@ def lengths(v: np.ndarray) -> np.ndarray:
 class Curves:
     """Where the vectors of one band of lengths stand on each curve, how each is cut into `count` blocks, and how far a query reaches."""
 
-    def __init__(self, dims: int, curves: int, n: int, most: float, block: int):
+    def __init__(self, dims: int, curves: int, n: int, most: float, block: int, exact: bool = False):
         self.count = -(-n // max(block, -(-n // MOST_BLOCKS)))
-        self.exact = self.count <= 3  # then every query meets every row, on one curve
+        self.exact = exact or self.count <= 3  # then every query meets every row, on one curve
         self.curves, self.reach, self.shares = 1 if self.exact else curves, self.count - 1 if self.exact else 1, 1
         self.n, self.most, self.frames, self.edges = n, most, frames(dims + 1, self.curves), np.zeros((self.curves, 0), np.int64)
 
@@ -217,8 +217,8 @@ def packed(query: list[bytes], ends: np.ndarray, ids: np.ndarray, score: np.ndar
     return pa.record_batch([pa.array(query, pa.binary()), cut(ids), cut(score)], ["query", "ids", "scores"])
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, block: int = BLOCK, target: float = TARGET) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best found for each row of vectors(vec_id, embedding) where the Column is_query holds, among all others."""
+def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, block: int = BLOCK, target: float = TARGET, exact: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best found for each row of vectors(vec_id, embedding) where the Column is_query holds, among all others. exact: every query goes to every block of one curve, so nothing is missed, at a cost of queries times rows."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     rows = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)).withColumn("q", F.coalesce("q", F.lit(False)))
     if not rows.take(1):
@@ -235,7 +235,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, bloc
     sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.max("size").alias("m"), F.sum(F.col("q").cast("long")).alias("asked")).collect()
     dims, asked = common, sum(r["asked"] for r in sizes)
     kind = np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
-    places = {r["band"]: Curves(dims, curves, r["n"], r["m"], block) for r in sizes}
+    places = {r["band"]: Curves(dims, curves, r["n"], r["m"], block, exact) for r in sizes}
     cut = {b: p for b, p in places.items() if p.count > 1}
     if cut:
         draw = F.pmod(F.xxhash64(F.lit("edges"), "vec_id"), F.lit(1 << 30))

@@ -413,6 +413,12 @@ def test_curve_search_reaches_as_far_as_the_table_needs(spark):
     assert sum(len(_true_best(v, q) & got[q]) for q in range(0, 6000, 100)) / (60 * 20) >= 0.9
 
 
+def test_curve_search_exact(spark):
+    v = np.random.default_rng(16).normal(size=(1500, 16))
+    got = _found(spark, v, 50, block=64, exact=True)
+    assert all(got[q] == _true_best(v, q) for q in range(0, 1500, 50))
+
+
 def test_curve_search_copies_and_ties(spark):
     """Thousands of copies: the smallest vec_ids are the neighbours, and what stands behind the copies is found too."""
     rng = np.random.default_rng(8)
