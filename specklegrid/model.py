@@ -61,6 +61,16 @@ def center_distance(nx: int, ny: int) -> Column:
     return F.hypot(F.col("x") - (nx - 1) / 2, F.col("y") - (ny - 1) / 2)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written by checkpoint to the shared folder: lineage ends there."""
+    from .sources.frames import scratch
+
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(scratch(df.sparkSession, "checkpoint"))
+    return df.checkpoint()
+
+
 def ordered_scan(df: DataFrame, by: str, order: str, columns: list[str], first, step, schema: str) -> DataFrame:
     """Rows of step(state, key, order value, *values) -> (state, rows) along each group in its order; a group starts with first().
 

@@ -7,14 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import modulus
+from ..model import checkpointed, modulus
 from .aggregate import shell
+from .selection import selected
 
 
 def ordered_by_exposure(px: DataFrame) -> DataFrame:
-    """image_id, exposure (sum of values), place from 0, least exposed first; ties by image_id. Only one row an image is sorted."""
+    """image_id, exposure (sum of values), place from 0, least exposed first; ties by image_id. Only one row an image is sorted, in ranges of exposures whose sizes are then added up."""
     sums = px.groupBy("image_id").agg(F.sum("re").alias("exposure"))
-    return sums.withColumn("place", F.row_number().over(Window.orderBy("exposure", "image_id")) - 1)
+    ranged = checkpointed(sums.repartitionByRange("exposure", "image_id").withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))  # one row a partition
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy("exposure", "image_id")) - 1
+    return ranged.withColumn("within", within).join(before, "range").select("image_id", "exposure", (F.col("before") + F.col("within")).alias("place"))
 
 
 def wilson(px: DataFrame, distance: Column, bins: int, most: float, *by: str) -> DataFrame:
@@ -136,13 +141,10 @@ def snapshot_difference(px: DataFrame, by: str, order: str) -> DataFrame:
 
 
 def weak_pixels(px: DataFrame, share: float) -> DataFrame:
-    """Marks measured pixels up to the modulus at place int(n share) from the top of their image."""
-    w = Window.partitionBy("image_id")
-    a = modulus()
-    place = F.row_number().over(w.orderBy(a.desc(), "i")) - 1
-    z = px.withColumns({"a": a, "place": place, "n": F.count("*").over(w)})
-    level = F.max(F.when(F.col("place") == F.least(F.floor(F.col("n") * share), F.col("n") - 1), F.col("a"))).over(w)
-    return z.withColumn("level", level).withColumn("weak", (F.col("mask") != 0) & (F.col("a") <= F.col("level"))).drop("a", "place", "n", "level")
+    """Marks measured pixels up to the modulus at place int(n share) from the top of their image; the level is selected without sorting an image's pixels."""
+    z = px.withColumn("a", modulus())
+    level = selected(z, "image_id", "a", lambda n: F.least(F.floor(n * share), n - 1), from_top=True)
+    return z.join(level, "image_id").withColumn("weak", (F.col("mask") != 0) & (F.col("a") <= F.col("level"))).drop("a", "level")
 
 
 def neighbours_in_list(files: DataFrame, by: str, order: str, name: str) -> DataFrame:

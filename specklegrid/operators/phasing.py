@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schedules import bezier, gammas
+from ..sources import frames
 from .fourier import align_arrays, blur_array, rescaled
 
 ALGORITHMS = ("er", "hio", "raar", "hpr", "dm", "cflip", "espresso", "haar", "hio_proj", "raar_proj", "automatic")
@@ -429,14 +430,16 @@ def advance(runs: DataFrame, o: Settings, iterations: int | None = None, logs: b
 
 
 def phase(runs: DataFrame, o: Settings, snapshot_every: int, path: str) -> DataFrame:
-    """Runs in chunks; each chunk's state is written under path/iteration=N and read again, so lineage stays short and a restart goes on from the last."""
-    done = 0
+    """Runs in chunks; each chunk's state is appended to the table of iterations at path and read again, so lineage stays short. A path that holds iterations already goes on from the last whole one; none is written twice."""
+    spark = runs.sparkSession
+    there = [i for i in frames.iterations(spark, path) if i <= o.iterations]
+    read = lambda i: frames.read_iterations(spark, path, i).select(*RUN_NAMES)
+    done, runs = (there[-1], read(there[-1])) if there else (0, runs)
     while done < o.iterations:
         n = min(snapshot_every, o.iterations - done)
         done += n
-        out = f"{path}/iteration={done}"
-        advance(runs, o, n).write.mode("overwrite").parquet(out)
-        runs = runs.sparkSession.read.schema(RUNS).parquet(out)
+        frames.append_iteration(advance(runs, o, n), path, done)
+        runs = read(done)
     return runs
 
 

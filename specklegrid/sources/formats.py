@@ -302,19 +302,6 @@ def encoded(packed: DataFrame, kind: str = "png", ramp: str = "gray", log: bool
     return packed.select("image_id", "nx", "ny", "nz", "re", "im", "mask").mapInPandas(run, "image_id long, name string, content binary")
 
 
-def write_files(blobs: DataFrame, path: str) -> None:
-    """One file for each row of blobs(name, content), written by the tasks through the shared store of `path`."""
-    spark = blobs.sparkSession
-    rows = blobs.select("name", F.hex("content").alias("content"))
-    rows.write.mode("overwrite").partitionBy("name").text(path)
-    spark.catalog.refreshByPath(path)
-
-
-def read_files(spark, path: str) -> DataFrame:
-    """name, content of what write_files() wrote."""
-    return spark.read.text(path).select("name", F.unhex("value").alias("content"))
-
-
 #: The lines around a cell in the header of a reflection list, a shell script for f2mtz.
 _LIST_HEAD = ("#!/bin/sh", "# Reflections as text, which f2mtz reads when this file is run.", "f2mtz HKLIN $0 HKLOUT $0.mtz << +", "SKIP 20", "TITLE Image to MTZ")
 _LIST_PLAIN = ("LABOUT H K L I", "CTYPE  H H H J", "FORMAT '(3F5.0,1X,F10.3)'", "SYMM P1", "+", "exit")

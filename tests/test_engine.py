@@ -12,7 +12,7 @@ from specklegrid import catalog
 from specklegrid.functions import expression, options, schedules
 from specklegrid.model import images
 from specklegrid.operators import fourier, geometry, learning, phasing, pixel, volume
-from specklegrid.sources import binary, formats, text
+from specklegrid.sources import binary, formats, frames, text
 from specklegrid.streaming.frames import track
 
 SF = "/root/testdata/sf0.001"
@@ -205,6 +205,10 @@ def test_phasing_goes_on_from_snapshots(spark, tmp_path):
     two = phasing.phase(runs, o, 5, str(tmp_path / "run"))
     for r in two.collect():
         assert r.iteration == 12 and np.allclose(r.re, one[r.image_id, r.seed].re) and r.support == one[r.image_id, r.seed].support
+    written = sorted(f for f in glob.glob(f"{tmp_path}/run/*/*") if f.endswith(".parquet"))
+    assert frames.iterations(spark, f"{tmp_path}/run") == [5, 10, 12]
+    again = phasing.phase(runs, o, 5, str(tmp_path / "run"))  # all is there: nothing is computed or written again
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, two.collect())) and sorted(f for f in glob.glob(f"{tmp_path}/run/*/*") if f.endswith(".parquet")) == written
     out = {(r.image_id, r.seed): np.array(r.re) + 1j * np.array(r.im) for r in phasing.output(two).collect()}
     for r in two.collect():
         assert np.allclose(np.abs(np.fft.fft2(out[r.image_id, r.seed].reshape(8, 8))).ravel(), r.amplitude, atol=1e-6)
@@ -328,9 +332,9 @@ def test_formats(spark, tmp_path):
     p = images(spark, SF).where("image_id < 2")
     assert formats.encoded(p, "vtk", shifted=True).count() == 6 and formats.encoded(p, "png", "jet").count() == 2
     blobs = formats.encoded(p, "tiff")
-    formats.write_files(blobs, str(tmp_path / "out"))
-    back = {r.name: bytes(r.content) for r in formats.read_files(spark, str(tmp_path / "out")).collect()}
-    assert back == {r.name: bytes(r.content) for r in blobs.collect()}
+    frames.write_files(blobs, str(tmp_path / "out"))
+    back = {r.name: bytes(r.content) for r in frames.read_files(spark, str(tmp_path / "out")).collect()}
+    assert back == {r.name: bytes(r.content) for r in blobs.collect()} == {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir()}
     assert binary.with_png(p).count() == 2
     binary.write_packed(p, str(tmp_path / "packed"))
     assert spark.read.parquet(str(tmp_path / "packed")).count() == 2
