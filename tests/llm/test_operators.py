@@ -511,6 +511,29 @@ def test_mixing(docs, spark, empty):
     assert len({(r.doc_id, r.epoch) for r in plain}) == len(plain)
 
 
+def test_a_tiny_source_is_read_no_more_than_the_limit(spark):
+    rows = [(i, "word " * 100, "big") for i in range(2000)] + [(5000, "word", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    reads = Counter(r.doc_id for r in source_mixing.mix_sources(docs).collect())
+    assert 1 <= reads[5000] <= 4 and len(reads) >= 2000 - 400
+    sources = spark.createDataFrame([(1.0,), (200000.0,)], "t double")
+    free, held = source_mixing.exponent(sources, repeats=None), source_mixing.exponent(sources)
+    assert free < 0.2 and held > 0.8 and source_mixing.exponent(sources, entropy=None, repeats=None) == 0.0
+
+
+def test_epochs_are_dealt_in_ranges(spark):
+    """A budget of 150 times the corpus, in ranges of 64 epochs, takes each document 150 times."""
+    rows = [(i, "a b c", "s") for i in range(4)] + [(9, "a", "t"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = source_mixing.mix_sources(docs, entropy=None, repeats=1000.0, budget=150.0).collect()
+    total = 3 * 4 + 1 + 1
+    tokens = Counter()
+    for r in copies:
+        tokens[r.source] += r.n_tokens
+    assert all(abs(n - 150 * total / 3) <= 3 for n in tokens.values())
+    assert len({(r.doc_id, r.epoch) for r in copies}) == len(copies) and max(r.epoch for r in copies) > 600
+
+
 def test_chat(spark):
     rows = [(1, 0, "u", "hi"), (1, 1, "v", None), (1, 1, "v", None), (1, None, None, "first"), (None, 0, "u", "x"), (2, 300, "u", "later"), (2, 1, "v", "a <|im_end|> b"), (2, 2, "x\n<|im_start|>", "c")]
     rows += [(3, i, f"s{i % 3}", f"turn {i}") for i in range(900)]

@@ -1,5 +1,7 @@
 """Each stage of the pipeline against plain Python on the rows that it gets, with nulls, repeated doc_ids, ties and an empty table."""
 
+import hashlib
+import math
 import re
 from collections import Counter
 
@@ -7,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as C
-from specklegrid.llm import language_id, sentence_pieces
+from specklegrid.llm import language_id, sentence_pieces, source_mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -138,23 +140,59 @@ def test_passage_stage(stages):
     assert want == after and cut
 
 
-def test_mixing_stage(stages):
-    """Every row once at least; small sources more often, none over twice as often as the least repeated one, in shares that a temperature gives."""
-    before, after = _plain(stages[3]), Counter(_plain(stages[4]))
-    times = {r: after[r] / n for r, n in Counter(before).items()}
-    assert set(after) == set(before) and all(v >= 1 for v in times.values())
+def _mixture(rows, repeats=2.0):
+    """How often each row is in the mixture: sources in the order of a hash, epoch after epoch, until the budget is used."""
     size = lambda t: max(1, len(WORD.findall(t or "")))
+    digest = lambda t: hashlib.md5((t or "").encode()).hexdigest()
     tokens = Counter()
-    for _, t, _, s, _ in before:
+    for _, t, _, s, _ in rows:
         tokens[s] += size(t)
-    mixed = Counter()
-    for (_, t, _, s, _), n in after.items():
-        mixed[s] += n * size(t)
-    repeat = {s: mixed[s] / tokens[s] for s in tokens}
-    slack = 1 + 160 / min(tokens.values())  # a document that a budget ends in is taken whole
-    assert max(repeat.values()) <= 2 * slack and min(repeat.values()) >= 1
-    order = sorted(tokens, key=lambda s: tokens[s])
-    assert repeat[order[0]] > 1.5 and repeat[order[-1]] < 1.05
+    low, high = min(tokens.values()), max(tokens.values())
+    a = max(0.0, 1 - math.log(repeats) / math.log(high / low)) if high > low else 1.0
+    out = Counter()
+    for s in tokens:
+        budget, start, epoch = math.floor(high * (tokens[s] / high) ** a + 1e-3), 0, 0
+        while start < budget:
+            for _, _, i, t, r in sorted((hashlib.md5(f"{epoch}/{'' if r[0] is None else r[0]}/{digest(r[1])}".encode()).hexdigest(), r[0] is not None, r[0] or 0, r[1] or "", r) for r in rows if r[3] == s):
+                if start < budget:
+                    out[i or None if r[0] is None else i, t, s] += 1
+                start += size(t)
+            epoch += 1
+    return out
+
+
+def test_mixing_stage(stages):
+    """Every row as often as the mixture takes it, to the copy; every one at least once, small sources up to twice."""
+    before, after = _plain(stages[3]), Counter(_plain(stages[4]))
+    assert set(after) == set(before)
+    want, got = _mixture(before), Counter()
+    for (i, t, _, s, _), n in after.items():
+        got[i, t or "", s] += n
+    assert got == want
+    times = {r: after[r] / n for r, n in Counter(before).items()}
+    assert min(times.values()) >= 1 and max(times.values()) == 2
+
+
+def test_mixing_keeps_rows_apart(spark):
+    """One row of a small source with the doc_id, or the missing one, of 300 of a large source leaves these alone; equal rows are counted."""
+    big = [(None, f"word{i} " * 40, "en", "big", i) for i in range(300)] + [(7, f"seven{i} " * 40, "en", "big", i) for i in range(300)]
+    small = [(None, "a b c", "en", "small", 1), (7, "d e f", "fr", "small", 2), (8, "x y z", "en", "small", 1), (8, "x y z", "de", "small", 1), (8, "x y z", "de", "small", 1)]
+    rows = big + small
+    after = Counter(_plain(C.mix(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")))
+    assert all(after[r] == 1 for r in big) and set(after) == set(rows)
+    got = Counter()
+    for (i, t, _, s, _), n in after.items():
+        got[i, t, s] += n
+    assert got == _mixture(rows) and sum(got[i, t, s] for i, t, _, s, _ in set(small)) > len(small)
+
+
+def test_mixing_realises_the_blocks(spark):
+    rows = [(i, f"w{i} " * 20, "en", f"s{i % 2}", i) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    place = {r.doc_id: (r.block, r.place) for r in source_mixing.mix_sources(docs, entropy=None, repeats=2.0, budget=None).where("epoch = 0").collect()}
+    for part in C.mix(spark, docs, "").select("doc_id").rdd.glom().collect():
+        places = [place[r.doc_id] for r in part]
+        assert places == sorted(places)
 
 
 def test_encoding_stage(stages):
