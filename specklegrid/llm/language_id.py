@@ -4,8 +4,11 @@ A one-versus-rest linear support vector machine predicts the language family fir
 one-versus-one linear support vector machines separate its languages by votes. Features are hashed byte n-grams
 (one to three bytes, A-Z lower-cased) of the whole text, square-rooted and normalised.
 
-The machines are fitted on the driver on at most about `per_lang` labelled rows of each language, chosen by a hash
-of doc_id, and on MOST_LANGS languages; only their feature vectors travel. Prediction covers every row in one scan without a shuffle.
+The machines are fitted on a bounded sample: at most `per_lang` labelled rows of each language, fewer where there are
+so many languages that the whole would pass SAMPLE_ROWS (but MIN_ROWS of each). They are the rows of least hash of (doc_id,
+text), each distinct text of a doc_id once. Every language is learned, each machine in a task of its own on the rows that it
+needs (a family's, of the sample's other rows FAMILY_ROWS at most); only weights come to the driver. Prediction covers every row in
+one scan without a shuffle.
 
 Cases: a null text or one without a letter is `und` with score 0; without any labelled row everything is `und`;
 a language that `families` doesn't list is a family of its own; a row without doc_id is never learned from and
@@ -18,14 +21,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .exchange import released, written
 from .kernels import LOWER, pieces, utf8
 
 DIMS, PER_LANG, MIN_SCORE, LOST = 4096, 400, 0.25, 0.005
 PIECE, ROWS = 512 << 10, 1024  # bytes of text and rows whose features (16 KB a row) a task holds at once
-MOST_LANGS = 200  # languages that are learned, the most frequent ones
+SAMPLE_ROWS, MIN_ROWS, FAMILY_ROWS = 40_000, 8, 4000  # bounds of the sample, as above
 #: Families of common languages (ISO 639-1).
 FAMILIES = {
     **dict.fromkeys("en de nl af sv da no nb nn is fy lb yi".split(), "germanic"), **dict.fromkeys("fr es it pt ro ca gl oc la".split(), "romance"),
@@ -73,19 +77,13 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, rounds: int = 15) -> n
 class Model:
     """Machines for the families, and for each pair of languages of one family."""
 
-    def __init__(self, x: np.ndarray, langs: np.ndarray, families: dict[str, str]):
-        self.langs = sorted(set(langs.tolist()))
+    def __init__(self, langs: list[str], families: dict[str, str], weights: dict[str, np.ndarray]):
+        self.langs = sorted(langs)
         family = {g: families.get(g, g) for g in self.langs}
         self.families = sorted(set(family.values()))
-        of = np.array([family[g] for g in langs])
-        self.top = [fit_svm(x, np.where(of == f, 1, -1)) for f in self.families] if len(self.families) > 1 else []
         self.members = {f: [g for g in self.langs if family[g] == f] for f in self.families}
-        self.pairs = {}
-        for group in self.members.values():
-            for i, g in enumerate(group):
-                for h in group[i + 1 :]:
-                    use = (langs == g) | (langs == h)
-                    self.pairs[g, h] = fit_svm(x[use], np.where(langs[use] == g, 1, -1))
+        self.top = [weights[f"family {f}"] for f in self.families] if len(self.families) > 1 else []
+        self.pairs = {(g, h): weights[f"pair {g} {h}"] for group in self.members.values() for i, g in enumerate(group) for h in group[i + 1 :]}
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language and score from 0 to 1 of each row: the share of its family times its mean vote in the family."""
@@ -108,45 +106,107 @@ class Model:
         return lang, np.clip(score, 0, 1)
 
 
-def learned_limit(x: np.ndarray, langs: np.ndarray, families: dict[str, str], share: float = LOST) -> float:
-    """The score that all but `share` of the rightly predicted learned rows reach when the machines learn on the other half of the rows."""
-    fold = np.arange(len(x)) % 2
-    scores = []
-    for f in (0, 1):
-        if len(x) > 1:
-            lang, score = Model(x[fold != f], langs[fold != f], families).predict(x[fold == f])
-            scores.append(score[lang == langs[fold == f]])
-    scores = np.concatenate(scores) if scores else np.zeros(0)
-    return float(np.quantile(scores, share, method="lower")) if len(scores) else 0.0
-
-
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, families: dict[str, str] | None = None, dims: int = DIMS, limit: bool = False) -> Model | None:
-    """The model of the rows that are not held out, with its learned_limit where asked for; None where no row has a label."""
+def sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[DataFrame, list[str]]:
+    """(lang, h, text) of the rows that machines learn from, and the languages: of each language the distinct (doc_id, text) of least hash, rows that are held out aside."""
     open_rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in open_rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    if len(counts) > MOST_LANGS:
-        counts = dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:MOST_LANGS])
-    share = F.coalesce(*[F.when(F.col("lang") == g, F.lit(min(1.0, per_lang / n))) for g, n in sorted(counts.items())], F.lit(0.0))
-    draw = F.pmod(F.xxhash64(F.lit("language id"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
-    def vectors(batches):
+    rows = open_rows.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.lit("language id"), "doc_id", "text").alias("h"), F.col("text").cast("string").alias("text"))
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).collect()  # one row a language
+    langs = sorted(r["lang"] for r in found)
+    per_lang = min(per_lang, max(MIN_ROWS, SAMPLE_ROWS // max(1, len(langs))))
+    # below a bar of twice the share that is wanted; the least of each language always
+    bars = docs.sparkSession.createDataFrame([(r["lang"], r["least"], min(1.0, 2 * per_lang / r["n"])) for r in found], "g string, least long, share double")
+    drawn = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col("share")
+    some = rows.join(F.broadcast(bars), F.col("lang") == F.col("g")).where(drawn | (F.col("h") == F.col("least")))
+    each = some.groupBy("lang", "h").agg(F.min("text").alias("text"))  # equal rows become one where they lie
+    place = F.row_number().over(Window.partitionBy("lang").orderBy((F.col("h") != F.col("least")).cast("int"), F.pmod("h", F.lit(1 << 30)), "h"))
+    least = docs.sparkSession.createDataFrame([(r["lang"], r["least"]) for r in found], "g string, least long")
+    each = each.join(F.broadcast(least), F.col("lang") == F.col("g")).withColumn("place", place).where(F.col("place") <= per_lang)
+    return each.select("lang", "h", "place", "text"), langs
+
+
+def _vectors(rows: DataFrame, dims: int) -> DataFrame:
+    def run(batches):
         for batch in batches:
             for part in pieces(batch, "text", PIECE, ROWS):
-                yield pa.record_batch([part.column(0), pa.array([v.tobytes() for v in features(part.column(1), dims)], pa.binary())], ["lang", "x"])
+                x = features(part.column(3), dims)
+                at = [np.flatnonzero(v).astype(np.uint16) for v in x]
+                packed = [i.tobytes() + v[i].tobytes() for i, v in zip(at, x, strict=True)]
+                yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array(packed, pa.binary())], ["lang", "h", "place", "x"])
+
+    return rows.select("lang", "h", "place", "text").mapInArrow(run, "lang string, h long, place int, x binary")
+
+
+def _dense(packed: list[bytes], dims: int) -> np.ndarray:
+    out = np.zeros((len(packed), dims), np.float32)
+    for row, data in zip(out, packed, strict=True):
+        n = len(data) // 6
+        row[np.frombuffer(data, np.uint16, n)] = np.frombuffer(data, np.float32, n, 2 * n)
+    return out
+
+
+def _fitted(vectors: DataFrame, langs: list[str], families: dict[str, str], dims: int, total: int) -> dict[str, np.ndarray]:
+    """Weights by machine: of each family against the rest, and of each pair of languages of a family; fitted in tasks, one a machine."""
+    family = {g: families.get(g, g) for g in langs}
+    names = sorted(set(family.values()))
+    jobs = []  # (machine, language, +1 or -1): which rows a machine learns from
+    if len(names) > 1:
+        jobs += [(f"family {f}", g, 1 if family[g] == f else -1) for f in names for g in langs]
+    for f in names:
+        group = sorted(g for g in langs if family[g] == f)
+        jobs += [(f"pair {g} {h}", k, 1 if k == g else -1) for i, g in enumerate(group) for h in group[i + 1 :] for k in (g, h)]
+    if not jobs:
+        return {}
+    jobs = vectors.sparkSession.createDataFrame(jobs, "machine string, g string, y int")
+    share = min(1.0, FAMILY_ROWS / max(1, total))
+    used = vectors.join(jobs, F.col("lang") == F.col("g"))
+    used = used.where(F.col("machine").startswith("pair ") | (F.col("y") > 0) | (F.pmod(F.xxhash64("h", F.lit("rest")), F.lit(1 << 20)) < share * (1 << 20)) | (F.col("place") == 1))
+
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.lexsort((rows["h"].to_numpy(), np.array(rows["lang"].to_pylist(), object).astype(str)))
+        packed = rows["x"].to_pylist()
+        w = fit_svm(_dense([packed[i] for i in order], dims), rows["y"].to_numpy()[order].astype(float))
+        return pa.table({"machine": [rows["machine"][0].as_py()], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
+
+    found = used.select("machine", "lang", "h", "y", "x").groupBy("machine").applyInArrow(run, "machine string, w binary").collect()
+    return {r["machine"]: np.frombuffer(bytes(r["w"]), np.float32) for r in found}
+
+
+def _learned_limit(vectors: DataFrame, families: dict[str, str], dims: int, total: int, share: float = LOST) -> float:
+    """The score that all but `share` of the rightly predicted learned rows reach when the machines learn on the other half of the rows."""
+    scores = []
+    for fold in (0, 1):
+        learn, test = vectors.where(F.col("place") % 2 != fold), vectors.where(F.col("place") % 2 == fold)
+        langs = sorted(r["lang"] for r in learn.select("lang").distinct().collect())
+        if not langs:
+            continue
+        model = Model(langs, families, _fitted(learn, langs, families, dims, total))
+
+        def run(batches, model=model):
+            for batch in batches:
+                for k in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(k, ROWS)
+                    lang, score = model.predict(_dense(part.column(1).to_pylist(), dims))
+                    right = lang == np.array(part.column(0).to_pylist(), object)
+                    yield pa.record_batch([pa.array(score[right])], ["score"])
 
-    rows = open_rows.where(draw < share).select("lang", F.col("text").cast("string").alias("text")).mapInArrow(vectors, "lang string, x binary").collect()
-    if not rows:
+        scores += [r["score"] for r in test.select("lang", "x").mapInArrow(run, "score double").collect()]  # one number a row of the sample
+    return float(np.quantile(scores, share, method="lower")) if scores else 0.0
+
+
+def fit(docs: DataFrame, per_lang: int = PER_LANG, families: dict[str, str] | None = None, dims: int = DIMS, limit: bool = False) -> Model | None:
+    """The model of the rows that are not held out, with its learned limit where asked for; None where no row has a label."""
+    rows, langs = sample(docs, per_lang)
+    if not langs:
         return None
-    rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    x, langs = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["lang"] for r in rows], object)
-    model = Model(x, langs, families or FAMILIES)
-    model.limit = learned_limit(x, langs, families or FAMILIES) if limit else MIN_SCORE
+    vectors, families = written(_vectors(rows, dims), "language"), FAMILIES if families is None else families
+    total = vectors.count()
+    model = Model(langs, families, _fitted(vectors, langs, families, dims, total))
+    model.limit = _learned_limit(vectors, families, dims, total) if limit else MIN_SCORE
+    released(vectors)
     return model
 
 

@@ -256,6 +256,37 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded_and_loses_no_language(spark):
+    """Thousands of rows of one doc_id, with texts of their own or one text; a language whose rows are all one row."""
+    import zlib
+
+    a, b = [i for i in range(50) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    rows = [(a, f"the thing of {i} words", "en") for i in range(3000)] + [(a, "und der die das", "de")] * 3000 + [(i * 3, f"les oi {i}", "fr") for i in range(3000)] + [(b, "el los que", "es")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    found, langs = language_id.sample(docs, 40)
+    got = found.collect()
+    assert langs == ["de", "en", "es", "fr"] and Counter(r.lang for r in got) == {"de": 1, "en": 40, "fr": 40, "es": 1}
+    assert sorted(r.place for r in got if r.lang == "en") == list(range(1, 41)) and len({r.text for r in got}) == len(got)
+    assert sorted(map(tuple, language_id.sample(docs.repartition(2), 40)[0].collect())) == sorted(map(tuple, got))
+    model = language_id.fit(docs, per_lang=40)
+    assert {r.lang_pred for r in language_id.identify(spark.createDataFrame([(1, "und der die das"), (2, "el los que"), (3, "the words of"), (4, "les oi 77")], "doc_id long, text string"), model).collect()} == set(langs)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any list holds, each a family of its own, with a few rows each."""
+    names = [f"l{i:03d}" for i in range(215)]
+    rng = np.random.default_rng(6)
+    words = {g: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(4)] for g in names}
+    rows = [(3 * k, " ".join(rng.choice(words[g], 12)), g) for i, g in enumerate(names) for k in range(4 * i, 4 * i + 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").where("crc32(cast(doc_id as string)) % 3 <> 1 or lang < 'l005'")
+    model = language_id.fit(docs, dims=1024)
+    learned = {r.lang for r in docs.where(~language_id.held_out()).select("lang").distinct().collect()}
+    assert len(learned) > 200 and set(model.langs) == learned
+    texts = spark.createDataFrame([(1, " ".join(words[g]), g) for g in sorted(learned)], "doc_id long, text string, truth string")
+    got = language_id.identify(texts, model, carry=("truth",), dims=1024).collect()
+    assert sum(r.lang_pred == r.rest.truth for r in got) > 0.95 * len(got)
+
+
 def test_language_stage_rejects_junk(spark):
     import corpus_pipeline as C
 
