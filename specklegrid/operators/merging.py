@@ -174,17 +174,6 @@ def list_union(a: Column | str, b: Column | str) -> Column:
     return F.array_union(a, b)
 
 
-def in_boxes(px: DataFrame, boxes: DataFrame, most_boxes: int = 10_000) -> DataFrame:
-    """Pixels in any of boxes(box, x0, y0, x1, y1; ends included), with the box: the boxes are broadcast where they are few, and counted first."""
-    small = boxes.limit(most_boxes + 1).count() <= most_boxes
-    near = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
-    if small:
-        return px.join(F.broadcast(boxes), near)
-    # a row of the grid is an equal key: each box is dealt to the rows that it covers
-    rows = boxes.withColumn("y", F.explode(F.sequence("y0", "y1")))
-    return px.join(rows, "y").where((F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")))
-
-
 def asof_both(left: DataFrame, right: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """Both neighbours of each left row in the right side and the line between them: value_before, value_after, value (linear; at an end the one there is)."""
     kind = right.schema[value].dataType

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..model import images
-from ..operators import selection, tiles
+from ..operators import regions, selection, tiles
 from ..sources import frames
 from .pixel_queries import r6, sql6
 
@@ -174,3 +174,74 @@ def files_written(spark, sf_dir):
     store = frames.scratch(spark, "files")
     frames.write_files(texts, store)
     return frames.read_files(spark, store).select("name", F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
+
+
+_BOXES = "SELECT o_orderkey AS box, o_custkey % 50 AS x0, o_orderkey % 2500 AS y0, o_custkey % 50 + o_custkey % 7 AS x1, o_orderkey % 2500 + o_orderkey % 30 AS y1 FROM orders"
+_POINTS = "SELECT l_quantity::BIGINT AS x, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS y, l_linenumber AS v FROM lineitem"
+
+
+@query("many_boxes", f"WITH b AS ({_BOXES}), p AS ({_POINTS}) SELECT box, count(*) AS n, sum(v)::BIGINT AS total FROM p JOIN b ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY box")
+def many_boxes(spark, sf_dir):
+    """A box for every order against a point for every line: what lies in each."""
+    o, l = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    x0, y0 = F.col("o_custkey") % 50, F.col("o_orderkey") % 2500
+    boxes = o.select(F.col("o_orderkey").alias("box"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("o_custkey") % 7).alias("x1"), (y0 + F.col("o_orderkey") % 30).alias("y1"))
+    points = l.select(F.col("l_quantity").cast("long").alias("x"), F.date_diff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")).cast("long").alias("y"), F.col("l_linenumber").alias("v"))
+    return regions.in_boxes(points, boxes).groupBy("box").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+_HOWS = {"union": "a OR b", "intersection": "a AND b", "difference": "a AND NOT b", "either": "a <> b"}
+_SETS = """px AS (SELECT vec_id AS image_id, i % 8 AS x, i // 8 AS y, round(embedding[i + 1]::DOUBLE * 1000, 3) > 20 AS a, pow(i % 8 - 3.5, 2) + pow(i // 8 - 3.0, 2) <= 2.6 * 2.6 AS b FROM embeddings, (SELECT unnest(range(64)) AS i) WHERE len(embedding) = 64)"""
+_RUNS = " UNION ALL ".join(
+    f"SELECT image_id, '{name}' AS kind, y::BIGINT AS y, min(x)::BIGINT AS start, max(x)::BIGINT AS stop FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM px WHERE {rule}) GROUP BY image_id, y, g" for name, rule in _HOWS.items()
+)
+
+
+@query("mask_runs", f"WITH {_SETS} {_RUNS}")
+def mask_runs(spark, sf_dir):
+    """Bright pixels and a disc as runs, in all combinations, without a row for a pixel."""
+    p = images(spark, sf_dir)
+    bright = regions.runs_of(p, lambda v: v > 20)
+    round_ = regions.disc(p.select("image_id"), F.lit(3.5), F.lit(3.0), F.lit(2.6), F.lit(8), F.lit(8))
+    show = lambda how: regions.combined(bright, round_, how).select("image_id", F.lit(how).alias("kind"), F.col("y").cast("long").alias("y"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"))
+    out = show("union")
+    for how in ("intersection", "difference", "either"):
+        out = out.unionByName(show(how))
+    return out
+
+
+def streamed(spark, parts: list, read):
+    """What read(streams of the parts) gives out, run to its end over the parts as files that arrive in turns; a row far in the future comes last, so that all others are settled."""
+    folders = []
+    for k, (rows, last) in enumerate(parts):
+        folder = frames.scratch(spark, f"arrivals{k}")
+        rows.repartition(4).write.parquet(folder)
+        spark.createDataFrame([last], rows.schema).coalesce(1).write.mode("append").parquet(folder)
+        folders.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder))
+    out = frames.scratch(spark, "streamed")
+    stream = read(*folders)
+    query_ = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", frames.scratch(spark, "progress")).outputMode("append").trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+_STAMP = "epoch_ms(ts) // 21600000 * 21600"
+
+
+@query("streamed_pulses", f"""WITH m AS (SELECT event_type AS name, ({_STAMP})::INT AS ts, event_id AS seq, row_number() OVER (PARTITION BY {_STAMP} ORDER BY event_id) AS k FROM events WHERE event_id % 3 <> 0),
+s AS (SELECT ({_STAMP})::INT AS ts, user_id::DOUBLE AS tunnel, value AS hall, row_number() OVER (PARTITION BY {_STAMP} ORDER BY event_id) AS k FROM events WHERE event_id % 3 = 0)
+SELECT m.seq, m.ts::BIGINT AS ts, m.name, s.tunnel, s.hall FROM m LEFT JOIN s ON m.ts = s.ts AND m.k = s.k""")
+def streamed_pulses(spark, sf_dir):
+    """Events as pulses and shots of six-hour stamps, which arrive as two streams in any order."""
+    from ..streaming.pulses import joined_pulses
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("stamp", (F.floor(F.unix_timestamp("ts") / 21600) * 21600).cast("int"))
+    most = e.agg(F.max("stamp"), F.min("stamp")).first()
+    if most[0] is None:
+        most = (0, 0)
+    span = most[0] - most[1] + 21600  # rows may come as late as all of the time there is
+    master = e.where("event_id % 3 <> 0").select(F.col("event_type").alias("name"), F.col("stamp").alias("ts"), F.col("event_id").alias("seq"))
+    shots = e.where("event_id % 3 = 0").select(F.col("stamp").alias("ts"), F.col("user_id").cast("double").alias("tunnel"), F.col("value").alias("hall"), F.col("event_id").alias("seq"))
+    future = most[0] + 3 * span
+    found = streamed(spark, [(master, ("end", future, -1)), (shots, (future, 0.0, 0.0, -1))], lambda m, s: joined_pulses(m, s, f"{span} seconds"))
+    return found.where("NOT late").select("seq", F.col("ts").cast("long").alias("ts"), "name", "tunnel", "hall")

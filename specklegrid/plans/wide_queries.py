@@ -15,6 +15,7 @@ from ..operators import fourier as FT
 from ..operators import merging as M
 from ..operators import packed as K
 from ..operators import pixel as P
+from ..operators import regions as R
 from ..operators import spatial as N
 from ..operators import volume as V
 from .engine_queries import OFF, PLACES, forward
@@ -208,7 +209,7 @@ def list_union(spark, sf_dir):
 @query("box_join", f"WITH {PX}, b AS (SELECT * FROM (VALUES (0, 0, 0, 3, 2), (1, 2, 1, 6, 5), (2, 7, 7, 9, 9)) AS t(box, x0, y0, x1, y1)) SELECT image_id, box::BIGINT AS box, count(*) AS n, {sql6('sum(re)')} AS sum_re FROM px JOIN b ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY image_id, box")
 def box_join(spark, sf_dir):
     boxes = spark.createDataFrame([(0, 0, 0, 3, 2), (1, 2, 1, 6, 5), (2, 7, 7, 9, 9)], "box long, x0 int, y0 int, x1 int, y1 int")
-    return M.in_boxes(pixels(spark, sf_dir), boxes).groupBy("image_id", "box").agg(F.count("*").alias("n"), r6(F.sum("re")).alias("sum_re"))
+    return R.in_boxes(pixels(spark, sf_dir), boxes).groupBy("image_id", "box").agg(F.count("*").alias("n"), r6(F.sum("re")).alias("sum_re"))
 
 
 _POINTS = "r AS (SELECT user_id, event_id, value FROM events WHERE event_id % 3 = 0)"
