@@ -4,7 +4,7 @@ Infix, over images named A, B, ..., Z, AA, ... (columns of a joined pixel table)
 loosest: `,`  `&&` `||`  `==`  `<` `>`  `+` `-`  `*` `/`  unary `+` `-` and postfix `i`  `^`; functions abs arg re im conj exp
 log sqrt min max if sum mask set_mask posx posy posz. Comparisons look at moduli and give 1 or 0; im(x) keeps the
 imaginary part in its place; min and max work on each component; `^` takes a scalar exponent; a scalar 0 as divisor
-gives 0. fft and ifft need whole images: see operators.fourier.
+gives 0. fft and ifft need whole images: see operators.fourier. define() adds functions of the user's own.
 
 A recursive-descent parser makes a small tree; compile() turns it into one (re, im) pair, which Catalyst folds and
 compiles with the rest of the plan. sum() is a window over the image, so a program is a single pass.
@@ -13,6 +13,7 @@ compiles with the rest of the plan. sum() is a window over the image, so a progr
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,23 @@ LEVELS = [["&&", "||"], ["=="], ["<", ">"], ["+", "-"], ["*", "/"]]
 _TOKEN = re.compile(r"\s*(?:(?P<number>\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?)|(?P<image>[A-Z]+)|(?P<name>set_mask|pos[xyz]|[a-z]+)|(?P<op>&&|\|\||==|[-+*/^<>(),]))")
 
 
+#: Functions of the user's: name -> (number of operands, function of (re, im) pairs or name of an SQL function).
+USER: dict[str, tuple[int, Callable | str]] = {}
+
+
+def define(name: str, operands: int, function: Callable | str) -> None:
+    """Makes a function known to expressions: of as many (re, im) pairs of Columns, giving a pair; or the name of a function of the session's SQL, which takes re and im of each operand in turn and returns a struct of re and im (a body in SQL is folded into the plan like the rest)."""
+    if not re.fullmatch("[a-z]+", name) or name == "i" or name in FUNCTIONS:
+        raise ExpressionError(f"{name!r} can't be the name of a function")
+    if operands < 1:
+        raise ExpressionError("a function takes an operand at least")
+    USER[name] = operands, function
+
+
+def operands_of(name: str) -> int | None:
+    return FUNCTIONS.get(name) or USER.get(name, (None,))[0]
+
+
 @dataclass(frozen=True)
 class Node:
     kind: str
@@ -52,7 +70,7 @@ def tokenize(text: str) -> list[tuple[str, str]]:
             raise ExpressionError(f"cannot read {text[at:]!r}")
         kind = m.lastgroup
         word = m[kind]
-        if kind == "name" and word not in FUNCTIONS and word != "i":
+        if kind == "name" and not operands_of(word) and word != "i":
             raise ExpressionError(f"unknown function {word!r}")
         out.append((kind, word))
         at = m.end()
@@ -125,8 +143,8 @@ def parse(text: str) -> Node:
                 take()
                 args.append(level(0))
             take(")")
-            if len(args) != FUNCTIONS[word]:
-                raise ExpressionError(f"{word} takes {FUNCTIONS[word]} operands, not {len(args)}")
+            if len(args) != operands_of(word):
+                raise ExpressionError(f"{word} takes {operands_of(word)} operands, not {len(args)}")
             return Node(word, tuple(args))
         raise ExpressionError(f"too few operands before {word!r}")
 
@@ -157,6 +175,15 @@ def compile_node(n: Node, image: str = "image_id") -> tuple[Column, Column, Colu
         raise ExpressionError(f"{n.kind} is taken of whole images, by evaluate()")
     if n.kind in ("posx", "posy", "posz", "mask", "set_mask") and is_scalar(n.args[0]):
         raise ExpressionError(f"{n.kind} takes an image")
+    if n.kind in USER:
+        parts = [go(k) for k in range(len(n.args))]
+        m = next((p[2] for p, x in zip(parts, n.args, strict=True) if not is_scalar(x)), one)
+        function = USER[n.kind][1]
+        if callable(function):
+            a, b = function(*[(p[0], p[1]) for p in parts])
+            return a, b, m
+        found = F.call_function(function, *[c for p in parts for c in p[:2]])
+        return found["re"], found["im"], m
     a, b, m = go(0)
     if n.kind == "neg":
         return -a, -b, m

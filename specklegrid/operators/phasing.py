@@ -443,6 +443,32 @@ def phase(runs: DataFrame, o: Settings, snapshot_every: int, path: str) -> DataF
     return runs
 
 
+def phase_with_updates(runs: DataFrame, options, updates: Callable[[], DataFrame], snapshot_every: int, path: str) -> DataFrame:
+    """phase(), reading updates(seq, option, value, from_iteration) again before each chunk: those that are due and weren't looked at yet change its settings or are refused (functions.updates), which path/audit records. A restart goes on from the last whole chunk with what was taken before it."""
+    from ..functions.options import changed
+    from ..functions.updates import AUDIT, audited
+    from ..sources.text import parse_value
+
+    spark, log = runs.sparkSession, f"{path}/audit"
+    last = (frames.iterations(spark, f"{path}/runs") or [0])[-1]
+    done = 0
+    while done < from_options(options).iterations:
+        if done not in frames.iterations(spark, log):
+            known = [r["seq"] for i in frames.iterations(spark, log) for r in frames.read_iterations(spark, log, i).select("seq").collect()]
+            due = updates().where((F.coalesce("from_iteration", F.lit(0)) <= done) & ~F.col("seq").isin(known or [-1])).withColumn("run", F.lit(0))
+            now = spark.createDataFrame([(0, done)], "run int, start long")
+            frames.append_iteration(audited(due, now).withColumn("at", F.lit(done).cast("long")).select(*AUDIT).coalesce(1), log, done)
+        for r in sorted(frames.read_iterations(spark, log, done).where("taken").collect(), key=lambda r: (r["from_iteration"], r["seq"])):
+            options = changed(options, {r["option"]: parse_value(r["value"])})
+        o = from_options(options)
+        n = min(snapshot_every, o.iterations - done)
+        done += n
+        if done > last:
+            frames.append_iteration(advance(runs, o, n), f"{path}/runs", done)
+        runs = frames.read_iterations(spark, f"{path}/runs", done).select(*RUN_NAMES)
+    return runs
+
+
 def output(runs: DataFrame, project: bool = True) -> DataFrame:
     """image_id, seed, re, im of what a run gives out: its image on the measured amplitudes, or as it is."""
 

@@ -405,14 +405,36 @@ def linear_schedule(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", r6(schedules.linear(F.col("event_id") % 100, c(10), c(90), c(2), c(5))).alias("v"))
 
 
-@query("region_rows", "SELECT image_id, region, n FROM (SELECT vec_id AS image_id, unnest(['left', 'right']) AS region, 32::BIGINT AS n FROM embeddings WHERE len(embedding) = 64)")
+@query("region_rows", f"WITH {PX} SELECT image_id, CASE WHEN x < 4 THEN 'left' ELSE 'right' END AS region, count(*) AS n, round(sum(re), 3) + 0.0 AS total, max(i)::BIGINT AS last FROM px WHERE re > 0 GROUP BY ALL")
 def region_rows(spark, sf_dir):
-    """The image-to-pixels table function, used in SQL with a lateral join."""
+    """The image-to-pixels table function, used in SQL over a table."""
     from ..functions.tables import register
 
     register(spark)
-    images(spark, sf_dir).createOrReplaceTempView("packed_images")
-    return spark.sql("SELECT image_id, CASE WHEN t.x < 4 THEN 'left' ELSE 'right' END AS region, count(*) AS n FROM packed_images, LATERAL image_pixels(nx, ny, re, im, mask) t GROUP BY image_id, region")
+    images(spark, sf_dir).select("image_id", "nx", "ny", "re", "im", "mask").createOrReplaceTempView("packed_images")
+    found = spark.sql("SELECT image_id, CASE WHEN x < 4 THEN 'left' ELSE 'right' END AS region, count(*) AS n, round(sum(re), 3) + 0.0 AS total, cast(max(i) AS long) AS last FROM image_pixels(TABLE(packed_images)) WHERE re > 0 GROUP BY 1, 2")
+    spark.catalog.dropTempView("packed_images")
+    return found
+
+
+@query("image_moments", f"WITH {PX} SELECT label, i::BIGINT AS i, count(*) AS n, {sql6('avg(re)')} AS mean, round(var_pop(re), 4) + 0.0 AS variance FROM px GROUP BY label, i".replace("round(avg(re), 6)", f"round(avg(re) / {math.pi!r}, 6)").replace("round(var_pop(re), 4)", f"round(var_pop(re) / {math.pi!r}, 4)"))
+def image_moments(spark, sf_dir):
+    """A user's aggregate: moments of all pixels of the images of a label, from partial states."""
+    from ..functions.tables import Moments, aggregated
+
+    found = aggregated(images(spark, sf_dir), "label", ["re"], Moments()).select("label", "n", F.posexplode(F.arrays_zip("mean", "variance")).alias("i", "c"))
+    return found.select("label", long("i"), "n", r6(F.col("c.mean") / math.pi).alias("mean"), (F.round(F.col("c.variance") / math.pi, 4) + 0.0).alias("variance"))
+
+
+@query("expr_user_functions", f"WITH {PX} SELECT image_id, i::BIGINT AS i, {sql6('least(greatest(re, -50.0), 80.0) + re * re / (1 + abs(re))')} AS re, {sql6('0.5 * re')} AS im FROM px")
+def expr_user_functions(spark, sf_dir):
+    """Functions of a user's own in expressions: of Columns, and of a body in SQL."""
+    from ..functions import expression
+
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION soft(re DOUBLE, im DOUBLE) RETURNS STRUCT<re: DOUBLE, im: DOUBLE> RETURN named_struct('re', re * re / (1 + abs(re)), 'im', 0.5D * re)")
+    expression.define("clip", 3, lambda a, low, high: (F.least(F.greatest(a[0], low[0]), high[0]), a[1]))
+    expression.define("soft", 1, "soft")
+    return expression.evaluate("clip(A, -50, 80) + soft(A)", pixels(spark, sf_dir)).select("image_id", long("i"), r6(F.col("re")).alias("re"), r6(F.col("im")).alias("im"))
 
 
 # ---- volumes and simulated exposures; tests hold them against other ways
@@ -501,3 +523,41 @@ def centre_shift(spark, sf_dir):
 @query("fft_benchmark")
 def fft_benchmark(spark, sf_dir):
     return FT.benchmark(spark).select("size")
+
+
+_UPDATES = """u AS (SELECT user_id AS run, event_id AS seq, event_id % 500 AS from_iteration,
+  CASE event_type WHEN 'view' THEN 'phasing_method.beta' WHEN 'error' THEN 'logging.output_period' WHEN 'signup' THEN 'input_data.beamstop_radius' WHEN 'purchase' THEN 'phasing_method.algorithm' ELSE 'no.such' END AS option,
+  CASE event_type WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN (event_id % 97)::VARCHAR ELSE event_id % 97 || '.5' END WHEN 'purchase' THEN ['raar', 'hio', 'er'][event_id % 3 + 1] ELSE (event_id % 89)::VARCHAR END AS value FROM events),
+f AS (SELECT *, CASE WHEN option = 'no.such' THEN 'no such option' WHEN option = 'input_data.beamstop_radius' THEN 'can''t be set during a run' WHEN option = 'logging.output_period' AND value LIKE '%.5' THEN 'is of type int'
+    WHEN option = 'phasing_method.algorithm' AND value = 'er' THEN 'is one of hio, raar, diff_map, hpr, cflip, raar_cflip, espresso, haar, so2d, raar_proj, hio_proj' END AS wrong,
+  CASE WHEN from_iteration <= 400 THEN (from_iteration + 99) // 100 * 100 END AS met FROM u),
+r AS (SELECT *, row_number() OVER (PARTITION BY run, option, met, wrong IS NULL ORDER BY from_iteration DESC, seq DESC) AS k FROM f),
+a AS (SELECT run, seq, option, value, from_iteration, met, coalesce(wrong, CASE WHEN met IS NULL THEN 'no chunk yet' WHEN k > 1 THEN 'overtaken' END, '') AS reason FROM r)"""
+
+
+def _updates(spark, sf_dir):
+    """Events as updates of options of a run a user, and chunks of 100 iterations."""
+    e, kind, k = table(spark, sf_dir, "events"), F.col("event_type"), F.col("event_id")
+    names = {"view": "phasing_method.beta", "error": "logging.output_period", "signup": "input_data.beamstop_radius", "purchase": "phasing_method.algorithm"}
+    option = F.coalesce(*[F.when(kind == n, F.lit(o)) for n, o in names.items()], F.lit("no.such"))
+    period = F.when(k % 2 == 0, (k % 97).cast("string")).otherwise(F.concat((k % 97).cast("string"), F.lit(".5")))
+    value = F.when(kind == "error", period).when(kind == "purchase", F.element_at(F.array(F.lit("raar"), F.lit("hio"), F.lit("er")), (k % 3 + 1).cast("int"))).otherwise((k % 89).cast("string"))
+    updates = e.select(F.col("user_id").alias("run"), k.alias("seq"), option.alias("option"), value.alias("value"), (k % 500).alias("from_iteration"))
+    return updates, e.select(F.col("user_id").alias("run")).distinct().withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(400), F.lit(100))))
+
+
+@query("option_updates", f"WITH {_UPDATES} SELECT run, seq, option, value, from_iteration, met AS \"at\", reason = '' AS taken, reason FROM a")
+def option_updates(spark, sf_dir):
+    """What becomes of each update of an option during its run."""
+    from ..functions.updates import audited
+
+    return audited(*_updates(spark, sf_dir))
+
+
+@query("options_in_force", f"WITH {_UPDATES}, c AS (SELECT DISTINCT user_id AS run FROM events), s AS (SELECT run, unnest(range(0, 500, 100)) AS start FROM c) SELECT s.run, s.start::BIGINT AS start, a.option, arg_max(a.value, a.met) AS value FROM s JOIN a ON a.run = s.run AND a.reason = '' AND a.met <= s.start GROUP BY s.run, s.start, a.option")
+def options_in_force(spark, sf_dir):
+    """The options that updates have set by each chunk of each run."""
+    from ..functions.updates import audited, in_force
+
+    updates, chunks = _updates(spark, sf_dir)
+    return in_force(audited(updates, chunks), chunks)

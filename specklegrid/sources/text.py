@@ -124,6 +124,14 @@ def parse_config(text: str) -> dict:
     return settings("\0")
 
 
+def parse_value(text: str):
+    """A value as a configuration holds it; what can't be read is a string."""
+    try:
+        return parse_config(f"v = {text};")["v"]
+    except (ValueError, KeyError):
+        return text
+
+
 def write_config(options: dict) -> str:
     """The text of parse_config; maps ((k, v), ...) become a list of keys and values."""
 
