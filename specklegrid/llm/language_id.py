@@ -60,20 +60,32 @@ def features(text: pa.Array, dims: int = DIMS) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, rounds: int = 15) -> np.ndarray:
-    """Weights (the last one is the bias) of an L2-regularised squared-hinge machine for y of +1 and -1, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    a, w, norm = np.zeros(len(x)), np.zeros(x.shape[1], np.float32), (x * x).sum(1) + 0.5 / c
+def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int = DIMS, c: float = 4.0, rounds: int = 15) -> np.ndarray:
+    """Weights (the last one is the bias) of an L2-regularised squared-hinge machine for y of +1 and -1, by dual coordinate descent over sparse rows (places, values)."""
+    a, w, norm = np.zeros(len(rows)), np.zeros(dims + 1, np.float32), np.array([float(v @ v) for _, v in rows]) + 1 + 0.5 / c
     rng = np.random.default_rng(7)
     for _ in range(rounds):
-        for i in rng.permutation(len(x)):
-            step = max(a[i] - (y[i] * float(w @ x[i]) - 1 + a[i] * 0.5 / c) / norm[i], 0.0) - a[i]
+        for i in rng.permutation(len(rows)):
+            at, v = rows[i]
+            step = max(a[i] - (y[i] * (float(w[at] @ v) + float(w[-1])) - 1 + a[i] * 0.5 / c) / norm[i], 0.0) - a[i]
             if step:
                 a[i] += step
-                w += np.float32(step * y[i]) * x[i]
+                w[at] += np.float32(step * y[i]) * v
+                w[-1] += np.float32(step * y[i])
     return w
 
 
+def sparse(x: np.ndarray) -> bytes:
+    """A row of features as its places and values."""
+    at = np.flatnonzero(x)
+    return at.astype(np.uint16).tobytes() + x[at].tobytes()
+
+
+def places_and_values(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 6
+    return np.frombuffer(data, np.uint16, n).astype(np.int32), np.frombuffer(data, np.float32, n, 2 * n)
+
+
 class Model:
     """Machines for the families, and for each pair of languages of one family."""
 
@@ -132,9 +144,7 @@ def _vectors(rows: DataFrame, dims: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text", PIECE, ROWS):
-                x = features(part.column(3), dims)
-                at = [np.flatnonzero(v).astype(np.uint16) for v in x]
-                packed = [i.tobytes() + v[i].tobytes() for i, v in zip(at, x, strict=True)]
+                packed = [sparse(x) for x in features(part.column(3), dims)]
                 yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array(packed, pa.binary())], ["lang", "h", "place", "x"])
 
     return rows.select("lang", "h", "place", "text").mapInArrow(run, "lang string, h long, place int, x binary")
@@ -143,8 +153,8 @@ def _vectors(rows: DataFrame, dims: int) -> DataFrame:
 def _dense(packed: list[bytes], dims: int) -> np.ndarray:
     out = np.zeros((len(packed), dims), np.float32)
     for row, data in zip(out, packed, strict=True):
-        n = len(data) // 6
-        row[np.frombuffer(data, np.uint16, n)] = np.frombuffer(data, np.float32, n, 2 * n)
+        at, v = places_and_values(data)
+        row[at] = v
     return out
 
 
@@ -167,8 +177,8 @@ def _fitted(vectors: DataFrame, langs: list[str], families: dict[str, str], dims
 
     def run(rows: pa.Table) -> pa.Table:
         order = np.lexsort((rows["h"].to_numpy(), np.array(rows["lang"].to_pylist(), object).astype(str)))
-        packed = rows["x"].to_pylist()
-        w = fit_svm(_dense([packed[i] for i in order], dims), rows["y"].to_numpy()[order].astype(float))
+        vectors = [places_and_values(x) for x in rows["x"].take(pa.array(order)).to_pylist()]
+        w = fit_svm(vectors, rows["y"].to_numpy()[order].astype(float), dims)
         return pa.table({"machine": [rows["machine"][0].as_py()], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
 
     found = used.select("machine", "lang", "h", "y", "x").groupBy("machine").applyInArrow(run, "machine string, w binary").collect()
@@ -187,8 +197,8 @@ def _learned_limit(vectors: DataFrame, families: dict[str, str], dims: int, tota
 
         def run(batches, model=model):
             for batch in batches:
-                for k in range(0, batch.num_rows, ROWS):
-                    part = batch.slice(k, ROWS)
+                for k in range(0, batch.num_rows, 256):
+                    part = batch.slice(k, 256)
                     lang, score = model.predict(_dense(part.column(1).to_pylist(), dims))
                     right = lang == np.array(part.column(0).to_pylist(), object)
                     yield pa.record_batch([pa.array(score[right])], ["score"])
