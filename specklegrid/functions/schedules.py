@@ -53,6 +53,29 @@ def area_at(x: float, first: float, last: float = 0.0, over: float = 0.0, keys_m
     return (first - last) * math.exp(-((3.0 * x / over) ** 2) / 2) + last if over else first
 
 
+def _stretch(x: Column, keys: Column, values: Column, within) -> Column:
+    """Clamped at the ends; between two keys what within(share of the way, value before, value after) gives."""
+    n = F.size(F.filter(keys, lambda k: k <= x))
+    before, after = F.get(keys, n - 1), F.get(keys, n)
+    inside = within((x - before) / (after - before), F.get(values, n - 1), F.get(values, n))
+    return F.when(n == 0, F.get(values, F.lit(0))).when(n >= F.size(keys), F.get(values, F.size(keys) - 1)).otherwise(inside)
+
+
+def mapped(x: Column, keys: Column, values: Column) -> Column:
+    """bezier() as a Column of arrays of rising keys and of values: the cubic t**3 - 1.5 t**2 + 1.5 t = u has the one root 0.5 + sinh(asinh(4 u - 2) / 3)."""
+
+    def within(u, low, high):
+        t = 0.5 + F.sinh(F.asinh(4 * u - 2) / 3)
+        return low + (3 * t * t - 2 * t * t * t) * (high - low)
+
+    return _stretch(x, keys, values, within)
+
+
+def shifted(x: Column, keys: Column, values: Column) -> Column:
+    """between() as a Column of arrays of rising keys and of values."""
+    return _stretch(x, keys, values, lambda u, low, high: high + (low - high) / (F.exp(10 * (u - 0.5)) + 1))
+
+
 def linear(x: Column, lower_key: Column, upper_key: Column, lower: Column, upper: Column) -> Column:
     return lower + (upper - lower) * (x - lower_key) / F.nullif(upper_key - lower_key, F.lit(0.0))
 

@@ -50,12 +50,12 @@ K2 = f"({KX} * {KX} + {KY} * {KY})"
 def forward(source: str = "px", name: str = "f", re: str = "re", im: str = "0.0", sign: int = -1) -> str:
     """A CTE of the transform of (image_id, i, re, im)."""
     turn = f"({sign} * {TURN})"
-    return f"{name} AS (SELECT image_id, k, sum(({re}) * cos{turn} - ({im}) * sin{turn}) AS fr, sum(({re}) * sin{turn} + ({im}) * cos{turn}) AS fi FROM {source}, {K} GROUP BY image_id, k)"
+    return f"{name} AS MATERIALIZED (SELECT image_id, k, sum(({re}) * cos{turn} - ({im}) * sin{turn}) AS fr, sum(({re}) * sin{turn} + ({im}) * cos{turn}) AS fi FROM {source}, {K} GROUP BY image_id, k)"
 
 
 def back(source: str, name: str, fr: str = "fr", fi: str = "fi") -> str:
     """A CTE of the inverse transform (divided by the pixels) of (image_id, k, fr, fi)."""
-    return f"{name} AS (SELECT image_id, i, sum(({fr}) * cos{TURN} - ({fi}) * sin{TURN}) / 64 AS re, sum(({fr}) * sin{TURN} + ({fi}) * cos{TURN}) / 64 AS im FROM {source}, (SELECT unnest(range(64)) AS i) GROUP BY image_id, i)"
+    return f"{name} AS MATERIALIZED (SELECT image_id, i, sum(({fr}) * cos{TURN} - ({fi}) * sin{TURN}) / 64 AS re, sum(({fr}) * sin{TURN} + ({fi}) * cos{TURN}) / 64 AS im FROM {source}, (SELECT unnest(range(64)) AS i) GROUP BY image_id, i)"
 
 
 def filtered(hr: str, hi: str = "0.0", re: str = "re", im: str = "im", digits: int = 4) -> str:
@@ -110,12 +110,15 @@ _HOLE = "CASE WHEN sqrt((x - 3.5) * (x - 3.5) + (y - 3.5) * (y - 3.5)) < 1.5 THE
 _GAUSS = f"exp({-2 * math.pi**2!r} * {K2} / 64.0)"
 
 
-def _filled(rounds: int, start: str) -> str:
-    ctes = [PX, f"h AS (SELECT image_id, i, re, {_HOLE} AS m FROM px)", f"r0 AS (SELECT image_id, i, m, re AS v, CASE WHEN m = 0 THEN {start} ELSE re END AS re FROM h)"]
-    for n in range(rounds):
-        new = f"r{n + 1} AS (SELECT image_id, i, r{n}.m, r{n}.v, CASE WHEN r{n}.m = 0 THEN g{n}.re ELSE r{n}.v END AS re FROM r{n} JOIN g{n} USING (image_id, i))"
-        ctes += [forward(f"r{n}", f"f{n}"), back(f"f{n}", f"g{n}", f"fr * {_GAUSS}", f"fi * {_GAUSS}"), new]
-    return f"WITH {', '.join(ctes)} SELECT image_id, i::BIGINT AS i, round(re, 4) + 0.0 AS re FROM r{rounds}"
+def _filled(rounds: int, start: str, keep: str = _GAUSS) -> str:
+    """Rounds over a list of 64 values an image; a blur is a row of one matrix for each place, made from the filter's frequencies."""
+    turn = f"cos({2 * math.pi / 8!r} * ((i % 8 - j % 8) * (k % 8) + (i // 8 - j // 8) * (k // 8)))"
+    matrix = f"w AS (SELECT i, j, sum({keep} * {turn}) / 64 AS w FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range(64)) AS j), {K} GROUP BY i, j)"
+    rows = "m AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(w ORDER BY j) AS r FROM w GROUP BY i))"
+    first = f"h AS MATERIALIZED (SELECT image_id, list({_HOLE} ORDER BY i) AS open, list(re ORDER BY i) AS v, list(CASE WHEN {_HOLE} = 0 THEN {start} ELSE re END ORDER BY i) AS x FROM px GROUP BY image_id)"
+    step = "list_transform(range(64), lambda i: CASE WHEN open[i + 1] = 0 THEN list_dot_product(x, m[i + 1]) ELSE v[i + 1] END)"
+    again = f"r(n, image_id, open, v, x) AS (SELECT 0, image_id, open, v, x FROM h UNION ALL SELECT n + 1, image_id, open, v, {step} FROM r, m WHERE n < {rounds})"
+    return f"WITH RECURSIVE {PX}, {matrix}, {rows}, {first}, {again} SELECT image_id, i::BIGINT AS i, round(x[i + 1], 4) + 0.0 AS re FROM r, (SELECT unnest(range(64)) AS i) WHERE n = {rounds}"
 
 
 def _holes(spark, sf_dir):
@@ -127,9 +130,9 @@ def _real(packed):
     return unpack(packed).select("image_id", F.col("i").cast("long").alias("i"), (F.round("re", 4) + 0.0).alias("re"))
 
 
-with_sql("interpolate_empty", _filled(3, "re"), lambda spark, sf_dir: _real(FT.interpolate_blanks(_holes(spark, sf_dir), 1.0, 3)))
-with_sql("localised_blur", _filled(2, "0.0"), lambda spark, sf_dir: _real(FT.localised_blur(_holes(spark, sf_dir), 1.0, 2)))
-QUERIES["interpolate_sinc"] = lambda spark, sf_dir: _real(FT.interpolate_blanks(_holes(spark, sf_dir), 2.0, 20, "sinc"))
+with_sql("interpolate_empty", _filled(40, "re"), lambda spark, sf_dir: _real(FT.interpolate_blanks(_holes(spark, sf_dir), 1.0)))
+with_sql("localised_blur", _filled(40, "0.0"), lambda spark, sf_dir: _real(FT.localised_blur(_holes(spark, sf_dir), 1.0)))
+with_sql("interpolate_sinc", _filled(20, "re", f"CASE WHEN {K2} <= 4 THEN 1 ELSE 0 END"), lambda spark, sf_dir: _real(FT.interpolate_blanks(_holes(spark, sf_dir), 2.0, 20, "sinc")))
 _R2 = "(pow(CASE WHEN x < 4 THEN x ELSE x - 8 END, 2) + pow(CASE WHEN y < 4 THEN y ELSE y - 8 END, 2))"
 with_sql("autocorrelation_filter", f"WITH {PX} SELECT image_id, i::BIGINT AS i, round(re * CASE WHEN {_R2} < 16 THEN pow({_R2} / 16, 2) * exp(2 - {_R2} / 8) ELSE 1 END, 4) + 0.0 AS re FROM px", lambda spark, sf_dir: _real(FT.autocorrelation_filter(images(spark, sf_dir), 2.0)))
 
@@ -236,12 +239,24 @@ with_sql("added_noise", f"WITH {PX} SELECT image_id, i::BIGINT AS i, round(re *
          lambda spark, sf_dir: P.add_noise(pixels(spark, sf_dir), 0.1).select("image_id", F.col("i").cast("long").alias("i"), (F.round("re", 4) + 0.0).alias("re")))
 
 
-@query
 def background_tracking(spark, sf_dir):
     frames = images(spark, sf_dir).select(F.col("label").cast("long").alias("stream"), F.col("image_id").alias("seq"), F.col("re").alias("v"))
     return track_batch(frames).select("stream", "seq", F.round("correlation", 6).alias("correlation"), "hit")
 
 
+_CENTRED = "list_transform({0}, lambda c: c - list_avg({0}))"
+with_sql(
+    "background_tracking",
+    f"""WITH RECURSIVE {PX}, f AS MATERIALIZED (SELECT label, image_id, v, row_number() OVER (PARTITION BY label ORDER BY image_id) AS k FROM (SELECT label, image_id, list(re ORDER BY i) AS v FROM px GROUP BY label, image_id)),
+t(label, k, image_id, back, run, r, hit) AS (SELECT label, k, image_id, v, 0, 1.0::DOUBLE, false FROM f WHERE k = 1 UNION ALL
+  SELECT label, k, image_id, CASE WHEN r >= 0.95 THEN list_transform(range(64), lambda i: (back[i + 1] * 2 + v[i + 1]) / 3) WHEN run >= 10 THEN v ELSE back END, CASE WHEN r >= 0.95 OR run >= 10 THEN 0 ELSE run + 1 END, r, r < 0.95
+  FROM (SELECT *, list_dot_product(a, b) / greatest(sqrt(list_dot_product(a, a) * list_dot_product(b, b)), 1e-300) AS r FROM (
+    SELECT f.label, f.k, f.image_id, f.v, t.back, t.run, {_CENTRED.format('t.back')} AS a, {_CENTRED.format('f.v')} AS b FROM t JOIN f ON f.label = t.label AND f.k = t.k + 1)))
+SELECT label::BIGINT AS stream, image_id AS seq, round(r, 6) AS correlation, hit FROM t""",
+    background_tracking,
+)
+
+
 @query
 def incremental_pca(spark, sf_dir):
     x = images(spark, sf_dir).select("label", "image_id", "re")
@@ -256,12 +271,14 @@ def gtm_step(spark, sf_dir):
 with_sql("gtm_step", f"WITH {PX}, d AS (SELECT image_id, k, sum(pow(re - 100 * sin(7.0 * k + 3.0 * i), 2)) AS d FROM px, (SELECT unnest(range(6)) AS k) GROUP BY image_id, k), e AS (SELECT image_id, k, exp(-0.5e-4 * (d - min(d) OVER (PARTITION BY image_id))) AS e FROM d) SELECT k::BIGINT AS k, round(sum(r), 4) AS w FROM (SELECT k, e / sum(e) OVER (PARTITION BY image_id) AS r FROM e) GROUP BY k", gtm_step)
 
 
-@query
 def sample_compression(spark, sf_dir):
     px = pixels(spark, sf_dir).where(F.abs("re") >= 250)
     return learning.compress(px.select(F.col("image_id").alias("sample_id"), F.col("i").alias("idx"), F.floor(F.abs("re") / 250).cast("int").alias("n"))).select("key", "weight", "first")
 
 
+with_sql("sample_compression", f"WITH {PX}, k AS (SELECT image_id, string_agg('{{' || i || ', ' || floor(abs(re) / 250)::INT || '}}', ';' ORDER BY i) AS key FROM px WHERE abs(re) >= 250 GROUP BY image_id) SELECT key, count(*) AS weight, min(image_id) AS first FROM k GROUP BY key", sample_compression)
+
+
 def geometry_solve(spark, sf_dir):
     """A system for each user of `events`: two frames, the second turned by an angle that follows from the number; control points lie on two radial lines, and the solver finds the angle again."""
     turn = (F.col("user_id") % 40 - 20) / 100.0

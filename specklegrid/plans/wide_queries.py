@@ -18,7 +18,7 @@ from ..operators import pixel as P
 from ..operators import regions as R
 from ..operators import spatial as N
 from ..operators import volume as V
-from .engine_queries import OFF, PLACES, forward
+from .engine_queries import K2, OFF, PLACES, back, forward
 from .pixel_queries import BIN, IDS, MOST, SQL_D, ZIP, D, _next, bilinear_sql, r6, sql6
 
 QUERIES: dict = {}
@@ -79,12 +79,32 @@ def ramp_weights(spark, sf_dir):
     return M.ramp_weights(agreement, "series", 4, 0.1).select("series", long("place"), long("shell"), r6(F.col("weight")).alias("weight"))
 
 
-@query("ramp_merge")
+_AGREE = "c AS (SELECT a.series, a.place, a.shell, corr(a.re, b.re) AS cc FROM s a JOIN s b ON a.series = b.series AND b.place = a.place + 1 AND a.i = b.i GROUP BY a.series, a.place, a.shell)"
+_RUN = "sum(CASE WHEN good = 1 AND coalesce(o, 0) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY series, place ORDER BY shell {down} ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(good) OVER (PARTITION BY series, place ORDER BY shell {down}) AS o FROM {of})"
+
+
+@query(
+    "ramp_merge",
+    f"""WITH {PX}, {_SERIES}, {_AGREE}, m AS (SELECT series, place, shell, avg(re) AS mean FROM s GROUP BY ALL), b AS (SELECT series, place, min(mean) AS background FROM m GROUP BY ALL),
+v AS (SELECT m.*, mean - background AS v FROM m JOIN b USING (series, place)),
+g AS (SELECT a.series, a.place, a.shell, a.v, n.v AS above, (cc > 0.1)::INT AS good FROM v a JOIN v n ON n.series = a.series AND n.place = a.place + 1 AND n.shell = a.shell JOIN c ON c.series = a.series AND c.place = a.place AND c.shell = a.shell),
+t AS (SELECT series, place, avg(above / nullif(v, 0)) AS step FROM (SELECT *, {_RUN.format(down="", of="g")}) WHERE good = 1 AND run = 1 GROUP BY series, place),
+p AS (SELECT k.series, k.place, coalesce(step, 1) AS step FROM (SELECT DISTINCT series, place FROM s) k LEFT JOIN t USING (series, place)),
+sc AS (SELECT a.series, a.place, product(abs(z.step)) AS scale FROM p a JOIN p z ON a.series = z.series AND z.place >= a.place GROUP BY a.series, a.place),
+e AS (SELECT series, place, max(shell) AS hi, min(shell) - 1 AS lo FROM (SELECT *, {_RUN.format(down="DESC", of="(SELECT *, (cc > 0.1)::INT AS good FROM c)")}) WHERE good = 1 AND run = 1 GROUP BY series, place),
+u AS (SELECT k.series, k.place, shell, CASE WHEN shell > hi THEN 1.0::DOUBLE WHEN shell > lo THEN (shell - lo)::DOUBLE / (hi - lo) ELSE 0 END AS up FROM (SELECT DISTINCT series, place FROM c) k LEFT JOIN e USING (series, place), (SELECT unnest(range(4)) AS shell)),
+w AS (SELECT a.series, a.shell, a.up AS u0, n.up AS u1 FROM u a LEFT JOIN u n ON a.series = n.series AND a.shell = n.shell AND n.place = 1 WHERE a.place = 0),
+wt AS (SELECT series, place, shell, CASE place WHEN 0 THEN 1 - u0 WHEN 1 THEN u0 * (1 - coalesce(u1, 0)) ELSE u0 * u1 END AS weight FROM w, (SELECT unnest(range(3)) AS place) WHERE place < 2 OR u1 IS NOT NULL),
+x AS (SELECT series, i, sum((re - background) * scale * weight) AS re FROM s JOIN sc USING (series, place) JOIN b USING (series, place) JOIN wt USING (series, place, shell) GROUP BY series, i)
+SELECT series, i::BIGINT AS i, round(sign(re) * log10(1 + abs(re)), 5) + 0.0 AS log_re FROM x""",
+)
 def ramp_merge(spark, sf_dir):
+    """The merged values, as signed logarithms: scales of noisy series span many orders."""
     px, agreement = _series(spark, sf_dir)
     plots = px.groupBy("series", "place", "shell").agg(F.avg("re").alias("mean"))
     scales, backgrounds, weights = M.relative_scale(plots, agreement, "series", 0.1), M.plot_background(plots, "series", "place"), M.ramp_weights(agreement, "series", 4, 0.1)
-    return M.ramp_merge(px, scales, backgrounds, weights, "series").select("series", long("i"), F.round("re", 3).alias("re"))
+    merged = M.ramp_merge(px, scales, backgrounds, weights, "series")
+    return merged.select("series", long("i"), (F.round(F.sign("re") * F.log10(1 + F.abs("re")), 5) + 0.0).alias("log_re"))
 
 
 @query(
@@ -267,15 +287,18 @@ def smooth_mesh_background(spark, sf_dir):
     return unpack(K.smooth_mesh_background(images(spark, sf_dir), 4)).select("image_id", long("i"), r6(F.col("re") * OFF).alias("re"))
 
 
-@query("centre_of_symmetry")
+@query("centre_of_symmetry", f"WITH {PX}, c AS (SELECT a.image_id, a.x + b.x AS cx, a.y + b.y AS cy, round(sum(abs(a.re) * abs(b.re)), 6) AS c FROM px a JOIN px b USING (image_id) GROUP BY ALL) SELECT image_id, arg_max(cx, (c, -(cy * 16 + cx))) / 2.0::DOUBLE AS x, arg_max(cy, (c, -(cy * 16 + cx))) / 2.0::DOUBLE AS y FROM c GROUP BY image_id")
 def centre_of_symmetry(spark, sf_dir):
     return K.find_centre(images(spark, sf_dir))
 
 
-@query("smooth_mask_edges")
+_KEEP = f"exp({-2 * math.pi**2!r} * {K2} / 64.0)"
+
+
+@query("smooth_mask_edges", f"WITH {PX}, m AS (SELECT image_id, i, CASE WHEN x < 2 THEN 0.0 ELSE 1.0 END::DOUBLE AS re FROM px), {forward('m')}, {back('f', 'g', f'fr * {_KEEP}', f'fi * {_KEEP}')} SELECT image_id, i::BIGINT AS i, round(px.re * CASE WHEN x < 2 THEN 0 ELSE least(greatest(g.re, 0), 1) END, 4) + 0.0 AS re FROM px JOIN g USING (image_id, i)")
 def smooth_mask_edges(spark, sf_dir):
     p = images(spark, sf_dir).withColumn("mask", F.transform("mask", lambda m, i: F.when(i % 8 < 2, 0).otherwise(1)))
-    return unpack(K.smooth_mask_edges(p, 1.0)).select("image_id", long("i"), F.round("re", 4).alias("re"))
+    return unpack(K.smooth_mask_edges(p, 1.0)).select("image_id", long("i"), (F.round("re", 4) + 0.0).alias("re"))
 
 
 @query("affine_round_trip", "SELECT p_partkey, round(p_size::DOUBLE, 6) + 0.0 AS x, round(p_partkey % 17, 6) + 0.0 AS y, 1.0::DOUBLE AS one FROM part")
@@ -343,12 +366,15 @@ def rescaled_mask(spark, sf_dir):
     return P.mask_external(pixels(spark, sf_dir), wide, ["i"]).select("image_id", long("i"), long("mask"))
 
 
-@query("split_transforms")
+_PART = "CASE WHEN (abs(re) <= 100) = {} THEN re ELSE 0 END"
+
+
+@query("split_transforms", f"WITH {PX}, {forward('px', 'f1', _PART.format('true'))}, {forward('px', 'f0', _PART.format('false'))} SELECT image_id, true AS inside, k::BIGINT AS i, round(fr, 4) + 0.0 AS re, round(fi, 4) + 0.0 AS im FROM f1 UNION ALL SELECT image_id, false, k::BIGINT, round(fr, 4) + 0.0, round(fi, 4) + 0.0 FROM f0")
 def split_transforms(spark, sf_dir):
     """The transforms of what lies inside and outside each image's mask; they add up to the image's own."""
     p = images(spark, sf_dir).withColumn("mask", F.transform("re", lambda v: F.when(F.abs(v) <= 100, 1).otherwise(0)))
     part = lambda inside: FT.fft(p.withColumn("re", F.zip_with("re", "mask", lambda v, m: F.when((m == 1) == F.lit(inside), v).otherwise(0.0))))
-    show = lambda d, inside: unpack(d).select("image_id", F.lit(inside).alias("inside"), "i", F.round("re", 4).alias("re"), F.round("im", 4).alias("im"))
+    show = lambda d, inside: unpack(d).select("image_id", F.lit(inside).alias("inside"), long("i"), *[(F.round(c, 4) + 0.0).alias(c) for c in ("re", "im")])
     return show(part(True), True).unionByName(show(part(False), False))
 
 
@@ -525,6 +551,22 @@ def fft_benchmark(spark, sf_dir):
     return FT.benchmark(spark).select("size")
 
 
+_KEYS, _VALUES = "[0.0, 50.0 + user_id % 40, 300.0]", "[user_id % 7, user_id % 5, user_id % 3]"
+_INSIDE = "len(list_filter(k, lambda a: a <= value))"
+
+
+@query("mapped_schedules", f"""WITH e AS (SELECT event_id, value, {_KEYS}::DOUBLE[] AS k, {_VALUES}::DOUBLE[] AS v FROM events), p AS (SELECT *, {_INSIDE} AS n FROM e),
+u AS (SELECT *, (value - k[n]) / (k[n + 1] - k[n]) AS u FROM p), t AS (SELECT *, 0.5 + sinh(asinh(4 * u - 2) / 3) AS t FROM u)
+SELECT event_id, round(CASE WHEN n = 0 THEN v[1] WHEN n = 3 THEN v[3] ELSE v[n] + (3 * t * t - 2 * t * t * t) * (v[n + 1] - v[n]) END, 6) + 0.0 AS mapped,
+  round(CASE WHEN n = 0 THEN v[1] WHEN n = 3 THEN v[3] ELSE v[n + 1] + (v[n] - v[n + 1]) / (exp(10 * (u - 0.5)) + 1) END, 6) + 0.0 AS between FROM t""")
+def mapped_schedules(spark, sf_dir):
+    """A map and checkpoints of each user, read at each event's value."""
+    keys = F.array(F.lit(0.0), 50.0 + F.col("user_id") % 40, F.lit(300.0))
+    values = F.array(*[(F.col("user_id") % k).cast("double") for k in (7, 5, 3)])
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", r6(schedules.mapped(F.col("value"), keys, values)).alias("mapped"), r6(schedules.shifted(F.col("value"), keys, values)).alias("between"))
+
+
 _UPDATES = """u AS (SELECT user_id AS run, event_id AS seq, event_id % 500 AS from_iteration,
   CASE event_type WHEN 'view' THEN 'phasing_method.beta' WHEN 'error' THEN 'logging.output_period' WHEN 'signup' THEN 'input_data.beamstop_radius' WHEN 'purchase' THEN 'phasing_method.algorithm' ELSE 'no.such' END AS option,
   CASE event_type WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN (event_id % 97)::VARCHAR ELSE event_id % 97 || '.5' END WHEN 'purchase' THEN ['raar', 'hio', 'er'][event_id % 3 + 1] ELSE (event_id % 89)::VARCHAR END AS value FROM events),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from specklegrid.operators import regions
 from specklegrid.sources import text
-from specklegrid.streaming import pulses, watcher
+from specklegrid.streaming import frames, pulses, watcher
 
 
 def test_many_boxes_against_brute_force(spark):
@@ -133,6 +133,18 @@ def test_frames_meet_pulses_by_time(spark, tmp_path):
     assert {r.bunch: r.hall for r in spark.table("near").collect()} == {1: 4.0, 2: None, 3: None}
 
 
+def test_windows_drop_late_rows_and_forget(spark, tmp_path):
+    """Rows behind the watermark change no window; windows leave the state when it has passed them."""
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, 0) + datetime.timedelta(minutes=m)
+    batches = [[(at(1), "a", 1.0), (at(2), "a", 2.0), (at(6), "b", 4.0)], [(at(30), "a", 8.0)], [(at(32), "c", 5.0)], [(at(3), "a", 100.0), (at(26), "a", 16.0)], [(at(300), "z", 0.0)]]
+    stream = _arrivals(spark, str(tmp_path / "events"), batches, "ts timestamp, event_type string, value double")
+    q = _run(frames.windowed_counts(stream, late="10 minutes", width="5 minutes"), "windows")
+    got = {((r.window.start - at(0)).total_seconds() / 60, r.event_type): (r.n, r.total) for r in spark.table("windows").collect()}
+    assert got == {(0, "a"): (2, 3.0), (5, "b"): (1, 4.0), (25, "a"): (1, 16.0), (30, "a"): (1, 8.0), (30, "c"): (1, 5.0)}
+    states = [o for p in q.recentProgress for o in p["stateOperators"]]
+    assert sum(o["numRowsDroppedByWatermark"] for o in states) == 1 and states[-1]["numRowsTotal"] == 1
+
+
 def _replay(batches, increment, began):
     """The watch of one run as plain Python."""
     present, newest, at, out = {}, {}, increment - 1, []
