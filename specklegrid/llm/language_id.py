@@ -28,7 +28,7 @@ from .exchange import released, written
 from .kernels import LOWER, pieces, utf8
 
 DIMS, PER_LANG, MIN_SCORE, LOST = 4096, 400, 0.25, 0.005
-PIECE, ROWS = 512 << 10, 1024  # bytes of text and rows whose features (16 KB a row) a task holds at once
+PIECE, ROWS = 512 << 10, 512  # bytes of text and rows whose features (16 KB a row) a task holds at once
 SAMPLE_ROWS, MIN_ROWS, FAMILY_ROWS = 40_000, 8, 4000  # bounds of the sample, as above
 #: Families of common languages (ISO 639-1).
 FAMILIES = {
