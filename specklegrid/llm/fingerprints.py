@@ -3,9 +3,10 @@
 A text's paragraphs (lines, and sentences within them) are hashed to distinct 64-bit digests, and each digest enters
 one cell in each of three subtables: its count, the XOR of digests and the XOR of their checks. The cells of the least
 size are the fingerprint. Two versions' cells subtract; peeling then takes out digests that stand alone in a cell,
-again and again, and what it takes out is how the versions differ. Where cells are left over, it is retried with
-tables sixty-four times as large, and beyond the largest the digests are compared themselves. Likeness is the shared part
-of all digests of both. All of it is DataFrame functions on one row: no digest ever leaves its document's row.
+again and again, and what it takes out is how the versions differ. Where cells are left over (differences of over some
+150 digests), each version gets a sketch sixty-four times as large, and these subtract and are peeled; beyond the largest size the digests
+are compared themselves. Likeness is the shared part of all digests of both, a third of the counts of their cells: where the
+first try succeeds, two fingerprints alone give it. All of it is DataFrame functions on one row: no digest ever leaves its document's row.
 
 The next document is found from ids alone: pairs of doc_id and a hash of the text are range-partitioned and written, a
 window finds the next within a partition, and only the least pair of each partition travels to the one before it. Texts
@@ -24,10 +25,9 @@ from pyspark.sql import functions as F
 
 from .exchange import written
 
-SIZES = (8, 512, 32768)  # cells are kept sparse: a wide table costs no more than a narrow one and peels in fewer rounds
+SIZES = (64, 4096, 262144)  # cells of a subtable; they are kept sparse: a wide table costs no more than a narrow one and peels in fewer rounds
 ROUNDS, PART_ROWS = 24, 1 << 18
 NO_ID = -(2**63)  # stands for a null doc_id, and so does a doc_id of this number
-FEW = 10  # digests of both texts up to which the least table is tried
 _CELLS = "array<struct<cell: bigint, n: int, x: bigint, c: bigint>>"
 _EMPTY = f"cast(array() as {_CELLS})"
 
@@ -71,15 +71,12 @@ def _peeled(cells: str, size: str) -> str:
 
 
 def differences(a: str, b: str, cells_a: str, cells_b: str) -> Column:
-    """found: digests (x) with n of 1 where only array column a has them, -1 where only b has; solved: by peeling, at size. cells_a and cells_b are their tables of the least size."""
-    less = f"concat({cells_a}, transform({cells_b}, e -> named_struct('cell', e.cell, 'n', -e.n, 'x', e.x, 'c', e.c)))"
+    """found: digests (x) with n of 1 where only array column a has them, -1 where only b has; solved: by peeling, at size. cells_a and cells_b are their sketches of the least size; larger ones are made of each where that one fails."""
+    less = lambda x, y: f"concat({x}, transform({y}, e -> named_struct('cell', e.cell, 'n', -e.n, 'x', e.x, 'c', e.c)))"
     solved = lambda cells, z: f"transform(array({_peeled(_folded(cells), z)}), s -> named_struct('solved', size(s.cells) = 0, 'size', {z}, 'found', s.found))[0]"
-    # a larger table of a difference is that of the signed digests, as tables add up
-    signed = f"concat(transform({a}, d -> named_struct('x', d, 'n', 1)), transform({b}, d -> named_struct('x', d, 'n', -1)))"
+    first = solved(less(cells_a, cells_b), f"{SIZES[0]}L")
     sizes = ", ".join(f"{s}L" for s in SIZES[1:])
-    none = f"named_struct('solved', false, 'size', {SIZES[0]}L, 'found', cast(array() as array<struct<x: bigint, n: int>>))"
-    first = f"if(size({a}) + size({b}) <= {FEW}, {solved(less, f'{SIZES[0]}L')}, {none})"
-    by_peeling = f"aggregate(array({sizes}), {first}, (t, z) -> if(t.solved, t, {solved(_spread(signed, 'z'), 'z')}))"
+    by_peeling = f"aggregate(array({sizes}), {first}, (t, z) -> if(t.solved, t, {solved(less(table(a, 'z'), table(b, 'z')), 'z')}))"
     plain = f"named_struct('solved', false, 'size', 0L, 'found', concat(transform(array_except({a}, {b}), d -> named_struct('x', d, 'n', 1)), transform(array_except({b}, {a}), d -> named_struct('x', d, 'n', -1))))"
     return F.expr(f"transform(array({by_peeling}), t -> if(t.solved, t, {plain}))[0]")
 

@@ -512,22 +512,70 @@ def test_next_of_repeated_and_missing_ids(spark):
 
 
 def test_differences_are_peeled(spark):
-    """Small differences come out of the sketches, at the least size where few digests stand on both sides."""
+    """Differences come out of the sketches of the least size, or of larger ones where these fail."""
     rng = np.random.default_rng(3)
     rows = []
-    for k in range(40):
-        a = rng.integers(-(2**62), 2**62, 5 if k < 20 else 60).tolist()
-        b = a[: len(a) - 2] + rng.integers(-(2**62), 2**62, 1).tolist()
+    for k in range(60):
+        n, other = (5, 1) if k < 20 else (60, 45) if k < 40 else (900, 400)
+        a = rng.integers(-(2**62), 2**62, n).tolist()
+        b = a[: n - 2 * other] + rng.integers(-(2**62), 2**62, other).tolist()
         rows.append((k, a, b))
     x = spark.createDataFrame(rows, "k int, a array<long>, b array<long>")
     from pyspark.sql import functions as F
 
     x = x.withColumns({f"c{c}": F.expr(fingerprints.table(c, fingerprints.SIZES[0])) for c in "ab"}).withColumn("d", fingerprints.differences("a", "b", "ca", "cb"))
     got = x.collect()
-    assert all(r.d.solved for r in got) and {r.d.size for r in got if r.k >= 20} == {512} and 8 in {r.d.size for r in got if r.k < 20}
+    assert all(r.d.solved for r in got) and {r.d.size for r in got if r.k < 40} == {64} and {r.d.size for r in got if r.k >= 40} == {4096}
     assert all({(f.x, f.n) for f in r.d.found} == {(v, 1) for v in set(r.a) - set(r.b)} | {(v, -1) for v in set(r.b) - set(r.a)} for r in got)
 
 
+def _cells(text):
+    """The cells of a fingerprint: (count, digest, check) by cell."""
+    out = {}
+    for e in text.split(".") if text else []:
+        cell, n, x, c = (int(v, 16) for v in e.split("-"))
+        out[cell] = (n - (1 << 64) if n >= 1 << 63 else n, x, c)
+    return out
+
+
+def _likeness_of(a, b, size=64):
+    """What two fingerprints alone say: their cells subtract, digests that stand alone are taken out of their three cells; None where cells are left."""
+    import struct
+
+    import xxhash
+
+    check = lambda x: xxhash.xxh64(struct.pack("<i", 77), seed=xxhash.xxh64(struct.pack("<Q", x), seed=42).intdigest()).intdigest()
+    a, b = _cells(a), _cells(b)
+    total, cells, found = sum(n for n, *_ in [*a.values(), *b.values()]) // 3, dict(a), 0
+    for k, (n, x, c) in b.items():
+        m, y, d = cells.get(k, (0, 0, 0))
+        cells[k] = (m - n, y ^ x, d ^ c)
+    while alone := {(x, n, c) for n, x, c in cells.values() if abs(n) == 1 and c == check(x)}:
+        for x, n, c in alone:
+            found += 1
+            for j in range(3):
+                k = j * size + ((x >> (20 * j)) & (size - 1))
+                m, y, d = cells[k]
+                cells[k] = (m - n, y ^ x, d ^ c)
+    return (total - found) / (total + found) if total and all(v == (0, 0, 0) for v in cells.values()) else None
+
+
+def test_two_fingerprints_alone_give_their_likeness(spark):
+    rng = np.random.default_rng(8)
+    say = lambda n: "\n".join(f"line {rng.integers(1e9)}" for _ in range(n))
+    base = say(30)
+    texts = [base, base + "\n" + say(2), base, say(40), say(25), "\n".join(base.split("\n")[5:]), "", say(300), say(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(fingerprints.fingerprints(docs).collect(), key=lambda r: r.doc_id)
+    alone = [_likeness_of(r.fingerprint, n.fingerprint) for r, n in zip(got, [*got[1:], got[0]], strict=True)]
+    edited = [_likeness_of(r.fingerprint, r.edited_fingerprint) for r in got]
+    for r, v in zip(got[:6], alone[:6], strict=True):
+        assert v is not None and abs(v - r.near_next) < 1e-12
+    for r, v in zip(got[:6], edited[:6], strict=True):
+        assert v is not None and abs(v - r.near_edited) < 1e-12
+    assert alone[7] is None and got[7].near_next == 0.0  # too many differences for the least size
+
+
 def test_mixing(docs, spark, empty):
     copies = source_mixing.mix_sources(docs, entropy=None, repeats=2.0, budget=None).collect()
     assert {r.doc_id for r in copies} == {r.doc_id for r in docs.collect()}  # everything at least once
