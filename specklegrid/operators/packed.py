@@ -316,6 +316,45 @@ def centrosymmetric(packed: DataFrame) -> DataFrame:
     return per_image(packed, f)
 
 
+def sampled(packed: DataFrame, places: Callable[[int, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """image_id, p, re, mask: bilinear values at places(nx, ny), arrays of x and y; 0 with mask 0 where a corner that counts lies outside."""
+
+    def f(v, m):
+        ny, nx = v.shape[-2:]
+        fx, fy = places(nx, ny)
+        bx, by = np.floor(fx).astype(int), np.floor(fy).astype(int)
+        u, w = fx - bx, fy - by
+        total, outside = np.zeros((len(v), len(fx))), np.zeros(len(fx), bool)
+        for a in (0, 1):
+            for b in (0, 1):
+                weight = (u if a else 1 - u) * (w if b else 1 - w)
+                x, y = bx + a, by + b
+                inside = (x >= 0) & (x < nx) & (y >= 0) & (y < ny)
+                outside |= ~inside & (weight > 1e-12)
+                total += np.where(inside, weight, 0) * v.real[:, np.clip(y, 0, ny - 1), np.clip(x, 0, nx - 1)]
+        each = lambda x: np.broadcast_to(x, total.shape)
+        return {"p": each(np.arange(len(fx))), "re": np.where(outside, 0.0, total), "mask": each((~outside).astype(int))}
+
+    return rows(packed, f, "p long, re double, mask int")
+
+
+def line_out(packed: DataFrame, x0: float, y0: float, x1: float, y1: float, samples: int = 100) -> DataFrame:
+    t = np.arange(samples) / (samples - 1)
+    return sampled(packed, lambda nx, ny: (x0 + t * (x1 - x0), y0 + t * (y1 - y0)))
+
+
+def rotate(packed: DataFrame, angle: float) -> DataFrame:
+    """Rotation about the centre by inverse lookup."""
+    c, s = np.cos(angle), np.sin(angle)
+
+    def places(nx, ny):
+        p = np.arange(nx * ny)
+        x, y = p % nx - (nx - 1) / 2, p // nx - (ny - 1) / 2
+        return c * x + s * y + (nx - 1) / 2, -s * x + c * y + (ny - 1) / 2
+
+    return sampled(packed, places)
+
+
 def rescale(packed: DataFrame, nx: int, ny: int) -> DataFrame:
     """Bilinear, corners onto corners."""
 

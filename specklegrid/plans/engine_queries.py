@@ -138,11 +138,7 @@ with_sql("autocorrelation_filter", f"WITH {PX} SELECT image_id, i::BIGINT AS i,
 
 
 def _expression(text: str):
-    def run(spark, sf_dir):
-        x = expression.evaluate(text, pixels(spark, sf_dir))
-        return x.select("image_id", F.col("i").cast("long").alias("i"), *[(F.round(F.col(c) * OFF, 3) + 0.0).alias(c) for c in ("re", "im")])
-
-    return run
+    return lambda spark, sf_dir: _values(expression.evaluate_packed(text, images(spark, sf_dir)), 3, OFF)
 
 
 with_sql("expr_fft", f"WITH {PX}, {forward()} SELECT {shown(f'(sqrt(fr * fr + fi * fi) + 2) * {OFF!r}', '0.0::DOUBLE', 3)} FROM {PLACES}", _expression("abs(fft(A)) + 2"))

@@ -130,12 +130,12 @@ PROGRAMS = {
     "expr_if": ("if(abs(A) > 100, A, 0)", "CASE WHEN abs(re) > 100 THEN re ELSE 0 END", "0.0::DOUBLE"),
     "expr_logic": ("(A > 50 && posx < 4) || posy == 7", "CASE WHEN (abs(re) > 50 AND x < 4) OR y = 7 THEN 1 ELSE 0 END", "0.0::DOUBLE"),
     "expr_minmax": ("min(A, 10) + max(A, -10)", "least(re, 10) + greatest(re, -10)", "0.0::DOUBLE"),
-    "expr_sum": ("A / sum(abs(A))", "re / (sum(abs(re)) OVER (PARTITION BY image_id))", "0.0::DOUBLE"),
     "expr_parts": ("re(A) + im(conj(A*i)) + arg(A)", "re + atan2(0.0, re)", "-re"),
     "expr_exp": ("exp(A/1000) + log(abs(A) + 1)", "exp(re / 1000) + ln(abs(re) + 1)", "0.0::DOUBLE"),
 }
 for _name, (_text, _re, _im) in PROGRAMS.items():
     simple(_name, lambda p, t=_text: expression.evaluate(t, p), _re, sql_im=_im)
+packed("expr_sum", lambda p: expression.evaluate_packed("A / sum(abs(A))", p), "re / (sum(abs(re)) OVER (PARTITION BY image_id))", sql_im="0.0::DOUBLE")
 simple("expr_set_mask", lambda p: expression.evaluate("set_mask(A, A > 50)", p), "re", sql_mask="CASE WHEN abs(re) > 50 THEN 1 ELSE 0 END")
 simple("select_by_expression", lambda p: expression.select_pixels("abs(A) > 150", p), "1", where="abs(re) > 150")
 
@@ -293,7 +293,7 @@ IDS = "(SELECT vec_id AS image_id FROM embeddings WHERE len(embedding) = 64)"
 
 @query("line_out", f"SELECT image_id, p::BIGINT AS p, {sql6('CASE WHEN out = 1 THEN 0 ELSE re END')} AS re FROM ({bilinear_sql(f'SELECT image_id, p, 7.0::DOUBLE * (p / 99.0::DOUBLE) AS fx, 7.0::DOUBLE * (p / 99.0::DOUBLE) AS fy FROM {IDS}, (SELECT unnest(range(100)) AS p)')})")
 def line_out(spark, sf_dir):
-    return N.line_out(pixels(spark, sf_dir), 0.0, 0.0, 7.0, 7.0).select("image_id", F.col("p").cast("long").alias("p"), r6(F.col("re")).alias("re"))
+    return K.line_out(images(spark, sf_dir), 0.0, 0.0, 7.0, 7.0).select("image_id", F.col("p").cast("long").alias("p"), r6(F.col("re")).alias("re"))
 
 
 _TURNED = f"SELECT image_id, p, {math.cos(0.5)!r} * (p % 8 - 3.5) + {math.sin(0.5)!r} * (p // 8 - 3.5) + 3.5 AS fx, {-math.sin(0.5)!r} * (p % 8 - 3.5) + {math.cos(0.5)!r} * (p // 8 - 3.5) + 3.5 AS fy FROM {IDS}, (SELECT unnest(range(64)) AS p)"
@@ -301,7 +301,7 @@ _TURNED = f"SELECT image_id, p, {math.cos(0.5)!r} * (p % 8 - 3.5) + {math.sin(0.
 
 @query("rotate_bilinear", f"SELECT image_id, p::BIGINT AS p, {sql6('CASE WHEN out = 1 THEN 0 ELSE re END')} AS re, (1 - out)::BIGINT AS mask FROM ({bilinear_sql(_TURNED)})")
 def rotate_bilinear(spark, sf_dir):
-    return N.rotate(pixels(spark, sf_dir), 8, 8, 0.5).select("image_id", F.col("p").cast("long").alias("p"), r6(F.col("re")).alias("re"), F.col("mask").cast("long").alias("mask"))
+    return K.rotate(images(spark, sf_dir), 0.5).select("image_id", F.col("p").cast("long").alias("p"), r6(F.col("re")).alias("re"), F.col("mask").cast("long").alias("mask"))
 
 
 # ---- pixel-table forms of some of the operators above: they serve where pixels meet other tables

@@ -34,6 +34,27 @@ def test_functions_of_the_user_in_expressions(spark):
         expression.define("none", 0, lambda: None)
 
 
+def test_expressions_over_packed_rows_equal_those_over_pixels(spark):
+    p = images(spark, SF).where("image_id < 4").withColumn("im", F.transform("re", lambda v, i: v * (i % 3 - 1))).withColumn("mask", F.transform("re", lambda v: F.when(v > 0, 2).otherwise(0)))
+    other = p.withColumn("image_id", (F.col("image_id") + 1) % 4)
+    texts = [
+        "A*2 + 3 - B/4", "(A + Ai) * (1 - 2i)", "abs(A) ^ 0.5 + sqrt(B)", "if(abs(A) > 100, A, B)", "(A > 50 && posx < 4) || posy == 7", "min(A, 10) + max(B, -10)", "A / sum(abs(A)) + sum(2)", "re(A) + im(conj(A*i)) + arg(B)",
+        "exp(A/1000) + log(abs(A) + 1)", "set_mask(A, A > 50)", "mask(A) + posz", "A / 0 + (A - A) ^ 0", "2 + A ^ (1 + 0.1i)", "-(B == B)", "abs(fft(A)) + 2", "ifft(fft(A) * (posx < 4)) / 64 + sum(fft(B))",
+    ]
+    keys = ("image_id", "i", "re", "im", "mask")
+    for t in texts:
+        by_pixel = sorted(tuple(r[c] for c in keys) for r in expression.evaluate(t, unpack(p), unpack(other)).collect())
+        packed_ = sorted(tuple(r[c] for c in keys) for r in unpack(expression.evaluate_packed(t, p, other)).collect())
+        assert len(by_pixel) == len(packed_) == 256
+        for a, b in zip(by_pixel, packed_, strict=True):
+            assert a[:2] == b[:2] and a[4] == b[4] and np.allclose(a[2:4], b[2:4], rtol=1e-9, atol=1e-6), t
+    plan = expression.evaluate_packed("ifft(fft(A) * 2) + sum(A)", p)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    for bad in ("C + A", "A ^ A", "fft(2)"):
+        with pytest.raises(expression.ExpressionError):
+            expression.evaluate_packed(bad, p, other)
+
+
 def test_aggregate_with_partial_states(spark):
     rng = np.random.default_rng(1)
     rows = [(None if k % 50 == 0 else "hot" if k % 3 else f"g{k % 7}", (rng.normal(1e6, 1, 5)).tolist()) for k in range(3000)] + [("gone", None)]
