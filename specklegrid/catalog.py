@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from .plans import engine_queries, large_queries, pixel_queries, series_queries, wide_queries
+    from .plans import engine_queries, file_queries, large_queries, pixel_queries, series_queries, wide_queries
 
-    return [pixel_queries, series_queries, engine_queries, wide_queries, large_queries]
+    return [pixel_queries, series_queries, engine_queries, wide_queries, large_queries, file_queries]
 
 
 def queries() -> dict[str, Query]:

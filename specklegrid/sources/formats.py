@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -309,8 +310,13 @@ _LIST_FULL = ("LABOUT H K L IMEAN SIGIMEAN FC PHIC", "CTYPE  H H H J Q F P", "FO
 
 
 def exponent(c: Column) -> Column:
-    """A number as %10.3e writes it."""
-    return F.lpad(F.format_string("%.3e", c), 10, " ")
+    """A number as %10.3e writes it, rounded by its binary value."""
+
+    @F.arrow_udf("string")
+    def shown(v: pa.Array) -> pa.Array:
+        return pa.array(np.char.mod("%10.3e", v.to_numpy(zero_copy_only=False).astype(float)), pa.string(), mask=np.asarray(v.is_null()))
+
+    return shown(c)
 
 
 def reflection_list(px: DataFrame, cell: tuple[float, float, float, float, float, float], sigma: float | None = None, tolerance: float = 0.01) -> DataFrame:
