@@ -6,8 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..model import images
-from ..operators import regions, selection, tiles
+from ..model import images, unpack
+from ..operators import regions, selection, tiles, volume
 from ..sources import frames
 from .pixel_queries import r6, sql6
 
@@ -36,11 +36,11 @@ def mosaics(spark, sf_dir: str):
     return whole.select("image_id", *[c.cast("int").alias(n) for n, c in ints.items()], F.coalesce("v", F.array_repeat(F.lit(0.0), SIDE * SIDE)).alias("v"))
 
 
-def pixels_of(t, *values: str, volume: bool = False):
+def pixels_of(t, *values: str, deep: bool = False):
     """image_id, x, y (and z) and values of tiles."""
     cells = t.select("image_id", "tz", "ty", "tx", "d", "h", "w", F.posexplode(F.arrays_zip(*values)).alias("i", "c"))
     at = {"x": F.col("tx") * SIDE + F.col("i") % F.col("w"), "y": F.col("ty") * SIDE + F.floor(F.col("i") / F.col("w")) % F.col("h")}
-    if volume:
+    if deep:
         at["z"] = F.col("tz") * SIDE + F.floor(F.col("i") / (F.col("w") * F.col("h")))
     return cells.select("image_id", *[c.cast("long").alias(n) for n, c in at.items()], *[F.col(f"c.{v}") for v in values])
 
@@ -139,7 +139,28 @@ def volume_transform(spark, sf_dir):
     ints = {"ty": 0, "tx": 0, "nz": SIDE, "ny": SIDE, "nx": SIDE, "d": 1, "h": SIDE, "w": SIDE}
     layers = whole.select("image_id", "tz", *[F.lit(n).cast("int").alias(c) for c, n in ints.items()], F.coalesce("v", F.array_repeat(F.lit(0.0), SIDE * SIDE)).alias("v"))
     t = tiles.transform(tiles.complex_tiles(layers), SIDE, spanned="yx", volume=True)
-    return pixels_of(t, "re", "im", volume=True).select("image_id", "x", "y", "z", *[(F.round(c, 3) + 0.0).alias(c) for c in ("re", "im")])
+    return pixels_of(t, "re", "im", deep=True).select("image_id", "x", "y", "z", *[(F.round(c, 3) + 0.0).alias(c) for c in ("re", "im")])
+
+
+_ANGLES = (0.4, 0.3, 0.2)
+_BACK = volume.euler(*_ANGLES).T
+_FROM = ", ".join(f"{' + '.join(f'({_BACK[r, k]!r}) * ({c} - 3.5)' for k, c in enumerate('xyz'))} + 3.5 AS f{'xyz'[r]}" for r in range(3)).replace("np.float64(", "(")
+_LOWEST = ", ".join(f"least(floor(f{c}), 6)::INT AS l{c}" for c in "xyz")
+_WEIGHT = " * ".join(f"CASE WHEN s{c} = 1 THEN f{c} - l{c} ELSE 1 - (f{c} - l{c}) END" for c in "xyz")
+
+
+@query("rotated_volumes", f"""WITH {_VOLUME}, q AS (SELECT image_id, x, y, z, {_FROM} FROM v), o AS (SELECT *, {_LOWEST} FROM q WHERE least(fx, fy, fz) >= 0 AND greatest(fx, fy, fz) <= 7),
+t AS (SELECT o.image_id, o.x, o.y, o.z, sum(v.re * {_WEIGHT}) AS re FROM o, (SELECT unnest([0, 1]) AS sx), (SELECT unnest([0, 1]) AS sy), (SELECT unnest([0, 1]) AS sz)
+  JOIN v ON v.image_id = o.image_id AND v.x = lx + sx AND v.y = ly + sy AND v.z = lz + sz GROUP BY ALL)
+SELECT image_id, x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z, {sql6('coalesce(t.re, 0)')} AS re FROM v LEFT JOIN t USING (image_id, x, y, z)""")
+def rotated_volumes(spark, sf_dir):
+    """Every eight images by id as a volume, turned by three Euler angles."""
+    p = images(spark, sf_dir).select(F.floor(F.col("image_id") / SIDE).alias("image_id"), F.pmod("image_id", F.lit(SIDE)).cast("int").alias("z"), "re")
+    whole = p.select("image_id").distinct().withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1)))).join(p, ["image_id", "z"], "left")
+    layers = F.array_sort(F.collect_list(F.struct("z", F.coalesce("re", F.array_repeat(F.lit(0.0), SIDE * SIDE)).alias("re"))))  # eight layers a volume
+    v = whole.groupBy("image_id").agg(layers.alias("l")).select("image_id", *[F.lit(SIDE).alias(n) for n in ("nx", "ny", "nz")], F.flatten("l.re").alias("re"))
+    v = v.select("image_id", "nx", "ny", "nz", "re", F.transform("re", lambda x: F.lit(0.0)).alias("im"), F.transform("re", lambda x: F.lit(1)).alias("mask"))
+    return unpack(volume.rotate(v, *_ANGLES)).select("image_id", *[F.col(c).cast("long").alias(c) for c in "xyz"], r6(F.col("re")).alias("re"))
 
 
 @query("exact_quantiles", "WITH r AS (SELECT l_shipmode_ AS part, v, row_number() OVER (PARTITION BY l_shipmode_ ORDER BY v) - 1 AS place, count(*) OVER (PARTITION BY l_shipmode_) AS n FROM (SELECT l_returnflag || l_linestatus AS l_shipmode_, l_extendedprice * (1 - l_discount) - 30000 AS v FROM lineitem)) SELECT part, max(CASE WHEN place = floor(n * 0.5) THEN v END) AS middle, max(CASE WHEN place = floor(n * 0.99) THEN v END) AS high FROM r GROUP BY part".replace("l_shipmode_", "g"))

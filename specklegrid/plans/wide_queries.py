@@ -152,17 +152,25 @@ def flagged_background(spark, sf_dir):
     return M.flagged_background(P.dephase(unpack(p, "label")), flags, "label").select("label", long("i"), r6(F.col("re")).alias("re"))
 
 
-@query("frame_flags", "SELECT vec_id AS image_id, vec_id % 4 = 0 AS hit, vec_id % 4 = 1 AS background FROM embeddings WHERE len(embedding) = 64")
+_BRIGHT = f"b AS (SELECT image_id, label, sum(re) AS total, max(re) AS most FROM px GROUP BY image_id, label)"
+
+
+def _flagged(spark, sf_dir):
+    """Frames with a bright pixel as hits; frames of little light as background, if they aren't hits."""
+    most, total = F.array_max("re"), F.aggregate(F.transform("re", lambda v: v.cast("decimal(20,3)")), F.lit(0).cast("decimal(30,3)"), lambda a, v: (a + v).cast("decimal(30,3)"))
+    frames = images(spark, sf_dir).select("image_id", "label", most.alias("most"), total.alias("total"))
+    return M.set_flags(frames, F.col("most") > 250, F.col("total") < 400)
+
+
+@query("frame_flags", f"WITH {PX}, {_BRIGHT} SELECT image_id, most > 250 AS hit, round(total, 3) < 400 AND NOT most > 250 AS background FROM b")
 def frame_flags(spark, sf_dir):
-    return M.set_flags(images(spark, sf_dir).select("image_id"), F.col("image_id") % 4 == 0, F.col("image_id") % 4 <= 1)
+    return _flagged(spark, sf_dir).select("image_id", "hit", "background")
 
 
-@query("hits_only", "SELECT vec_id AS image_id, label FROM embeddings WHERE len(embedding) = 64 AND vec_id % 4 = 0")
+@query("hits_only", f"WITH {PX}, {_BRIGHT} SELECT image_id, label FROM b WHERE most > 250")
 def hits_only(spark, sf_dir):
     """The frames that an export of hits takes, by the flag of their row."""
-    frames = images(spark, sf_dir).select("image_id", "label")
-    flags = M.set_flags(frames.select("image_id"), F.col("image_id") % 4 == 0, F.lit(False))
-    return frames.join(flags.where("hit"), "image_id", "left_semi")
+    return images(spark, sf_dir).select("image_id", "label").join(_flagged(spark, sf_dir).where("hit"), "image_id", "left_semi")
 
 
 @query("real_space_agreement", f"WITH {PX}, {ZIP} SELECT image_id, {sql6('sum(abs(abs(a) - abs(b))) / nullif(sum(abs(a) + abs(b)), 0)')} AS r, {sql6('corr(abs(a), abs(b))')} AS cc FROM z GROUP BY image_id")
@@ -466,17 +474,23 @@ def expr_user_functions(spark, sf_dir):
 # ---- volumes and simulated exposures; tests hold them against other ways
 
 
-@query("rotated_euler", f"WITH {PX} SELECT image_id, i::BIGINT AS i, re FROM (SELECT image_id, (7 - y) + 8 * x AS i, re FROM px)")
+def _turned_points(cos: str, sin: str, p: str, source: str) -> str:
+    return f"SELECT image_id, {p} AS p, {cos} * (x - 3.5) + {sin} * (y - 3.5) + 3.5 AS fx, -{sin} * (x - 3.5) + {cos} * (y - 3.5) + 3.5 AS fy FROM {source}"
+
+
+_GRID = "(SELECT i % 8 AS x, i // 8 AS y, i FROM (SELECT unnest(range(64)) AS i))"
+
+
+@query("rotated_euler", f"SELECT image_id, p::BIGINT AS i, {sql6('CASE WHEN out = 1 THEN 0 ELSE re END')} AS re FROM ({bilinear_sql(_turned_points(repr(math.cos(0.6)), repr(math.sin(0.6)), 'i', f'{IDS}, {_GRID}'))})")
 def rotated_euler(spark, sf_dir):
-    """A quarter turn by angles and trilinear lookup is the exact rewrite of coordinates."""
-    return unpack(V.rotate(images(spark, sf_dir), math.pi / 2)).select("image_id", long("i"), F.round("re", 3).alias("re"))
+    return unpack(V.rotate(images(spark, sf_dir), 0.6)).select("image_id", long("i"), r6(F.col("re")).alias("re"))
 
 
-@query("common_lines", f"WITH {PX}, r AS (SELECT image_id, 0 AS step, x, y, re FROM px UNION ALL SELECT image_id, 1, 7 - y, x, re FROM px UNION ALL SELECT image_id, 2, 7 - x, 7 - y, re FROM px UNION ALL SELECT image_id, 3, y, 7 - x, re FROM px) SELECT r.image_id, step::BIGINT AS step, (r.x + 8 * r.y)::BIGINT AS i, round(r.re - px.re, 3) + 0.0 AS re FROM r JOIN px ON px.image_id = r.image_id AND px.x = r.x AND px.y = r.y")
+@query("common_lines", f"WITH {PX}, t AS ({bilinear_sql(_turned_points(f'cos({2 * math.pi / 6!r} * s)', f'sin({2 * math.pi / 6!r} * s)', 's * 64 + i', f'{IDS}, {_GRID}, (SELECT unnest(range(6)) AS s)'))}) SELECT t.image_id, (p // 64)::BIGINT AS step, (p % 64)::BIGINT AS i, {sql6('CASE WHEN out = 1 THEN 0 ELSE t.re END - px.re')} AS re FROM t JOIN px ON px.image_id = t.image_id AND px.i = p % 64")
 def common_lines(spark, sf_dir):
-    d = V.common_lines(images(spark, sf_dir), 4)
+    d = V.common_lines(images(spark, sf_dir), 6)
     cells = d.select("image_id", long("step"), F.posexplode("re").alias("i", "re"))
-    return cells.select("image_id", "step", long("i"), (F.round("re", 3) + 0.0).alias("re"))
+    return cells.select("image_id", "step", long("i"), r6(F.col("re")).alias("re"))
 
 
 @query("multi_shot_exposure")
