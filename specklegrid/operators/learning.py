@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..model import checkpointed
+
 FLOOR = -50.0
 
 
@@ -52,16 +54,14 @@ def turned_references(model: DataFrame, side: int) -> tuple[DataFrame, DataFrame
 
 
 def emc(samples: DataFrame, model: DataFrame, side: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(model, responsibilities) after rounds of expectation and maximisation over the four quarter turns. Each round's model, a row a pixel, is kept by checkpoint where a folder is set."""
-    spark = samples.sparkSession
+    """(model, responsibilities) after rounds of expectation and maximisation over the four quarter turns. Each round's model, a row a pixel, is kept by checkpoint."""
     everywhere = model.select("pixel")
     for _ in range(rounds):
         reference, back = turned_references(model, side)
         p = responsibilities(samples, reference)
         mean = maximise(samples, p, back)
         model = everywhere.join(mean, "pixel", "left").select("pixel", F.coalesce("mean", F.lit(0.0)).alias("mean"))
-        if spark.sparkContext.getCheckpointDir() is not None:
-            model = model.checkpoint()
+        model = checkpointed(model)
     return model, responsibilities(samples, turned_references(model, side)[0])
 
 
@@ -157,30 +157,125 @@ def gtm_fit(vectors: DataFrame, basis: np.ndarray, rounds: int = 20, penalty: fl
     weights[-1] = mean
     beta, history = 1.0 / max(spread, 1e-12), []
     for _ in range(rounds):
-        centres = basis @ weights
-
-        def run(frames, centres=centres, beta=beta):
-            w, v, gap, fit = np.zeros(points), np.zeros((points, dims)), 0.0, 0.0
-            for pdf in frames:
-                if len(pdf):
-                    x = np.stack(pdf["v"].to_numpy()).astype(float)
-                    d = ((x[:, None] - centres[None]) ** 2).sum(2)
-                    least = d.min(1, keepdims=True)
-                    e = np.exp(-beta / 2 * (d - least))
-                    total = e.sum(1, keepdims=True)
-                    r = e / total
-                    w, v = w + r.sum(0), v + r.T @ x
-                    gap += float((r * d).sum())
-                    fit += float((np.log(total / points) - beta / 2 * least + dims / 2 * np.log(beta / (2 * np.pi))).sum())
-            yield pd.DataFrame({"k": range(points), "w": w, "v": list(v), "gap": gap / points, "fit": fit / points})
-
-        part = vectors.select("v").mapInPandas(run, "k int, w double, v array<double>, gap double, fit double")
-        sums = part.groupBy("k").agg(F.sum("w").alias("w"), F.sum("gap").alias("gap"), F.sum("fit").alias("fit"), *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(dims)]).orderBy("k").collect()
-        g = np.array([r["w"] for r in sums])
-        rx = np.array([[r[f"v{i}"] for i in range(dims)] for r in sums])
+        g, rx, gap, fit = topographic_sums(vectors, basis @ weights, beta)
         weights = np.linalg.solve(basis.T @ (basis * g[:, None]) + penalty / beta * np.eye(functions), basis.T @ rx)
-        history.append(sum(r["fit"] for r in sums))
-        beta = n * dims / max(sum(r["gap"] for r in sums), 1e-12)
+        history.append(fit)
+        beta = n * dims / max(gap, 1e-12)
+    return basis @ weights, beta, history
+
+
+def topographic_sums(vectors: DataFrame, centres: np.ndarray, beta: float) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """One pass over vectors(v): by latent point the responsibilities and the weighted vectors, summed; the weighted squared distances; the log likelihood. Tasks give these sums of the bounded model, no vectors."""
+    points, dims = centres.shape
+
+    def run(frames):
+        w, v, gap, fit = np.zeros(points), np.zeros((points, dims)), 0.0, 0.0
+        for pdf in frames:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy()).astype(float)
+                d = ((x[:, None] - centres[None]) ** 2).sum(2)
+                least = d.min(1, keepdims=True)
+                e = np.exp(-beta / 2 * (d - least))
+                total = e.sum(1, keepdims=True)
+                r = e / total
+                w, v = w + r.sum(0), v + r.T @ x
+                gap += float((r * d).sum())
+                fit += float((np.log(total / points) - beta / 2 * least + dims / 2 * np.log(beta / (2 * np.pi))).sum())
+        yield pd.DataFrame({"k": range(points), "w": w, "v": list(v), "gap": gap / points, "fit": fit / points})
+
+    part = vectors.select("v").mapInPandas(run, "k int, w double, v array<double>, gap double, fit double")
+    sums = part.groupBy("k").agg(F.sum("w").alias("w"), F.sum("gap").alias("gap"), F.sum("fit").alias("fit"), *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(dims)]).orderBy("k").collect()
+    return np.array([r["w"] for r in sums]), np.array([[r[f"v{i}"] for i in range(dims)] for r in sums]), sum(r["gap"] for r in sums), sum(r["fit"] for r in sums)
+
+
+def branches(empty: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first, last that holds vectors, last with the empty ones after it) of the runs into which empty latent points cut a chain."""
+    held = np.flatnonzero(~empty)
+    if not len(held):
+        return []
+    starts = [0, *[int(k) for k in held[1:] if empty[k - 1]]]
+    ends = [*[s - 1 for s in starts[1:]], len(empty) - 1]
+    return [(s, int(max(held[(held >= s) & (held <= e)])), e) for s, e in zip(starts, ends, strict=True)]
+
+
+def rearranged(empty: np.ndarray, means: np.ndarray, near: float = 0.99, seed: int = 0) -> np.ndarray:
+    """A new order of the latent points: from the longest branch on, the branch whose end is most like an end of the chain (a random one of those within `near` of the best) joins it there, turned round if need be. means: what each point's own vectors are like."""
+    rng, rest = np.random.default_rng(seed), branches(empty)
+    if len(rest) < 2:
+        return np.arange(len(empty))
+    first = max(rest, key=lambda b: b[2] - b[0])
+    rest.remove(first)
+    chain, head, tail = list(range(first[0], first[2] + 1)), first[0], first[1]
+    like = lambda a, b: float(np.nan_to_num(np.corrcoef(means[a], means[b])[0, 1], nan=-1.0))
+    while rest:
+        options = [(like(end, other), b, end == b[0], at_head) for b in rest for end in (b[0], b[1]) for other, at_head in ((head, True), (tail, False))]
+        best = max(o[0] for o in options)
+        chosen = [o for o in options if o[0] >= (near * best if best > 0 else best)]
+        _, b, by_start, at_head = chosen[rng.integers(len(chosen))]
+        run = list(range(b[0], b[2] + 1))
+        far = b[1] if by_start else b[0]
+        if at_head:
+            chain, head = (run[::-1] if by_start else run) + chain, far
+        else:
+            chain, tail = chain + (run if by_start else run[::-1]), far
+        rest.remove(b)
+    return np.array(chain)
+
+
+def own_means(vectors: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """The mean of the vectors that are nearest to each centre; a centre without any keeps its own place."""
+
+    def run(frames):
+        for pdf in frames:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy()).astype(float)
+                k = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+                yield pd.DataFrame([(int(j), int((k == j).sum()), x[k == j].sum(0).tolist()) for j in np.unique(k)], columns=["k", "n", "v"])
+
+    part = vectors.select("v").mapInPandas(run, "k int, n long, v array<double>")
+    out = centres.copy()
+    for r in part.groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(centres.shape[1])]).collect():  # one row a latent point
+        out[r["k"]] = [r[f"v{i}"] / r["n"] for i in range(centres.shape[1])]
+    return out
+
+
+def gtm_screened(vectors: DataFrame, basis: np.ndarray, weights: np.ndarray, trials: int = 10, updates: int = 3, cycles: int = 4, turns_from: int = 1, quiet: int = 4, below: float = -np.inf, stretch: bool = False, seed: int = 0) -> tuple[np.ndarray, float, list[tuple[int, int, float]]]:
+    """(centres, beta, (trial, empty points, log likelihood) of each cycle): a map along a chain of latent points, begun anew while points stay empty.
+
+    A trial has `updates` estimates of the precisions of weights and of noise by their evidence, each after `cycles` of
+    expectation and maximisation. It ends the search if the last `quiet` cycles had no empty point; else, from trial `turns_from` on, the
+    branches between empty points are put in a new order and the weights follow. below: deviations under the mean that
+    make a point empty as well. stretch: the empty points don't go along with their branches, but all points are spread over those that hold vectors.
+    """
+    n, dims, functions = vectors.count(), weights.shape[1], basis.shape[1]
+    spread = float(np.mean(vectors.agg(*[F.var_pop(F.col("v")[i]).alias(f"s{i}") for i in range(dims)]).first()))
+    alpha, beta, history = 1e-3, 1.0 / max(spread, 1e-12), []
+    ridge = np.diag([1.0] * (functions - 1) + [0.0])  # the constant goes free
+    empty = np.zeros(len(basis), bool)
+    for trial in range(trials):
+        for _ in range(updates):
+            for _ in range(cycles):
+                g, rx, gap, fit = topographic_sums(vectors, basis @ weights, beta)
+                empty = empty_points(g, below=below)
+                history.append((trial, int(empty.sum()), fit))
+                normal = basis.T @ (basis * g[:, None])
+                weights = np.linalg.pinv(normal + alpha / beta * ridge) @ (basis.T @ rx)
+            known = np.linalg.eigvalsh(normal) * beta
+            settled = dims * float((known / (known + alpha)).sum())
+            alpha, beta = settled / max(float((weights**2).sum()), 1e-300), (n * dims - settled) / max(gap, 1e-300)
+            if alpha <= 0 or beta <= 0:
+                raise ValueError("the evidence gives no precision: there are too few vectors for this basis")
+        if all(h[1] == 0 for h in history[-quiet:]):
+            break
+        if trial >= turns_from and empty.any():
+            centres = basis @ weights
+            order = rearranged(empty, own_means(vectors, centres), seed=seed + trial)
+            centres = centres[order]
+            if stretch and not empty.all():
+                held = centres[~empty[order]]
+                at = np.linspace(0, len(held) - 1, len(centres))
+                centres = np.stack([np.interp(at, np.arange(len(held)), held[:, i]) for i in range(dims)], 1)
+            weights = np.linalg.pinv(basis) @ centres
     return basis @ weights, beta, history
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from specklegrid.functions import expression, options, tables
 from specklegrid.functions.updates import audited, in_force
 from specklegrid.model import images, pixels, unpack
-from specklegrid.operators import fourier, phasing
+from specklegrid.operators import fourier, learning, phasing
 
 SF = "/root/testdata/sf0.001"
 
@@ -151,3 +151,47 @@ def test_a_run_takes_updates_at_chunks_and_repeats_them_after_a_restart(spark, t
     table = table.unionByName(spark.createDataFrame([(4, "phasing_method.algorithm", "hpr", 0)], table.schema))
     again = {r.image_id: r for r in phasing.phase_with_updates(runs, base, updates, 4, path).collect()}
     assert all(again[k].re == out[k].re for k in out) and len(asked) == 3
+
+
+def test_branches_of_a_chain_are_put_in_order():
+    """Pieces of a curve, turned round and out of order, become one chain again, whichever way it runs."""
+    assert learning.branches(np.array([0, 0, 1, 1, 0, 1, 0, 0], bool)) == [(0, 1, 3), (4, 4, 5), (6, 7, 7)] and learning.branches(np.ones(3, bool)) == []
+    t = np.linspace(0, 1, 40)
+    curve = np.stack([np.exp(-((t - c) ** 2) / 0.02) for c in np.linspace(0, 1, 12)], 1)
+    pieces = [range(0, 13), range(13, 27), range(27, 40)]
+    for order in ([1, 0, 2], [2, 1, 0], [0, 2, 1]):
+        for flips in range(8):
+            places, empty = [], []
+            for k, p in enumerate(order):
+                run = list(pieces[p])[:: -1 if flips >> k & 1 else 1]
+                places, empty = places + run + [None], empty + [False] * len(run) + [True]
+            means = np.array([curve[p] if p is not None else np.zeros(12) for p in places])
+            got = [places[k] for k in learning.rearranged(np.array(empty), means) if places[k] is not None]
+            assert got in (list(range(40)), list(range(39, -1, -1)))
+    assert learning.rearranged(np.zeros(5, bool), np.eye(5)).tolist() == list(range(5))
+
+
+def test_a_map_begins_anew_while_points_are_empty(spark):
+    rng = np.random.default_rng(2)
+    t = rng.random(600)
+    centres = np.linspace(0, 1, 10)
+    x = np.exp(-((t[:, None] - centres) ** 2) / 0.03) + rng.normal(size=(600, 10)) * 0.01
+    v = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(3)
+    line = np.linspace(-1, 1, 24)[:, None]
+    basis = learning.radial_basis(line, np.linspace(-1, 1, 9)[:, None], 0.25)
+    # a start whose chain runs through the curve in two pieces the wrong way, with a jump between
+    path = np.r_[np.linspace(0.5, 0, 10), np.full(4, 3.0), np.linspace(1, 0.5, 10)]
+    start = np.linalg.pinv(basis) @ np.exp(-((path[:, None] - centres) ** 2) / 0.03)
+    kept, _, first = learning.gtm_screened(v, basis, start, trials=3, updates=2, cycles=4)
+    assert first[-1][0] == 2 and first[-1][1] == 3  # the empty points stay at an end
+    found, beta, history = learning.gtm_screened(v, basis, start, trials=6, updates=2, cycles=4, stretch=True)
+    assert history[0][1] > 0 and all(h[1] == 0 for h in history[-4:]) and history[-1][0] < 5 and history[-1][2] > history[0][2] and beta > 100
+    along = np.array([np.abs(np.exp(-((np.linspace(0, 1, 400)[:, None] - centres) ** 2) / 0.03) - c).sum(1).argmin() for c in found])
+    steps = np.diff(along)
+    assert (steps >= 0).all() or (steps <= 0).all()  # the chain follows the curve from one end to the other
+
+
+def test_own_means(spark):
+    x = np.array([[0.0, 0], [0, 2], [10, 10], [10, 12]])
+    v = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(2)
+    assert learning.own_means(v, np.array([[0.0, 1], [10, 11], [50, 50]])).tolist() == [[0, 1], [10, 11], [50, 50]]
