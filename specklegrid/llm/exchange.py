@@ -47,6 +47,7 @@ def shared(spark, name: str) -> str:
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _PATH = "_written_path"
+_there: list[DataFrame] = []  # tables that written() made and nothing has deleted
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -60,6 +61,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _PATH, path)
+    _there.append(out)
     return out
 
 
@@ -69,6 +71,17 @@ def released(*tables: DataFrame) -> None:
         sc = t.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(getattr(t, _PATH))
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _there[:] = [x for x in _there if x is not t]
+
+
+def made() -> list[DataFrame]:
+    """The tables that written() has made and nothing has deleted."""
+    return list(_there)
+
+
+def swept(*keep: DataFrame) -> None:
+    """Deletes what written() has made so far, but for the tables to keep (those of others, from made() before, among them): for callers that have written down what they want of a result."""
+    released(*[t for t in _there if not any(t is k for k in keep)])
 
 
 def block_of(count: int):

@@ -210,5 +210,11 @@ def test_empty_table(spark):
 
 def test_run_reads_a_folder(spark, rows, tmp_path):
     spark.createDataFrame(rows[:40], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
     out = C.run(spark, str(tmp_path))
+    left = set(os.listdir(shared)) - before
+    assert len(left) == 1 and left.pop().startswith("stage-") and before <= set(os.listdir(shared))  # what the last stage reads
     assert out.columns == ["doc_id", "lang", "source", "ids", "starts", "ends"] and out.count() >= 30
