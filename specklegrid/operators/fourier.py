@@ -194,23 +194,24 @@ def pad_to_friendly(packed: DataFrame) -> DataFrame:
     return per_image(packed, f)
 
 
-def limit_sampling(packed: DataFrame, cutoff: float = 0.05) -> DataFrame:
-    """Shrinks images until the edge of their Patterson function reaches `cutoff` of its largest value, halving the oversampled border by Fourier cropping."""
-
-    def shrink(v):
-        while min(v.shape) > 4:
-            p = np.fft.fftshift(np.abs(np.fft.fftn(v)))
-            edge = max(p[0].max(), p[-1].max(), p[:, 0].max(), p[:, -1].max())
-            if p.max() * cutoff < edge:
-                return v
-            v = np.abs(rescaled(v[None] + 0j, v.shape[1] - 2, v.shape[0] - 2)[0])
-        return v
+def limit_sampling(packed: DataFrame, oversampling: float = 1.0, cutoff: float = 0.05, sigma: float = 5.0) -> DataFrame:
+    """Square images, resampled to what their object needs: of the Patterson function of the blurred image, zero in the middle, the outermost square ring that holds more than `cutoff` of the largest value bounds the object; the new side is the ring's, times the oversampling."""
+    from .packed import bilinear_arrays
 
     def run(batches):
         for rows, shape in shaped(batches):
-            for k, v in enumerate(np.abs(complex_of(rows, shape))):
-                out = shrink(v)[None] + 0j
-                yield packed_batch(rows.column(0).slice(k, 1), out, np.ones(out.shape, int))
+            v = complex_of(rows, shape).real
+            p = np.abs(fftn(blur_arrays(v + 0j, sigma)))
+            p = np.fft.fftshift(p, axes=axes(v))
+            n = v.shape[-1]
+            y, x = np.indices(v.shape[1:])
+            ring = np.minimum(np.minimum(x, n - 1 - x), np.minimum(y, n - 1 - y))
+            most = np.stack([p[:, ring == k].max(1) for k in range((n + 1) // 2)], 1)
+            first = (most > cutoff * most.max(1, keepdims=True)).argmax(1)
+            sides = np.maximum(((n // 2 - first) * oversampling * 2).astype(int), 1)
+            for side in np.unique(sides):
+                out = bilinear_arrays(v[sides == side], side, side)
+                yield packed_batch(rows.column(0).filter(pa.array(sides == side)), out + 0j, np.ones(out.shape, int))
 
     return packed.select("image_id", "nx", "ny", "nz", "re", "im", "mask").mapInArrow(run, PACKED)
 

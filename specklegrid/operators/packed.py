@@ -355,16 +355,21 @@ def rotate(packed: DataFrame, angle: float) -> DataFrame:
     return sampled(packed, places)
 
 
+def bilinear_arrays(v: np.ndarray, nx: int, ny: int) -> np.ndarray:
+    """Real images on a grid of another size, corners onto corners."""
+    at = [np.arange(n) * ((k - 1) / (n - 1) if n > 1 else 0.0) for k, n in zip(v.shape[-2:], (ny, nx), strict=True)]
+    lo = [np.minimum(np.floor(a).astype(int), max(k - 2, 0)) for a, k in zip(at, v.shape[-2:], strict=True)]
+    hi = [np.minimum(a + 1, k - 1) for a, k in zip(lo, v.shape[-2:], strict=True)]
+    u, w = at[0] - lo[0], at[1] - lo[1]
+    row = lambda r: v[..., r, :][..., lo[1]] * (1 - w) + v[..., r, :][..., hi[1]] * w
+    return row(lo[0]) * (1 - u)[:, None] + row(hi[0]) * u[:, None]
+
+
 def rescale(packed: DataFrame, nx: int, ny: int) -> DataFrame:
     """Bilinear, corners onto corners."""
 
     def f(v, m):
-        at = [np.arange(n) * ((k - 1) / (n - 1) if n > 1 else 0.0) for k, n in zip(v.shape[-2:], (ny, nx), strict=True)]
-        lo = [np.minimum(np.floor(a).astype(int), max(k - 2, 0)) for a, k in zip(at, v.shape[-2:], strict=True)]
-        hi = [np.minimum(a + 1, k - 1) for a, k in zip(lo, v.shape[-2:], strict=True)]
-        u, w = at[0] - lo[0], at[1] - lo[1]
-        row = lambda r: v.real[..., r, :][..., lo[1]] * (1 - w) + v.real[..., r, :][..., hi[1]] * w
-        out = row(lo[0]) * (1 - u)[:, None] + row(hi[0]) * u[:, None]
+        out = bilinear_arrays(v.real, nx, ny)
         return out + 0j, np.ones(out.shape, int)
 
     return per_image(packed, f)

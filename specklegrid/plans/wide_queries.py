@@ -516,9 +516,16 @@ def padded_for_fft(spark, sf_dir):
     return unpack(FT.pad_to_friendly(cut), "nx", "ny").select("image_id", long("nx"), long("ny"), long("x"), long("y"), "re", long("mask"))
 
 
-@query("limited_sampling")
+_SOFT = f"exp({-2 * math.pi**2 * 0.25!r} * {K2} / 64.0)"
+_RINGS = f"""{forward()}, p AS (SELECT image_id, (k % 8 + 4) % 8 AS x, (k // 8 + 4) % 8 AS y, sqrt(fr * fr + fi * fi) * {_SOFT} AS p FROM f), r AS (SELECT image_id, least(x, 7 - x, y, 7 - y) AS ring, max(p) AS p FROM p GROUP BY ALL),
+s AS (SELECT image_id, 2 * (4 - min(ring) FILTER (WHERE p > 0.3 * most)) AS side FROM (SELECT *, max(p) OVER (PARTITION BY image_id) AS most FROM r) GROUP BY image_id)"""
+_RESAMPLED = "SELECT image_id, y * side + x AS p, x * 7.0::DOUBLE / (side - 1) AS fx, y * 7.0::DOUBLE / (side - 1) AS fy FROM s, (SELECT unnest(range(8)) AS x), (SELECT unnest(range(8)) AS y) WHERE x < side AND y < side"
+
+
+@query("limited_sampling", f"WITH {PX}, {_RINGS} SELECT t.image_id, side::BIGINT AS side, p::BIGINT AS i, {sql6('t.re')} AS re FROM ({bilinear_sql(_RESAMPLED)}) t JOIN s ON s.image_id = t.image_id")
 def limited_sampling(spark, sf_dir):
-    return FT.limit_sampling(images(spark, sf_dir), 0.2).select("image_id", "nx", "ny")
+    """Images resampled to the extent of their softened Patterson function."""
+    return unpack(FT.limit_sampling(images(spark, sf_dir), 1.0, 0.3, 0.5), "nx").select("image_id", F.col("nx").cast("long").alias("side"), long("i"), r6(F.col("re")).alias("re"))
 
 
 @query("overlap_of_moved", f"WITH {PX} SELECT image_id, i::BIGINT AS i, round(abs(re), 3) + 0.0 AS re FROM px")

@@ -294,3 +294,26 @@ def test_order_by_exposure_has_no_single_task(spark):
     assert sorted(r.place for r in ordered.collect()) == list(range(500))
     assert merging.ordered_by_exposure(spark.createDataFrame([], "image_id long, re double")).count() == 0
     assert checkpointed(spark.range(5)).count() == 5
+
+
+def test_aligned_average_brings_moved_copies_together(spark):
+    """Copies moved around the ends, one of them reflected, average to the first one."""
+    from specklegrid.operators import phasing
+
+    rng = np.random.default_rng(12)
+    v = rng.random((8, 8)) ** 4
+    moved = [v, np.roll(v, (2, 3), (0, 1)), np.roll(v, (-1, 4), (0, 1)), np.roll(v[::-1, ::-1], (1, 1), (0, 1))]
+    rows = [(7, seed, 8, 8, 1, m.ravel().tolist(), [0.0] * 64) for seed, m in enumerate(moved)] + [(8, 0, 8, 8, 1, v.ravel().tolist(), [0.5] * 64)]
+    got = {r.image_id: r for r in phasing.aligned_average(spark.createDataFrame(rows, "image_id long, seed int, nx int, ny int, nz int, re array<double>, im array<double>")).collect()}
+    assert got[7].n == 4 and np.allclose(got[7].re, v.ravel(), atol=1e-6) and np.allclose(got[7].im, 0, atol=1e-6)
+    assert got[8].n == 1 and np.allclose(got[8].re, v.ravel()) and np.allclose(got[8].im, 0.5)
+
+
+def test_sampling_is_limited_to_the_object(spark):
+    """A wide image of a small object's intensities keeps the extent of the object's autocorrelation."""
+    small = np.zeros((64, 64))
+    small[28:36, 28:36] = np.random.default_rng(1).random((8, 8)) + 0.5
+    intensities = np.fft.fftshift(np.abs(np.fft.fft2(np.fft.ifftshift(small))) ** 2)
+    wide = spark.createDataFrame([(1, 64, 64, 1, intensities.ravel().tolist(), [0.0] * 4096, [1] * 4096)], "image_id long, nx int, ny int, nz int, re array<double>, im array<double>, mask array<int>")
+    sides = [fourier.limit_sampling(wide, f, 0.01, 0.0).first().nx for f in (1.0, 2.0)]
+    assert sides == [16, 32] or sides == [14, 28]  # the autocorrelation of eight pixels spans fifteen
