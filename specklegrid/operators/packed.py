@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fourier import complex_of, flat, lists, per_image, shaped
@@ -133,6 +133,53 @@ def radial_profile(packed: DataFrame, bins: int, most: float, measured: bool = F
     return rows(packed, f, "shell int, mean double, rel_sigma double, n long").where("n > 0")
 
 
+def wilson(packed: DataFrame, bins: int, most: float) -> DataFrame:
+    """The mean by shell, and its logarithm (null where it isn't positive); shells without pixels have no row."""
+
+    def f(v, m):
+        s, a = shells(v, bins, most), flat_images(v.real)
+        n = np.bincount(s, minlength=bins)
+        mean = division(by_shell(a, s, bins), n[None])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            log = np.where(mean > 0, np.log(np.where(mean > 0, mean, 1)), np.nan)
+        return {"shell": np.broadcast_to(np.arange(bins), mean.shape), "mean": mean, "log_mean": log}
+
+    return rows(packed, f, "shell int, mean double, log_mean double").where("mean IS NOT NULL")
+
+
+def right_half_mean(packed: DataFrame) -> DataFrame:
+    return rows(packed, lambda v, m: {"background": flat_images(v.real[..., v.shape[-1] // 2 :]).mean(1)}, "background double")
+
+
+def inner_product(a: DataFrame, b: DataFrame) -> DataFrame:
+    """image_id, re, im: the sum of a conj(b) over pixels."""
+
+    def f(x, y, m):
+        total = (flat_images(x) * np.conj(flat_images(y))).sum(1)
+        return {"re": total.real, "im": total.imag}
+
+    return pair_rows(a, b, f, "re double, im double")
+
+
+def real_space_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    """image_id, r (the share of the moduli in which superimposed images differ), cc."""
+
+    def f(x, y, m):
+        x, y = np.abs(flat_images(x)), np.abs(flat_images(y))
+        dx, dy = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+        return {"r": division(np.abs(x - y).sum(1), (x + y).sum(1)), "cc": division((dx * dy).sum(1), np.sqrt((dx * dx).sum(1) * (dy * dy).sum(1)))}
+
+    return pair_rows(a, b, f, "r double, cc double")
+
+
+def snapshot_difference(packed: DataFrame, by: str, order: str) -> DataFrame:
+    """For each snapshot of a run, the sum over pixels of the modulus' change since the one before (null for the first); packed rows are ordered, not pixels."""
+    size = F.zip_with("re", "im", lambda a, b: F.hypot(a, b))
+    z = packed.select(by, order, size.alias("a")).withColumn("b", F.lag("a").over(Window.partitionBy(by).orderBy(order)))
+    change = F.aggregate(F.zip_with("a", "b", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda t, c: t + c)
+    return z.select(by, order, F.when(F.col("b").isNotNull(), change).alias("int_cum_fluctuation"))
+
+
 def box_signal(packed: DataFrame, x: int, y: int, reach: int) -> DataFrame:
     at = lambda c: slice(max(c - reach, 0), c + reach + 1)
     return rows(packed, lambda v, m: {"signal": flat_images(v.real[..., at(y), at(x)]).sum(1)}, "signal double")

@@ -51,7 +51,8 @@ def order_by_exposure(spark, sf_dir):
 
 @query("wilson_plot", f"WITH {PX} SELECT image_id, {BIN}::BIGINT AS shell, round(avg(re * re) * {OFF!r}, 4) AS mean, {sql6('ln(avg(re * re))')} AS log_mean FROM px GROUP BY image_id, {BIN}")
 def wilson_plot(spark, sf_dir):
-    return M.wilson(P.to_intensities(pixels(spark, sf_dir)), D(), 4, MOST, "image_id").select("image_id", long("shell"), F.round(F.col("mean") * OFF, 4).alias("mean"), r6(F.col("log_mean")).alias("log_mean"))
+    bright = images(spark, sf_dir).withColumn("re", F.transform("re", lambda v: v * v))
+    return K.wilson(bright, 4, MOST).select("image_id", long("shell"), F.round(F.col("mean") * OFF, 4).alias("mean"), r6(F.col("log_mean")).alias("log_mean"))
 
 
 _SERIES = f"s AS (SELECT image_id // 3 AS series, image_id % 3 AS place, i, {BIN}::INT AS shell, re * re AS re FROM px)"
@@ -130,7 +131,7 @@ def pixel_ratio(spark, sf_dir):
 
 @query("right_half_mean", f"WITH {PX} SELECT image_id, {sql6(f'avg(re) * {OFF!r}')} AS background FROM px WHERE x >= 4 GROUP BY image_id")
 def right_half_mean(spark, sf_dir):
-    return M.right_half_mean(pixels(spark, sf_dir), 8).select("image_id", r6(F.col("background") * OFF).alias("background"))
+    return K.right_half_mean(images(spark, sf_dir)).select("image_id", r6(F.col("background") * OFF).alias("background"))
 
 
 @query(
@@ -175,8 +176,8 @@ def hits_only(spark, sf_dir):
 
 @query("real_space_agreement", f"WITH {PX}, {ZIP} SELECT image_id, {sql6('sum(abs(abs(a) - abs(b))) / nullif(sum(abs(a) + abs(b)), 0)')} AS r, {sql6('corr(abs(a), abs(b))')} AS cc FROM z GROUP BY image_id")
 def real_space_agreement(spark, sf_dir):
-    z = _next(P.dephase(pixels(spark, sf_dir)))
-    return M.real_space_agreement(z, "image_id").select("image_id", r6(F.col("r")).alias("r"), r6(F.col("cc")).alias("cc"))
+    p = images(spark, sf_dir)
+    return K.real_space_agreement(p, p.withColumn("image_id", F.col("image_id") - 1)).select("image_id", r6(F.col("r")).alias("r"), r6(F.col("cc")).alias("cc"))
 
 
 _GAP = f"(atan2(a.fi, a.fr) - atan2(b.fi, b.fr) + {4 * math.pi!r}) % {2 * math.pi!r}"
@@ -195,7 +196,7 @@ def phase_error_profile(spark, sf_dir):
 
 @query("snapshot_difference", f"WITH {PX}, z AS (SELECT label, image_id, abs(abs(re) - lag(abs(re)) OVER (PARTITION BY label, i ORDER BY image_id)) AS c FROM px) SELECT label, image_id, {sql6('sum(c)')} AS int_cum_fluctuation FROM z GROUP BY label, image_id")
 def snapshot_difference(spark, sf_dir):
-    return M.snapshot_difference(pixels(spark, sf_dir), "label", "image_id").select("label", "image_id", r6(F.col("int_cum_fluctuation")).alias("int_cum_fluctuation"))
+    return K.snapshot_difference(images(spark, sf_dir), "label", "image_id").select("label", "image_id", r6(F.col("int_cum_fluctuation")).alias("int_cum_fluctuation"))
 
 
 @query("weak_pixels", f"WITH {PX}, k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY abs(re) DESC, i) - 1 AS k FROM px), l AS (SELECT *, max(CASE WHEN k = 19 THEN abs(re) END) OVER (PARTITION BY image_id) AS level FROM k) SELECT image_id, i::BIGINT AS i, abs(re) <= level AS weak FROM l")
@@ -359,8 +360,8 @@ def mask_as_image(spark, sf_dir):
 @query("measured_profile", f"WITH {PX} SELECT image_id, k::BIGINT AS shell, {sql6('coalesce(avg(CASE WHEN abs(re) <= 100 THEN abs(re) END), 0)')} AS mean FROM (SELECT image_id, k, re, {BIN}::INT AS b FROM px, (SELECT unnest(range(4)) AS k)) WHERE b = k GROUP BY image_id, k")
 def measured_profile(spark, sf_dir):
     """Shell means of measured pixels; a shell without any is 0."""
-    p = P.mask_overexposed(pixels(spark, sf_dir), 100.0, clear=False)
-    got = G.radial_profile(p, D(), 4, MOST, measured=True)
+    p = images(spark, sf_dir).withColumn("mask", F.transform("re", lambda v: F.when(F.abs(v) > 100, 0).otherwise(1)))
+    got = K.radial_profile(p, 4, MOST, measured=True)
     spine = images(spark, sf_dir).select("image_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("shell"))
     return spine.join(got, ["image_id", "shell"], "left").select("image_id", long("shell"), r6(F.coalesce("mean", F.lit(0.0))).alias("mean"))
 
@@ -395,9 +396,8 @@ def prtf_profile(spark, sf_dir):
 
 @query("frobenius", f"WITH {PX}, {ZIP} SELECT image_id, {sql6('sum(a * b)')} AS re, 0.0::DOUBLE AS im FROM z GROUP BY image_id")
 def frobenius(spark, sf_dir):
-    p = pixels(spark, sf_dir)
-    b = p.select((F.col("image_id") - 1).alias("image_id"), "i", F.col("re").alias("re2"), F.col("im").alias("im2"))
-    x = G.inner_product(p.join(b, ["image_id", "i"]), "image_id")
+    p = images(spark, sf_dir)
+    x = K.inner_product(p, p.withColumn("image_id", F.col("image_id") - 1))
     return x.select("image_id", r6(F.col("re")).alias("re"), r6(F.col("im")).alias("im"))
 
 

@@ -317,3 +317,35 @@ def test_sampling_is_limited_to_the_object(spark):
     wide = spark.createDataFrame([(1, 64, 64, 1, intensities.ravel().tolist(), [0.0] * 4096, [1] * 4096)], "image_id long, nx int, ny int, nz int, re array<double>, im array<double>, mask array<int>")
     sides = [fourier.limit_sampling(wide, f, 0.01, 0.0).first().nx for f in (1.0, 2.0)]
     assert sides == [16, 32] or sides == [14, 28]  # the autocorrelation of eight pixels spans fifteen
+
+
+def test_pixel_tables_give_what_packed_rows_give(spark):
+    """The forms that serve where pixels meet other tables."""
+    from specklegrid.model import center_distance, images, pixels, unpack
+    from specklegrid.operators import aggregate, spatial
+    from specklegrid.operators import pixel as P
+
+    sf = "/root/testdata/sf0.001"
+    p = images(spark, sf).where("image_id < 12")
+    px, after = unpack(p, "label"), p.withColumn("image_id", F.col("image_id") - 1)
+    assert px.count() == pixels(spark, sf).where("image_id < 12").count()
+
+    def same(a, b, keys, *values):
+        a, b = ({tuple(r[k] for k in keys): [r[v] for v in values] for r in x.collect()} for x in (a, b))
+        assert set(a) == set(b) and a
+        for k in a:
+            assert all((x is None and y is None) or abs(x - y) < 1e-9 * max(1, abs(x)) for x, y in zip(a[k], b[k], strict=True)), (k, a[k], b[k])
+
+    d, most = center_distance(8, 8), float(np.hypot(8, 8) / 2)
+    same(merging.wilson(px, d, 4, most, "image_id"), packed.wilson(p, 4, most), ["image_id", "shell"], "mean", "log_mean")
+    same(merging.right_half_mean(px, 8), packed.right_half_mean(p), ["image_id"], "background")
+    same(merging.snapshot_difference(px, "label", "image_id"), packed.snapshot_difference(p, "label", "image_id"), ["label", "image_id"], "int_cum_fluctuation")
+    z = px.join(unpack(after).select("image_id", "i", F.col("re").alias("re2"), F.col("im").alias("im2")), ["image_id", "i"])
+    same(aggregate.inner_product(z, "image_id"), packed.inner_product(p, after), ["image_id"], "re", "im")
+    moduli = z.select("image_id", F.abs("re").alias("a"), F.abs("re2").alias("b"))
+    same(merging.real_space_agreement(moduli, "image_id"), packed.real_space_agreement(p, after), ["image_id"], "r", "cc")
+    masked = P.mask_overexposed(px, 100.0, clear=False)
+    packed_masked = p.withColumn("mask", F.transform("re", lambda v: F.when(F.abs(v) > 100, 0).otherwise(1)))
+    same(aggregate.radial_profile(masked, d, 4, most, measured=True).where("n > 0"), packed.radial_profile(packed_masked, 4, most, measured=True), ["image_id", "shell"], "mean", "n")
+    same(spatial.line_out(px, 0.0, 1.0, 7.0, 6.5, 30), packed.line_out(p, 0.0, 1.0, 7.0, 6.5, 30), ["image_id", "p"], "re", "mask")
+    same(spatial.rotate(px, 8, 8, 0.7), packed.rotate(p, 0.7), ["image_id", "p"], "re", "mask")
