@@ -126,3 +126,19 @@ def panels(spark, sf_dir):
     """Two frames side by side, each of an upper and a lower panel."""
     p = binary.split_panels(pixels(spark, sf_dir), 4, 4)
     return p.select("image_id", F.col("frame").cast("long").alias("frame"), F.col("panel").cast("long").alias("panel"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "re")
+
+
+@query("images_through_files", f"""WITH {PX} SELECT image_id, 'tiff' AS kind, i::BIGINT AS i, round(abs(re)::FLOAT::DOUBLE, 6) + 0.0 AS re FROM px
+UNION ALL SELECT image_id, 'png', i::BIGINT, round(abs(re) / max(abs(re)) OVER (PARTITION BY image_id) * 255) + 0.0 FROM px""")
+def images_through_files(spark, sf_dir):
+    """Every image as a TIFF of floats and as a grey PNG, each a file of its own, read again by what its first bytes say."""
+    p = images(spark, sf_dir)
+    out = None
+    for kind, digits in (("tiff", 6), ("png", 0)):
+        folder = frames.scratch(spark, kind)
+        frames.write_files(formats.encoded(p, kind).select("name", "content"), folder)
+        read = formats.read_images(spark, folder)
+        cells = read.select(F.regexp_extract("path", r"([0-9]+)\.\w+$", 1).cast("long").alias("image_id"), F.lit(kind).alias("kind"), F.posexplode("re").alias("i", "re"))
+        part = cells.select("image_id", "kind", F.col("i").cast("long").alias("i"), (F.round("re", digits) + 0.0).alias("re"))
+        out = part if out is None else out.unionByName(part)
+    return out
