@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exchange import written
+from .exchange import made, swept, written
 
 SIZES = (64, 4096, 262144)  # cells of a subtable; they are kept sparse: a wide table costs no more than a narrow one and peels in fewer rounds
 ROUNDS, PART_ROWS = 24, 1 << 18
@@ -115,7 +115,9 @@ def _number() -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text, times (equal rows): that of the next row by doc_id; after the last, the first's."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    others = made()
     after = written(next_keys(docs), "next")
+    swept(*others, after)
     # both sides of the join read one exchange of these three columns, which both need whole
     texts = docs.select(_number(), F.xxhash64("text").alias("h"), "text").repartition("i", "h")
     own = F.nullif("i", F.lit(NO_ID)).alias("doc_id")

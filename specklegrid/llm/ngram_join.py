@@ -10,8 +10,8 @@ Empty segments would match everywhere; a set in which no more than `spare` of th
 that are empty (or of one shingle, where that may be deleted) doesn't need them, and only the few others, which
 could be missed by each other alone, index those as well. So no pair is lost.
 
-Verification is exact: candidates are compared on their words. Equal sets are one class from the start. For each
-signature the least class is tried with every other (linear), and links are joined to components. Where a signature
+Verification is exact: candidates are compared on their words. Sets that agree in two independent 64-bit sums of their
+shingles' hashes and in size are one class from the start, and aren't compared as words. For each signature the least class is tried with every other (linear), and links are joined to components. Where a signature
 still has classes of several components and MEET classes at most, those of different components are tried with each
 other. Signatures of more classes (a passage that very many texts share fills whole segments) are too common to tell
 anything; their classes are compared where they meet in the prefixes of their sets, rarest shingle first, in which
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .exchange import BLOCK_BYTES, LEAST_BLOCKS, Blocks, released, text_bytes, written
+from .exchange import BLOCK_BYTES, LEAST_BLOCKS, Blocks, made, swept, text_bytes, written
 from .kernels import U64, Words, bucketed, equal_runs, join, mix, pieces, unblob, utf8, windows
 
 _K = U64(0x9E3779B97F4A7C15)
@@ -398,6 +398,7 @@ def _alike(n: str, m: str, p: str, q: str, num: int, den: int):
 
 def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, key (a hash of the text), n_shingles, component_id and component_key (of the component's least row) of each row of docs(doc_id, text); two texts link at Jaccard similarity num / den or more."""
+    others = made()
     index = _index(docs, width, num, den)
     classes = index.where("sig is null").select("doc_id", "key", "set", "set2", "n", "parity")
     shared = index.where("sig is not null").select("sig", "set")
@@ -430,7 +431,7 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
     root = first.join(found, F.col("set") == F.col("node"), "left").select("set", "set2", "doc_id", "key", F.coalesce("component", "set").alias("root"))
     root = root.select("set", "set2", "root").join(root.groupBy("root").agg(least.alias("c")), "root").select("set", "set2", "c")
     of = written(root, "components")
-    released(texts, apart, tried, members)
+    swept(*others, index, of)  # all else has done its work
     of_own = lambda c: F.when(F.col("n") > 0, F.col("c")[c]).otherwise(F.col(c))
     return classes.join(of, ["set", "set2"], "left").select("doc_id", "key", F.col("n").alias("n_shingles"), of_own("doc_id").alias("component_id"), of_own("key").alias("component_key"))
 
