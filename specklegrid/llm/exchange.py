@@ -45,7 +45,8 @@ def shared(spark, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: How steps are run: shuffle files go with the step, and texts come to Python by so many rows (a batch of 10,000, the default, is 30 to 60 MB on either side).
+_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
 _PATH = "_written_path"
 _there: list[DataFrame] = []  # tables that written() made and nothing has deleted
 
@@ -53,12 +54,14 @@ _there: list[DataFrame] = []  # tables that written() made and nothing has delet
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: lineage ends there, and lost executors cost nothing. The step's shuffle files go when it ends."""
     spark, path = df.sparkSession, shared(df.sparkSession, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _STEP}
     try:
+        for k, v in _STEP.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _PATH, path)
     _there.append(out)
