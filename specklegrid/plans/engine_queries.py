@@ -80,7 +80,22 @@ with_sql("roughness", f"{_ROUGH} SELECT image_id, g.i::BIGINT AS i, round(least(
          lambda spark, sf_dir: unpack(FT.roughness(images(spark, sf_dir))).select("image_id", F.col("i").cast("long").alias("i"), F.round(F.least("re", F.lit(100.0)), 3).alias("re")))
 _WIDE = f"({2 * math.pi!r} * ((i % 16) * {KX} + (i // 16) * {KY}) / 16.0)"
 with_sql("fourier_rescale", f"WITH {PX}, {forward()} SELECT {shown(f'sum(fr * cos{_WIDE} - fi * sin{_WIDE}) / 64 * {OFF!r}', f'sum(fr * sin{_WIDE} + fi * cos{_WIDE}) / 64 * {OFF!r}')} FROM f, (SELECT unnest(range(256)) AS i) GROUP BY image_id, i", _over(lambda p: FT.fourier_rescale(p, 16, 16), by=OFF))
-QUERIES["tv_denoise"] = _over(lambda p: FT.tv_denoise(p, rounds=20))
+
+
+def _tv_sql(rounds: int) -> str:
+    """Rounds over lists of 64 values: differences, their unit vectors, and the step against their divergence."""
+    at = lambda a, x, y: f"{a}[(i // 8 + {y}) % 8 * 8 + (i % 8 + {x}) % 8 + 1]"
+    half = lambda a, x, y: f"({at(a, x, y)} - {at(a, (8 - x) % 8, (8 - y) % 8)}) / 2"
+    each = lambda e: f"list_transform(range(64), lambda i: {e})"
+    size = "sqrt(gx[i + 1] * gx[i + 1] + gy[i + 1] * gy[i + 1] + 1e-8)"
+    step = f"greatest(u[i + 1] - 0.1 * (1 - data[i + 1] / u[i + 1] - 0.1 * ({half('px', 1, 0)} + {half('py', 0, 1)})), 1e-6)"
+    first = "SELECT 0, image_id, list(greatest(re, 0.0) ORDER BY i), list(greatest(re, 1e-6) ORDER BY i) FROM px GROUP BY image_id"
+    gradient = f"SELECT n, image_id, data, u, {each(half('u', 1, 0))} AS gx, {each(half('u', 0, 1))} AS gy FROM r WHERE n < {rounds}"
+    unit = f"SELECT n, image_id, data, u, {each(f'gx[i + 1] / {size}')} AS px, {each(f'gy[i + 1] / {size}')} AS py FROM ({gradient})"
+    return f"WITH RECURSIVE {PX}, r(n, image_id, data, u) AS ({first} UNION ALL SELECT n + 1, image_id, data, {each(step)} FROM ({unit})) SELECT image_id, i::BIGINT AS i, round(u[i + 1], 4) + 0.0 AS re, 0.0::DOUBLE AS im FROM r, (SELECT unnest(range(64)) AS i) WHERE n = {rounds}"
+
+
+with_sql("tv_denoise", _tv_sql(20), _over(lambda p: FT.tv_denoise(p, rounds=20)))
 
 
 def _next(p):
@@ -197,12 +212,24 @@ with_sql(
 )
 
 
-@query
 def superimpose(spark, sf_dir):
     p = images(spark, sf_dir)
     return _values(FT.superimpose(p, _next(p)))
 
 
+_MOVED = "b[((i // 8 - s // 8 + 8) % 8) * 8 + (i % 8 - s % 8 + 8) % 8 + 1]"
+with_sql(
+    "superimpose",
+    f"""WITH {PX}, l AS MATERIALIZED (SELECT image_id, list(re ORDER BY i) AS v FROM px GROUP BY image_id),
+c AS (SELECT a.image_id, a.v AS a, m, CASE WHEN m = 1 THEN list_reverse(o.v) ELSE o.v END AS b FROM l a JOIN l o ON o.image_id = a.image_id + 1, (SELECT unnest([0, 1]) AS m)),
+k AS (SELECT image_id, m, b, s, list_sum(list_transform(range(64), lambda i: a[i + 1] * {_MOVED})) AS cc FROM c, (SELECT unnest(range(64)) AS s)),
+best AS (SELECT image_id, m, arg_max(s, (round(abs(cc), 6), -s)) AS s, arg_max(cc, (round(abs(cc), 6), -s)) AS cc, any_value(b) AS b FROM k GROUP BY image_id, m),
+t AS (SELECT image_id, arg_max(s, (round(abs(cc), 6), -m)) AS s, arg_max(cc, (round(abs(cc), 6), -m)) AS cc, arg_max(b, (round(abs(cc), 6), -m)) AS b FROM best GROUP BY image_id)
+SELECT image_id, i::BIGINT AS i, round(CASE WHEN cc < 0 THEN -1 ELSE 1 END * {_MOVED}, 4) + 0.0 AS re, 0.0::DOUBLE AS im FROM t, (SELECT unnest(range(64)) AS i)""",
+    superimpose,
+)
+
+
 def _start(spark, sf_dir, seeds=2):
     p = images(spark, sf_dir).withColumn("re", F.transform("re", lambda v: F.abs(v)))
     amplitudes = FT.per_image(p, lambda v, m: (np.abs(FT.fftn(v)) + 0j, np.ones_like(m)))
@@ -253,12 +280,30 @@ SELECT label::BIGINT AS stream, image_id AS seq, round(r, 6) AS correlation, hit
 )
 
 
-@query
 def incremental_pca(spark, sf_dir):
     x = images(spark, sf_dir).select("label", "image_id", "re")
     return learning.incremental_pca(x, "label", "image_id", "re").select("label", "component", F.round("value", 4).alias("value"))
 
 
+def _pca_sql() -> str:
+    """The stream's state is its mean and two vectors; a step subtracts the mean, turns the first vector and, with what is left, the second."""
+    each = lambda e: f"list_transform(range(64), lambda i: {e})"
+    norm = lambda v: f"sqrt(list_dot_product({v}, {v}))"
+    turned = lambda v, u: each(f"(n - 1 - a) / n * {v}[i + 1] + (1 + a) / n * {u}[i + 1] * list_dot_product({u}, {v}) / {norm(v)}")
+    mean = f"SELECT label, k::DOUBLE AS n, k, x, {each('mean[i + 1] + (x[i + 1] - mean[i + 1]) / k')} AS mean, v1, v2 FROM (SELECT f.label, f.k, f.x, t.mean, t.v1, t.v2 FROM t JOIN f ON f.label = t.label AND f.k = t.k + 1)"
+    gap = f"SELECT *, {each('x[i + 1] - mean[i + 1]')} AS u, CASE WHEN n > 2 THEN least(2.0, n - 2) ELSE 0 END AS a FROM ({mean})"
+    first = f"SELECT label, n, k, mean, a, u, v2, v1 IS NULL AS fresh, CASE WHEN v1 IS NULL THEN u ELSE {turned('v1', 'u')} END AS v1 FROM ({gap})"
+    rest = f"SELECT *, {each(f'u[i + 1] - list_dot_product(u, v1) / list_dot_product(v1, v1) * v1[i + 1]')} AS w FROM ({first})"
+    step = f"SELECT label, k, mean, v1, CASE WHEN fresh THEN v2 WHEN v2 IS NULL THEN w ELSE {turned('v2', 'w')} END AS v2 FROM ({rest})"
+    rows = "f AS MATERIALIZED (SELECT label, x, row_number() OVER (PARTITION BY label ORDER BY image_id) AS k FROM (SELECT label, image_id, list(re ORDER BY i) AS x FROM px GROUP BY label, image_id))"
+    last = "l AS (SELECT t.* FROM t JOIN (SELECT label, max(k) AS k FROM f GROUP BY label) m ON m.label = t.label AND m.k = t.k)"
+    show = " UNION ALL ".join(f"SELECT label, {c}::INT AS component, round({norm(f'v{c + 1}')}, 4) AS value FROM l WHERE v{c + 1} IS NOT NULL" for c in (0, 1))
+    return f"WITH RECURSIVE {PX}, {rows}, t(label, k, mean, v1, v2) AS (SELECT label, k, x, NULL::DOUBLE[], NULL::DOUBLE[] FROM f WHERE k = 1 UNION ALL {step}), {last} {show}"
+
+
+with_sql("incremental_pca", _pca_sql(), incremental_pca)
+
+
 def gtm_step(spark, sf_dir):
     centres = 100 * np.sin(7.0 * np.arange(6)[:, None] + 3.0 * np.arange(64)[None, :])
     return learning.gtm_step(images(spark, sf_dir).select(F.col("re").alias("v")), centres, 1e-4).select(F.col("k").cast("long").alias("k"), F.round("w", 4).alias("w"))
