@@ -498,10 +498,24 @@ def multi_shot_exposure(spark, sf_dir):
     return unpack(V.exposures(images(spark, sf_dir), 3, 0.5, 3.0, 0.1, 10.0)).select("image_id", "i", F.round("re", 2).alias("re"))
 
 
-@query("deautocorrelate")
+def _deautocorrelated(rounds: int) -> str:
+    """The same start, and rounds over lists of 64 values: the autocorrelation, its ratio to the wanted one, and the ratio's convolution and correlation with the image."""
+    each = lambda e: f"list_transform(range(64), lambda i: {e})"
+    total = lambda e: f"list_sum(list_transform(range(64), lambda j: {e}))"
+    moved = lambda a, sign: f"{a}[((i // 8 {sign} j // 8 + 8) % 8) * 8 + (i % 8 {sign} j % 8 + 8) % 8 + 1]"
+    start = np.random.default_rng(0).random((8, 8)).ravel() + 0.1
+    seed = f"[{', '.join(repr(float(v)) for v in start)}]"
+    wanted = f"ac AS MATERIALIZED (SELECT image_id, {each(total('v[j + 1] * ' + moved('v', '+')))} AS ac FROM (SELECT image_id, list(abs(re) ORDER BY i) AS v FROM px GROUP BY image_id))"
+    first = f"SELECT 0, image_id, ac, sqrt(list_sum(ac)), {each(f'({seed})[i + 1] * sqrt(list_sum(ac)) / {float(start.sum())!r}')} FROM ac"
+    ratio = f"SELECT n, image_id, ac, total, x, {each('ac[i + 1] / greatest(' + total('x[j + 1] * ' + moved('x', '+')) + ', 1e-12)')} AS q FROM r WHERE n < {rounds}"
+    step = each("greatest(x[i + 1] * (" + total("q[j + 1] * (" + moved("x", "-") + " + " + moved("x", "+") + ")") + ") / (2 * total), 0)")
+    return f"WITH RECURSIVE {PX}, {wanted}, r(n, image_id, ac, total, x) AS ({first} UNION ALL SELECT n + 1, image_id, ac, total, {step} FROM ({ratio})) SELECT image_id, i::BIGINT AS i, round(x[i + 1], 2) + 0.0 AS re FROM r, (SELECT unnest(range(64)) AS i) WHERE n = {rounds}"
+
+
+@query("deautocorrelate", _deautocorrelated(50))
 def deautocorrelate(spark, sf_dir):
     p = images(spark, sf_dir).withColumn("re", F.transform("re", F.abs))
-    return unpack(FT.deautocorrelate(FT.correlate(p, p), 50)).select("image_id", "i", F.round("re", 2).alias("re"))
+    return unpack(FT.deautocorrelate(FT.correlate(p, p), 50)).select("image_id", long("i"), (F.round("re", 2) + 0.0).alias("re"))
 
 
 _CUT_ROWS = f"SELECT image_id, x, y, re FROM px WHERE x < 7 AND y < 1 + image_id % 7"
