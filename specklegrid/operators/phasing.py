@@ -535,6 +535,9 @@ def from_options(options) -> Settings:
     kind = update("support_update_algorithm")
     if method("algorithm") == "so2d":
         raise ValueError("the saddle-point algorithm isn't built")
+    plain = {"phasing_method.enforce_centrosymmetry": False, "phasing_method.enforce_ramp": False, "phasing_method.adapt_thres": False, "support_update_method.square_mask": 0.0}
+    if missing := [k for k, none in plain.items() if v[k] != none]:
+        raise ValueError(f"{', '.join(missing)}: not built")
     auto = lambda x: None if x == -10000 else x
     return Settings(
         algorithm=names.get(method("algorithm"), method("algorithm")), beta_map=method("beta"), beta=method("beta")[0][1], gamma1=auto(method("gamma1")), gamma2=auto(method("gamma2")), positive=method("enforce_positivity"), real=method("enforce_real"),

@@ -117,6 +117,15 @@ def test_updates_are_audited(spark):
     assert force == {(1, 0, "phasing_method.beta"): "0.5", **{(1, k, o): v for k in (10, 20) for o, v in (("phasing_method.beta", "0.7"), ("max_iterations", "Infinity"), ("phasing_method.algorithm", "raar"))}}
 
 
+def test_options_that_are_not_built_are_refused():
+    from specklegrid.sources import text
+
+    for line, name in (("phasing_method = { enforce_ramp = true; };", "enforce_ramp"), ("support_update_method = { square_mask = 3.0; };", "square_mask"), ("phasing_method = { enforce_centrosymmetry = true; adapt_thres = true; };", "adapt_thres")):
+        with pytest.raises(ValueError, match=f"{name}.*not built"):
+            phasing.from_options(options.load(text.parse_config(line)))
+    assert phasing.from_options(options.load(text.parse_config("max_iterations = 7;"))).iterations == 7
+
+
 def test_a_run_takes_updates_at_chunks_and_repeats_them_after_a_restart(spark, tmp_path):
     p = images(spark, SF).where("image_id < 2").withColumn("re", F.transform("re", F.abs))
     amplitudes = fourier.per_image(p, lambda v, m: (np.abs(fourier.fftn(v)) + 0j, m))
