@@ -499,17 +499,24 @@ def multi_shot_exposure(spark, sf_dir):
 
 
 def _deautocorrelated(rounds: int) -> str:
-    """The same start, and rounds over lists of 64 values: the autocorrelation, its ratio to the wanted one, and the ratio's convolution and correlation with the image."""
+    """The same start, and rounds over lists of 64 values, with transforms as products with the matrices of cosines and sines."""
     each = lambda e: f"list_transform(range(64), lambda i: {e})"
-    total = lambda e: f"list_sum(list_transform(range(64), lambda j: {e}))"
-    moved = lambda a, sign: f"{a}[((i // 8 {sign} j // 8 + 8) % 8) * 8 + (i % 8 {sign} j % 8 + 8) % 8 + 1]"
+    onto = lambda v, of: f"list_transform({of}, lambda r: list_dot_product({v}, r))"
     start = np.random.default_rng(0).random((8, 8)).ravel() + 0.1
     seed = f"[{', '.join(repr(float(v)) for v in start)}]"
-    wanted = f"ac AS MATERIALIZED (SELECT image_id, {each(total('v[j + 1] * ' + moved('v', '+')))} AS ac FROM (SELECT image_id, list(abs(re) ORDER BY i) AS v FROM px GROUP BY image_id))"
+    turn = f"{2 * math.pi / 8!r} * ((i % 8) * (k % 8) + (i // 8) * (k // 8))"
+    lines = f"SELECT i, list(cos({turn}) ORDER BY k) AS c, list(sin({turn}) ORDER BY k) AS s FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range(64)) AS k) GROUP BY i"
+    matrices = f"m AS MATERIALIZED (SELECT list(c ORDER BY i) AS cm, list(s ORDER BY i) AS sm FROM ({lines}))"
+    power = each("p[i + 1] * p[i + 1] + q[i + 1] * q[i + 1]")
+    modulus = f"SELECT image_id, cm, sm, {onto('v', 'cm')} AS p, {onto('v', 'sm')} AS q FROM (SELECT image_id, list(abs(re) ORDER BY i) AS v FROM px GROUP BY image_id), m"
+    wanted = f"ac AS MATERIALIZED (SELECT image_id, list_transform({onto(power, 'cm')}, lambda a: greatest(a / 64, 0.0)) AS ac FROM ({modulus}))"
     first = f"SELECT 0, image_id, ac, sqrt(list_sum(ac)), {each(f'({seed})[i + 1] * sqrt(list_sum(ac)) / {float(start.sum())!r}')} FROM ac"
-    ratio = f"SELECT n, image_id, ac, total, x, {each('ac[i + 1] / greatest(' + total('x[j + 1] * ' + moved('x', '+')) + ', 1e-12)')} AS q FROM r WHERE n < {rounds}"
-    step = each("greatest(x[i + 1] * (" + total("q[j + 1] * (" + moved("x", "-") + " + " + moved("x", "+") + ")") + ") / (2 * total), 0)")
-    return f"WITH RECURSIVE {PX}, {wanted}, r(n, image_id, ac, total, x) AS ({first} UNION ALL SELECT n + 1, image_id, ac, total, {step} FROM ({ratio})) SELECT image_id, i::BIGINT AS i, round(x[i + 1], 2) + 0.0 AS re FROM r, (SELECT unnest(range(64)) AS i) WHERE n = {rounds}"
+    transform = f"SELECT n, image_id, ac, total, x, cm, sm, {onto('x', 'cm')} AS p, {onto('x', 'sm')} AS q FROM r, m WHERE n < {rounds}"
+    own = f"SELECT *, {onto(power, 'cm')} AS own FROM ({transform})"
+    ratio = f"SELECT *, {onto(each('ac[i + 1] / greatest(own[i + 1] / 64, 1e-12)'), 'cm')} AS g FROM ({own})"
+    back = f"SELECT *, {onto(each('p[i + 1] * g[i + 1]'), 'cm')} AS bc, {onto(each('q[i + 1] * g[i + 1]'), 'sm')} AS bs FROM ({ratio})"
+    step = each("greatest(x[i + 1] * (bc[i + 1] + bs[i + 1]) / (64 * total), 0)")
+    return f"WITH RECURSIVE {PX}, {matrices}, {wanted}, r(n, image_id, ac, total, x) AS ({first} UNION ALL SELECT n + 1, image_id, ac, total, {step} FROM ({back})) SELECT image_id, i::BIGINT AS i, round(x[i + 1], 2) + 0.0 AS re FROM r, (SELECT unnest(range(64)) AS i) WHERE n = {rounds}"
 
 
 @query("deautocorrelate", _deautocorrelated(50))
