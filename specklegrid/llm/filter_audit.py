@@ -7,7 +7,8 @@ others are carried over, and each filter's Shapley sum grows along the walk. Wor
 
 Texts are read once, where they lie: masks of the filters that look at one text, and a 128-bit digest of it. Whether a
 smaller doc_id has the same text follows from counts by digest, combined before they are shuffled, so a text that a third of all
-rows share is one row a task. Rows without doc_id are spread over the join with the labels by their digest.
+rows share is one row a task. For the join with the labels each doc_id's rows are spread over SALTS tasks by their digest, and rows
+without doc_id, which have none, over all.
 
 Cases: a null text is empty, and both are equal texts; a null language is the part of the empty string; a row
 without doc_id has no label, is a copy of nothing and makes no other row one; rows of equal doc_id and text are no copies of
@@ -29,7 +30,7 @@ from .kernels import Words, pieces, utf8
 
 FILTERS = "ABCDE"
 FEWEST_WORDS, DISTINCT_PERCENT, CAPITALS_PERCENT, SIGNS = 200, 50, 3, "#$%&*|"
-COPY = 1 << FILTERS.index("E")
+COPY, SALTS = 1 << FILTERS.index("E"), 8
 _CAPITAL, _SIGN, _FOLLOWS = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _CAPITAL[65:91] = True
 _SIGN[[ord(c) for c in SIGNS]] = True
@@ -63,8 +64,8 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     id_type = rows.schema["doc_id"].dataType.simpleString()
     found = rows.mapInArrow(run, f"doc_id {id_type}, part string, key binary, mask int")
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    found = found.withColumn("spread", F.when(F.col("doc_id").isNull(), F.pmod(F.hash("key"), F.lit(1 << 20))).otherwise(F.lit(0)))
-    joined = found.join(known.withColumn("spread", F.lit(0)), ["doc_id", "spread"], "left")
+    found = found.withColumn("spread", F.pmod(F.hash("key"), F.when(F.col("doc_id").isNull(), F.lit(1 << 20)).otherwise(F.lit(SALTS))))
+    joined = found.join(known.withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["doc_id", "spread"], "left")
     kind = ["key", "part", "mask", "good", "toxic"]
     joined = joined.select("doc_id", "spread", "key", "part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
     by_doc = joined.groupBy("doc_id", "spread", *kind).agg(F.count("*").alias("n"))
