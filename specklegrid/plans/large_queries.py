@@ -197,17 +197,17 @@ def files_written(spark, sf_dir):
     return frames.read_files(spark, store).select("name", F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
 
 
-_BOXES = "SELECT o_orderkey AS box, o_custkey % 50 AS x0, o_orderkey % 2500 AS y0, o_custkey % 50 + o_custkey % 7 AS x1, o_orderkey % 2500 + o_orderkey % 30 AS y1 FROM orders"
-_POINTS = "SELECT l_quantity::BIGINT AS x, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS y, l_linenumber AS v FROM lineitem"
+_BOXES = "SELECT o_orderkey AS box, o_custkey % 50 AS x0, o_orderkey AS y0, o_custkey % 50 + o_custkey % 7 AS x1, o_orderkey + o_custkey % 30 AS y1 FROM orders"
+_POINTS = "SELECT l_quantity::BIGINT AS x, l_orderkey AS y, l_linenumber AS v FROM lineitem"
 
 
 @query("many_boxes", f"WITH b AS ({_BOXES}), p AS ({_POINTS}) SELECT box, count(*) AS n, sum(v)::BIGINT AS total FROM p JOIN b ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY box")
 def many_boxes(spark, sf_dir):
-    """A box for every order against a point for every line: what lies in each."""
+    """A box of quantities and following orders for every order, against a point for every line: what lies in each."""
     o, l = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
-    x0, y0 = F.col("o_custkey") % 50, F.col("o_orderkey") % 2500
-    boxes = o.select(F.col("o_orderkey").alias("box"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("o_custkey") % 7).alias("x1"), (y0 + F.col("o_orderkey") % 30).alias("y1"))
-    points = l.select(F.col("l_quantity").cast("long").alias("x"), F.date_diff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")).cast("long").alias("y"), F.col("l_linenumber").alias("v"))
+    x0, y0 = F.col("o_custkey") % 50, F.col("o_orderkey")
+    boxes = o.select(y0.alias("box"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("o_custkey") % 7).alias("x1"), (y0 + F.col("o_custkey") % 30).alias("y1"))
+    points = l.select(F.col("l_quantity").cast("long").alias("x"), F.col("l_orderkey").alias("y"), F.col("l_linenumber").alias("v"))
     return regions.in_boxes(points, boxes).groupBy("box").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
