@@ -11,12 +11,15 @@ depth GRAM among those of a window of `length` bytes, so equal windows always pi
 what a refinement settles goes no further:
 
 1. Buckets by the picked suffixes' identifiers of depth GRAM. A suffix alone in its bucket is settled, and with it every
-   window of `length` bytes in which it lies whole: such a window occurs nowhere else.
+   window that picks it: such a window occurs nowhere else. (Not every window that holds it: in a copy with other bytes
+   around, what lies at its place may be picked by no window.)
 2. A bucket with several suffixes is refined by the identifiers of depth `length` that each meets at the first and the
-   last of the unsettled windows that pick it. Suffixes that stay together are equal over all those windows, so all but
+   last of the windows that pick it. Suffixes that stay together are equal over all those windows, so all but
    the earliest are repeats as a whole; a bucket that doesn't split is settled.
-3. If it splits, only the earliest suffix of each part is refined once more, window by window: the earliest of equal
-   identifiers of depth `length` stays, the others are repeats.
+3. If it splits, windows fall into CLASSES by where they hold the suffix, and the bytes that all windows of a class hold (its
+   core) tell which of them are settled: those whose core no other part of the bucket has. Only the others of the earliest suffix
+   of each part are refined once more, window by window: the earliest of equal identifiers of depth `length` stays,
+   the others are repeats.
 
 Cases: a null text is empty; a text below `length` bytes keeps all its bytes; a very long text is one row of its block;
 rows of equal doc_id, or of none, are documents in the order of a hash of their texts, and of repeated rows the first
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from .exchange import Blocks, again, among, distinct
 from .kernels import U64, bucketed, equal_runs, join, mix, unblob, utf8
 
-LENGTH, GRAM = 100, 32  # GRAM is 8 times a power of two
+LENGTH, GRAM, CLASSES = 100, 32, 3  # GRAM is 8 times a power of two
 _HEAD = {"runs": np.array([1], U64).tobytes(), "windows": np.array([2], U64).tobytes()}
 PLACE_BITS = 48  # of a place within the rows of one doc_id and hash of texts; the hash has the rest
 HALF = U64(0x9FB21C651E98DF25)
@@ -102,17 +105,28 @@ class Suffixes:
         self.g = g[self.pick]
 
     def unsettled(self, got: list[bytes]) -> None:
-        """Keeps the suffixes that aren't alone in their buckets, each with those of its windows that hold no lone suffix whole."""
+        """Keeps the suffixes that aren't alone in their buckets, each with all windows that pick it."""
         shared = among([self.g], got)
-        lone = np.unique(self.pick[~shared])
-        lo, hi, pick = self.lo[shared], self.hi[shared], self.pick[shared]
-        if len(lone):
-            at = np.searchsorted(lone, pick)
-            after = np.where(at < len(lone), lone[np.minimum(at, len(lone) - 1)], 1 << 60)
-            before = np.where(at > 0, lone[np.maximum(at - 1, 0)], -1)
-            lo, hi = np.maximum(lo, before + 1), np.minimum(hi, after - (self.length - self.gram) - 1)
-        some = lo <= hi
-        self.g, self.lo, self.hi, self.pick = self.g[shared][some], lo[some], hi[some], pick[some]
+        self.g, self.lo, self.hi, self.pick = self.g[shared], self.lo[shared], self.hi[shared], self.pick[shared]
+
+    def classes(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """For each class of windows: how many bytes before the suffix its core begins, and of each suffix the first and last window of the class (last before first where it has none)."""
+        most, out = self.length - self.gram, []
+        for k in range(CLASSES):
+            near, far = -(-(most + 1) * k // CLASSES), -(-(most + 1) * (k + 1) // CLASSES) - 1
+            out.append((near, np.maximum(self.lo, self.pick - far), np.minimum(self.hi, self.pick - near)))
+        return out
+
+    def cores(self) -> list[np.ndarray]:
+        """For each class, the identifier of each suffix's core; 0 where it has no window of the class."""
+        out = []
+        for k, (near, first, last) in enumerate(self.classes()):
+            far = -(-(self.length - self.gram + 1) * (k + 1) // CLASSES) - 1
+            some, core = first <= last, np.zeros(len(self.pick), U64)
+            if some.any():
+                core[some] = identifiers(self.eight, self.pick[some] - near, self.length - (far - near)) | U64(1)
+            out.append(core)
+        return out
 
     def windows(self, at: np.ndarray) -> list[np.ndarray]:
         """Both halves of the identifiers of depth `length`."""
@@ -160,24 +174,31 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         by, first = _first(*c)
         one = np.sort(by[first])  # in the order of the text, in which numbers compress well
         did, place = s.order(s.lo[one])
-        out = [(b, _HEAD["windows"] + x) for b, x in bucketed((s.g[one] % U64(buckets)).astype(np.int64), [s.g[one], c[0][one], c[1][one], did, place])]
+        out = [(b, _HEAD["windows"] + x) for b, x in bucketed((s.g[one] % U64(buckets)).astype(np.int64), [s.g[one], c[0][one], c[1][one], did, place, *(k[one] for k in s.cores())])]
         # the buckets' answer is needed once more, by the next step of this block
         return out + [(block % buckets, _HEAD["runs"] + b) for b in got]
 
     def split(owners, blobs):
         out = [(o, b) for o, b in zip(owners, blobs, strict=True) if b[:8] == _HEAD["runs"]]
-        parts = [(o, unblob(b[8:], 5)) for o, b in zip(owners, blobs, strict=True) if b[:8] == _HEAD["windows"]]
+        parts = [(o, unblob(b[8:], 5 + CLASSES)) for o, b in zip(owners, blobs, strict=True) if b[:8] == _HEAD["windows"]]
         if parts:
             owner = np.repeat(np.array([o for o, _ in parts]), [x.shape[1] for _, x in parts])
-            g, c, d, did, place = np.concatenate([x for _, x in parts], axis=1)
+            g, c, d, did, place, *cores = np.concatenate([x for _, x in parts], axis=1)
             by = np.lexsort((place, did, d, c, g))
             g, c, d, owner = g[by], c[by], d[by], owner[by]
             first = np.zeros(len(g), bool)
             first[equal_runs(g, c, d)] = True
-            starts = equal_runs(g)
-            several = np.repeat(np.add.reduceat(first.astype(np.int64), starts) > 1, np.diff(np.r_[starts, len(g)]))
-            say = ~first | several
-            out += [(o, _HEAD["windows"] + x) for o, x in bucketed(owner[say], [c[say], d[say], np.where(first, 2, 1)[say]])]
+            say = np.where(first, 0, 1)  # 1: a repeat as a whole; else bits of the classes (from 2 on) whose core another part has
+            at = np.flatnonzero(first)
+            for k, core in enumerate(cores):
+                core = core[by]
+                some = at[core[at] > 0]
+                order = some[np.lexsort((core[some], g[some]))]
+                starts = equal_runs(g[order], core[order])
+                size = np.diff(np.r_[starts, len(order)])
+                say[order[np.repeat(size > 1, size)]] |= 2 << k
+            told = say > 0
+            out += [(o, _HEAD["windows"] + x) for o, x in bucketed(owner[told], [c[told], d[told], say[told]])]
         return out
 
     def finest(block, rows, got, buckets):
@@ -199,8 +220,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         earliest = np.zeros(len(c[0]), bool)
         earliest[by[first]] = True
         whole = ~earliest | (known == 1)
-        fine = earliest & (known == 2)
-        lo, hi = s.lo[fine], s.hi[fine]
+        ranges = [(lo[fine], hi[fine]) for k, (_, lo, hi) in enumerate(s.classes()) for fine in [earliest & (known & (2 << k) > 0) & (lo <= hi)]]
+        lo, hi = (np.concatenate(x) for x in zip(*ranges, strict=True))
+        by = np.argsort(lo, kind="stable")
+        lo, hi = lo[by], hi[by]
         each = hi - lo + 1
         at = np.repeat(lo - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(each.sum()) if len(lo) else lo
         h = s.windows(at)

@@ -193,6 +193,24 @@ def test_suffix_dedup(docs, texts):
         assert (r.n_bytes, r.n_removed) == (len(b), sum(gone))
 
 
+def test_suffix_dedup_passages_in_other_surroundings(spark):
+    """What lies before and behind a repeated passage decides which of its suffixes other windows pick, but not what is removed."""
+    rng = np.random.default_rng(5)
+    say = lambda n: "".join(rng.choice(list("ab"), n))
+    passages = [say(n) for n in rng.integers(95, 260, 40)]
+    texts = ["".join(say(rng.integers(0, 60)) + passages[k][rng.integers(0, 30) :] for k in rng.integers(0, 40, rng.integers(0, 5))) for _ in range(500)]
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(t[k : k + 100])
+        assert [(s.start, s.end) for s in got[i].spans] == [m.span() for m in re.finditer(b"\1+", bytes(gone))], i
+        assert bytes(got[i].kept).decode() == "".join(x for x, g in zip(t, gone, strict=True) if not g)
+
+
 def test_identifiers_of_later_offsets_decide():
     """An identifier of depth 2 h is made of those of depth h at 0 and h; a change anywhere in the depth changes it, one behind it doesn't."""
     rng = np.random.default_rng(7)
