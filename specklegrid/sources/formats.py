@@ -262,7 +262,8 @@ def coloured(v: np.ndarray, ramp: str = "gray", log: bool = False) -> np.ndarray
             raise ValueError(f"no such colours: {ramp}; there are {', '.join(RAMPS)}, wheel, phase")
         corners = np.array(RAMPS[ramp], float)
         rgb = np.stack([np.interp(a, np.linspace(0, 1, len(corners)), corners[:, k]) for k in range(3)], -1)
-    return np.round(rgb * 255).astype(np.uint8)
+    whole = np.floor(rgb * 255)
+    return (whole + (rgb * 255 - whole >= 0.5)).astype(np.uint8)  # halves go up, as in SQL
 
 
 def colour_png(rgb: np.ndarray, texts: dict[str, str] | None = None) -> bytes:
