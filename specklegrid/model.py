@@ -7,6 +7,8 @@ Unpacking is a generator and needs no shuffle; packing groups by image.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ SIDE = 8
 def images(spark, sf_dir: str) -> DataFrame:
     """The 64-long vectors of `embeddings` as packed real 8 x 8 images; label stays as the group of the exposure."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.size("embedding") == SIDE * SIDE)
-    re = F.transform("embedding", lambda v: F.round(v.cast("double") * 1000, 3))
+    re = F.transform("embedding", lambda v: rounded(v.cast("double") * 1000, 3))
     return e.select(
         F.col("vec_id").alias("image_id"), "label", F.lit(SIDE).alias("nx"), F.lit(SIDE).alias("ny"), F.lit(1).alias("nz"), re.alias("re"),
         F.transform("embedding", lambda v: F.lit(0.0)).alias("im"), F.transform("embedding", lambda v: F.lit(1)).alias("mask"),
@@ -56,6 +58,18 @@ def modulus() -> Column:
     return F.hypot("re", "im")
 
 
+def rounded(v: Column, digits: int) -> Column:
+    """v rounded half up; what becomes zero keeps its sign, as it does in SQL (Spark's round drops it)."""
+    r = F.round(v, digits)
+    return F.when(r == 0, v * F.lit(0.0)).otherwise(r)
+
+
+def angle(im: Column, re: Column) -> Column:
+    """The phase from -pi to pi. A negative zero as real part has phase pi, as atan2 has it everywhere but in Spark; the sign of a zero imaginary part doesn't matter."""
+    negative_zero = (re == 0) & (im == 0) & (re.cast("string") == "-0.0")
+    return F.when(negative_zero, F.lit(math.pi)).otherwise(F.atan2(im, re))
+
+
 def center_distance(nx: int, ny: int) -> Column:
     """Distance of a pixel to the image's centre ((nx - 1) / 2, (ny - 1) / 2)."""
     return F.hypot(F.col("x") - (nx - 1) / 2, F.col("y") - (ny - 1) / 2)
