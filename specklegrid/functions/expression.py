@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import angle as phase_of
+
 
 class ExpressionError(ValueError):
     pass
@@ -198,7 +200,7 @@ def compile_node(n: Node, image: str = "image_id") -> tuple[Column, Column, Colu
     if n.kind == "abs":
         return F.hypot(a, b), zero, m
     if n.kind == "arg":
-        return F.atan2(b, a), zero, m
+        return phase_of(b, a), zero, m
     if n.kind == "re":
         return a, zero, m
     if n.kind == "im":
@@ -207,7 +209,7 @@ def compile_node(n: Node, image: str = "image_id") -> tuple[Column, Column, Colu
         return a, -b, m
     if n.kind == "exp":
         return F.exp(a) * F.cos(b), F.exp(a) * F.sin(b), m
-    size, angle = F.hypot(a, b), F.atan2(b, a)
+    size, angle = F.hypot(a, b), phase_of(b, a)
     if n.kind == "log":
         return F.when(size > 0, F.log(size)).otherwise(F.lit(float("-inf"))), angle, m
     if n.kind == "sqrt":

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import modulus
+from ..model import angle, modulus
 
 KEY = ["image_id", "i"]
 
@@ -156,7 +156,7 @@ def charge_flip(px: DataFrame, share: float) -> DataFrame:
 
 
 def phase(px: DataFrame) -> DataFrame:
-    return px.withColumns({"re": F.atan2("im", "re"), "im": F.lit(0.0)})
+    return px.withColumns({"re": angle(F.col("im"), F.col("re")), "im": F.lit(0.0)})
 
 
 def mask_image(px: DataFrame) -> DataFrame:

@@ -36,3 +36,8 @@ def same(spark, folder: str, name: str) -> None:
 @pytest.mark.parametrize("name", ["reflection_lists", "panels", "matrices_through_files"])
 def test_zeros_keep_their_signs(spark, tiny, name):
     same(spark, tiny, name)
+
+
+@pytest.mark.parametrize("name", ["phase_image", "expr_parts"])
+def test_phase_of_negative_zero(spark, tiny, name):
+    same(spark, tiny, name)
