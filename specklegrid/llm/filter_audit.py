@@ -65,7 +65,9 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     found = rows.mapInArrow(run, f"doc_id {id_type}, part string, key binary, mask int")
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     found = found.withColumn("spread", F.pmod(F.hash("key"), F.when(F.col("doc_id").isNull(), F.lit(1 << 20)).otherwise(F.lit(SALTS))))
-    joined = found.join(known.withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["doc_id", "spread"], "left")
+    # merged whatever the labels' size is thought to be: a file of 7 MB holds a million of them, SALTS rows each, which no driver should broadcast
+    salted = known.withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    joined = found.join(salted, ["doc_id", "spread"], "left")
     kind = ["key", "part", "mask", "good", "toxic"]
     joined = joined.select("doc_id", "spread", "key", "part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
     by_doc = joined.groupBy("doc_id", "spread", *kind).agg(F.count("*").alias("n"))

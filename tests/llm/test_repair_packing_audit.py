@@ -312,3 +312,11 @@ def test_many_copies_without_ids(spark):
     rows = [(None, "x", "en")] * 30 + [(5, "x", "en")] * 3 + [(7, "x", "fr"), (9, "x", None), (5, "y", "en")]
     found = filter_audit.cells(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int"))
     assert {(r["part"], r["mask"]): (r["n"], r["good"]) for r in found.collect()} == {("en", 1): (34, 4), ("fr", 17): (1, 0), ("", 17): (1, 0)}
+
+
+def test_labels_are_never_broadcast(spark, docs):
+    """Labels are few bytes a row in a file and many in a driver's table, eight times over: the join merges, even where they seem small."""
+    found = filter_audit.cells(docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
