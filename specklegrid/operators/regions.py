@@ -1,10 +1,14 @@
 """Regions without their pixels: boxes by dyadic cells, and masks as runs.
 
-A box is covered by at most four cells of a grid whose cells are powers of two just as wide and as high as it, or wider; a point
+A box is covered by at most four cells of a grid whose cells are powers of two as wide and as high as it, or wider; a point
 looks up the one cell that holds it in each of the grids that boxes use. So a join of points with any number of boxes is an
 equality on cells, of four rows a box and one a point and grid, and an exact test; no row stands for a pixel or a line
 of a box. Coordinates are integers and may be negative.
 
+Points are what is many, and each grid shuffles all of them once more. So sizes of boxes share grids where that is cheaper: counts of
+boxes by size and of points, and the extent of the points, say how many rows a choice of grids shuffles and about how many
+points each box will be tried with. Any choice gives the same result; a box of another size by far keeps a grid of its own.
+
 A run is image_id, y, start, end (both within). Sets of runs are combined by a sweep along each line of an image: borders of
 all runs are added up by place, running sums say which sets hold there, and segments that touch become one run. Rows
 are in proportion to runs, and lines of an image are swept in different tasks.
@@ -18,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: What choices of grids are weighed: blocks of so many levels that share one, and what it costs to try a point with a box, where a row of the shuffle costs 1.
+BLOCKS, TRIED = (1, 2, 3, 4, 6, 8, 16, 32, 64), 0.02
 #: Which places belong to a combination of the sets a and b.
 COMBINATIONS = {"union": lambda a, b: a | b, "intersection": lambda a, b: a & b, "difference": lambda a, b: a & ~b, "either": lambda a, b: (a | b) & ~(a & b)}
 
@@ -27,26 +33,63 @@ def _level(size: Column) -> Column:
     return F.when(size > 1, F.length(F.bin(size - 1))).otherwise(F.lit(0)).cast("int")
 
 
-def cells(boxes: DataFrame) -> DataFrame:
-    """boxes(x0, y0, x1, y1, ...) with the cells of their grids: lx, ly, cx, cy; up to four rows a box."""
-    levels = boxes.where((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1"))).withColumns({"lx": _level(F.col("x1").cast("long") - F.col("x0") + 1), "ly": _level(F.col("y1").cast("long") - F.col("y0") + 1)})
+def _levels(boxes: DataFrame) -> DataFrame:
+    """Boxes that hold anything, with the levels lx and ly of their sizes."""
+    return boxes.where((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1"))).withColumns({"lx": _level(F.col("x1").cast("long") - F.col("x0") + 1), "ly": _level(F.col("y1").cast("long") - F.col("y0") + 1)})
+
+
+def chosen_grids(sizes: dict[tuple[int, int], int], points: int, extent: tuple[float, float], apart: int = 1) -> dict[tuple[int, int], tuple[int, int]]:
+    """The grid of each size (levels lx, ly) of boxes, from how many boxes have it, how many points there are, in what extent, and how many images (apart) they are spread over: the cheapest of joining neighbouring levels by blocks of 1 to 64."""
+    best = None
+    for kx in BLOCKS:
+        for ky in BLOCKS:
+            groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for size in sizes:
+                groups.setdefault((size[0] // kx, size[1] // ky), []).append(size)
+            grid = {s: (max(g[0] for g in group), max(g[1] for g in group)) for group in groups.values() for s in group}
+            cost = float(points * len(groups))
+            for (lx, ly), n in sizes.items():
+                gx, gy = grid[lx, ly]
+                covers = (1 + 2.0 ** (lx - gx)) * (1 + 2.0 ** (ly - gy))
+                tried = points / apart * min(1.0, 2.0**gx / extent[0]) * min(1.0, 2.0**gy / extent[1])
+                cost += n * covers * (1 + TRIED * tried)
+            if best is None or cost < best[0]:
+                best = cost, grid
+    return best[1]
+
+
+def cells(boxes: DataFrame, grids: dict[tuple[int, int], tuple[int, int]] | None = None) -> DataFrame:
+    """boxes(x0, y0, x1, y1, ...) with the cells of their grids: lx, ly, cx, cy; up to four rows a box. grids: the grid of each size, where it isn't the size's own."""
+    levels = _levels(boxes)
+    if grids:
+        of = lambda k: F.element_at(F.create_map(*[c for s, g in grids.items() for c in (F.lit(s[0] * 64 + s[1]), F.lit(g[k]))]), F.col("lx") * 64 + F.col("ly"))
+        levels = levels.withColumns({"lx": of(0), "ly": of(1)})
     span = lambda a: F.explode(F.expr(f"sequence(shiftright(cast({a}0 AS long), l{a}), shiftright(cast({a}1 AS long), l{a}))"))
     return levels.withColumn("cx", span("x")).withColumn("cy", span("y"))
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
     """Points (x, y, ...) with each of boxes(box, x0, y0, x1, y1; ends within) that holds them; on: columns that must be equal, as image_id where boxes belong to images."""
-    cover = cells(boxes)
-    grids = cover.select("lx", "ly").distinct().collect()  # 64 levels of width by 64 of height at most
-    if not grids:
-        grids = [(0, 0)]
+    sizes = {(r["lx"], r["ly"]): r["n"] for r in _levels(boxes).groupBy("lx", "ly").agg(F.count("*").alias("n")).collect()}  # 64 levels of width by 64 of height at most
+    grids = [(0, 0)]
+    if len(sizes) > 1:
+        apart = F.approx_count_distinct(F.struct(*on)) if on else F.lit(1)
+        p = points.agg(F.count("*").alias("n"), *[(F.max(c).cast("double") - F.min(c).cast("double") + 1).alias(c) for c in "xy"], apart.alias("apart")).first()
+        chosen = chosen_grids(sizes, p["n"], (p["x"] or 1, p["y"] or 1), max(1, p["apart"]))
+        cover, grids = cells(boxes, chosen), sorted(set(chosen.values()))
+    else:
+        cover, grids = cells(boxes), list(sizes) or grids
+    within = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
+    same = [F.col(f"p.{c}") == F.col(f"b.{c}") for c in on]
+    wanted = [*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"b.{c}") for c in boxes.columns if c not in on]]
+    if len(grids) == 1:  # points are shuffled as they are
+        equal = [F.shiftright(F.col(f"p.{c}").cast("long"), g) == F.col(f"b.c{c}") for c, g in zip("xy", grids[0], strict=True)]
+        return points.alias("p").join(cover.alias("b"), [*same, *equal], "inner").where(within).select(*wanted)
     looked = F.explode(F.array(*[F.struct(F.lit(g[0]).alias("lx"), F.lit(g[1]).alias("ly")) for g in grids]))
     keyed = points.withColumn("grid_", looked).select("*", F.col("grid_.lx").alias("lx_"), F.col("grid_.ly").alias("ly_"), F.expr("shiftright(cast(x AS long), grid_.lx)").alias("cx_"), F.expr("shiftright(cast(y AS long), grid_.ly)").alias("cy_")).drop("grid_")
-    same = [F.col(f"p.{c}") == F.col(f"b.{c}") for c in on]
     equal = [F.col(f"{c}_") == F.col(c) for c in ("lx", "ly", "cx", "cy")]
-    within = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
     joined = keyed.alias("p").join(cover.alias("b"), [*same, *equal], "inner").where(within)
-    return joined.select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"b.{c}") for c in boxes.columns if c not in on])
+    return joined.select(*wanted)
 
 
 # ---- runs

@@ -26,6 +26,24 @@ def test_many_boxes_against_brute_force(spark):
     assert got == want and len(want) > 10_000
 
 
+def test_sizes_of_boxes_share_grids(spark):
+    """Points are shuffled once, not once for each size of boxes; a size by far larger doesn't take the small ones along."""
+    rng = np.random.default_rng(4)
+    boxes = [(int(i), int(a), int(b), int(a + i % 7), int(b + i % 30)) for i, (a, b) in enumerate(rng.integers(0, (50, 9000), (3000, 2)))]
+    points = [(int(k), int(a), int(b)) for k, (a, b) in enumerate(rng.integers(0, (50, 9000), (4000, 2)))]
+    make = lambda rows: spark.createDataFrame(rows, "box long, x0 long, y0 long, x1 long, y1 long")
+    px = spark.createDataFrame(points, "id long, x long, y long")
+    for more, most in (([], 1), ([(9999, -5, -5, 60, 9999)], 3)):
+        found = regions.in_boxes(px, make(boxes + more))
+        assert {(r.id, r.box) for r in found.collect()} == {(k, i) for k, a, b in points for i, x0, y0, x1, y1 in boxes + more if x0 <= a <= x1 and y0 <= b <= y1}
+        sizes = {(int(r.lx), int(r.ly)): r["count"] for r in regions._levels(make(boxes + more)).groupBy("lx", "ly").count().collect()}
+        assert len(sizes) >= 20 and len(set(regions.chosen_grids(sizes, 4000, (50.0, 9000.0)).values())) <= most
+    plan = regions.in_boxes(px, make(boxes))._jdf.queryExecution().optimizedPlan().toString()
+    assert "grid_" not in plan
+    far = {(0, 0): 10**7, (20, 20): 1}
+    assert regions.chosen_grids(far, 10**7, (2.0**21, 2.0**21)) == {(0, 0): (0, 0), (20, 20): (20, 20)}
+
+
 def test_boxes_of_images_and_odd_boxes(spark):
     px = spark.createDataFrame([(g, x, y, 1.0, 9) for g in (1, 2) for x in range(4) for y in range(4)], "image_id long, x int, y int, re double, box int")
     boxes = spark.createDataFrame([(1, 5, 0, 0, 1, 1), (2, 6, 3, 3, 3, 3), (2, 7, 2, 2, 1, 1), (2, 8, None, 0, 3, 3), (1, 9, -5, -5, 50, 50), (1, 9, -5, -5, 50, 50)], "image_id long, b int, x0 int, y0 int, x1 int, y1 int")
