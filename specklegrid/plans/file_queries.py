@@ -136,8 +136,8 @@ def images_through_files(spark, sf_dir):
     out = None
     for kind, digits in (("tiff", 6), ("png", 0)):
         folder = frames.scratch(spark, kind)
-        frames.write_files(formats.encoded(p, kind).select("name", "content"), folder)
-        read = formats.read_images(spark, folder)
+        frames.write_files(formats.encoded(p, kind).select(frames.in_folders(F.col("name")).alias("name"), "content"), folder)
+        read = formats.decoded(frames.read_folders(spark, folder))
         cells = read.select(F.regexp_extract("path", r"([0-9]+)\.\w+$", 1).cast("long").alias("image_id"), F.lit(kind).alias("kind"), F.posexplode("re").alias("i", "re"))
         part = cells.select("image_id", "kind", F.col("i").cast("long").alias("i"), (F.round("re", digits) + 0.0).alias("re"))
         out = part if out is None else out.unionByName(part)

@@ -159,7 +159,12 @@ def gif_pixels(data: bytes) -> np.ndarray:
 
 
 def read_images(spark, path: str) -> DataFrame:
-    """Packed rows of TIFF, GIF, PNG and npy files, told apart by their first bytes."""
+    """Packed rows of TIFF, GIF, PNG and npy files, told apart by their first bytes. The driver lists the files; decoded(frames.read_folders()) is for very many."""
+    return decoded(spark.read.format("binaryFile").load(path))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """Packed rows of files(path, content), as read_images() has them."""
     import io
 
     kinds: list[tuple[bytes, Callable[[bytes], np.ndarray]]] = [(b"II*\0", tiff_pixels), (b"MM\0*", tiff_pixels), (b"GIF8", gif_pixels), (b"\x89PNG", png_pixels), (b"\x93NUMPY", lambda b: np.load(io.BytesIO(b), allow_pickle=False))]
@@ -176,7 +181,7 @@ def read_images(spark, path: str) -> DataFrame:
                 out.append((r.path, nx, ny, nz, v.real.astype(float).ravel(), np.imag(v).astype(float).ravel(), np.ones(v.size, np.int32)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in DECODED.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, DECODED)
+    return files.select("path", "content").mapInPandas(run, DECODED)
 
 
 def read_detector_images(spark, path: str, center: tuple[float, float], distance_mm: float, pixel_um: float, wavelength_nm: float) -> DataFrame:

@@ -17,17 +17,18 @@ out when `truncated` is `drop`, and an error else; an empty job writes no file;
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
 import re
 import struct
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
@@ -159,18 +160,25 @@ class FrameReader(DataSourceReader):
         yield pa.record_batch([pa.array([part.path] * n), pa.array(frame), pa.array(bunch.astype(np.int32)), whole(part.nx), whole(part.ny), whole(1), *lists], [c.split()[0] for c in FRAMES.split(", ")])
 
 
+def _digest(name: str) -> bytes:
+    return hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 @dataclass
 class Staged(WriterCommitMessage):
-    """(name in the staging folder, name in the end) of the files of a task."""
+    """What a task has staged: its folder in the staging folder, how many files, and 16 bytes of a digest of each name."""
 
-    files: list = field(default_factory=list)
+    folder: str
+    count: int = 0
+    names: bytes = b""
 
 
 class Staging(DataSourceArrowWriter):
-    """Tasks put files into a folder of the job; commit moves them to their names, abort deletes the folder."""
+    """Tasks put files into folders of their own in a folder of the job; commit moves them to their names, abort deletes the folder. The driver sees 16 bytes a file, and lists one task's files at a time."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite, self.job, self.options = options["path"], overwrite, uuid.uuid4().hex, dict(options)
+        self.made: set[str] = set()
 
     @property
     def folder(self) -> str:
@@ -180,33 +188,49 @@ class Staging(DataSourceArrowWriter):
         if name.startswith("/") or ".." in name.split("/") or not name or name.startswith("_"):
             raise ValueError(f"{name!r} is no name of a file in the folder")
         where, _ = store(self.path)
-        where.create_dir(self.folder, recursive=True)
-        staged = f"{self.folder}/{uuid.uuid4().hex}"
+        staged = f"{self.folder}/{done.folder}/{name}"
+        if posixpath.dirname(staged) not in self.made:
+            where.create_dir(posixpath.dirname(staged), recursive=True)
+            self.made.add(posixpath.dirname(staged))
         with where.open_output_stream(staged) as out:
             for p in parts:
                 out.write(p)
-        done.files.append((staged, name))
+        done.names += _digest(name)
+        done.count += 1
+
+    def _staged(self, messages) -> Iterator[list[tuple[str, str]]]:
+        """(staged path, name) of the files, those of one task at a time."""
+        from pyarrow import fs
+
+        where, _ = store(self.path)
+        for m in messages:
+            if m and m.count:
+                top = f"{self.folder}/{m.folder}/"
+                yield [(f.path, f.path[len(top) :]) for f in where.get_file_info(fs.FileSelector(top[:-1], recursive=True)) if f.type == fs.FileType.File]
 
     def commit(self, messages) -> None:
         from pyarrow import fs
 
         where, top = store(self.path)
-        files = [f for m in messages if m for f in m.files]
-        names = [n for _, n in files]
-        if len(set(names)) < len(names):
-            raise ValueError("a name occurs twice: " + next(n for n in names if names.count(n) > 1))
+        digests = np.frombuffer(b"".join(m.names for m in messages if m), "<u8").reshape(-1, 2)
+        digests = digests[np.lexsort(digests.T)]
+        again = digests[1:][(digests[1:] == digests[:-1]).all(1)]
+        if len(again):
+            raise ValueError("a name occurs twice: " + next(n for files in self._staged(messages) for _, n in files if _digest(n) == again[0].tobytes()))
         if self.overwrite:
             old = [f.path for f in where.get_file_info(fs.FileSelector(top, allow_not_found=True)) if f.type == fs.FileType.File]
             list(map(where.delete_file, old))
         else:
-            there = [i.path for i in where.get_file_info([f"{top}/{n}" for n in names]) if i.type != fs.FileType.NotFound] if names else []
-            if there:
-                raise FileExistsError(f"{there[0]} is there already")
+            for files in self._staged(messages):
+                there = [i.path for i in where.get_file_info([f"{top}/{n}" for _, n in files]) if i.type != fs.FileType.NotFound]
+                if there:
+                    raise FileExistsError(f"{there[0]} is there already")
         where.create_dir(top, recursive=True)
-        for folder in {posixpath.dirname(n) for n in names if "/" in n}:
-            where.create_dir(f"{top}/{folder}", recursive=True)
         with ThreadPoolExecutor(THREADS) as pool:
-            list(pool.map(lambda f: where.move(f[0], f"{top}/{f[1]}"), files))
+            for files in self._staged(messages):
+                for folder in {posixpath.dirname(n) for _, n in files if "/" in n}:
+                    where.create_dir(f"{top}/{folder}", recursive=True)
+                list(pool.map(lambda f: where.move(f[0], f"{top}/{f[1]}"), files))
         self._clear()
 
     def abort(self, messages) -> None:
@@ -224,7 +248,7 @@ class FileWriter(Staging):
     """name, content: the bytes of each row as a file."""
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
-        done = Staged()
+        done = Staged(uuid.uuid4().hex)
         for batch in iterator:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
                 self.put(done, name, [content.as_buffer()] if content.is_valid else [])
@@ -237,13 +261,13 @@ class FrameWriter(Staging):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         from pyspark import TaskContext
 
-        done, most = Staged(), int(self.options.get("filebytes", FILE_BYTES))
+        done, most = Staged(uuid.uuid4().hex), int(self.options.get("filebytes", FILE_BYTES))
         task, shape, parts, size, count = TaskContext.get().partitionId(), None, [], 0, 0
 
         def close():
             nonlocal parts, size, count
             if parts:
-                self.put(done, f"frames-{task:05d}-{len(done.files):05d}-{self.job}.sss", [struct.pack("<iii", *shape, len(parts)), *parts])
+                self.put(done, f"frames-{task:05d}-{done.count:05d}-{self.job}.sss", [struct.pack("<iii", *shape, len(parts)), *parts])
             parts, size = [], 0
 
         for batch in iterator:
@@ -318,6 +342,40 @@ def read_files(spark, path: str) -> DataFrame:
     return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
 
 
+def in_folders(name: Column, count: int = 64) -> Column:
+    """Names of files, dealt into folders 0 to count - 1 by a hash: for read_folders()."""
+    return F.concat(F.pmod(F.xxhash64(name), F.lit(count)).cast("string"), F.lit("/"), name)
+
+
+def read_folders(spark, path: str, batch_bytes: int = 1 << 20) -> DataFrame:
+    """path, content of the files in the folders of a folder. The driver lists the folders; a task lists and reads the files of one, so files may be many."""
+    from pyarrow import fs
+
+    where, at = store(path)
+    folders = [f.path for f in where.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.Directory and not f.base_name.startswith(("_", "."))]
+
+    def run(batches):
+        source, _ = store(path)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                out, size = [], 0
+                for f in source.get_file_info(fs.FileSelector(folder)):
+                    if f.type != fs.FileType.File or f.base_name.startswith(("_", ".")):
+                        continue
+                    with source.open_input_stream(f.path) as s:
+                        out.append((f.path, s.read()))
+                    size += f.size
+                    if size >= batch_bytes or len(out) >= 1024:
+                        yield _files(out)
+                        out, size = [], 0
+                yield _files(out)
+
+    def _files(rows):
+        return pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["path", "content"])
+
+    return spark.createDataFrame([(f,) for f in folders], "folder string").repartition(max(1, len(folders))).mapInArrow(run, "path string, content binary")
+
+
 def with_shot_energy(frames: DataFrame, shots: DataFrame, base: str = "image") -> DataFrame:
     """Frames with the energies of the shot of their bunch: shots(ts, tunnel, hall), the first in the order of seq where a stamp occurs again. name: base-bunch-energy, with xxxx where there is no shot."""
     first = shots.where("ts is not null").groupBy("ts").agg(F.min_by(F.struct("tunnel", "hall"), "seq").alias("s"))

@@ -348,3 +348,21 @@ def test_pixel_tables_give_what_packed_rows_give(spark):
     same(aggregate.radial_profile(masked, d, 4, most, measured=True).where("n > 0"), packed.radial_profile(packed_masked, 4, most, measured=True), ["image_id", "shell"], "mean", "n")
     same(spatial.line_out(px, 0.0, 1.0, 7.0, 6.5, 30), packed.line_out(p, 0.0, 1.0, 7.0, 6.5, 30), ["image_id", "p"], "re", "mask")
     same(spatial.rotate(px, 8, 8, 0.7), packed.rotate(p, 0.7), ["image_id", "p"], "re", "mask")
+
+
+def test_files_in_folders_never_pass_through_the_driver(spark, tmp_path):
+    """Tasks list the folders; a task's message has a digest a file and no path; a name that two tasks wrote is found."""
+    rows = spark.range(3000).select(frames.in_folders(F.concat(F.col("id").cast("string"), F.lit(".bin"))).alias("name"), F.encode(F.col("id").cast("string"), "utf-8").alias("content"))
+    frames.write_files(rows.repartition(5), str(tmp_path / "many"))
+    found = frames.read_folders(spark, str(tmp_path / "many"))
+    assert {(r.path.rsplit("/", 1)[1], bytes(r.content)) for r in found.collect()} == {(f"{i}.bin", str(i).encode()) for i in range(3000)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "LocalTableScan" in plan or "ExistingRDD" in plan
+    assert len(list((tmp_path / "many").iterdir())) <= 64
+    writer = frames.FileWriter({"path": str(tmp_path / "other")}, False)
+    said = writer.write(iter(rows.limit(100).toArrow().to_batches()))
+    assert said.count == 100 and len(said.names) == 1600
+    writer.abort([said])
+    with pytest.raises(Exception, match="occurs twice"):
+        frames.write_files(rows.limit(3).unionByName(rows.limit(3)).repartition(3), str(tmp_path / "twice"))
+    assert not (tmp_path / "twice").exists() or not [p for p in (tmp_path / "twice").rglob("*") if p.is_file()]
