@@ -4,11 +4,11 @@ A one-versus-rest linear support vector machine predicts the language family fir
 one-versus-one linear support vector machines separate its languages by votes. Features are hashed byte n-grams
 (one to three bytes, A-Z lower-cased) of the whole text, square-rooted and normalised.
 
-The machines are fitted on a bounded sample: at most `per_lang` labelled rows of each language, fewer where there are
-so many languages that the whole would pass SAMPLE_ROWS (but MIN_ROWS of each). They are the rows of least hash of (doc_id,
-text), each distinct text of a doc_id once. Every language is learned, each machine in a task of its own on the rows that it
-needs (a family's, of the sample's other rows FAMILY_ROWS at most); only weights come to the driver. Prediction covers every row in
-one scan without a shuffle.
+The machines learn from every labelled row that isn't held out, each distinct (doc_id, text) once. Rows are dealt by a hash of these into
+blocks of some BLOCK_ROWS rows; a block fits all machines on its rows, and a machine is the mean of its blocks' machines, each
+weighted by the rows of its rarer side there (mixture of averages). Blocks follow rows and bytes, so tasks stay the same at any size,
+and neither the order nor the partitions of the rows matter. Only weights come to the driver. With `per_lang`, machines learn from a
+bounded sample instead: that many rows of each language at most. Prediction covers every row in one scan without a shuffle.
 
 Cases: a null text or one without a letter is `und` with score 0; without any labelled row everything is `und`;
 a language that `families` doesn't list is a family of its own; a row without doc_id is never learned from and
@@ -20,16 +20,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.selection import selected
 from .exchange import released, written
 from .kernels import LOWER, pieces, utf8
 
 DIMS, PER_LANG, MIN_SCORE, LOST = 4096, 400, 0.25, 0.005
 PIECE, ROWS = 512 << 10, 512  # bytes of text and rows whose features (16 KB a row) a task holds at once
-SAMPLE_ROWS, MIN_ROWS, FAMILY_ROWS = 40_000, 8, 4000  # bounds of the sample, as above
+SAMPLE_ROWS, MIN_ROWS = 40_000, 8  # bounds of a sample of per_lang rows: fewer of each where all would pass the first, but the second of each
+BLOCK_ROWS, BLOCK_BYTES, ROUNDS = 2000, 4 << 20, 15
 #: Families of common languages (ISO 639-1).
 FAMILIES = {
     **dict.fromkeys("en de nl af sv da no nb nn is fy lb yi".split(), "germanic"), **dict.fromkeys("fr es it pt ro ca gl oc la".split(), "romance"),
@@ -60,18 +63,20 @@ def features(text: pa.Array, dims: int = DIMS) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int = DIMS, c: float = 4.0, rounds: int = 15) -> np.ndarray:
-    """Weights (the last one is the bias) of an L2-regularised squared-hinge machine for y of +1 and -1, by dual coordinate descent over sparse rows (places, values)."""
-    a, w, norm = np.zeros(len(rows)), np.zeros(dims + 1, np.float32), np.array([float(v @ v) for _, v in rows]) + 1 + 0.5 / c
-    rng = np.random.default_rng(7)
+def fit_svms(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int = DIMS, c: float = 4.0, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights (the last row is the biases) of L2-regularised squared-hinge machines, one for each column of y: +1, -1 or 0 (not learned from), by dual coordinate descent over sparse rows (places, values)."""
+    a, w, norm = np.zeros(y.shape), np.zeros((dims + 1, y.shape[1]), np.float32), np.array([float(v @ v) for _, v in rows]) + 1 + 0.5 / c
+    rng, used = np.random.default_rng(7), y != 0
     for _ in range(rounds):
         for i in rng.permutation(len(rows)):
             at, v = rows[i]
-            step = max(a[i] - (y[i] * (float(w[at] @ v) + float(w[-1])) - 1 + a[i] * 0.5 / c) / norm[i], 0.0) - a[i]
-            if step:
+            margin = y[i] * (v @ w[at] + w[-1]) - 1 + a[i] * (0.5 / c)
+            step = np.where(used[i], np.maximum(a[i] - margin / norm[i], 0.0) - a[i], 0.0)
+            if step.any():
                 a[i] += step
-                w[at] += np.float32(step * y[i]) * v
-                w[-1] += np.float32(step * y[i])
+                change = (step * y[i]).astype(np.float32)
+                w[at] += v[:, None] * change
+                w[-1] += change
     return w
 
 
@@ -122,10 +127,15 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def labelled(docs: DataFrame) -> DataFrame:
+    """(lang, h, text) of the rows that machines may learn from; h stands for doc_id and text."""
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    return rows.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.lit("language id"), "doc_id", "text").alias("h"), F.col("text").cast("string").alias("text"))
+
+
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[DataFrame, list[str]]:
     """(lang, h, text) of the rows that machines learn from, and the languages: of each language the distinct (doc_id, text) of least hash, rows that are held out aside."""
-    open_rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    rows = open_rows.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.lit("language id"), "doc_id", "text").alias("h"), F.col("text").cast("string").alias("text"))
+    rows = labelled(docs)
     found = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).collect()  # one row a language
     langs = sorted(r["lang"] for r in found)
     per_lang = min(per_lang, max(MIN_ROWS, SAMPLE_ROWS // max(1, len(langs))))
@@ -140,83 +150,92 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[DataFrame, list[s
     return each.select("lang", "h", "place", "text"), langs
 
 
-def _vectors(rows: DataFrame, dims: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for part in pieces(batch, "text", PIECE, ROWS):
-                packed = [sparse(x) for x in features(part.column(3), dims)]
-                yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array(packed, pa.binary())], ["lang", "h", "place", "x"])
-
-    return rows.select("lang", "h", "place", "text").mapInArrow(run, "lang string, h long, place int, x binary")
-
-
-def _dense(packed: list[bytes], dims: int) -> np.ndarray:
-    out = np.zeros((len(packed), dims), np.float32)
-    for row, data in zip(out, packed, strict=True):
-        at, v = places_and_values(data)
-        row[at] = v
-    return out
-
-
-def _fitted(vectors: DataFrame, langs: list[str], families: dict[str, str], dims: int, total: int) -> dict[str, np.ndarray]:
-    """Weights by machine: of each family against the rest, and of each pair of languages of a family; fitted in tasks, one a machine."""
+def machines(langs: list[str], families: dict[str, str]) -> dict[str, dict[str, int]]:
+    """The side (+1 or -1) of each language that a machine learns from: of each family against the rest, and of each pair of languages of a family."""
     family = {g: families.get(g, g) for g in langs}
     names = sorted(set(family.values()))
-    jobs = []  # (machine, language, +1 or -1): which rows a machine learns from
-    if len(names) > 1:
-        jobs += [(f"family {f}", g, 1 if family[g] == f else -1) for f in names for g in langs]
+    out = {f"family {f}": {g: 1 if family[g] == f else -1 for g in langs} for f in names} if len(names) > 1 else {}
     for f in names:
         group = sorted(g for g in langs if family[g] == f)
-        jobs += [(f"pair {g} {h}", k, 1 if k == g else -1) for i, g in enumerate(group) for h in group[i + 1 :] for k in (g, h)]
+        out |= {f"pair {g} {h}": {g: 1, h: -1} for i, g in enumerate(group) for h in group[i + 1 :]}
+    return out
+
+
+_LEARNED = "fold int, machine string, part int, share double, w binary"
+_FOLD = "pmod(xxhash64(h, 'fold'), 2)"
+
+
+def _fitted(rows: DataFrame, blocks: int, langs: list[str], families: dict[str, str], dims: int, folds: bool) -> dict[int, dict[str, np.ndarray]]:
+    """Weights by machine, learned from all rows(lang, h, text) (2), and with folds from those of fold 1 (0) and of fold 0 (1): to judge fold 0 and 1 by."""
+    jobs = machines(langs, families)
     if not jobs:
-        return {}
-    jobs = vectors.sparkSession.createDataFrame(jobs, "machine string, g string, y int")
-    share = min(1.0, FAMILY_ROWS / max(1, total))
-    used = vectors.join(jobs, F.col("lang") == F.col("g"))
-    used = used.where(F.col("machine").startswith("pair ") | (F.col("y") > 0) | (F.pmod(F.xxhash64("h", F.lit("rest")), F.lit(1 << 20)) < share * (1 << 20)) | (F.col("place") == 1))
-
-    def run(rows: pa.Table) -> pa.Table:
-        order = np.lexsort((rows["h"].to_numpy(), np.array(rows["lang"].to_pylist(), object).astype(str)))
-        vectors = [places_and_values(x) for x in rows["x"].take(pa.array(order)).to_pylist()]
-        w = fit_svm(vectors, rows["y"].to_numpy()[order].astype(float), dims)
-        return pa.table({"machine": [rows["machine"][0].as_py()], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
-
-    found = used.select("machine", "lang", "h", "y", "x").groupBy("machine").applyInArrow(run, "machine string, w binary").collect()
-    return {r["machine"]: np.frombuffer(bytes(r["w"]), np.float32) for r in found}
-
-
-def _learned_limit(vectors: DataFrame, families: dict[str, str], dims: int, total: int, share: float = LOST) -> float:
-    """The score that all but `share` of the rightly predicted learned rows reach when the machines learn on the other half of the rows."""
-    scores = []
-    for fold in (0, 1):
-        learn, test = vectors.where(F.col("place") % 2 != fold), vectors.where(F.col("place") % 2 == fold)
-        langs = sorted(r["lang"] for r in learn.select("lang").distinct().collect())
-        if not langs:
-            continue
-        model = Model(langs, families, _fitted(learn, langs, families, dims, total))
-
-        def run(batches, model=model):
-            for batch in batches:
-                for k in range(0, batch.num_rows, 256):
-                    part = batch.slice(k, 256)
-                    lang, score = model.predict(_dense(part.column(1).to_pylist(), dims))
-                    right = lang == np.array(part.column(0).to_pylist(), object)
-                    yield pa.record_batch([pa.array(score[right])], ["score"])
-
-        scores += [r["score"] for r in test.select("lang", "x").mapInArrow(run, "score double").collect()]  # one number a row of the sample
-    return float(np.quantile(scores, share, method="lower")) if scores else 0.0
-
-
-def fit(docs: DataFrame, per_lang: int = PER_LANG, families: dict[str, str] | None = None, dims: int = DIMS, limit: bool = False) -> Model | None:
-    """The model of the rows that are not held out, with its learned limit where asked for; None where no row has a label."""
-    rows, langs = sample(docs, per_lang)
-    if not langs:
+        return {2: {}, 0: {}, 1: {}}
+    sides = {g: np.array([side.get(g, 0) for side in jobs.values()], np.int8) for g in langs}
+    names = list(jobs)
+
+    def learn(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("lang", "ascending"), ("h", "ascending")])
+        vectors = [places_and_values(sparse(x)) for part in pieces(rows, "text", PIECE, ROWS) for x in features(part["text"], dims)]
+        y, fold, out = np.stack([sides[g] for g in rows["lang"].to_pylist()]), rows["fold"].to_numpy(), []
+        for kind in (2, 0, 1) if folds else (2,):
+            use = np.flatnonzero(fold != kind)
+            some = np.flatnonzero((y[use] > 0).any(0) | np.array([n.startswith("pair ") for n in names]) & (y[use] != 0).any(0))
+            if not len(some):
+                continue
+            mine = y[np.ix_(use, some)].astype(float)
+            w = fit_svms([vectors[i] for i in use], mine, dims)
+            share = np.minimum((mine > 0).sum(0), (mine < 0).sum(0)) + 1e-6  # a block that has one side only counts where no other does
+            out += [(kind, names[j], key[0].as_py() % 64, float(share[k]), w[:, k].astype(np.float32).tobytes()) for k, j in enumerate(some)]
+        return _rows(out)
+
+    def _rows(out: list) -> pa.Table:
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.binary()))], names=[c.split()[0] for c in _LEARNED.split(", ")])
+
+    def mean(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.compute.sort_indices(rows, [("share", "ascending"), ("w", "ascending")]))  # in one order whatever the partitions
+        share, total = rows["share"].to_numpy(), np.zeros(dims + 1)
+        for k, w in zip(share, rows["w"], strict=True):
+            total += k * np.frombuffer(w.as_buffer(), np.float32)
+        return _rows([(rows["fold"][0].as_py(), rows["machine"][0].as_py(), rows["part"][0].as_py(), float(share.sum()), (total / share.sum()).astype(np.float32).tobytes())])
+
+    dealt = rows.select(F.pmod(F.xxhash64("h", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), "*").repartition(blocks, "block")
+    each = dealt.groupBy("block", "lang", "h").agg(F.min("text").alias("text")).withColumn("fold", F.expr(_FOLD).cast("int"))  # equal rows become one where they lie
+    learned = each.groupBy("block").applyInArrow(learn, _LEARNED)
+    found = learned.groupBy("fold", "machine", "part").applyInArrow(mean, _LEARNED).groupBy("fold", "machine").applyInArrow(mean, _LEARNED).collect()
+    return {kind: {r["machine"]: np.frombuffer(bytes(r["w"]), np.float32) for r in found if r["fold"] == kind} for kind in (2, 0, 1)}
+
+
+def _learned_limit(rows: DataFrame, models: dict[int, Model], dims: int, share: float = LOST) -> float:
+    """The score that all but `share` of the rightly predicted learned rows reach when the machines learn on the other fold of the rows; of all rows."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text", PIECE, ROWS):
+                truth, fold, x = np.array(part.column(0).to_pylist(), object), part.column(1).to_numpy(), features(part.column(2), dims)
+                for k, model in models.items():
+                    lang, score = model.predict(x[fold == k])
+                    yield pa.record_batch([pa.array(score[lang == truth[fold == k]], pa.float64())], ["score"])
+
+    scores = written(rows.select("lang", F.expr(_FOLD).cast("int").alias("fold"), "text").mapInArrow(run, "score double"), "scores")
+    found = selected(scores.select(F.lit("all").alias("part"), "score"), "part", "score", lambda n: F.floor((n - 1) * F.lit(share))).collect()
+    released(scores)
+    return float(found[0]["level"]) if found else 0.0
+
+
+def fit(docs: DataFrame, per_lang: int | None = None, families: dict[str, str] | None = None, dims: int = DIMS, limit: bool = False) -> Model | None:
+    """The model of all rows that are not held out (or with per_lang, of a sample of them), with its learned limit where asked for; None where no row has a label."""
+    rows, families = labelled(docs) if per_lang is None else sample(docs, per_lang)[0].select("lang", "h", "text"), FAMILIES if families is None else families
+    found = rows.groupBy("lang", F.expr(_FOLD).cast("int").alias("fold")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # two rows a language
+    if not found:
         return None
-    vectors, families = written(_vectors(rows, dims), "language"), FAMILIES if families is None else families
-    total = vectors.count()
-    model = Model(langs, families, _fitted(vectors, langs, families, dims, total))
-    model.limit = _learned_limit(vectors, families, dims, total) if limit else MIN_SCORE
-    released(vectors)
+    langs = sorted({r["lang"] for r in found})
+    blocks = max(1, -(-sum(r["n"] for r in found) // BLOCK_ROWS), -(-sum(r["bytes"] for r in found) // BLOCK_BYTES))
+    weights = _fitted(rows, blocks, langs, families, dims, limit)
+    model = Model(langs, families, weights[2])
+    model.limit = MIN_SCORE
+    if limit:
+        known = {k: sorted({r["lang"] for r in found if r["fold"] != k}) for k in (0, 1)}
+        model.limit = _learned_limit(rows, {k: Model(g, families, weights[k]) for k, g in known.items() if g}, dims)
     return model
 
 

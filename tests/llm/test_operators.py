@@ -290,6 +290,23 @@ def test_language_sample_is_bounded_and_loses_no_language(spark):
     assert {r.lang_pred for r in language_id.identify(spark.createDataFrame([(1, "und der die das"), (2, "el los que"), (3, "the words of"), (4, "les oi 77")], "doc_id long, text string"), model).collect()} == set(langs)
 
 
+def test_language_model_learns_from_every_row(spark):
+    """A word that one row in a thousand has tells the language of its rows, whatever their hashes; so does the order of rows not matter."""
+    from pyspark.sql import functions as F
+
+    rows = [(3 * i, f"thing of {i} words", "en") for i in range(6000)] + [(3 * i + 1, f"thing of {i} words und", "de") for i in range(6000)]
+    few = [(40_000 + i, "zqx vjk qqz xzj", "de" if i % 2 else "en") for i in range(0, 60, 2)] + [(50_000 + i, "jjw kkp wwj pkk", "de") for i in range(30)]
+    docs = spark.createDataFrame(rows + few, "doc_id long, text string, lang string")
+    model = language_id.fit(docs.repartition(3))
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame([(1, "zqx vjk"), (2, "jjw kkp")], "doc_id long, text string"), model).collect()}
+    assert got == {1: "en", 2: "de"}
+    drawn = [r.h for r in language_id.sample(docs, 400)[0].collect()]
+    part = language_id.fit(docs.where(F.xxhash64(F.lit("language id"), "doc_id", "text").isin(drawn)))  # what a sample of 400 rows a language would see
+    assert any(not np.allclose(model.pairs[k], part.pairs[k], atol=1e-5) for k in model.pairs)
+    other = language_id.fit(docs.repartition(7, "text"))
+    assert all(np.allclose(model.pairs[k], other.pairs[k], atol=1e-5) for k in model.pairs)
+
+
 def test_every_language_is_learned(spark):
     """More languages than any list holds, each a family of its own, with a few rows each."""
     names = [f"l{i:03d}" for i in range(215)]
