@@ -6,6 +6,11 @@ came from. The processor's pieces tile the normalised text, so their running len
 alignment, give each piece's span of bytes in the original text. That the lengths add up to the normalised text
 is checked for every text.
 
+Merges of a BPE model never cross a place whose two bytes stand side by side in no piece. Where the model's own normalisation only
+escapes spaces, texts are cut at such places (between words, above all); the library encodes each distinct part of a slice
+once. The parts' ids, in their order, are those of the whole texts.
+Any other model, and a slice of texts that holds the escape mark itself, is encoded text by text.
+
 Rows are encoded where they lie: no shuffle, and a lost executor costs its tasks only. Cases: a null or empty text
 has no pieces and decodes to an empty text; a very long text is encoded whole; repeated rows give equal rows;
 other columns are ignored; an empty table gives no rows.
@@ -14,10 +19,12 @@ other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +32,8 @@ from .kernels import pieces
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁".encode()
+APART = "\x01"  # stands before a part that is encoded alone: no piece joins it with anything
+SLICE, TOGETHER = 2 << 20, 32  # bytes of text that are looked at together; parts encoded in a text
 
 
 def fields(data: bytes):
@@ -145,6 +154,21 @@ class Codec:
         self.normalizer = Normalizer(next((v for k, v in message if k == 3), b""))
         self.kind = np.array([p.get(3, 1) for p in pieces_])
         self.width = np.array([1 if p.get(3, 1) == 6 else len(p[1]) for p in pieces_], np.int64)
+        trained = dict(fields(next((v for k, v in message if k == 2), b"")))
+        texts = [p[1] for p in pieces_ if p.get(3, 1) == 1]
+        n = self.normalizer
+        plain = n.units is None and n.prefix and n.escape and not n.squeeze and not trained.get(24, 0)
+        bpe = trained.get(3, 1) == 2 and SPACE in texts and set(self.kind.tolist()) <= {1, 2, 3, 6} and int((self.kind == 6).sum()) == 256
+        #: whether texts may be encoded in parts; where so, at which pairs of bytes
+        self.parted = plain and bpe and not any(APART.encode() in t for t in texts if len(t) > 1)
+        if self.parted:
+            texts = [t.replace(SPACE, b" ") for t in texts]
+            self.source_width = np.array([1 if k == 6 else len(p[1].replace(SPACE, b" ")) for k, p in zip(self.kind, pieces_, strict=True)], np.int32)
+            self.cuts = np.ones(1 << 16, bool)
+            for t in texts:
+                b = np.frombuffer(t, np.uint8).astype(np.int64)
+                self.cuts[b[:-1] << 8 | b[1:]] = False
+            self.cuts.reshape(256, 256)[:, 0x80:0xC0] = False  # not within a character
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each piece in the bytes of the text."""
@@ -157,6 +181,51 @@ class Codec:
             raise ValueError("pieces do not tile the normalised text")
         return source[ends - width], source[ends]
 
+    def ids_of(self, parts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct parts of texts, one after another, and where each part's ids begin; one more at the end. Parts are encoded many in a text, with APART before each."""
+        size = pc.binary_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        groups = pa.ListArray.from_arrays(pa.array(np.r_[np.arange(0, len(parts), TOGETHER), len(parts)].astype(np.int32)), parts)
+        found = self.sp.encode([APART + t for t in pc.binary_join(groups, APART).to_pylist()], num_threads=1)
+        ids = np.concatenate([np.zeros(0, np.int32), *[np.array(x, np.int32) for x in found]])
+        ends = np.r_[0, np.cumsum(self.source_width[ids])]
+        start = np.cumsum(size + 1) - size + np.arange(len(parts)) // TOGETHER + 1  # a space stands before each text
+        first, after = np.searchsorted(ends, start), np.searchsorted(ends, start + size)
+        n = after - first
+        begin = np.r_[0, np.cumsum(n)]
+        return ids[np.repeat(first - begin[:-1], n) + np.arange(begin[-1])], begin
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a column of texts: where each text's ids end, and all ids, starts and ends."""
+        column = pc.fill_null(column, "")
+        if not self.parted or pc.any(pc.match_substring(column, SPACE.decode())).as_py():
+            texts = column.to_pylist()
+            arrays = [np.array(x, np.int32) for x in self.sp.encode(texts, num_threads=1)]
+            spans = [self.spans(t, x) for t, x in zip(texts, arrays, strict=True)]
+            ends = np.cumsum([len(x) for x in arrays])
+            return ends, *(np.concatenate([np.zeros(0, np.int32), *x]).astype(np.int32) for x in (arrays, [s for s, _ in spans], [e for _, e in spans]))
+        size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        size += size > 0  # a space stands before each text
+        last = np.cumsum(size)
+        joined = pc.binary_join_element_wise(pc.if_else(pc.equal(column, ""), "", " "), column, "")
+        data = np.frombuffer(joined.buffers()[2] or b"", np.uint8)[: int(size.sum())]
+        cut = np.ones(len(data) + 1, bool)
+        cut[1:-1] = self.cuts[data[:-1].astype(np.uint16) << 8 | data[1:]]
+        cut[last] = True
+        at = np.flatnonzero(cut)
+        coded = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        which = coded.indices.to_numpy()
+        flat, begin = self.ids_of(coded.dictionary)
+        n = np.diff(begin)[which]
+        done = np.r_[0, np.cumsum(n)]
+        ids = flat[np.repeat((begin[which] - done[:-1]).astype(np.int32), n) + np.arange(done[-1], dtype=np.int32)]
+        width = self.source_width[ids]
+        place = np.cumsum(width, dtype=np.int32)
+        if not np.array_equal(np.r_[0, place][done], at):
+            raise ValueError("pieces do not tile the text")
+        ends = done[np.searchsorted(at, last)]
+        place -= np.repeat((last - size + 1).astype(np.int32), np.diff(np.r_[0, ends]))
+        return ends, ids, np.maximum(place - width, 0), np.maximum(place, 0)
+
 
 @cache
 def codec(model: str) -> Codec:
@@ -168,25 +237,24 @@ def codec(model: str) -> Codec:
     return Codec(model)
 
 
+def encoded(batches: Iterable[pa.RecordBatch], c: Codec) -> Iterator[pa.RecordBatch]:
+    """Of batches of (doc_id, text, rest): doc_id, ids, starts, ends, decoded, rest."""
+    for batch in batches:
+        for part in pieces(batch, "text", SLICE):
+            ends, *lists = c.encode(part.column(1))
+            bounds = [0, *ends.tolist()]
+            ids = lists[0].tolist()
+            decoded = c.sp.decode([ids[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]) if len(ends) else []
+            lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x)) for x in lists]
+            yield pa.record_batch([part.column(0), *lists, pa.array(decoded, pa.string()), part.column(2)], ["doc_id", "ids", "starts", "ends", "decoded", "rest"])
+
+
 def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ids, starts, ends (bytes of the text, for each id) and decoded (the text of the ids) of each row of docs(doc_id, text), and the columns of `carry`."""
     rest = F.struct(*[F.col(c) for c in carry]).alias("rest") if carry else F.lit(None).cast("int").alias("rest")
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), rest)
 
-    def run(batches):
-        c = codec(model)
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = c.sp.encode(texts, num_threads=1)
-                decoded = c.sp.decode(ids) if ids else []
-                arrays = [np.array(x, np.int32) for x in ids]
-                spans = [c.spans(t, x) for t, x in zip(texts, arrays, strict=True)]
-                ends = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *x]).astype(np.int32))) for x in (arrays, [s for s, _ in spans], [e for _, e in spans])]
-                yield pa.record_batch([part.column(0), *lists, pa.array(decoded, pa.string()), part.column(2)], ["doc_id", "ids", "starts", "ends", "decoded", "rest"])
-
-    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>, decoded string, rest {rows.schema['rest'].dataType.simpleString()}")
+    found = rows.mapInArrow(lambda batches: encoded(batches, codec(model)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>, decoded string, rest {rows.schema['rest'].dataType.simpleString()}")
     keep = found.select("doc_id", "ids", "starts", "ends", "decoded", *[F.col("rest")[c].alias(c) for c in carry])
     return keep
 
