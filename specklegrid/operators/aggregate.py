@@ -138,7 +138,11 @@ def running_mean(df: DataFrame, by: str, order: list[str], value: str, width: in
 
 
 def sliding_correlation(z: DataFrame, by: str, order: str, width: int = 20) -> DataFrame:
-    return z.withColumn("r", F.corr("a", "b").over(Window.partitionBy(by).orderBy(order).rowsBetween(0, width - 1)))
+    """The correlation of `width` values from each place on, fewer at the end; NaN where either side is constant (corr() divides by zero there)."""
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(0, width - 1)
+    a, b = F.when(F.col("b").isNotNull(), F.col("a")), F.when(F.col("a").isNotNull(), F.col("b"))
+    moved = F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w)
+    return z.withColumn("r", F.when(moved == 0, float("nan")).otherwise(F.covar_pop("a", "b").over(w) / F.nullif(moved, F.lit(0.0))))
 
 
 def interpolate_missing(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
